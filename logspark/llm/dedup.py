@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_dir, text_of
+from .common import materialize, scratch_dir, small, text_of
 
 
 class DigestIndex:
@@ -75,7 +75,7 @@ def clashing_digests(docs: DataFrame, level1: DataFrame) -> DataFrame:
 
     Only texts of shared digests are shuffled, and of those two a task and digest: the least and the greatest.
     """
-    hits = level1.filter("group_size > 1").select("digest")
+    hits = small(level1.filter("group_size > 1").select("digest"))
     texts = docs.select(text_of().alias("text"), F.unhex(F.sha2(text_of(), 256)).alias("digest")).join(hits, "digest")
     return texts.groupBy("digest").agg((F.min("text") != F.max("text")).alias("differ")).filter("differ").select("digest")
 

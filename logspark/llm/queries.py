@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .common import read
 from .dedup import exact_dedup
 from .jaccard import near_components
+from .langid import identify_languages
 from .mixing import mix_plan
 from .packing import pack_documents
 from .quality import quality_verdicts
+from .token_store import encode_documents
 from .url_filter import url_verdicts
 
 
@@ -18,10 +20,20 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(read(spark, sf_dir, "pages"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
@@ -40,7 +52,9 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_token_store": op2_token_store,
     "op3_url_filter": op3_url_filter,
+    "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_quality_rules": op8_quality_rules,
