@@ -10,6 +10,7 @@ from .dedup import exact_dedup
 from .jaccard import near_components
 from .langid import identify_languages
 from .mixing import mix_plan
+from .ngram_lm import score_documents
 from .packing import pack_documents
 from .quality import quality_verdicts
 from .token_store import encode_documents
@@ -46,6 +47,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read(spark, sf_dir, "documents"))
 
 
+def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_quality_rules": op8_quality_rules,
+    "op9_ngram_lm": op9_ngram_lm,
     "op10_source_mix": op10_source_mix,
 }
 
