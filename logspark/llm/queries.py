@@ -9,6 +9,7 @@ from .common import read
 from .dedup import exact_dedup
 from .jaccard import near_components
 from .langid import identify_languages
+from .license_scan import scan_licenses
 from .mixing import mix_plan
 from .ngram_lm import score_documents
 from .packing import pack_documents
@@ -31,6 +32,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(read(spark, sf_dir, "pages"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the tables name no files: a document's place is its source, a folder of 100 ids, and its id
+    docs = read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.expr("cast(doc_id div 100 as string)"), F.col("doc_id").cast("string"))
+    return scan_licenses(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read(spark, sf_dir, "documents"))
 
@@ -59,6 +67,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_store": op2_token_store,
     "op3_url_filter": op3_url_filter,
+    "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_ngram_jaccard": op7_ngram_jaccard,
