@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+def _state(edges: DataFrame):
+    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+
 def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, label) for every node of links (a, b: longs); label is the smallest node of its component.
 
@@ -16,7 +20,8 @@ def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     hub's links may be split over tasks. Null ends and self links are ignored; repeats do no harm.
     """
     clean = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = materialize(clean, "edges"), None
+    edges = materialize(clean, "edges")
+    before = _state(edges)
     for _ in range(max_rounds):
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
@@ -26,7 +31,7 @@ def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = _state(edges)
         if state == before:
             break
         before = state

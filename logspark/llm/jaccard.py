@@ -35,10 +35,14 @@ class Settings:
     #: Shingles of more documents than this count as frequent and come last in the order; at most max_frequent of them, the most frequent, are known to tasks.
     frequent: int = 12
     max_frequent: int = 500_000
-    #: Share of the hash space in which frequencies are counted (the order of shingles affects speed only).
+    #: Frequencies are counted in the lowest part of the hash space, of the share counted + spread / sqrt(shingles) of a
+    #: document: that is where its rarest shingles are found (the order of shingles affects speed only).
     counted: float = 0.4
+    spread: float = 3.0
     #: Lists of up to so many classes are paired at once; longer ones are first reduced to one row a group.
     short_list: int = 32
+    #: Classes of a long list that are compared at once.
+    block: int = 1024
     #: Bits of the bounded filter of wanted identifiers.
     filter_bits: int = 1 << 26
 
@@ -74,9 +78,9 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def _cut(tokens: np.ndarray, shards: int, top: float) -> np.ndarray:
-    """Ends of the shards' shares of sorted tokens; shards split the hash space up to top evenly."""
-    edges = (np.arange(1, shards, dtype=np.float64) * (top / shards) * 2.0**64).astype(np.uint64)
+def _cut(tokens: np.ndarray, shards: int) -> np.ndarray:
+    """Ends of the shards' shares of sorted tokens; shards split the hash space evenly."""
+    edges = (np.arange(1, shards, dtype=np.float64) / shards * 2.0**64).astype(np.uint64)
     return np.concatenate([[0], np.searchsorted(tokens, edges), [len(tokens)]])
 
 
@@ -86,12 +90,11 @@ def _sketch(s: Settings, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = s.bands * s.rows
         factors = mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
-        limit = np.uint64(int(s.counted * 2.0**64))
         held, count = [], 0
 
         def counts() -> pa.RecordBatch:
             tokens = np.sort(np.concatenate(held))
-            cut = _cut(tokens, shards, s.counted)
+            cut = _cut(tokens, shards)
             at = [i for i in range(shards) if cut[i + 1] > cut[i]]
             none = pa.nulls(len(at), pa.int64())
             blobs = [pack(tokens[cut[i] : cut[i + 1]] >> TOKEN_SHIFT, delta=True) for i in at]
@@ -114,7 +117,8 @@ def _sketch(s: Settings, shards: int):
                 for r in range(s.rows):
                     key = mix(key * np.uint64(0x9FB21C651E98DF25) + least[:, r])
                 bands[i] = key.view(np.int64)
-                low = tokens[: np.searchsorted(tokens, limit)]
+                share = s.counted + s.spread / len(tokens) ** 0.5
+                low = tokens if share >= 1 else tokens[: np.searchsorted(tokens, np.uint64(int(share * 2.0**64)))]
                 held.append(low)
                 count += len(low)
                 if count > 3_000_000:
@@ -193,14 +197,15 @@ def _lists(s: Settings, shards: int, known):
             lengths = np.array([len(h[0]) for h in held])
             cls = np.repeat(np.array([h[1] for h in held], np.int64), lengths)
             n = np.repeat(np.array([h[2] for h in held], np.uint32), lengths)
+            rank = (np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.uint32)
             order = np.argsort(tokens, kind="stable")
-            tokens, cls, n = tokens[order], cls[order], n[order]
-            cut = _cut(tokens, shards, 1.0)
+            tokens, cls, n, rank = tokens[order], cls[order], n[order], rank[order]
+            cut = _cut(tokens, shards)
             at = [i for i in range(shards) if cut[i + 1] > cut[i]]
             part = [slice(cut[i], cut[i + 1]) for i in at]
             return pa.RecordBatch.from_arrays(
-                [pa.array(at, pa.int32()), pa.array([pack(tokens[p] >> TOKEN_SHIFT, delta=True) for p in part], pa.binary()), pa.array([pack(cls[p]) for p in part], pa.binary()), pa.array([pack(n[p]) for p in part], pa.binary())],
-                names=["shard", "tokens", "classes", "sizes"],
+                [pa.array(at, pa.int32()), pa.array([pack(tokens[p] >> TOKEN_SHIFT, delta=True) for p in part], pa.binary()), pa.array([pack(cls[p]) for p in part], pa.binary()), pa.array([pack(n[p]) for p in part], pa.binary()), pa.array([pack(rank[p]) for p in part], pa.binary())],
+                names=["shard", "tokens", "classes", "sizes", "ranks"],
             )
 
         for batch in batches:
@@ -232,11 +237,12 @@ def _pairs(s: Settings):
         tokens = np.concatenate([unpack(b, np.uint64, delta=True) for b in pdf["tokens"]])
         cls = np.concatenate([unpack(b, np.int64) for b in pdf["classes"]])
         n = np.concatenate([unpack(b, np.uint32) for b in pdf["sizes"]]).astype(np.int64)
+        rank = np.concatenate([unpack(b, np.uint32) for b in pdf["ranks"]]).astype(np.int64)
         order = np.lexsort((cls, tokens))
-        tokens, cls, n = tokens[order], cls[order], n[order]
+        tokens, cls, n, rank = tokens[order], cls[order], n[order], rank[order]
         new = np.ones(len(tokens), bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (cls[1:] != cls[:-1])
-        tokens, cls, n = tokens[new], cls[new], n[new]
+        tokens, cls, n, rank = tokens[new], cls[new], n[new], rank[new]
         start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         length = np.diff(np.append(start, len(tokens)))
         found = []
@@ -244,7 +250,9 @@ def _pairs(s: Settings):
             runs = start[length == size]
             left, right = np.triu_indices(size, 1)
             i, j = (runs[:, None] + left).ravel(), (runs[:, None] + right).ravel()
-            fits = 100 * np.minimum(n[i], n[j]) >= s.percent * np.maximum(n[i], n[j])
+            # of the overlap that a link needs, none may lie before the first shared shingle
+            need = -(-(n[i] + n[j]) * s.percent // (100 + s.percent))
+            fits = (rank[i] <= n[i] - need) & (rank[j] <= n[j] - need)
             found.append(np.stack([cls[i[fits]], cls[j[fits]]], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         late = np.repeat(length > s.short_list, length)
@@ -259,6 +267,7 @@ def _pairs(s: Settings):
                 "b": column(pairs[:, 1], None),
                 "token": column(None, tokens[late].astype(np.int64)),
                 "n": column(None, n[late]),
+                "rank": column(None, rank[late]),
             }
         )
 
@@ -313,17 +322,79 @@ def _compare(s: Settings):
 
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) of classes whose texts reach the threshold."""
-    spark = docs.sparkSession
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    ends = materialize(ends.join(classes.select("cls", "rid"), "cls"), "ends")
-    known = spark.sparkContext.broadcast(_wanted(ends, s.filter_bits))
-    texts = docs.select("rid", "text", F.pmod(F.xxhash64("rid"), F.lit(s.filter_bits)).alias("bit")).mapInArrow(_select(known, s.filter_bits), "rid long, text string")
-    texts = materialize(ends.join(texts, "rid").select("cls", "text"), "texts")
+    texts = _texts_of(ends, classes, docs, s)
     joined = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
     joined = joined.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     return materialize(joined.select("a", "b", "text_a", "text_b").mapInArrow(_compare(s), "a long, b long"), "links")
 
 
+def _texts_of(ends: DataFrame, classes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """(cls, text) of the classes in ends."""
+    spark = docs.sparkSession
+    ends = materialize(ends.join(classes.select("cls", "rid"), "cls"), "ends")
+    known = spark.sparkContext.broadcast(_wanted(ends, s.filter_bits))
+    texts = docs.select("rid", "text", F.pmod(F.xxhash64("rid"), F.lit(s.filter_bits)).alias("bit")).mapInArrow(_select(known, s.filter_bits), "rid long, text string")
+    return materialize(ends.join(texts, "rid").select("cls", "text"), "texts")
+
+
+def _within(s: Settings):
+    """Links between the groups of one block of a list: intersections of all its classes from the shingles that two of them share; of the links found, as many as join the groups."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("cls")
+        sets, cls, grp = [], [], []
+        for (_, tokens), c, g in zip(_texts(pa.RecordBatch.from_pydict({"text": pdf["text"].tolist()}), s.size), pdf["cls"].tolist(), pdf["grp"].tolist(), strict=True):
+            if set_hash(tokens) == c:
+                sets.append(tokens)
+                cls.append(c)
+                grp.append(g)
+        n = np.array([len(t) for t in sets], dtype=np.int64)
+        shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        if sets:
+            _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            column = np.cumsum(times > 1) - 1
+            owner, keep = np.repeat(np.arange(len(sets)), n), times[place] > 1
+            owner, place = owner[keep], column[place[keep]]
+            order = np.argsort(place, kind="stable")
+            owner, place = owner[order], place[order]
+            for first in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+                lo, hi = np.searchsorted(place, [first, first + 4096])
+                part = np.zeros((len(sets), 4096), dtype=np.float32)
+                part[owner[lo:hi], place[lo:hi] - first] = 1
+                shared += part @ part.T
+        linked = np.triu(100 * shared >= s.percent * (n[:, None] + n[None, :] - shared), 1)
+        root = {g: g for g in grp}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            x, y = find(grp[i]), find(grp[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((cls[i], cls[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _early(n: str, rank: str, m: str, other: str, s: Settings) -> Column:
+    """Whether a shingle at these ranks of sets of n and m can be the first of as many shared ones as a link needs."""
+    need = F.expr(f"(({n} + {m}) * {s.percent} + {99 + s.percent}) div {100 + s.percent}")
+    return (F.col(rank) <= F.col(n) - need) & (F.col(other) <= F.col(m) - need)
+
+
+def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with grp, the group of their class (the class itself if it has no links)."""
+    found = rows.join(groups.withColumnRenamed("node", "cls"), "cls", "left")
+    return found.select("token", "cls", "n", "rank", F.coalesce("label", "cls").alias("grp"))
+
+
 def _compatible(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
@@ -356,24 +427,37 @@ def near_components(docs: DataFrame, settings: Settings | None = None) -> DataFr
 
     # token-group matrix on the rarest shingles
     known = spark.sparkContext.broadcast(_frequent(sketch, s))
-    lists = docs.select("text").mapInArrow(_lists(s, shards, known), "shard int, tokens binary, classes binary, sizes binary")
-    found = materialize(lists.groupBy("shard").applyInPandas(_pairs(s), "a long, b long, token long, n long"), "found")
-    late = found.filter("token IS NOT NULL").select("token", F.col("a").alias("cls"), "n")
-    late = late.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", F.coalesce("label", "cls").alias("grp"))
-    late = materialize(late, "long-lists")
-    matrix = late.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo < hi").select("token")
-    opened = late.join(materialize(matrix, "matrix"), "token", "left_semi")
-    opened = materialize(opened, "opened")
-    left, right = opened.alias("l"), opened.alias("r")
-    across = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.grp") != F.col("r.grp")) & (F.col("l.cls") < F.col("r.cls")) & _compatible(F.col("l.n"), F.col("r.n"), s.percent))
-    across = across.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
-    pairs = found.filter("b IS NOT NULL").select("a", "b").unionByName(across).distinct()
-    grouped = lambda end: groups.select(F.col("node").alias(end), F.col("label").alias(f"g{end}"))
-    pairs = pairs.join(grouped("a"), "a", "left").join(grouped("b"), "b", "left")
+    lists = docs.select("text").mapInArrow(_lists(s, shards, known), "shard int, tokens binary, classes binary, sizes binary, ranks binary")
+    found = materialize(lists.groupBy("shard").applyInPandas(_pairs(s), "a long, b long, token long, n long, rank long"), "found")
+    late = found.filter("token IS NOT NULL").select("token", F.col("a").alias("cls"), "n", "rank")
+
+    # long lists: first against the class whose rank is least, the most central of a family of near copies
+    late = materialize(_grouped(late, groups), "long-lists")
+    heads = late.groupBy("token").agg(F.min(F.struct("rank", "cls", "n", "grp")).alias("h"), F.max("grp").alias("hi"), F.min("grp").alias("lo"))
+    heads = materialize(heads.filter("lo < hi").select("token", "h"), "heads")
+    apart = late.join(heads, "token").filter((F.col("grp") != F.col("h.grp")) & _early("n", "rank", "h.n", "h.rank", s))
+    central = apart.select(F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b"))
+    pairs = found.filter("b IS NOT NULL").select("a", "b").unionByName(central).distinct()
+    named = lambda end: groups.select(F.col("node").alias(end), F.col("label").alias(f"g{end}"))
+    pairs = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
     pairs = pairs.filter(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
-    more = _linked(materialize(pairs, "pairs"), classes, docs, s)
+    links = links.unionByName(_linked(materialize(pairs, "pairs"), classes, docs, s))
+    groups = materialize(connected_components(links), "groups")
 
-    labels = materialize(connected_components(links.unionByName(more)), "labels")
+    # what long lists still hold of different groups is compared list by list, in blocks of bounded size
+    late = materialize(_grouped(late.drop("grp"), groups), "long-lists")
+    matrix = late.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("many")).filter("lo < hi").select("token", "many")
+    opened = late.join(materialize(matrix, "matrix"), "token").filter(F.col("rank") <= F.col("n") - F.expr(f"(n * {s.percent} + 99) div 100"))
+    blocks = F.expr(f"(many + {s.block - 1}) div {s.block}")
+    own = F.pmod(F.xxhash64("cls"), blocks)
+    cells = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y"))))
+    opened = materialize(opened.select("token", "cls", "n", "rank", "grp", cells.alias("cell")), "opened")
+    if opened.limit(1).count():
+        texts = _texts_of(opened.select("cls").distinct(), classes, docs, s)
+        members = opened.join(texts, "cls").select("token", "cell", "cls", "grp", "text")
+        links = links.unionByName(materialize(members.groupBy("token", "cell").applyInPandas(_within(s), "a long, b long"), "within"))
+
+    labels = materialize(connected_components(links), "labels")
     placed = rows.select("doc_id", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     placed = materialize(placed.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "cls")).alias("label")), "placed")
     heads = materialize(placed.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id")), "heads")
