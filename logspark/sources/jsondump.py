@@ -50,7 +50,8 @@ def parse_objects(objects: DataFrame, kind: str) -> DataFrame:
     A member named both id and Id is read once: names are matched by case in the text itself.
     """
     required = REQUIRED[kind]
-    text = F.regexp_replace("value", r'"Id"\s*:\s*"(?:[^"\\]++|\\.)*+"\s*,?', "")
+    second = r'"Id"\s*:\s*"(?:[^"\\]++|\\.)*+"'
+    text = F.regexp_replace(F.regexp_replace("value", rf",\s*{second}", ""), rf"{second}\s*,", "")
     rows = objects.select(F.from_json(text, _schema(kind), {"mode": "PERMISSIVE"}).alias("r")).filter("r IS NOT NULL")
     for name in required:
         rows = rows.filter(F.col(f"r.{name}").isNotNull())

@@ -25,7 +25,7 @@ def stream_texts(spark: SparkSession, path: str, glob: str = "*.log", files_per_
     from logspark.sources.framing import TECHLOG_START
 
     files = spark.readStream.option("wholetext", "true").option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).format("text").load(path)
-    parts = F.split(F.regexp_replace("value", r"\r", ""), rf"(?m)(?={TECHLOG_START.replace('^', '^')})")
+    parts = F.split(F.regexp_replace("value", r"\r", ""), rf"(?m)(?={TECHLOG_START})")
     rows = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.posexplode(parts).alias("seq", "raw"))
     return rows.filter(F.col("raw").rlike(TECHLOG_START)).withColumn("raw", F.regexp_replace("raw", r"\n$", ""))
 
@@ -48,11 +48,12 @@ def collapsed(rows: DataFrame, seconds: int = 60, late: str = "10 minutes") -> D
 ENRICHED = "id string, base string, Session string, DateTime timestamp, Event string, User string, UserUuid string"
 
 
-def with_session_user(rows: DataFrame, timeout: str = "1 day") -> DataFrame:
+def with_session_user(rows: DataFrame, horizon: str = "1 day", keep_ms: int = 86_400_000) -> DataFrame:
     """Rows (base, Session, DateTime, id, Event, User, UserUuid) whose unknown user is the session's last known one.
 
-    One small state a session: it is set by a known user, forgotten when the session ends or after
-    the timeout. Rows of a micro-batch are taken in order of DateTime and id.
+    One small state a session: it is set by a known user, forgotten when the session ends or keep_ms
+    of event time after its last row. Rows of a micro-batch are taken in order of DateTime and id;
+    rows later than the horizon are still enriched, by what is known then.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -60,7 +61,7 @@ def with_session_user(rows: DataFrame, timeout: str = "1 day") -> DataFrame:
             state.remove()
             return
         known = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values(["DateTime", "id"], kind="stable")
+        rows = pd.concat(list(batches)).sort_values(["DateTime", "id"], kind="stable").reset_index(drop=True)
         for i, user, uuid, event in zip(rows.index, rows["User"], rows["UserUuid"], rows["Event"], strict=True):
             if not user or user in (NO_NAME, "1") or user.startswith("User #"):
                 if known[0]:
@@ -71,13 +72,14 @@ def with_session_user(rows: DataFrame, timeout: str = "1 day") -> DataFrame:
                 known = (None, None)
         if known[0]:
             state.update(known)
-            state.setTimeoutDuration(86_400_000)
+            last = int(pd.Timestamp(rows["DateTime"].max()).timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keep_ms)
         elif state.exists:
             state.remove()
         yield rows[["id", "base", "Session", "DateTime", "Event", "User", "UserUuid"]]
 
-    columns = rows.select("id", "base", "Session", "DateTime", "Event", "User", "UserUuid")
-    return columns.groupBy("base", "Session").applyInPandasWithState(run, ENRICHED, "user string, uuid string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    columns = rows.withWatermark("DateTime", horizon).select("id", "base", "Session", "DateTime", "Event", "User", "UserUuid")
+    return columns.groupBy("base", "Session").applyInPandasWithState(run, ENRICHED, "user string, uuid string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fan_out(sinks: dict[str, Callable[[DataFrame, int], None]], dead_letter: str | None = None, attempts: int = 3) -> Callable[[DataFrame, int], None]:
