@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, small
+from .common import materialize, small, text_of
 
 #: Slots in a period (the precision of a weight), documents in a block, and the most sources a mix may have.
 PERIOD, BLOCK_ROWS, MAX_SOURCES = 1000, 4, 20_000
@@ -89,42 +89,49 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return joined.withColumn("rank", F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
 
 
-def mix_plan(docs: DataFrame, targets: dict[str, float] | None = None, temperature: float = TEMPERATURE, period: int = PERIOD, block_rows: int = BLOCK_ROWS, seed: int = 17) -> DataFrame:
+def mix_plan(docs: DataFrame, targets: dict[str, float] | None = None, temperature: float = TEMPERATURE, period: int = PERIOD, block_rows: int = BLOCK_ROWS, seed: int = 17, tie: Column | None = None) -> DataFrame:
     """One row per row of docs: doc_id, source, weight (of the period), block, slot, release, deadline, place (in the block).
 
     Sorting by (slot, place) gives the mix. All rows stay: once a source has no blocks left its
     slots are empty, and the others keep theirs. A null source is a source. Within a source, rows
-    come in an order hashed from doc_id; rows without doc_id, and repeated ones, in any. Other
-    columns are ignored.
+    come in an order hashed from doc_id; rows without doc_id, and repeated ones, in any, or in that
+    of the column tie, which is then given too. Other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
     parts = quantise(weights_by_size(docs, targets, temperature), period)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_of().alias("source"), F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)).alias("order"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_of().alias("source"), F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)).alias("order"), *([] if tie is None else [tie.alias("tie")]))
+    ties = [] if tie is None else ["tie"]
     if not parts:
-        empty = "doc_id long, source string, weight int, block long, slot long, release long, deadline long, place long"
+        empty = "doc_id long, source string, weight int, block long, slot long, release long, deadline long, place long" + ", tie long" * len(ties)
         return spark.createDataFrame([], empty)
     d = sum(parts.values())
     table = spark.createDataFrame([(s, k, t, r, e, parts[s]) for s, k, t, r, e in period_schedule(parts)], "source string, k long, t long, r long, e long, weight int")
-    placed = ranked(rows, ["source"], ["order", "doc_id"])
+    placed = ranked(rows, ["source"], ["order", "doc_id", *ties])
     weights = spark.createDataFrame(list(parts.items()), "source string, w long")
     block = F.expr(f"rank div {block_rows}")
-    placed = placed.select("doc_id", "source", block.alias("block"), (F.col("rank") % block_rows).alias("place")).join(small(weights), "source")
+    placed = placed.select("doc_id", "source", *ties, block.alias("block"), (F.col("rank") % block_rows).alias("place")).join(small(weights), "source")
     placed = placed.withColumns({"k": F.col("block") % F.col("w"), "turn": F.expr("block div w") * d})
     joined = placed.join(small(table, 2 * MAX_SOURCES), ["source", "k"])
     source = F.when(F.col("source") != NO_SOURCE, F.col("source"))
     return joined.select(
         "doc_id", source.alias("source"), "weight", "block", (F.col("turn") + F.col("t")).alias("slot"),
-        (F.col("turn") + F.col("r")).alias("release"), (F.col("turn") + F.col("e")).alias("deadline"), "place",
+        (F.col("turn") + F.col("r")).alias("release"), (F.col("turn") + F.col("e")).alias("deadline"), "place", *ties,
     )
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs in the order of the mix, written order included; columns as they were.
-
-    Rows that share a doc_id, or have none, are placed together where the first of them goes.
-    """
-    plan = mix_plan(docs, **options)
+def with_spots(docs: DataFrame, **options) -> DataFrame:
+    """docs with mix_slot and mix_place: sorting by both gives the mix. Rows that share doc_id and text share a spot."""
+    # a text's hash keeps rows of one doc_id (or of none) apart, and the many rows of a missing one out of one task
+    digest = F.xxhash64(text_of())
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     spot = F.min(F.struct("slot", "place")).alias("__spot")
-    plan = materialize(plan.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id")).agg(spot), "mix")
-    marked = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    return marked.join(plan, "__id").orderBy("__spot.slot", "__spot.place").select(*docs.columns)
+    plan = mix_plan(docs, tie=digest, **options)
+    plan = materialize(plan.groupBy(name.alias("__id"), F.col("tie").alias("__digest")).agg(spot), "mix")
+    marked = docs.withColumns({"__id": name, "__digest": digest})
+    found = marked.join(plan, ["__id", "__digest"])
+    return found.select(*docs.columns, F.col("__spot.slot").alias("mix_slot"), F.col("__spot.place").alias("mix_place"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """docs in the order of the mix, written order included; columns as they were."""
+    return with_spots(docs, **options).orderBy("mix_slot", "mix_place").select(*docs.columns)

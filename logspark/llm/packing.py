@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into sequences of fixed capacity.
 
-Rows are dealt by a hash of doc_id into packing groups of bounded size, each packed by one task
-step. Within a group, pieces go longest first into the tightest open bin that has room and no
+Rows are dealt by a hash of doc_id, or in runs of a given order such as a source mix, into packing
+groups of bounded size, each packed by one task step. Within a group, pieces go longest first into the tightest open bin that has room and no
 conflict: every bin carries a bitmap of the sources and one of the duplicate clusters it holds,
 and the search walks the bins in order of residual space until one is compatible. Only lengths,
 sources and clusters are moved, never texts.
@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
+from .mixing import ranked
 from .quality import words_of
 
 #: Tokens (words) of a sequence, expected rows of a packing group, and how often one source may occur in a bin.
 CAPACITY, GROUP_ROWS = 2048, 1500
-PIECES = "doc_id long, piece long, start long, length long, bin_id string, bin_offset long, bin_fill long"
+PIECES = "doc_id long, piece long, start long, length long, bin_id string, bin_offset long, bin_fill long, rank long"
 
 
 def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[tuple[int, int]]:
@@ -56,59 +57,70 @@ def _codes(values: pd.Series) -> list[int]:
 
 def _pack(capacity: int, by_source: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "length", "cluster"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["rank", "doc_id", "length", "cluster"], kind="stable").reset_index(drop=True)
         sources = _codes(pdf["source"]) if by_source else [-1] * len(pdf)
         clusters = _codes(pdf["cluster"])
         placed = best_fit(pdf["length"].tolist(), sources, clusters, capacity)
         bins = pd.Series([b for b, _ in placed], dtype="int64")
         fill = pdf["length"].groupby(bins).transform("sum")
         name = pdf["grp"].astype(str) + "-" + bins.astype(str)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "piece": pdf["piece"], "start": pdf["start"], "length": pdf["length"], "bin_id": name, "bin_offset": [o for _, o in placed], "bin_fill": fill})
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "piece": pdf["piece"], "start": pdf["start"], "length": pdf["length"], "bin_id": name, "bin_offset": [o for _, o in placed], "bin_fill": fill, "rank": pdf["rank"]})
 
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, by_source: bool = True, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, by_source: bool = True, group_rows: int = GROUP_ROWS, order: list[str] | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start (first word), length, bin_id, bin_offset, bin_fill.
 
     A text's length is its number of words; one longer than the capacity is cut into full pieces,
     each a bin of its own, and a rest that is packed. Texts without words (null, empty, blank) have
     one piece of length 0 in no bin (bin_id null). Two pieces of one bin never come from the same
     source (unless by_source is off) or from documents with equal texts; a null source conflicts
-    with nothing. Repeated rows have equal texts and so are kept apart. Other columns are ignored.
+    with nothing. Repeated rows have equal texts and so are kept apart. With order, documents that
+    follow each other in it are packed together, and the column rank tells a document's place in
+    it. Other columns are ignored.
     """
     words = F.size(words_of(text_of())).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64(text_of()).alias("cluster"), words.alias("n"))
-    total = docs.count()
-    groups = max(1, -(-total // group_rows))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64(text_of()).alias("cluster"), words.alias("n"), *(order or []))
+    if order:
+        rows = ranked(rows, [], [*order, "doc_id", "cluster"]).drop(*order)
+        grp = F.expr(f"rank div {group_rows}")
+    else:
+        rows = rows.withColumn("rank", F.lit(0).cast("long"))
+        grp = F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(max(1, -(-docs.count() // group_rows))))
     rest = F.col("n") % capacity
     cut = F.col("n") - rest
     whole = F.when(F.col("n") >= capacity, F.transform(F.sequence(F.lit(1), F.expr(f"n div {capacity}")), lambda i: i - 1)).otherwise(F.array().cast("array<bigint>"))
-    full = rows.filter(F.col("n") >= capacity).select("doc_id", F.explode(whole).alias("piece"), "cluster", "source")
+    full = rows.filter(F.col("n") >= capacity).select("doc_id", F.explode(whole).alias("piece"), "cluster", "source", "rank")
     full = full.select(
         "doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("long").alias("length"),
         F.concat(F.lit("full-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("-"), F.monotonically_increasing_id()).alias("bin_id"),
-        F.lit(0).cast("long").alias("bin_offset"), F.lit(capacity).cast("long").alias("bin_fill"),
+        F.lit(0).cast("long").alias("bin_offset"), F.lit(capacity).cast("long").alias("bin_fill"), "rank",
     )
     blank = rows.filter("n = 0").select(
         "doc_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"),
-        F.lit(None).cast("string").alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"), F.lit(0).cast("long").alias("bin_fill"),
+        F.lit(None).cast("string").alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"), F.lit(0).cast("long").alias("bin_fill"), "rank",
     )
-    loose = rows.filter(rest > 0).select("doc_id", F.expr(f"n div {capacity}").alias("piece"), cut.alias("start"), rest.alias("length"), "source", "cluster")
-    grp = F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups))
+    loose = rows.filter(rest > 0).select("doc_id", F.expr(f"n div {capacity}").alias("piece"), cut.alias("start"), rest.alias("length"), "source", "cluster", "rank")
     none = F.lit(-(1 << 63))  # stands for a missing doc_id: pandas has no nullable long by default
     loose = loose.withColumns({"grp": grp, "doc_id": F.coalesce("doc_id", none)})
     packed = loose.groupBy("grp").applyInPandas(_pack(capacity, by_source), PIECES)
     packed = packed.withColumn("doc_id", F.nullif("doc_id", none))
-    return packed.unionByName(full).unionByName(blank)
+    out = packed.unionByName(full).unionByName(blank)
+    return out if order else out.drop("rank")
 
 
 def packed_sequences(docs: DataFrame, **options) -> DataFrame:
-    """One row per bin: bin_id, fill, n_pieces, doc_ids, pieces (doc_id, piece, start, length) in bin order; texts without words are left out."""
+    """One row per bin: bin_id, fill, n_pieces, doc_ids, pieces (doc_id, piece, start, length) in bin order; texts without words are left out.
+
+    With the option order there is also place, the place in that order of the bin's first document.
+    """
     pieces = pack_documents(docs, **options).filter("bin_id IS NOT NULL")
+    place = [F.min("rank").alias("place")] if "rank" in pieces.columns else []
     item = F.struct("bin_offset", "doc_id", "piece", "start", "length")
-    bins = pieces.groupBy("bin_id").agg(F.max("bin_fill").alias("fill"), F.array_sort(F.collect_list(item)).alias("items"))
+    bins = pieces.groupBy("bin_id").agg(F.max("bin_fill").alias("fill"), F.array_sort(F.collect_list(item)).alias("items"), *place)
     return bins.select(
         "bin_id", "fill", F.size("items").alias("n_pieces"), F.transform("items", lambda x: x["doc_id"]).alias("doc_ids"),
         F.transform("items", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["piece"].alias("piece"), x["start"].alias("start"), x["length"].alias("length"))).alias("pieces"),
+        *(["place"] if place else []),
     )
