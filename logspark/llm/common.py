@@ -46,6 +46,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ids_are_keys(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id of its own."""
+    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids")).first()
+    return ids["n"] == ids["ids"]
+
+
 def crc_mod(key: str, mod: int) -> Column:
     """crc32 of the key as text, modulo mod; null keys count as an empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % mod

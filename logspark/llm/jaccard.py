@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, text_of
+from .common import ids_are_keys, materialize, shuffle_partitions, text_of
 from .components import connected_components
+from .mixing import ranked
 from .words import mix, pack, shingles, slices, unpack
 
 
@@ -468,11 +469,20 @@ def near_components(docs: DataFrame, settings: Settings | None = None) -> DataFr
 def keep_first(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """docs with one document of each component, the smallest doc_id; columns as they were.
 
-    Rows are matched by doc_id. Rows without one stay only where their component has no doc_id.
+    Where doc_ids repeat or are missing, rows are told apart by doc_id and text: rows alike in both
+    are one document, and a document without doc_id stays only where its component has no doc_id.
+    Of documents that share the smallest doc_id of a component, or of a component without any, the
+    one with the least digest stays.
     """
-    verdicts = materialize(near_components(docs, settings), "near")
-    gone = materialize(verdicts.filter("component_id IS NOT NULL AND NOT (doc_id <=> component_id)").select("doc_id"), "gone").distinct()
-    marked = docs.join(gone.filter("doc_id IS NOT NULL"), "doc_id", "left_anti")
-    if gone.filter("doc_id IS NULL").limit(1).count():
-        marked = marked.filter("doc_id IS NOT NULL")
-    return marked.select(*docs.columns)
+    if ids_are_keys(docs):
+        verdicts = materialize(near_components(docs, settings), "near")
+        return docs.join(verdicts.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"), F.sha2(text_of(), 256).alias("__digest")]
+    marked = docs.select("*", *key).dropDuplicates(["__id", "__digest"])
+    # number the documents in the order in which a component prefers them, and let the numbers be the ids
+    order = [F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id")]
+    numbers = ranked(marked.select(*order, "__id", "__digest"), [], ["none", "doc_id", "__digest"])
+    marked = materialize(marked.join(numbers.select("__id", "__digest", F.col("rank").alias("__number")), ["__id", "__digest"]), "numbered")
+    verdicts = materialize(near_components(marked.select(F.col("__number").alias("doc_id"), "text"), settings), "near")
+    stay = verdicts.filter("doc_id = component_id").select(F.col("doc_id").alias("__number"))
+    return marked.join(stay, "__number", "left_semi").select(*docs.columns)

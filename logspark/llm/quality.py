@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small, text_of
+from .common import ids_are_keys, materialize, small, text_of
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -158,23 +158,37 @@ def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     groups of their own. Rows that fail the base rules take no part in the fits. Repeated rows are
     judged apart and alike. Other columns are ignored.
     """
-    keep = ["doc_id", F.coalesce("lang", F.lit("\x00")).alias("group_lang"), F.coalesce("source", F.lit("\x00")).alias("group_source")]
-    named = docs.select(*keep, "text")
-    stats = statistics(named, ["doc_id", "group_lang", "group_source"]).withColumn("base_failed", base_failed())
+    return _verdicts(docs, cutoff)
+
+
+def _groups() -> list[Column]:
+    return [F.coalesce("lang", F.lit("\x00")).alias("group_lang"), F.coalesce("source", F.lit("\x00")).alias("group_source")]
+
+
+def _verdicts(docs: DataFrame, cutoff: float, extra: list[Column] | None = None, names: list[str] | None = None) -> DataFrame:
+    """The columns of quality_verdicts, then those of extra, called names."""
+    names = names or []
+    keep = ["group_lang", "group_source"]
+    named = docs.select("doc_id", *_groups(), *(extra or []), "text")
+    stats = statistics(named, list(dict.fromkeys(["doc_id", *keep, *names]))).withColumn("base_failed", base_failed())
     stats = materialize(stats.select("*", *features()), "statistics")
     judged = outliers(stats.filter("NOT base_failed"), cutoff)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    good = judged.select(*columns, (F.col("d2") <= cutoff).alias("kept"), F.col("d2").alias("distance2"))
-    bad = stats.filter("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance2"))
+    good = judged.select(*columns, (F.col("d2") <= cutoff).alias("kept"), F.col("d2").alias("distance2"), *names)
+    bad = stats.filter("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance2"), *names)
     return good.unionByName(bad)
 
 
 def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """docs without the rows that quality_verdicts rejects; columns as they were.
 
-    Rows are matched by doc_id: of rows that share one (or have none), all go if any is rejected.
+    Where doc_ids repeat or are missing, rows are told apart by doc_id, text, language and source:
+    rows alike in all of them have one verdict.
     """
-    rejected = materialize(quality_verdicts(docs, cutoff).filter("NOT kept").select("doc_id"), "rejected").distinct()
-    none = rejected.filter("doc_id IS NULL").limit(1).count() > 0
-    kept = docs.join(rejected, "doc_id", "left_anti")
-    return (kept.filter("doc_id IS NOT NULL") if none else kept).select(*docs.columns)
+    if ids_are_keys(docs):
+        rejected = materialize(quality_verdicts(docs, cutoff).filter("NOT kept").select("doc_id"), "rejected")
+        return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"), F.sha2(text_of(), 256).alias("__digest"), *[g.alias(f"__group{i}") for i, g in enumerate(_groups())]]
+    names = ["__id", "__digest", "__group0", "__group1"]
+    rejected = materialize(_verdicts(docs, cutoff, key, names).filter("NOT kept").select(*names), "rejected").distinct()
+    return docs.select("*", *key).join(rejected, names, "left_anti").select(*docs.columns)

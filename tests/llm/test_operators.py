@@ -68,6 +68,22 @@ def test_stages_keep_columns(odd):
     assert packing.packed_sequences(odd.limit(0)).count() == 0
 
 
+def test_clean_rows_with_missing_and_repeated_ids_survive(spark):
+    rng = np.random.default_rng(8)
+    clean = lambda: " ".join(f"word{k}" for k in rng.integers(0, 10**6, size=60))
+    rows = [(None if i % 3 == 0 else i % 3, clean(), "en", "s") for i in range(30)]
+    junk = [(None, "too short", "en", "s"), (1, "short too", "en", "s")]
+    schema = "doc_id long, text string, lang string, source string"
+    got = quality.keep_good(spark.createDataFrame(rows + junk, schema))
+    assert sorted(got.collect(), key=str) == sorted(spark.createDataFrame(rows, schema).collect(), key=str)
+    # near copies: of a row without id, of one of several rows of an id, and of each other without any id
+    copies = [(7, rows[0][1] + " a", "en", "s"), (0, rows[1][1] + " b", "en", "s"), (None, rows[3][1] + " c", "en", "s")]
+    left = {r["text"] for r in jaccard.keep_first(spark.createDataFrame(rows + copies, schema)).collect()}
+    families = [{rows[0][1], copies[0][1]}, {rows[1][1], copies[1][1]}, {rows[3][1], copies[2][1]}]
+    assert left >= {t for _, t, _, _ in rows} - set().union(*families)
+    assert copies[0][1] in left and copies[1][1] in left and all(len(left & f) == 1 for f in families)
+
+
 # ---------------------------------------------------------------- exact dedup
 
 
