@@ -343,10 +343,12 @@ def _within(s: Settings):
     """Links between the groups of one block of a list: intersections of all its classes from the shingles that two of them share; of the links found, as many as join the groups."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("cls")
-        sets, cls, grp = [], [], []
+        # a doc_id may stand for several texts: the one of the class is found below
+        pdf = pdf.drop_duplicates(["cls", "text"])
+        sets, cls, grp, held = [], [], [], set()
         for (_, tokens), c, g in zip(_texts(pa.RecordBatch.from_pydict({"text": pdf["text"].tolist()}), s.size), pdf["cls"].tolist(), pdf["grp"].tolist(), strict=True):
-            if set_hash(tokens) == c:
+            if set_hash(tokens) == c and c not in held:
+                held.add(c)
                 sets.append(tokens)
                 cls.append(c)
                 grp.append(g)

@@ -153,6 +153,34 @@ def test_components_of_a_family_without_centre(spark):
     assert got == brute_components(rows)
 
 
+def test_components_of_a_family_with_repeated_ids(spark):
+    """Every id stands for a text of the family and for one of another kind: long lists find the right one."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for place in rng.choice(150, size=int(rng.integers(1, 5)), replace=False):
+            own[place] = f"e{i}x{place}"
+        rows += [(i, " ".join(f"other{i}x{k}" for k in range(40))), (i, " ".join(own))]
+    small = jaccard.Settings(short_list=4, block=16, frequent=3)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = brute_components({k: t for k, (_, t) in enumerate(rows)})
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_components(frame, small).collect())
+    assert got == collections.Counter((i, want[k][1], rows[want[k][0]][0]) for k, (i, _) in enumerate(rows))
+
+
+def test_a_block_takes_the_text_of_the_class():
+    import pandas as pd
+    import pyarrow as pa
+
+    a, b = (" ".join(f"w{k}" for k in range(60)) + end for end in (" x", " y"))
+    x, y = (jaccard.set_hash(t) for _, t in jaccard._texts(pa.RecordBatch.from_pydict({"text": [a, b]}), 5))
+    wrong = "another text of the same id that is long enough to have shingles"
+    block = pd.DataFrame({"cls": [x, x, y, y], "grp": [x, x, y, y], "text": [wrong, a, wrong, b]})
+    assert jaccard._within(jaccard.Settings())(block).values.tolist() == [[x, y]]
+
+
 @given(st.lists(st.text(alphabet="aB \t\n\r\x0b\x0cé1", max_size=40) | st.none(), max_size=8))
 @settings(max_examples=60, deadline=None)
 def test_word_hashes_follow_words(column):
