@@ -1,6 +1,7 @@
 """Quality rules: fixed limits, and robust multivariate outliers per language and source.
 
-For each (language, source) group a minimum-covariance-determinant estimate is fitted to
+For each (language, source) group, or the next wider one with enough rows (the language, then all
+rows), a minimum-covariance-determinant estimate is fitted to
 transformed statistics: coordinate medians and spreads start it, then concentration steps refit
 mean and covariance on the share of rows that lie nearest. A row is rejected when its Mahalanobis
 distance, scaled so that the group's median matches the chi-square median, exceeds the cutoff.
@@ -17,8 +18,8 @@ SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Share of a group that a fit keeps, concentration steps, and the smallest group with a fit of its own.
-KEEP_SHARE, STEPS, MIN_GROUP = 0.75, 3, 200
+#: Share of a group that a fit keeps, concentration steps, and the smallest group with a fit of its own: five rows a feature.
+KEEP_SHARE, STEPS, MIN_GROUP = 0.75, 3, 20
 #: Median of the chi-square distribution with as many degrees of freedom as FEATURES.
 CHI2_MEDIAN = 3.3567
 #: Squared scaled distance beyond which a row is an outlier. Text statistics have heavier tails than a normal distribution.
@@ -109,22 +110,24 @@ def _factor(params: DataFrame, floors: list[float]) -> DataFrame:
 def outliers(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """stats (columns group_lang, group_source and FEATURES) with d2, the scaled squared distance to the row's group.
 
-    stats should be a written table: it is read once for each step. Groups under MIN_GROUP rows use
-    the estimate of all rows together; with fewer than MIN_GROUP rows in all, d2 is 0.
+    stats should be a written table: it is read once for each step. A group under MIN_GROUP rows is
+    judged by the estimate of all rows of its language, or of all rows if these are under MIN_GROUP too.
     """
     names, floors, key = list(FEATURES), list(FEATURES.values()), ["group_lang", "group_source"]
     sizes = materialize(stats.groupBy(*key).count().withColumnRenamed("count", "n"), "sizes")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    if total < MIN_GROUP:
-        return stats.withColumn("d2", F.lit(0.0))
-    own = small(sizes.filter(F.col("n") >= MIN_GROUP).select(*key, F.lit(True).alias("own")))
-    rows = stats.join(own, key, "left").withColumn("own", F.coalesce("own", F.lit(False)))
-    # the group's own rows fit it; the rest are judged by an estimate of all rows, group ('', '') of kind False
-    fit = F.explode(F.when(F.col("own"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))
-    rows = rows.withColumn("kind", fit)
-    for k in key:
-        rows = rows.withColumn(k, F.when(F.col("kind"), F.col(k)).otherwise(""))
-    # a row that has a group of its own counts in the fit of all, but is judged by its group only
+    # the level of the fit that judges a group: 0 its own, 1 its language's, 2 that of all rows
+    langs = sizes.groupBy("group_lang").agg(F.sum("n").alias("all_n"))
+    level = F.when(F.col("n") >= MIN_GROUP, 0).when(F.col("all_n") >= MIN_GROUP, 1).otherwise(2)
+    levels = materialize(sizes.join(langs, "group_lang").select(*key, level.alias("own")), "levels")
+    asked = levels.groupBy("group_lang").agg(F.max(F.col("own") == 1).alias("by_lang"))
+    by_all = levels.filter("own = 2").limit(1).count() > 0
+    plan = materialize(levels.join(asked, "group_lang"), "fits")
+    rows = stats.join(small(plan), key)
+    # a row counts in every fit that its group, its language or all rows have, and is judged by one
+    taken = F.array(F.when(F.col("own") == 0, 0), F.when(F.col("by_lang"), 1), F.lit(2 if by_all else None).cast("int"))
+    rows = rows.withColumn("kind", F.explode(F.array_compact(taken))).drop("by_lang")
+    rows = rows.withColumn("group_source", F.when(F.col("kind") == 0, F.col("group_source")).otherwise(""))
+    rows = rows.withColumn("group_lang", F.when(F.col("kind") <= 1, F.col("group_lang")).otherwise(""))
     gkey = ["kind", *key]
     med = [F.percentile_approx(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, n in enumerate(names)]
     params = rows.groupBy(*gkey).agg(*med)

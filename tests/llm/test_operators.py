@@ -296,6 +296,25 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert len(verdict) == 620 and not any(verdict[900 + i] for i in range(20)) and all(verdict[i] for i in range(600))
 
 
+def test_small_groups_are_judged_by_wider_fits(spark):
+    """Own fit of 30 rows, a language's fit for groups of 5 rows, and the fit of all for a language of 3 rows."""
+    rng = np.random.default_rng(4)
+    f = lambda words=5.0: (float(rng.normal(words, 0.3)), float(rng.normal(1.7, 0.1)), 0.0, 0.0)
+    bad = (5.0, 1.7, 1.9, 0.0)
+    rows = [(i, "en", "big", *f()) for i in range(30)] + [(100 + i, "de", f"s{i // 5}", *f(9.0)) for i in range(40)] + [(200 + i, "fr", "s", *f()) for i in range(3)]
+    rows += [(900, "en", "big", *bad), (901, "de", "s3", *bad), (902, "fr", "s", *bad)]
+    schema = "doc_id long, group_lang string, group_source string, f_words double, f_length double, f_symbols double, f_lines double"
+    verdict = {r["doc_id"]: r["d2"] <= quality.CUTOFF for r in quality.outliers(spark.createDataFrame(rows, schema)).collect()}
+    assert len(verdict) == len(rows) and {i for i, kept in verdict.items() if not kept} == {900, 901, 902}
+
+
+def test_outliers_of_the_smallest_table_go(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    judged = quality.quality_verdicts(docs).filter("NOT base_failed").join(labels, "doc_id").select("quality", "kept").collect()
+    bad, good = [r["kept"] for r in judged if r["quality"] == 0], [r["kept"] for r in judged if r["quality"] == 1]
+    assert bad and not any(bad) and good and all(good)
+
+
 # ------------------------------------------------------------------ languages
 
 
