@@ -1,22 +1,25 @@
-"""Licence detection: sparse TF-IDF cosine of lines to notice templates, and inheritance along directories.
-
-A line's terms are weighted by term frequency and inverse document frequency, counted over all
-documents for the templates' terms; terms outside the templates weigh as much as an unseen one.
-Lines can only reach the threshold if they hold one of a template's heaviest terms, and only such
-lines are compared. A document whose words are mostly a matched notice is a licence file of its
-directory; documents without a notice take the licence of the nearest ancestor directory that has one.
+"""Licence detection: sparse TF-IDF cosine to short notices and full licence texts, and inheritance along directories.
+
+A text is cut into segments at line ends and sentence ends. Windows of a few consecutive segments
+(a notice may be wrapped, or stand within a longer line) are compared with short notices, longer
+windows and the whole text with full licence texts. Terms are weighted by term frequency and
+inverse document frequency over all documents. A window can only reach the threshold if it holds
+one of a notice's heaviest terms, or enough of a full text's rare terms, and only such windows are
+compared. A document whose words are mostly matched is a licence file of its directory; documents
+without a match take the licence of the nearest ancestor directory that has one.
 """
 
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small, text_of
+from .common import BROADCAST_ROWS, materialize, small, text_of
 from .url_filter import LOWER, UPPER
 
 #: Short notices of common licences.
@@ -42,10 +45,15 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
     "All-rights-reserved": ["All rights reserved"],
 }
+#: Licences whose full text lies in the folder licenses; those of CC-BY-4.0 and CC-BY-NC-4.0 are known by their notices only.
+FULL_TEXTS = ["Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-3.0", "LGPL-3.0", "MIT", "MPL-2.0"]
 THRESHOLD = 0.75
+#: Segments of the windows compared with notices, at every place, and of those compared with full texts, at every quarter of their length.
+NOTICE_SPANS, TEXT_SPANS = (1, 2, 3, 4, 5), (8, 16, 32)
 #: Share of a document's terms in matched lines from which it is a licence file.
 FILE_SHARE = 0.5
 SPLIT = r"[^a-z0-9]+"
+SEGMENT = r"\n|(?<=[.!?])\s+"
 
 
 def _terms(text: str) -> Counter:
@@ -56,70 +64,139 @@ def terms_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, UPPER, LOWER), SPLIT), "")
 
 
-def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
-    """(documents, documents that have each term of the vocabulary, which the templates bound)."""
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    held = docs.select(F.explode(F.concat(F.array_intersect(terms_of(text_of()), known), F.array(F.lit("")))).alias("term"))
-    found = {r["term"]: r["count"] for r in held.groupBy("term").count().collect()}
-    return found.pop("", 0), found
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df): how many documents have each term, as a written table."""
+    held = docs.select(F.explode(F.array_distinct(terms_of(text_of()))).alias("term"))
+    return materialize(held.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+
+
+def full_texts() -> dict[str, list[str]]:
+    return {name: [pkgutil.get_data(__package__, f"licenses/{name}.txt").decode()] for name in FULL_TEXTS}
 
 
 class Weights:
-    """Template vectors under the corpus' document frequencies, and the terms that a matching line must have."""
+    """Template vectors under the corpus' document frequencies, and the terms that a matching window must have."""
 
-    def __init__(self, n: int, df: dict[str, int], templates: dict[str, list[str]], threshold: float):
-        self.templates = [(name, i, _terms(text)) for name, texts in sorted(templates.items()) for i, text in enumerate(texts)]
-        self.idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for _, _, c in self.templates for t in c}
-        self.unseen = math.log(1 + n) + 1
+    def __init__(self, n: int, df: dict[str, int], templates: dict[str, list[str]], threshold: float, notices: bool):
         self.vectors, anchors = [], set()
-        for name, i, counts in self.templates:
-            weights = {t: k * self.idf[t] for t, k in counts.items()}
-            norm = math.sqrt(sum(w * w for w in weights.values()))
-            self.vectors.append((name, i, {t: w / norm for t, w in weights.items()}))
-            # the fewest heaviest terms without which the rest's norm, and so any cosine, stays under the threshold
-            rest = norm * norm
-            for t in sorted(weights, key=lambda t: (-weights[t], t)):
-                if math.sqrt(max(rest, 0.0)) / norm < threshold:
-                    break
-                anchors.add(t)
-                rest -= weights[t] ** 2
+        #: For each full text its rare terms, and how many of them a matching window has at least.
+        self.rare: list[tuple[list[str], int]] = []
+        for name, texts in sorted(templates.items()):
+            for i, text in enumerate(texts):
+                counts = _terms(text)
+                weights = {t: k * (math.log((1 + n) / (1 + df.get(t, 0))) + 1) for t, k in counts.items()}
+                norm = math.sqrt(sum(w * w for w in weights.values()))
+                unit = {t: w / norm for t, w in weights.items()}
+                self.vectors.append((f"{name}#{i}", unit))
+                # without the terms taken, the rest's norm, and so any cosine, stays under the limit
+                rest, taken, limit = 1.0, [], threshold if notices else threshold / 2
+                for t in sorted(unit, key=lambda t: (-unit[t] if notices else -weights[t] / counts[t], t)):
+                    if math.sqrt(max(rest, 0.0)) < limit:
+                        break
+                    taken.append(t)
+                    rest -= unit[t] ** 2
+                anchors.update(taken)
+                # even the heaviest of the terms taken must be this many to lift the rest to the threshold
+                need = 0
+                for t in sorted(taken, key=lambda t: -unit[t]):
+                    if max(rest, 0.0) >= threshold**2 - 1e-9:
+                        break
+                    need, rest = need + 1, rest + unit[t] ** 2
+                self.rare.append((sorted(taken), max(need, 1)))
         self.anchors = sorted(anchors)
 
 
+def _words(words: list[str]) -> Column:
+    return F.array(*[F.lit(t) for t in words]).cast("array<string>")
+
+
+def _windows(spans: tuple[int, ...], quarter: bool) -> Column:
+    """Structs (start, span) of the windows of the array segs."""
+    size = F.size("segs")
+    at = lambda k: lambda i: F.struct(i.alias("start"), F.lit(k).alias("span"))
+    each = []
+    for k in spans:
+        step = max(1, k // 4) if quarter else 1
+        starts = F.when(size >= k, F.sequence(F.lit(0), size - k, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        if step > 1:  # the last window ends with the text
+            starts = F.when(size >= k, F.array_union(starts, F.array(size - k))).otherwise(starts)
+        each.append(F.transform(starts, at(k)))
+    return F.concat(*each)
+
+
+def _cosines(units: DataFrame, w: Weights, frequencies: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(row, start, span, cosine, license) of the units (row, start, span, terms) that reach the threshold."""
+    spark, key = units.sparkSession, ["row", "start", "span"]
+    terms = units.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = materialize(terms, "terms")
+    # the words of the units, the most frequent ones broadcast, so that none gathers its rows in one task
+    words = materialize(frequencies.join(terms.select("term").distinct(), "term", "left_semi"), "words")
+    if words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        known = terms.join(F.broadcast(words), "term")
+    else:
+        top = F.broadcast(materialize(words.orderBy(F.desc("df"), "term").limit(BROADCAST_ROWS), "top-words"))
+        known = terms.join(top, "term").unionByName(terms.join(top.select("term"), "term", "left_anti").join(words, "term"))
+    vectors = spark.createDataFrame([(t, name, x) for name, v in w.vectors for t, x in v.items()], "term string, template string, x double")
+    vectors = vectors.groupBy("term").agg(F.collect_list(F.struct("template", "x")).alias("vector"))
+    weighed = known.join(F.broadcast(vectors), "term", "left").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
+    norms = weighed.groupBy(*key).agg(F.sum(F.col("w") * F.col("w")).alias("square"), F.collect_list(F.when(F.col("vector").isNotNull(), F.struct("w", "vector"))).alias("held"))
+    dots = norms.select(*key, "square", F.explode("held").alias("h"))
+    dots = dots.select(*key, "square", F.col("h.w").alias("w"), F.explode("h.vector").alias("v"))
+    cosine = dots.groupBy(*key, "square", F.col("v.template").alias("template")).agg((F.sum(F.col("w") * F.col("v.x")) / F.sqrt("square")).alias("cosine"))
+    matched = cosine.filter(F.col("cosine") >= threshold).withColumn("license", F.substring_index("template", "#", 1))
+    return matched.select(*key, "cosine", "license")
+
+
 def scan_licenses(files: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of files (doc_id, path, text): doc_id, path, license, similarity, origin, from_dir.
 
-    origin is 'own' (a line of the text matches; the best line decides, ties by the alphabetically
-    last licence), 'inherited' (from_dir is the nearest ancestor directory with a licence file) or
-    'none' (license null). Of a directory's licence files the one with the larger share of matched
-    terms decides, then the larger similarity, then the alphabetically last licence. A null text is
-    empty; a null path has no directory. Repeated rows are alike. Other columns are ignored.
+    origin is 'own' (a window of the text, or all of it, matches; the best one decides, ties by the
+    alphabetically last licence), 'inherited' (from_dir is the nearest ancestor directory with a
+    licence file) or 'none' (license null). Of a directory's licence files the one with the larger
+    share of matched terms decides, then the larger similarity, then the alphabetically last
+    licence. A null text is empty; a null path has no directory. Repeated rows are alike. Other
+    columns are ignored. With templates, these notices are used and no full texts.
     """
-    templates = templates or TEMPLATES
     spark = files.sparkSession
-    vocabulary = sorted({t for texts in templates.values() for text in texts for t in _terms(text)})
-    w = Weights(*document_frequencies(files, vocabulary), templates, threshold)
-    anchors = F.array(*[F.lit(t) for t in w.anchors])
-
-    lines = F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("line"), terms_of(x).alias("terms")))
-    rows = files.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", text_of().alias("t"))
-    rows = rows.select("row", "doc_id", "path", F.size(terms_of(F.col("t"))).alias("n"), F.filter(lines, lambda x: F.arrays_overlap(x["terms"], anchors)).alias("lines"))
-    rows = materialize(rows, "lines")
-
-    terms = rows.filter(F.size("lines") > 0).select("row", "n", F.explode("lines").alias("l")).select("row", "n", F.col("l.line").alias("line"), F.size("l.terms").alias("m"), F.explode("l.terms").alias("term"))
-    terms = terms.groupBy("row", "n", "line", "m", "term").agg(F.count(F.lit(1)).alias("tf"))
-    idf = spark.createDataFrame(list(w.idf.items()), "term string, idf double")
-    vectors = spark.createDataFrame([(t, f"{name}#{i}", x) for name, i, v in w.vectors for t, x in v.items()], "term string, template string, x double")
-    vectors = vectors.groupBy("term").agg(F.collect_list(F.struct("template", "x")).alias("vector"))
-    weighed = terms.join(small(idf), "term", "left").join(small(vectors), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(w.unseen)))
-    norms = weighed.groupBy("row", "n", "line", "m").agg(F.sum(F.col("w") * F.col("w")).alias("square"), F.collect_list(F.struct("w", "vector")).alias("held"))
-    dots = norms.select("row", "n", "line", "m", "square", F.explode("held").alias("h")).filter("h.vector IS NOT NULL")
-    dots = dots.select("row", "n", "line", "m", "square", F.col("h.w").alias("w"), F.explode("h.vector").alias("v"))
-    cosine = dots.groupBy("row", "n", "line", "m", "square", F.col("v.template").alias("template")).agg((F.sum(F.col("w") * F.col("v.x")) / F.sqrt("square")).alias("cosine"))
-    matched = cosine.filter(F.col("cosine") >= threshold).withColumn("license", F.substring_index("template", "#", 1))
-    by_line = matched.groupBy("row", "n", "line", "m").agg(F.max(F.struct("cosine", "license")).alias("best"))
-    own = by_line.groupBy("row").agg(F.max("best").alias("best"), (F.sum("m") / F.max("n")).alias("share"))
-    own = materialize(own, "own")
+    notices, full = templates or TEMPLATES, {} if templates else full_texts()
+    frequencies, n = document_frequencies(files), files.count()
+    vocabulary = sorted({t for texts in [*notices.values(), *full.values()] for text in texts for t in _terms(text)})
+    wanted = spark.createDataFrame([(t,) for t in vocabulary], "term string")
+    df = {r["term"]: r["df"] for r in frequencies.join(F.broadcast(wanted), "term").collect()}  # the templates bound it
+    short, long = Weights(n, df, notices, threshold, True), Weights(n, df, full, threshold, False)
+    anchors, ends = _words(short.anchors), _words(sorted({t for _, v in short.vectors for t in v}))
+
+    rows = files.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", text_of().alias("t"), terms_of(text_of()).alias("terms"))
+    near_full = F.lit(False)
+    for rare, need in long.rare:
+        near_full = near_full | (F.size(F.array_intersect("terms", _words(rare))) >= need)
+    segs = F.filter(F.transform(F.split("t", SEGMENT), terms_of), lambda x: F.size(x) > 0)
+    rows = rows.withColumns({"short": F.arrays_overlap("terms", anchors), "long": near_full})
+    rows = rows.select("row", "doc_id", "path", F.size("terms").alias("n"), "short", "long", F.when(F.col("short") | F.col("long"), segs).alias("segs"))
+    rows = materialize(rows, "segments")
+
+    window = F.flatten(F.slice("segs", F.col("u.start") + 1, F.col("u.span")))
+    units = rows.filter("short").select("row", "segs", F.explode(_windows(NOTICE_SPANS, False)).alias("u"))
+    # a window that begins or ends with a segment of no notice's words is never better than without it
+    first, last = F.col("segs")[F.col("u.start")], F.col("segs")[F.col("u.start") + F.col("u.span") - 1]
+    units = units.filter(F.arrays_overlap(first, ends) & F.arrays_overlap(last, ends)).select("row", "u.start", "u.span", window.alias("terms"))
+    matched = _cosines(units.filter(F.arrays_overlap("terms", anchors)), short, frequencies, n, threshold)
+    if full:
+        whole = F.array(F.struct(F.lit(0).alias("start"), F.size("segs").alias("span")))
+        parts = rows.filter("long").select("row", "segs", F.explode(F.array_distinct(F.concat(_windows(TEXT_SPANS, True), whole))).alias("u"))
+        parts = parts.select("row", "u.start", "u.span", window.alias("terms"))
+        hit = F.lit(False)
+        for rare, need in long.rare:
+            hit = hit | (F.size(F.array_intersect("terms", _words(rare))) >= need)
+        matched = matched.unionByName(_cosines(parts.filter(hit), long, frequencies, n, threshold))
+    matched = materialize(matched, "matched")
+    best = matched.groupBy("row").agg(F.max(F.struct("cosine", "license")).alias("best"))
+    # what a match covers: of the windows with one start, and of those with one end, only the best
+    tight = matched.groupBy("row", "start").agg(F.max(F.struct("cosine", (-F.col("span")).alias("less"))).alias("b")).select("row", "start", "b.cosine", (-F.col("b.less")).alias("span"))
+    tight = tight.groupBy("row", (F.col("start") + F.col("span")).alias("end")).agg(F.max(F.struct("cosine", "start")).alias("b")).select("row", F.explode(F.sequence(F.col("b.start"), F.col("end") - 1)).alias("i")).distinct()
+    sizes = rows.select("row", "n", F.transform("segs", F.size).alias("sizes"))
+    shares = tight.join(sizes, "row").groupBy("row", "n").agg(F.sum(F.col("sizes")[F.col("i")]).alias("m")).select("row", (F.col("m") / F.col("n")).alias("share"))
+    own = materialize(best.join(shares, "row"), "own")
 
     # directories of licence files, then the nearest ancestor of every path without a notice
     found = rows.select("row", "doc_id", "path").join(own, "row", "left")

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from logspark.llm import dedup, jaccard, langid, license_scan, mixing, ngram_lm, packing, quality, token_store, url_filter, words
 
@@ -271,6 +272,23 @@ def test_license_lines_and_inheritance(spark):
     assert got == {1: ("MIT", "own", None), 2: ("Apache-2.0", "inherited", "a/b"), 3: ("Apache-2.0", "own", None), 4: ("Apache-2.0", "inherited", "a/b"), 5: (None, "none", None), 6: ("CC-BY-NC-4.0", "own", None), 7: (None, "none", None)}
 
 
+def test_embedded_wrapped_and_full_licenses(spark):
+    prose = " ".join(f"our project is the one that we use for work number {k}." for k in range(4))
+    wrapped = "/* Redistribution and use in source and binary\n * forms, with or without modification,\n * are permitted provided that the\n * following conditions are met */"
+    full = license_scan.full_texts()
+    want = {0: "GPL-3.0", 1: "GPL-3.0", 2: "BSD-3-Clause", 3: None}
+    rows = [(0, "Our project is licensed under the GNU General Public License, version 3."), (1, f"{prose} This work is licensed under the GNU General Public License, version 3. {prose}"), (2, f"{prose}\n{wrapped}\n{prose}"), (3, prose)]
+    for i, (name, (text,)) in enumerate(sorted(full.items())):
+        rows.append((10 + i, " ".join(text.split())))  # all on one line
+        want[10 + i] = name
+    rows += [(100 + i, f"our project is the one number {i} we use") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("path", F.lit("x"))
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(frame).collect()}
+    assert {i: got[i]["license"] for i in want} == want
+    assert all(got[i]["similarity"] > 0.99 for i in want if i >= 10)
+    assert not any(got[100 + i]["license"] for i in range(3000))
+
+
 # -------------------------------------------------------------------- quality
 
 
