@@ -1,12 +1,12 @@
 """Licence detection: sparse TF-IDF cosine to short notices and full licence texts, and inheritance along directories.
 
 A text is cut into segments at line ends and sentence ends. Windows of a few consecutive segments
-(a notice may be wrapped, or stand within a longer line) are compared with short notices, longer
-windows and the whole text with full licence texts. Terms are weighted by term frequency and
-inverse document frequency over all documents. A window can only reach the threshold if it holds
-one of a notice's heaviest terms, or enough of a full text's rare terms, and only such windows are
-compared. A document whose words are mostly matched is a licence file of its directory; documents
-without a match take the licence of the nearest ancestor directory that has one.
+(a notice may be wrapped, or stand within a longer line) are compared with short notices, whole
+texts with full licence texts. Terms are weighted by term frequency and inverse document frequency
+over all documents. By Cauchy-Schwarz a cosine is at most the norm of the template's part that the
+compared text shares, so only texts that share enough of a template's squared weight are compared.
+A document whose words are mostly matched is a licence file of its directory; documents without a
+match take the licence of the nearest ancestor directory that has one.
 """
 
 from __future__ import annotations
@@ -48,8 +48,10 @@ TEMPLATES = {
 #: Licences whose full text lies in the folder licenses; those of CC-BY-4.0 and CC-BY-NC-4.0 are known by their notices only.
 FULL_TEXTS = ["Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-3.0", "LGPL-3.0", "MIT", "MPL-2.0"]
 THRESHOLD = 0.75
-#: Segments of the windows compared with notices, at every place, and of those compared with full texts, at every quarter of their length.
-NOTICE_SPANS, TEXT_SPANS = (1, 2, 3, 4, 5), (8, 16, 32)
+#: Segments of the windows compared with notices, at every place.
+SPANS = (1, 2, 3, 4, 5)
+#: Squared weight of a full text that its rare terms may leave out, and the share of documents above which a term is not rare.
+LEFT_OUT, COMMON = 0.25, 0.05
 #: Share of a document's terms in matched lines from which it is a licence file.
 FILE_SHARE = 0.5
 SPLIT = r"[^a-z0-9]+"
@@ -75,76 +77,76 @@ def full_texts() -> dict[str, list[str]]:
 
 
 class Weights:
-    """Template vectors under the corpus' document frequencies, and the terms that a matching window must have."""
+    """Unit template vectors under the corpus' document frequencies, and the terms that a matching text must have."""
 
-    def __init__(self, n: int, df: dict[str, int], templates: dict[str, list[str]], threshold: float, notices: bool):
-        self.vectors, anchors = [], set()
-        #: For each full text its rare terms, and how many of them a matching window has at least.
-        self.rare: list[tuple[list[str], int]] = []
+    def __init__(self, n: int, df: dict[str, int], templates: dict[str, list[str]]):
+        self.n, self.df, self.vectors = n, df, []
         for name, texts in sorted(templates.items()):
             for i, text in enumerate(texts):
-                counts = _terms(text)
-                weights = {t: k * (math.log((1 + n) / (1 + df.get(t, 0))) + 1) for t, k in counts.items()}
+                weights = {t: k * (math.log((1 + n) / (1 + df.get(t, 0))) + 1) for t, k in _terms(text).items()}
                 norm = math.sqrt(sum(w * w for w in weights.values()))
-                unit = {t: w / norm for t, w in weights.items()}
-                self.vectors.append((f"{name}#{i}", unit))
-                # without the terms taken, the rest's norm, and so any cosine, stays under the limit
-                rest, taken, limit = 1.0, [], threshold if notices else threshold / 2
-                for t in sorted(unit, key=lambda t: (-unit[t] if notices else -weights[t] / counts[t], t)):
-                    if math.sqrt(max(rest, 0.0)) < limit:
-                        break
-                    taken.append(t)
-                    rest -= unit[t] ** 2
-                anchors.update(taken)
-                # even the heaviest of the terms taken must be this many to lift the rest to the threshold
-                need = 0
-                for t in sorted(taken, key=lambda t: -unit[t]):
-                    if max(rest, 0.0) >= threshold**2 - 1e-9:
-                        break
-                    need, rest = need + 1, rest + unit[t] ** 2
-                self.rare.append((sorted(taken), max(need, 1)))
-        self.anchors = sorted(anchors)
+                self.vectors.append((f"{name}#{i}", {t: w / norm for t, w in weights.items()}))
+
+    def needed(self, threshold: float, left_out: float) -> list[tuple[list[str], int]]:
+        """For each template its heaviest rare terms, without which at most left_out of its squared weight is left, and how many of them a text within the threshold has at least."""
+        out = []
+        for _, unit in self.vectors:
+            rest, taken = 1.0, []
+            for t in sorted(unit, key=lambda t: (self.df.get(t, 0) > COMMON * self.n, -unit[t], t)):
+                if rest < left_out:
+                    break
+                taken.append(t)
+                rest -= unit[t] ** 2
+            need = 0
+            for t in sorted(taken, key=lambda t: -unit[t]):
+                if rest >= threshold**2 - 1e-9:
+                    break
+                need, rest = need + 1, rest + unit[t] ** 2
+            out.append((sorted(taken), max(need, 1)))
+        return out
 
 
 def _words(words: list[str]) -> Column:
     return F.array(*[F.lit(t) for t in words]).cast("array<string>")
 
 
-def _windows(spans: tuple[int, ...], quarter: bool) -> Column:
-    """Structs (start, span) of the windows of the array segs."""
+def _windows(ends: Column) -> Column:
+    """Structs (start, span, terms) of the windows of the array segs that begin and end with a segment that has one of the terms in ends."""
     size = F.size("segs")
-    at = lambda k: lambda i: F.struct(i.alias("start"), F.lit(k).alias("span"))
-    each = []
-    for k in spans:
-        step = max(1, k // 4) if quarter else 1
-        starts = F.when(size >= k, F.sequence(F.lit(0), size - k, F.lit(step))).otherwise(F.array().cast("array<int>"))
-        if step > 1:  # the last window ends with the text
-            starts = F.when(size >= k, F.array_union(starts, F.array(size - k))).otherwise(starts)
-        each.append(F.transform(starts, at(k)))
-    return F.concat(*each)
-
-
-def _cosines(units: DataFrame, w: Weights, frequencies: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(row, start, span, cosine, license) of the units (row, start, span, terms) that reach the threshold."""
-    spark, key = units.sparkSession, ["row", "start", "span"]
+    edges = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.arrays_overlap(F.col("segs")[i], ends))
+    near = lambda i: F.filter(edges, lambda j: (j >= i) & (j < i + max(SPANS)))
+    window = lambda i, j: F.struct(i.alias("start"), (j - i + 1).alias("span"), F.flatten(F.slice("segs", i + 1, j - i + 1)).alias("terms"))
+    return F.when(size > 0, F.flatten(F.transform(edges, lambda i: F.transform(near(i), lambda j: window(i, j)))))
+
+
+def _weighed(units: DataFrame, frequencies: DataFrame, n: int) -> DataFrame:
+    """(row, start, span, term, w): TF-IDF weights of the terms of units. The most frequent words are broadcast, so that none gathers its rows in one task."""
+    key = ["row", "start", "span"]
     terms = units.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = materialize(terms, "terms")
-    # the words of the units, the most frequent ones broadcast, so that none gathers its rows in one task
     words = materialize(frequencies.join(terms.select("term").distinct(), "term", "left_semi"), "words")
     if words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         known = terms.join(F.broadcast(words), "term")
     else:
         top = F.broadcast(materialize(words.orderBy(F.desc("df"), "term").limit(BROADCAST_ROWS), "top-words"))
         known = terms.join(top, "term").unionByName(terms.join(top.select("term"), "term", "left_anti").join(words, "term"))
-    vectors = spark.createDataFrame([(t, name, x) for name, v in w.vectors for t, x in v.items()], "term string, template string, x double")
-    vectors = vectors.groupBy("term").agg(F.collect_list(F.struct("template", "x")).alias("vector"))
-    weighed = known.join(F.broadcast(vectors), "term", "left").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
-    norms = weighed.groupBy(*key).agg(F.sum(F.col("w") * F.col("w")).alias("square"), F.collect_list(F.when(F.col("vector").isNotNull(), F.struct("w", "vector"))).alias("held"))
-    dots = norms.select(*key, "square", F.explode("held").alias("h"))
-    dots = dots.select(*key, "square", F.col("h.w").alias("w"), F.explode("h.vector").alias("v"))
-    cosine = dots.groupBy(*key, "square", F.col("v.template").alias("template")).agg((F.sum(F.col("w") * F.col("v.x")) / F.sqrt("square")).alias("cosine"))
-    matched = cosine.filter(F.col("cosine") >= threshold).withColumn("license", F.substring_index("template", "#", 1))
-    return matched.select(*key, "cosine", "license")
+    return known.select(*key, "term", (F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
+
+
+def _cosines(units: DataFrame, w: Weights, frequencies: DataFrame, threshold: float) -> DataFrame:
+    """(row, start, span, cosine, license) of the units (row, start, span, terms) that reach the threshold."""
+    spark, key = units.sparkSession, ["row", "start", "span"]
+    units = materialize(units, "units")
+    vectors = F.broadcast(spark.createDataFrame([(t, name, x) for name, v in w.vectors for t, x in v.items()], "term string, template string, x double"))
+    shared = units.select(*key, F.explode(F.array_distinct("terms")).alias("term")).join(vectors, "term")
+    enough = shared.groupBy(*key, "template").agg(F.sum(F.col("x") * F.col("x")).alias("share")).filter(F.col("share") >= threshold**2 - 1e-9)
+    near = materialize(enough.select(*key, "template"), "near")
+    weighed = _weighed(units.join(small(near.select(*key).distinct()), key), frequencies, w.n)
+    weighed = materialize(weighed, "weights")
+    norms = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(vectors, "term").join(small(near), [*key, "template"]).groupBy(*key, "template").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
+    cosine = dots.join(norms, key).withColumn("cosine", F.col("dot") / F.col("norm")).filter(F.col("cosine") >= threshold)
+    return cosine.select(*key, "cosine", F.substring_index("template", "#", 1).alias("license"))
 
 
 def scan_licenses(files: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -163,53 +165,51 @@ def scan_licenses(files: DataFrame, templates: dict[str, list[str]] | None = Non
     vocabulary = sorted({t for texts in [*notices.values(), *full.values()] for text in texts for t in _terms(text)})
     wanted = spark.createDataFrame([(t,) for t in vocabulary], "term string")
     df = {r["term"]: r["df"] for r in frequencies.join(F.broadcast(wanted), "term").collect()}  # the templates bound it
-    short, long = Weights(n, df, notices, threshold, True), Weights(n, df, full, threshold, False)
-    anchors, ends = _words(short.anchors), _words(sorted({t for _, v in short.vectors for t in v}))
+    short, long = Weights(n, df, notices), Weights(n, df, full)
+    # a window reaches the threshold with one of these at least
+    anchors = sorted({t for taken, _ in short.needed(threshold, threshold**2) for t in taken})
+    ends = _words(sorted({t for _, v in short.vectors for t in v}))
 
     rows = files.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", text_of().alias("t"), terms_of(text_of()).alias("terms"))
-    near_full = F.lit(False)
-    for rare, need in long.rare:
-        near_full = near_full | (F.size(F.array_intersect("terms", _words(rare))) >= need)
+    near_full, rare = F.lit(False), long.needed(threshold, LEFT_OUT)
+    rows = rows.withColumn("rare", F.array_intersect("terms", _words(sorted({t for taken, _ in rare for t in taken}))))
+    for taken, need in rare:
+        near_full = near_full | ((F.size("rare") >= need) & (F.size(F.array_intersect("rare", _words(taken))) >= need))
     segs = F.filter(F.transform(F.split("t", SEGMENT), terms_of), lambda x: F.size(x) > 0)
-    rows = rows.withColumns({"short": F.arrays_overlap("terms", anchors), "long": near_full})
-    rows = rows.select("row", "doc_id", "path", F.size("terms").alias("n"), "short", "long", F.when(F.col("short") | F.col("long"), segs).alias("segs"))
+    rows = rows.select(
+        "row", "doc_id", "path", F.size("terms").alias("n"), F.when(near_full, F.col("terms")).alias("terms"),
+        F.when(F.arrays_overlap("terms", _words(anchors)), segs).alias("segs"),
+    )
     rows = materialize(rows, "segments")
 
-    window = F.flatten(F.slice("segs", F.col("u.start") + 1, F.col("u.span")))
-    units = rows.filter("short").select("row", "segs", F.explode(_windows(NOTICE_SPANS, False)).alias("u"))
-    # a window that begins or ends with a segment of no notice's words is never better than without it
-    first, last = F.col("segs")[F.col("u.start")], F.col("segs")[F.col("u.start") + F.col("u.span") - 1]
-    units = units.filter(F.arrays_overlap(first, ends) & F.arrays_overlap(last, ends)).select("row", "u.start", "u.span", window.alias("terms"))
-    matched = _cosines(units.filter(F.arrays_overlap("terms", anchors)), short, frequencies, n, threshold)
-    if full:
-        whole = F.array(F.struct(F.lit(0).alias("start"), F.size("segs").alias("span")))
-        parts = rows.filter("long").select("row", "segs", F.explode(F.array_distinct(F.concat(_windows(TEXT_SPANS, True), whole))).alias("u"))
-        parts = parts.select("row", "u.start", "u.span", window.alias("terms"))
-        hit = F.lit(False)
-        for rare, need in long.rare:
-            hit = hit | (F.size(F.array_intersect("terms", _words(rare))) >= need)
-        matched = matched.unionByName(_cosines(parts.filter(hit), long, frequencies, n, threshold))
-    matched = materialize(matched, "matched")
-    best = matched.groupBy("row").agg(F.max(F.struct("cosine", "license")).alias("best"))
-    # what a match covers: of the windows with one start, and of those with one end, only the best
+    windows = F.filter(_windows(ends), lambda u: F.arrays_overlap(u["terms"], _words(anchors)))
+    units = rows.filter("segs IS NOT NULL").select("row", F.explode(windows).alias("u")).select("row", "u.start", "u.span", "u.terms")
+    matched = materialize(_cosines(units, short, frequencies, threshold), "matched")
+    best = matched.select("row", "cosine", "license")
+    # what the matches cover: of the windows with one start, and of those with one end, only the best
     tight = matched.groupBy("row", "start").agg(F.max(F.struct("cosine", (-F.col("span")).alias("less"))).alias("b")).select("row", "start", "b.cosine", (-F.col("b.less")).alias("span"))
     tight = tight.groupBy("row", (F.col("start") + F.col("span")).alias("end")).agg(F.max(F.struct("cosine", "start")).alias("b")).select("row", F.explode(F.sequence(F.col("b.start"), F.col("end") - 1)).alias("i")).distinct()
-    sizes = rows.select("row", "n", F.transform("segs", F.size).alias("sizes"))
+    sizes = rows.filter("segs IS NOT NULL").select("row", "n", F.transform("segs", F.size).alias("sizes"))
     shares = tight.join(sizes, "row").groupBy("row", "n").agg(F.sum(F.col("sizes")[F.col("i")]).alias("m")).select("row", (F.col("m") / F.col("n")).alias("share"))
-    own = materialize(best.join(shares, "row"), "own")
-
-    # directories of licence files, then the nearest ancestor of every path without a notice
-    found = rows.select("row", "doc_id", "path").join(own, "row", "left")
+    if full:
+        whole = rows.filter("terms IS NOT NULL").select("row", F.lit(0).alias("start"), F.lit(1).alias("span"), "terms")
+        whole = materialize(_cosines(whole, long, frequencies, threshold), "whole")
+        best = best.unionByName(whole.select("row", "cosine", "license"))
+        shares = shares.unionByName(whole.select("row", F.lit(1.0).alias("share")))
+    best = best.groupBy("row").agg(F.max(F.struct("cosine", "license")).alias("best"))
+    own = materialize(best.join(shares.groupBy("row").agg(F.max("share").alias("share")), "row"), "own")
+
+    # directories of licence files, then the nearest ancestor of every directory, then its files
+    found = rows.select("row", "doc_id", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir")).join(small(own), "row", "left")
     found = materialize(found, "found")
-    directory = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    holders = found.filter((F.col("share") >= FILE_SHARE) & F.col("path").contains("/")).select(directory.alias("dir"), "share", "best")
-    holders = holders.groupBy("dir").agg(F.max(F.struct("share", "best")).alias("top")).select("dir", F.col("top.best.license").alias("inherited"))
-    holders = materialize(holders, "holders")
-    parts = F.split("path", "/")
-    above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("dir"))))
-    needy = found.filter("best IS NULL").select("row", F.explode(above).alias("a")).select("row", F.col("a.depth").alias("depth"), F.col("a.dir").alias("dir"))
-    nearest = needy.join(small(holders), "dir").groupBy("row").agg(F.max(F.struct("depth", "dir", "inherited")).alias("near"))
-    out = found.join(materialize(nearest, "nearest"), "row", "left")
+    holders = found.filter((F.col("share") >= FILE_SHARE) & (F.col("dir") != "")).groupBy("dir").agg(F.max(F.struct("share", "best")).alias("top"))
+    holders = materialize(holders.select("dir", F.col("top.best.license").alias("inherited")), "holders")
+    parts = F.split("dir", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("above")))
+    needy = found.filter("best IS NULL AND dir <> ''").select("dir").distinct().select("dir", F.explode(above).alias("a"))
+    nearest = needy.select(F.col("dir").alias("own_dir"), "a.depth", F.col("a.above").alias("dir")).join(small(holders), "dir")
+    nearest = nearest.groupBy("own_dir").agg(F.max(F.struct("depth", "dir", "inherited")).alias("near")).withColumnRenamed("own_dir", "dir")
+    out = found.join(small(materialize(nearest, "nearest")), "dir", "left")
     return out.select(
         "doc_id", "path", F.coalesce("best.license", "near.inherited").alias("license"), F.round("best.cosine", 6).alias("similarity"),
         F.when(F.col("best").isNotNull(), "own").when(F.col("near").isNotNull(), "inherited").otherwise("none").alias("origin"),

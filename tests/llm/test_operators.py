@@ -289,6 +289,32 @@ def test_embedded_wrapped_and_full_licenses(spark):
     assert not any(got[100 + i]["license"] for i in range(3000))
 
 
+def test_licenses_match_all_cosines(spark, docs, texts):
+    """Every window of every text against every notice, and every text against every full text, by plain counts."""
+    terms = {i: license_scan._terms(t) for i, t in texts.items()}
+    df = collections.Counter(t for c in terms.values() for t in c)
+
+    def unit(c):
+        w = {t: k * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, k in c.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    notices = [(name, unit(license_scan._terms(t))) for name, ts in license_scan.TEMPLATES.items() for t in ts]
+    full = [(name, unit(license_scan._terms(t))) for name, (t,) in license_scan.full_texts().items()]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(docs.withColumn("path", F.lit(None).cast("string"))).collect()}
+    for i, t in texts.items():
+        segs = [c for c in map(license_scan._terms, license_scan.re.split(license_scan.SEGMENT, t)) if c]
+        units = [(terms[i], full)] if terms[i] else []
+        for a in range(len(segs)):
+            for b in range(a, min(a + max(license_scan.SPANS), len(segs))):
+                units.append((sum(segs[a : b + 1], collections.Counter()), notices))
+        found = [(sum(x * v.get(w, 0) for w, x in unit(c).items()), name) for c, vectors in units for name, v in vectors]
+        best = max((f for f in found if f[0] >= license_scan.THRESHOLD), default=None)
+        assert (got[i]["origin"] == "own") == (best is not None)
+        if best:
+            assert got[i]["license"] == best[1] and got[i]["similarity"] == pytest.approx(best[0], abs=2e-6)
+
+
 # -------------------------------------------------------------------- quality
 
 
