@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Parameter tables with at most this many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 20_000
+#: Folders of the tables that materialize wrote.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +36,18 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd", partition_b
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[table] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote and that no later plan reads."""
+    for table in tables:
+        if path := _FOLDERS.pop(table, None):
+            spark = table.sparkSession
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -60,7 +73,3 @@ def crc_mod(key: str, mod: int) -> Column:
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
-
-def local_temp() -> str:
-    """A folder of this task's own machine, for files that never leave the task."""
-    return os.environ.get("TMPDIR") or tempfile.gettempdir()

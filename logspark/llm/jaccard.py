@@ -1,12 +1,14 @@
-"""Exact Jaccard self-join on word shingles, with components of the links.
+"""Exact Jaccard self-join on word shingles by a token-group matrix, with components of the links.
 
 Documents with equal shingle sets form a class, and only classes are compared. Similar classes are
 first put into groups: bands of min-hashes propose (leader, member) pairs, which are checked on
-the texts. The token-group matrix then holds, for each shingle, the groups whose token union has
-it. A class's overlap with a group it does not belong to is bounded from its rarest shingles: if
-none of the first n - ceil(t n) + 1 of them is in the union, the rest cannot reach the threshold
-and the group stays closed. Classes of open groups that share such a shingle and have compatible
-sizes are compared on their texts. Shingles are known by 64-bit hashes of at least five words.
+the texts. The matrix has, for each shingle, the groups with a member of which it is one of the
+n - ceil(t n) + 1 rarest: a class that links to a member shares one of these, so it meets no other
+group. The token union of every group that is met is stored, and a class's overlap with a member
+is at most its overlap with that union: unless this reaches t n, the group stays closed. In open
+groups the class is compared with the members it shares a rare shingle with. A group of one class
+is its own union, so bound and comparison are one. Shingles are known by 64-bit hashes of at least
+five words.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_are_keys, materialize, shuffle_partitions, text_of
+from .common import ids_are_keys, materialize, release, shuffle_partitions, text_of
 from .components import connected_components
 from .mixing import ranked
 from .words import mix, pack, shingles, slices, unpack
@@ -44,6 +46,8 @@ class Settings:
     short_list: int = 32
     #: Classes of a long list that are compared at once.
     block: int = 1024
+    #: Classes that are held against a group's union at once.
+    asked: int = 256
     #: Bits of the bounded filter of wanted identifiers.
     filter_bits: int = 1 << 26
 
@@ -327,7 +331,9 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, s: Settings)
     texts = _texts_of(ends, classes, docs, s)
     joined = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
     joined = joined.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-    return materialize(joined.select("a", "b", "text_a", "text_b").mapInArrow(_compare(s), "a long, b long"), "links")
+    out = materialize(joined.select("a", "b", "text_a", "text_b").mapInArrow(_compare(s), "a long, b long"), "links")
+    release(texts)
+    return out
 
 
 def _texts_of(ends: DataFrame, classes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
@@ -336,7 +342,84 @@ def _texts_of(ends: DataFrame, classes: DataFrame, docs: DataFrame, s: Settings)
     ends = materialize(ends.join(classes.select("cls", "rid"), "cls"), "ends")
     known = spark.sparkContext.broadcast(_wanted(ends, s.filter_bits))
     texts = docs.select("rid", "text", F.pmod(F.xxhash64("rid"), F.lit(s.filter_bits)).alias("bit")).mapInArrow(_select(known, s.filter_bits), "rid long, text string")
-    return materialize(ends.join(texts, "rid").select("cls", "text"), "texts")
+    out = materialize(ends.join(texts, "rid").select("cls", "text"), "texts")
+    release(ends)
+    return out
+
+
+def _unions(s: Settings):
+    """(grp, tokens) of a task's texts (grp, cls, text): one union a group, written out when they grow large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        count = 0
+
+        def flush() -> pa.RecordBatch:
+            blobs = [pack(np.unique(np.concatenate(t)), delta=True) for t in held.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(blobs, pa.binary())], names=["grp", "tokens"])
+
+        for batch in batches:
+            grp, cls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, tokens in _texts(batch, s.size):
+                if set_hash(tokens) == cls[i]:
+                    held.setdefault(grp[i], []).append(tokens)
+                    count += len(tokens)
+                    if len(held[grp[i]]) > 64:
+                        held[grp[i]] = [np.unique(np.concatenate(held[grp[i]]))]
+            if count > 4_000_000:
+                yield flush()
+                held, count = {}, 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    tokens = np.unique(np.concatenate([unpack(b, np.uint64, delta=True) for b in pdf["tokens"]]))
+    return pd.DataFrame({"grp": pdf["grp"][:1], "tokens": [pack(tokens, delta=True)]})
+
+
+def _bounded(s: Settings):
+    """Of classes (cls, grp, text) those whose overlap with the group's union reaches the threshold of their size."""
+
+    def run(asked: pd.DataFrame, unions: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(unions):
+            return asked[["cls", "grp"]].head(0)
+        union = unpack(unions["tokens"].iloc[0], np.uint64, delta=True)
+        keep = np.zeros(len(asked), bool)
+        cls = asked["cls"].tolist()
+        for i, tokens in _texts(pa.RecordBatch.from_pydict({"text": asked["text"].tolist()}), s.size):
+            # a doc_id may stand for several texts: only the text of the class counts
+            if set_hash(tokens) == cls[i]:
+                keep[i] = 100 * len(np.intersect1d(tokens, union, assume_unique=True)) >= s.percent * len(tokens)
+        return asked.loc[keep, ["cls", "grp"]]
+
+    return run
+
+
+def _opened(pairs: DataFrame, groups: DataFrame, classes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """Of pairs (a, b) of classes in different groups (ga, gb, null for a group of one) those in which neither class's overlap with the other's group is too small for a link."""
+    asked = pairs.filter("gb IS NOT NULL").select(F.col("a").alias("cls"), F.col("gb").alias("grp"))
+    asked = asked.unionByName(pairs.filter("ga IS NOT NULL").select(F.col("b").alias("cls"), F.col("ga").alias("grp")))
+    asked = materialize(asked.distinct(), "asked")
+    members = groups.select(F.col("label").alias("grp"), F.col("node").alias("cls")).join(asked.select("grp").distinct(), "grp")
+    texts = _texts_of(members.select("cls").unionByName(asked.select("cls")).distinct(), classes, docs, s)
+    parts = members.join(texts, "cls").select("grp", "cls", "text").mapInArrow(_unions(s), "grp long, tokens binary")
+    unions = materialize(parts.groupBy("grp").applyInPandas(_merge, "grp long, tokens binary"), "unions", compression="none")
+    # a union meets the classes that ask for it in parts of bounded size
+    counts = materialize(asked.groupBy("grp").agg(F.expr(f"(count(1) + {s.asked - 1}) div {s.asked}").alias("parts")), "parts")
+    dealt = asked.join(counts, "grp").join(texts, "cls").select("cls", "grp", "text", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part"))
+    copies = unions.join(counts, "grp").select("grp", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    met = dealt.groupBy("grp", "part").cogroup(copies.groupBy("grp", "part"))
+    opened = materialize(met.applyInPandas(_bounded(s), "cls long, grp long"), "qualifying")
+    release(texts, unions, asked, counts)
+    first = opened.select(F.col("cls").alias("a"), F.col("grp").alias("gb"), F.lit(True).alias("fits_a"))
+    second = opened.select(F.col("cls").alias("b"), F.col("grp").alias("ga"), F.lit(True).alias("fits_b"))
+    marked = pairs.join(first, ["a", "gb"], "left").join(second, ["b", "ga"], "left")
+    out = materialize(marked.filter("(gb IS NULL OR fits_a) AND (ga IS NULL OR fits_b)").select("a", "b"), "open-pairs")
+    release(opened)
+    return out
 
 
 def _within(s: Settings):
@@ -426,6 +509,7 @@ def near_components(docs: DataFrame, settings: Settings | None = None) -> DataFr
     proposed = banded.join(leaders, "band").filter((F.col("cls") > F.col("a")) & _compatible(F.col("n"), F.col("m"), s.percent))
     proposed = materialize(proposed.select("a", F.col("cls").alias("b")).distinct(), "proposed")
     links = _linked(proposed, classes, docs, s)
+    release(leaders, proposed)
     groups = materialize(connected_components(links), "groups")
 
     # token-group matrix on the rarest shingles
@@ -443,26 +527,35 @@ def near_components(docs: DataFrame, settings: Settings | None = None) -> DataFr
     pairs = found.filter("b IS NOT NULL").select("a", "b").unionByName(central).distinct()
     named = lambda end: groups.select(F.col("node").alias(end), F.col("label").alias(f"g{end}"))
     pairs = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
-    pairs = pairs.filter(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
-    links = links.unionByName(_linked(materialize(pairs, "pairs"), classes, docs, s))
+    pairs = materialize(pairs.filter(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b", "ga", "gb"), "pairs")
+    release(found, heads)
+    opened = _opened(pairs, groups, classes, docs, s)
+    more = _linked(opened, classes, docs, s)
+    release(pairs, opened, groups)
+    links = links.unionByName(more)
     groups = materialize(connected_components(links), "groups")
 
     # what long lists still hold of different groups is compared list by list, in blocks of bounded size
-    late = materialize(_grouped(late.drop("grp"), groups), "long-lists")
-    matrix = late.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("many")).filter("lo < hi").select("token", "many")
-    opened = late.join(materialize(matrix, "matrix"), "token").filter(F.col("rank") <= F.col("n") - F.expr(f"(n * {s.percent} + 99) div 100"))
+    regrouped = materialize(_grouped(late.drop("grp"), groups), "long-lists")
+    matrix = regrouped.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("many")).filter("lo < hi").select("token", "many")
+    rows_left = regrouped.join(materialize(matrix, "matrix"), "token").filter(F.col("rank") <= F.col("n") - F.expr(f"(n * {s.percent} + 99) div 100"))
     blocks = F.expr(f"(many + {s.block - 1}) div {s.block}")
     own = F.pmod(F.xxhash64("cls"), blocks)
     cells = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y"))))
-    opened = materialize(opened.select("token", "cls", "n", "rank", "grp", cells.alias("cell")), "opened")
-    if opened.limit(1).count():
-        texts = _texts_of(opened.select("cls").distinct(), classes, docs, s)
-        members = opened.join(texts, "cls").select("token", "cell", "cls", "grp", "text")
-        links = links.unionByName(materialize(members.groupBy("token", "cell").applyInPandas(_within(s), "a long, b long"), "within"))
+    rows_left = materialize(rows_left.select("token", "cls", "n", "rank", "grp", cells.alias("cell")), "left")
+    release(late, regrouped, groups)
+    if rows_left.limit(1).count():
+        texts = _texts_of(rows_left.select("cls").distinct(), classes, docs, s)
+        members = rows_left.join(texts, "cls").select("token", "cell", "cls", "grp", "text")
+        within = materialize(members.groupBy("token", "cell").applyInPandas(_within(s), "a long, b long"), "within")
+        release(texts)
+        links = links.unionByName(within)
+    release(rows_left)
 
     labels = materialize(connected_components(links), "labels")
     placed = rows.select("doc_id", "n", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     placed = materialize(placed.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "cls")).alias("label")), "placed")
+    release(sketch, classes, labels)
     heads = materialize(placed.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id")), "heads")
     out = placed.join(heads, "label", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -1,22 +1,23 @@
-"""Bigram language model in Elias-Fano tries, sharded by context.
-
-Documents are packed into blocks of word ids. Two shuffles gather what training documents hold:
-word counts by word shard, and (context, successor) counts by context shard; each block asks only
-for its own distinct words and pairs, and the answers return to it, so neither the model nor the
-vocabulary has to fit anywhere as a whole. A context shard is a trie of two compact levels, laid
-out in a memory-mapped file of the task: contexts and the ends of their successor ranges are
-Elias-Fano coded monotone sequences, successors are an Elias-Fano sequence offset by their
-context's place, and each holds a probability quantised to 16 bits.
-
-A token's probability is Dirichlet-smoothed: p(w | v) = (c(v w) + K u(w)) / (c(v) + K), with u the
-add-0.1 unigram estimate; contexts are the previous word or the start of the document. The trie
-holds c(v w) / (c(v) + K) for each pair and K / (c(v) + K) for each context.
+"""Trigram language model in Elias-Fano tries, sharded by middle word.
+
+Documents are packed into blocks of word ids. One shuffle gathers what training documents hold:
+each block sends its distinct (u, v, w) to the shard of v, which has all that a prediction of w
+after u v needs, and the answers return to the block; so neither the model nor the vocabulary has
+to fit anywhere as a whole. Of frequent middle words, the trigrams are dealt by (v, u) and the
+bigrams by (v, w). A shard is a trie of compact levels in one memory map: middle words, (v, w) and
+(v, u) pairs, and the w of each (v, u). Levels and the pointers between them are Elias-Fano coded
+monotone sequences, read in place; an element is found by a successor search within the range of
+its context, and holds a probability quantised to 16 bits.
+
+Probabilities are Dirichlet-smoothed: p(w | v) = (c(v w) + K u(w)) / (c(v) + K) and p(w | u v) =
+(c(u v w) + K p(w | v)) / (c(u v) + K), with u the add-0.1 unigram estimate. Before its first word
+a document has two starts. The trie holds c(v w) / (c(v) + K) and c(u v w) / (c(u v) + K) for each
+gram and K / (c(u v) + K) for each context.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+import mmap
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, local_temp, materialize, shuffle_partitions, text_of
+from .common import crc_mod, materialize, shuffle_partitions, text_of
 from .words import mix, pack, slices, unpack
 
 FOLDS = 10
 #: Hashes that stand for the end and the start of a document.
 END, START = np.uint64(1), np.uint64(2)
-#: Bits by which successors are known within a context, and steps of a quantised log probability.
-SUCCESSOR_BITS, STEP = 40, 2.0**-11
+#: Bits by which words are known within a context, and steps of a quantised log probability.
+INNER_BITS, STEP = 32, 2.0**-11
+_INNER = np.uint64(INNER_BITS)
+_SALT = np.uint64(0x5851F42D4C957F2D)
 
 
 @dataclass(frozen=True)
@@ -41,107 +44,198 @@ class Settings:
     prior: float = 20.0
     add: float = 0.1
     block_tokens: int = 1_500_000
-    #: Contexts with more than 1 / (spread * shards) of all tokens have their successors dealt over shards.
+    #: Trigrams that a shard is meant to hold: there are more shards than twice the shuffle partitions if these are too few.
+    shard_tokens: int = 2_000_000
+    #: Middle words with more than 1 / (spread * shards) of all tokens are dealt over shards.
     spread: int = 4
+    #: Words of a block among which frequent ones are sought.
+    top: int = 1024
 
 
 # ---------------------------------------------------------------- Elias-Fano
 
+_BLOCK = 8  # 64-bit words of high bits that share an entry of the directory
+_CHUNK = 1 << 15
+
 
 class EliasFano:
-    """A non-decreasing sequence: low bits in a plain array, high bits in unary; element and successor access."""
+    """A non-decreasing sequence: low bits in a plain array, high bits in unary with a directory of counts; element and successor access, in place."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, bits: int, size: int):
-        self.low, self.high, self.bits, self.size = low, high, bits, size
-        self._ones: np.ndarray | None = None
+    def __init__(self, low: np.ndarray, high: np.ndarray, ones: np.ndarray, bits: int, size: int):
+        self.low, self.high, self.ones, self.bits, self.size = low, high, ones, bits, size
 
     @staticmethod
     def of(values: np.ndarray, universe: int) -> EliasFano:
         values = np.asarray(values, dtype=np.uint64)
         n = len(values)
         bits = max(0, int(universe // max(n, 1)).bit_length() - 1)
-        low = (values & np.uint64((1 << bits) - 1)).astype(np.uint64)
+        low = values & np.uint64((1 << bits) - 1)
         places = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        flags = np.zeros(int(places[-1]) + 1 if n else 0, dtype=np.uint8)
+        flags = np.zeros(-(-((int(places[-1]) if n else 0) + 2) // (64 * _BLOCK)) * 64 * _BLOCK, dtype=np.uint8)
         flags[places] = 1
+        high = np.packbits(flags, bitorder="little").view("<u8")
+        each = np.bitwise_count(high).reshape(-1, _BLOCK).sum(axis=1)
         width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if bits <= np.dtype(t).itemsize * 8)
-        return EliasFano(low.astype(width), np.packbits(flags), bits, n)
-
-    @property
-    def ones(self) -> np.ndarray:
-        if self._ones is None:
-            self._ones = np.flatnonzero(np.unpackbits(self.high))[: self.size]
-        return self._ones
+        return EliasFano(low.astype(width), high, np.concatenate([[0], np.cumsum(each, dtype=np.int64)]), bits, n)
+
+    def _select(self, at: np.ndarray, zeros: bool) -> np.ndarray:
+        """Bit positions of the ones (or zeros) of the given ranks: the directory picks a block, counts pick the word and then halves of it."""
+        out = np.empty(len(at), dtype=np.int64)
+        counts = np.arange(len(self.ones)) * (64 * _BLOCK) - self.ones if zeros else self.ones
+        for first in range(0, len(at), _CHUNK):
+            rank = at[first : first + _CHUNK]
+            block = np.searchsorted(counts, rank, side="right") - 1
+            rank = rank - counts[block]
+            words = self.high[block[:, None] * _BLOCK + np.arange(_BLOCK)]
+            if zeros:
+                words = ~words
+            upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+            k = (upto <= rank[:, None]).sum(axis=1)
+            row = np.arange(len(rank))
+            rank = rank - np.where(k > 0, upto[row, np.maximum(k - 1, 0)], 0)
+            word, place = words[row, k], block * (64 * _BLOCK) + k * 64
+            for width in (32, 16, 8, 4, 2, 1):
+                half = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
+                upper = rank >= half
+                rank -= np.where(upper, half, 0)
+                place += np.where(upper, width, 0)
+                word = np.where(upper, word >> np.uint64(width), word)
+            out[first : first + _CHUNK] = place
+        return out
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         at = np.asarray(at, dtype=np.int64)
-        return ((self.ones[at] - at).astype(np.uint64) << np.uint64(self.bits)) | self.low[at].astype(np.uint64)
+        return ((self._select(at, False) - at).astype(np.uint64) << np.uint64(self.bits)) | self.low[at].astype(np.uint64)
 
     def successor(self, values: np.ndarray) -> np.ndarray:
         """The place of the first element >= each value (size if none): the high part picks a run, a binary search within it the element."""
         values = np.asarray(values, dtype=np.uint64)
-        if not self.size:
-            return np.zeros(len(values), dtype=np.int64)
         head = (values >> np.uint64(self.bits)).astype(np.int64)
-        highs = self.ones - np.arange(self.size)
-        lo, hi = np.searchsorted(highs, head, side="left"), np.searchsorted(highs, head, side="right")
+        zeros = len(self.high) * 64 - self.size
+        inside = head < zeros
+        hi = np.full(len(values), self.size, dtype=np.int64)
+        hi[inside] = self._select(head[inside], True) - head[inside]
+        lo = hi.copy()
+        lo[inside] = 0
+        later = inside & (head > 0)
+        lo[later] = self._select(head[later] - 1, True) - (head[later] - 1)
         want = values & np.uint64((1 << self.bits) - 1)
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = open_ & (self.low[np.minimum(mid, self.size - 1)].astype(np.uint64) < want)
-            lo = np.where(less, mid + 1, lo)
-            hi = np.where(open_ & ~less, mid, hi)
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self.low[mid].astype(np.uint64) < want[open_]
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
         return lo
 
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """The place of each value, -1 if the sequence has it not."""
+        if not self.size:
+            return np.full(len(values), -1, dtype=np.int64)
+        at = self.successor(values)
+        near = np.minimum(at, self.size - 1)
+        return np.where((at < self.size) & (self[near] == values), near, -1)
 
-class Trie:
-    """Two levels: contexts (64-bit hashes) with their quantised back-off weight, successors (40-bit) with theirs."""
 
-    def __init__(self, contexts: EliasFano, ends: EliasFano, backoff: np.ndarray, successors: EliasFano, probability: np.ndarray):
-        self.contexts, self.ends, self.backoff, self.successors, self.probability = contexts, ends, backoff, successors, probability
+class Level:
+    """The elements below each context of the level above: values of INNER_BITS, context by context, with a pointer to the end of each range."""
+
+    def __init__(self, values: EliasFano, ends: EliasFano):
+        self.values, self.ends = values, ends
 
     @staticmethod
-    def build(v: np.ndarray, w: np.ndarray, count: np.ndarray, total: np.ndarray, prior: float) -> Trie:
-        """From pairs sorted by (context, successor), their counts, and each pair's context count."""
-        new = np.ones(len(v), bool)
-        new[1:] = v[1:] != v[:-1]
-        heads = np.flatnonzero(new)
+    def of(context: np.ndarray, value: np.ndarray, contexts: int) -> Level:
+        """From values sorted by context (0 to contexts - 1) and value."""
+        keys = (context.astype(np.uint64) << _INNER) | value.astype(np.uint64)
+        ends = np.searchsorted(context, np.arange(contexts), side="right")
+        return Level(EliasFano.of(keys, max(contexts, 1) << INNER_BITS), EliasFano.of(ends, len(keys) + 1))
+
+    def find(self, context: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The place of each value within the range of its context, -1 if it is not there or there is no context."""
+        out = np.full(len(context), -1, dtype=np.int64)
+        q = np.flatnonzero(context >= 0)
+        if len(q) and self.values.size:
+            at = self.values.find((context[q].astype(np.uint64) << _INNER) | value[q].astype(np.uint64))
+            inside = (at >= 0) & (at.astype(np.uint64) < self.ends[context[q]])
+            out[q] = np.where(inside, at, -1)
+        return out
+
+
+class Trie:
+    """Middle words v with their counts; below them w with p(w | v) and u with its back-off weight; below (v, u) w with p(w | u v)."""
+
+    def __init__(self, grams: tuple[np.ndarray, ...], pairs: tuple[np.ndarray, ...], frequent: np.ndarray, frequent_counts: np.ndarray, prior: float):
+        """From distinct sorted (v, u, w, count), and distinct sorted (v, w, count) of frequent v."""
+        v, u, w, c = grams
+        fv, fw, fc = pairs
+        own = np.unique(np.concatenate([v, fv]))
+        at = np.searchsorted(own, v)
+        total = np.bincount(at, weights=c, minlength=len(own)).astype(np.int64)
+        hot = np.zeros(len(own), bool)
+        if len(frequent) and len(own):
+            place = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+            hot = frequent[place] == own
+            total = np.where(hot, frequent_counts[place], total)
+        self.counts = total
+        vu = (at.astype(np.uint64) << _INNER) | u
+        new = _heads(vu)
         rank = np.cumsum(new) - 1
-        contexts = EliasFano.of(v[heads] >> np.uint64(1), 1 << 63)
-        ends = EliasFano.of(np.append(heads[1:], len(v)), len(v) + 1)
-        backoff = quantise(prior / (total[heads] + prior))
-        offset = rank.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)
-        successors = EliasFano.of(offset | w, (int(rank[-1]) + 1 if len(rank) else 1) << SUCCESSOR_BITS)
-        return Trie(contexts, ends, backoff, successors, quantise(count / (total + prior)))
-
-    def save(self, folder: str) -> Trie:
-        """The same trie over arrays that are memory-mapped from one file each."""
-
-        def mapped(name: str, values: np.ndarray) -> np.ndarray:
-            path = os.path.join(folder, name)
-            np.save(path, values)
-            return np.load(path + ".npy", mmap_mode="r") if len(values) else values
-
-        def coded(name: str, seq: EliasFano) -> EliasFano:
-            return EliasFano(mapped(name + "-low", seq.low), mapped(name + "-high", seq.high), seq.bits, seq.size)
-
-        return Trie(coded("contexts", self.contexts), coded("ends", self.ends), mapped("backoff", self.backoff), coded("successors", self.successors), mapped("probability", self.probability))
-
-    def find(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(quantised probability, quantised back-off) of pairs; 0 stands for no such pair or context."""
-        backoff, probability = np.zeros(len(v), np.uint16), np.zeros(len(v), np.uint16)
-        if not self.contexts.size or not len(v):
-            return probability, backoff
-        short = v >> np.uint64(1)
-        at = np.minimum(self.contexts.successor(short), self.contexts.size - 1)
-        known = self.contexts[at] == short
-        backoff[known] = self.backoff[at[known]]
-        q = np.flatnonzero(known)
-        value = (at[q].astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | w[q]
-        place = np.minimum(self.successors.successor(value), self.successors.size - 1)
-        hit = (self.successors[place] == value) & (place.astype(np.uint64) < self.ends[at[q]])
-        probability[q[hit]] = self.probability[place[hit]]
-        return probability, backoff
+        seen = np.bincount(rank, weights=c, minlength=int(new.sum()))
+        self.words = EliasFano.of(own >> np.uint64(1), 1 << 63)
+        self.before = Level.of(at[new], u[new], len(own))
+        self.backoff = quantise(prior / (seen + prior))
+        self.third = Level.of(rank, w, len(seen))
+        self.p3 = quantise(c / (seen[rank] + prior))
+        # bigrams: sums over u, and the frequent ones as they came
+        plain = ~hot[at]
+        key, place = np.unique((at[plain].astype(np.uint64) << _INNER) | w[plain], return_inverse=True)
+        count = np.bincount(place, weights=c[plain], minlength=len(key))
+        key = np.concatenate([key, (np.searchsorted(own, fv).astype(np.uint64) << _INNER) | fw])
+        count = np.concatenate([count, fc])
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], count[order]
+        context = (key >> _INNER).astype(np.int64)
+        self.after = Level.of(context, key & np.uint64((1 << INNER_BITS) - 1), len(own))
+        self.p2 = quantise(count / (total[context] + prior))
+        self._map()
+
+    def _map(self) -> None:
+        """Move all arrays into one memory map."""
+        holders = [(self, n) for n in ("counts", "backoff", "p2", "p3")]
+        for seq in (self.words, *(s for level in (self.before, self.after, self.third) for s in (level.values, level.ends))):
+            holders += [(seq, n) for n in ("low", "high", "ones")]
+        size = sum(-(-getattr(h, n).nbytes // 8) * 8 for h, n in holders)
+        self.memory, at = mmap.mmap(-1, max(size, 8)), 0
+        for holder, name in holders:
+            values = getattr(holder, name)
+            copy = np.frombuffer(self.memory, dtype=values.dtype, count=len(values), offset=at)
+            copy[:] = values
+            setattr(holder, name, copy)
+            at += -(-values.nbytes // 8) * 8
+
+    def find(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(quantised p(w | u v), quantised back-off of (u, v)) without smoothing; 0 stands for no such gram or context."""
+        context = self.before.find(self.words.find(v >> np.uint64(1)), u)
+        at = self.third.find(context, w)
+        return _taken(self.p3, at), _taken(self.backoff, context)
+
+    def find_pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return _taken(self.p2, self.after.find(self.words.find(v >> np.uint64(1)), w))
+
+    def count(self, v: np.ndarray) -> np.ndarray:
+        return _taken(self.counts, self.words.find(v >> np.uint64(1)))
+
+
+def _taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(at), values.dtype)
+    out[at >= 0] = values[at[at >= 0]]
+    return out
+
+
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where sorted values differ from the one before."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return new
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -155,11 +249,11 @@ def restore(q: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- blocks
 
-BLOCK = "block long, ids binary, held binary, lengths binary, words binary, seq binary"
+BLOCK = "block long, tokens long, ids binary, held binary, lengths binary, words binary, seq binary, top binary, top_counts binary"
 
 
 def _blocks(s: Settings):
-    """Rows of documents to blocks: ids, folds, lengths, the sorted distinct words, and each token's place among them."""
+    """Rows of documents to blocks: ids, folds, lengths, the sorted distinct words, each token's place among them, and the block's most frequent training words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -167,12 +261,15 @@ def _blocks(s: Settings):
 
         def flush() -> pa.RecordBatch:
             words = np.concatenate([p[3] for p in parts])
+            held, lengths = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
             distinct, seq = np.unique(words, return_inverse=True)
+            times = np.bincount(seq[_trained(held, lengths)], minlength=len(distinct))
+            most = np.argsort(-times, kind="stable")[: s.top]
             row = [
-                (task << 24) + serial, pack(np.concatenate([p[0] for p in parts])), pack(np.concatenate([p[1] for p in parts])),
-                pack(np.concatenate([p[2] for p in parts])), pack(distinct, delta=True), pack(seq.astype(np.uint32)),
+                (task << 24) + serial, len(seq), pack(np.concatenate([p[0] for p in parts])), pack(held), pack(lengths), pack(distinct, delta=True),
+                pack(seq.astype(np.uint32)), distinct[most].tobytes(), times[most].tobytes(),
             ]
-            return pa.RecordBatch.from_arrays([pa.array([x]) if i else pa.array([x], pa.int64()) for i, x in enumerate(row)], names=[f.split()[0] for f in BLOCK.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([x]) if i > 1 else pa.array([x], pa.int64()) for i, x in enumerate(row)], names=[f.split()[0] for f in BLOCK.split(", ")])
 
         for batch in batches:
             rid, held = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
@@ -192,13 +289,6 @@ def _blocks(s: Settings):
     return run
 
 
-def _read(pdf_row) -> tuple[np.ndarray, ...]:
-    return (
-        unpack(pdf_row.ids, np.int64), unpack(pdf_row.held, np.uint8), unpack(pdf_row.lengths, np.uint32),
-        unpack(pdf_row.words, np.uint64, delta=True), unpack(pdf_row.seq, np.uint32),
-    )
-
-
 def _trained(held: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(held == 0, lengths)
 
@@ -206,190 +296,251 @@ def _trained(held: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def _rows(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pandas().itertuples(index=False).__next__()
-
+            yield next(batch.slice(i, 1).to_pandas().itertuples(index=False))
 
-def _word_requests(shards: int):
-    """Per block and word shard: the block's distinct words and their counts in its training documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            _, held, lengths, words, seq = _read(row)
-            counts = np.bincount(seq[_trained(held, lengths)], minlength=len(words)).astype(np.uint32)
-            cut = _cut(words, shards)
-            at = [i for i in range(shards) if cut[i + 1] > cut[i]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(at, pa.int32()), pa.array([row.block] * len(at), pa.int64()),
-                    pa.array([pack(words[cut[i] : cut[i + 1]], delta=True) for i in at], pa.binary()), pa.array([pack(counts[cut[i] : cut[i + 1]]) for i in at], pa.binary()),
-                ],
-                names=["shard", "block", "words", "counts"],
-            )
+def _frequent_words(blocks: DataFrame, tokens: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Middle words with more than one in `most` training tokens, sorted, with their counts: fewer than `most` of them."""
 
-    return run
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, counts = (np.frombuffer(batch.column(k)[i].as_py(), np.int64) for k in (0, 1))
+                keep = counts > 0
+                yield pa.RecordBatch.from_arrays([pa.array(words[keep]), pa.array(counts[keep])], names=["word", "n"])
+
+    found = blocks.select("top", "top_counts").mapInArrow(tops, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    wanted = np.sort(found.filter(F.col("n") * most > tokens).toPandas()["word"].to_numpy(np.int64).view(np.uint64))
+    if not len(wanted):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words, seq = unpack(row.words, np.uint64, delta=True), unpack(row.seq, np.uint32)
+            times = np.bincount(seq[_trained(unpack(row.held, np.uint8), unpack(row.lengths, np.uint32))], minlength=len(words))
+            at = np.minimum(np.searchsorted(words, wanted), len(words) - 1)
+            hit = words[at] == wanted
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(hit)), pa.array(times[at[hit]].astype(np.int64))], names=["i", "n"])
 
-def _cut(values: np.ndarray, shards: int) -> np.ndarray:
-    edges = (np.arange(1, shards, dtype=np.float64) / shards * 2.0**64).astype(np.uint64)
-    return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
+    sums = blocks.select("held", "lengths", "words", "seq").mapInArrow(exact, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(len(wanted), np.int64)
+    counts[sums["i"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
+    wanted = _middle(np.where(wanted == END, START, wanted))  # as many starts as ends
+    order = np.argsort(wanted)
+    return wanted[order], counts[order]
 
 
-def _word_answers(limit_share: float):
-    """Of a word shard: each block's counts, and in one row more the words in training, their tokens, and those frequent enough to be split."""
+def _middle(words: np.ndarray) -> np.ndarray:
+    return words & ~np.uint64(1)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block").reset_index(drop=True)
-        words = [unpack(b, np.uint64, delta=True) for b in pdf["words"]]
-        distinct, place = np.unique(np.concatenate(words), return_inverse=True)
-        counts = np.concatenate([unpack(b, np.uint32) for b in pdf["counts"]]).astype(np.int64)
-        total = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
-        ends = np.cumsum([len(w) for w in words])[:-1]
-        answers = [pack(total[p]) for p in np.split(place, ends)]
-        order = np.argsort(-total, kind="stable")[:64]
-        return pd.concat(
-            [
-                pd.DataFrame({"shard": pdf["shard"], "block": pdf["block"], "answer": answers, "types": 0, "tokens": 0, "top": b"", "top_counts": b""}),
-                pd.DataFrame({"shard": pdf["shard"][:1], "block": [-1], "answer": [b""], "types": [int((total > 0).sum())], "tokens": [int(total.sum())], "top": [distinct[order].tobytes()], "top_counts": [total[order].tobytes()]}),
-            ]
-        )
 
-    return run
+@dataclass
+class Grams:
+    """The distinct grams of a block, in the order in which it asks for them; tokens know theirs by place."""
 
+    tri: tuple[np.ndarray, ...]  # shard, v, u, w, training count; sorted by shard, then v and u
+    pair: tuple[np.ndarray, ...]  # shard, whether v is frequent, v, w, training count; sorted by shard and frequency, then v and w
+    own: tuple[np.ndarray, np.ndarray]  # shard and v of the words that are not frequent; sorted by shard
+    tri_of: np.ndarray
+    pair_of: np.ndarray
+    own_of: np.ndarray  # of each middle word its place in own, -1 if it is frequent
+    middle: np.ndarray  # of each pair its middle word
+    next: np.ndarray  # of each pair a word w
 
-WORD_ANSWER = "shard int, block long, answer binary, types long, tokens long, top binary, top_counts binary"
 
+def _grams(held: np.ndarray, lengths: np.ndarray, words: np.ndarray, seq: np.ndarray, shards: int, frequent: np.ndarray) -> Grams:
+    named = np.concatenate([np.array([START]), words])
+    inner = (named >> np.uint64(64 - INNER_BITS)).astype(np.uint64)
+    distinct, code = np.unique(inner, return_inverse=True)  # words that look alike within a context are one there
+    starts = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))[:-1]]) if len(lengths) else np.zeros(0, np.int64)
+    w = seq.astype(np.int64) + 1
+    v = np.concatenate([[0], w[:-1]])
+    v[starts] = 0
+    u = np.concatenate([[0], v[:-1]])
+    u[starts] = 0
+    hashes = _middle(named)
+    hot = np.zeros(len(named), bool)
+    if len(frequent):
+        hot = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
+    shard_of = lambda key: (mix(key) % np.uint64(shards)).astype(np.int64)
+    trained = _trained(held, lengths)
+
+    def unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(keys.astype(np.uint64), return_inverse=True)
+
+    low = np.uint64(0xFFFFFFFF)
+    vu, vu_of = unique((v.astype(np.uint64) << np.uint64(32)) | code[u].astype(np.uint64))
+    tri, tri_of = unique((vu_of.astype(np.uint64) << np.uint64(32)) | code[w].astype(np.uint64))
+    vu = vu[(tri >> np.uint64(32)).astype(np.int64)]
+    tv, tu, tw = (vu >> np.uint64(32)).astype(np.int64), distinct[(vu & low).astype(np.int64)], distinct[(tri & low).astype(np.int64)]
+    count = np.bincount(tri_of[trained], minlength=len(tri)).astype(np.uint32)
+    shard = shard_of(np.where(hot[tv], hashes[tv] ^ mix(tu ^ _SALT), hashes[tv]))
+    order = np.argsort(shard, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    found = (shard[order], hashes[tv][order], tu[order], tw[order], count[order])
+    pair, pair_of = unique((v.astype(np.uint64) << np.uint64(32)) | code[w].astype(np.uint64))
+    pv, pw = (pair >> np.uint64(32)).astype(np.int64), distinct[(pair & low).astype(np.int64)]
+    times = np.bincount(pair_of[trained], minlength=len(pair)).astype(np.uint32)
+    at = shard_of(np.where(hot[pv], hashes[pv] ^ mix(pw), hashes[pv]))
+    by = np.argsort(at * 2 + hot[pv], kind="stable")
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    example = np.zeros(len(pair), np.int64)
+    example[pair_of] = w
+    plain = np.flatnonzero(~hot)
+    plain = plain[np.isin(plain, pv)]
+    own_shard = shard_of(hashes[plain])
+    first = np.argsort(own_shard, kind="stable")
+    own_of = np.full(len(named), -1, np.int64)
+    own_of[plain[first]] = np.arange(len(first))
+    return Grams(
+        found, (at[by], hot[pv][by], hashes[pv][by], pw[by], times[by]), (own_shard[first], hashes[plain][first]),
+        rank[tri_of], place[pair_of], own_of, pv[by], example[by],
+    )
 
-def _pairs_of(held: np.ndarray, lengths: np.ndarray, words: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(context place, successor place, training count, place of each token's pair): distinct pairs sorted by place; context 0 is the start, word i is i + 1."""
-    context = np.zeros(len(seq), np.uint64)
-    context[1:] = seq[:-1].astype(np.uint64) + np.uint64(1)
-    starts = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))[:-1]])
-    context[starts[starts < len(seq)]] = 0
-    pair, place = np.unique((context << np.uint64(32)) | seq.astype(np.uint64), return_inverse=True)
-    counts = np.bincount(place[_trained(held, lengths)], minlength=len(pair)).astype(np.uint32)
-    return (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64), counts, place
 
+def _cut(shard: np.ndarray, shards: int) -> np.ndarray:
+    return np.searchsorted(shard, np.arange(shards + 1))
 
-def _dealt(v: np.ndarray, w: np.ndarray, shards: int, frequent: np.ndarray) -> np.ndarray:
-    """The shard of each pair: by its context, but by both words if the context is frequent."""
-    key = mix(v)
-    if len(frequent):
-        hot = frequent[np.minimum(np.searchsorted(frequent, v), len(frequent) - 1)] == v
-        key = np.where(hot, mix(v ^ mix(w)), key)
-    return (key % np.uint64(shards)).astype(np.int64)
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the value of each run of equal neighbours, its length)."""
+    at = np.flatnonzero(_heads(values))
+    return values[at], np.diff(np.append(at, len(values))).astype(np.uint32)
 
-def _hashed(context: np.ndarray, successor: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    named = np.concatenate([np.array([START]), words])
-    return named[context] & ~np.uint64(1), words[successor] >> np.uint64(64 - SUCCESSOR_BITS)
 
+REQUEST = "shard int, block long, v binary, v_runs binary, u binary, u_runs binary, w binary, counts binary, pair_v binary, pair_runs binary, pair_w binary, pair_counts binary"
 
-def _pair_order(block_row, shards: int, frequent: np.ndarray):
-    """The block's distinct pairs by shard, context and successor: what it asks for, in the order in which answers come back."""
-    _, held, lengths, words, seq = _read(block_row)
-    context, successor, counts, place = _pairs_of(held, lengths, words, seq)
-    v, w = _hashed(context, successor, words)
-    shard = _dealt(v, w, shards, frequent)
-    order = np.lexsort((w, v, shard))
-    return context, successor, counts, place, v, w, shard, order
 
+def _requests(shards: int, known):
+    """Per block and shard: the distinct grams with their training counts, v and u once a run; the pairs of frequent v."""
 
-def _pair_requests(shards: int, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = known.value[0]
         for row in _rows(batches):
-            _, _, counts, _, v, w, shard, order = _pair_order(row, shards, frequent)
-            v, w, counts, shard = v[order], w[order], counts[order], shard[order]
-            cut = np.searchsorted(shard, np.arange(shards + 1))
-            at = [i for i in range(shards) if cut[i + 1] > cut[i]]
-            blobs = []
-            for i in at:
-                part = slice(cut[i], cut[i + 1])
-                new = np.ones(cut[i + 1] - cut[i], bool)
-                new[1:] = v[part][1:] != v[part][:-1]
-                blobs.append((pack(v[part][new], delta=True), pack(np.diff(np.append(np.flatnonzero(new), len(new))).astype(np.uint32)), pack(w[part]), pack(counts[part])))
+            g = _grams(*_read(row)[1:], shards, known.value[0])
+            cut, pair_cut = _cut(g.tri[0], shards), _cut(g.pair[0], shards)
+            shard, held = [], []
+            for i in range(shards):
+                _, v, u, w, c = (x[cut[i] : cut[i + 1]] for x in g.tri)
+                _, hot, pv, pw, pc = (x[pair_cut[i] : pair_cut[i + 1]] for x in g.pair)
+                pv, pw, pc = pv[hot], pw[hot], pc[hot]
+                if not len(v) and not len(pv):
+                    continue
+                new = _heads(v) | _heads(u)
+                at = np.flatnonzero(new)
+                names, runs = _runs(v[at])
+                pair_names, pair_runs = _runs(pv)
+                small = lambda x: x.astype(np.uint32)
+                shard.append(i)
+                held.append([pack(names, delta=True), *(pack(x) for x in (runs, small(u[at]), np.diff(np.append(at, len(v))).astype(np.uint32), small(w), c, pair_names, pair_runs, small(pw), pc))])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(at, pa.int32()), pa.array([row.block] * len(at), pa.int64()), *[pa.array([b[k] for b in blobs], pa.binary()) for k in range(4)]],
-                names=["shard", "block", "contexts", "runs", "successors", "counts"],
+                [pa.array(shard, pa.int32()), pa.array([row.block] * len(shard), pa.int64()), *[pa.array([h[k] for h in held], pa.binary()) for k in range(10)]],
+                names=[f.split()[0] for f in REQUEST.split(", ")],
             )
 
     return run
 
 
-def _pair_answers(s: Settings, known):
-    """Of a context shard: build its trie from the training counts, then look up what each block asks."""
+def _read(row) -> tuple[np.ndarray, ...]:
+    return (
+        unpack(row.ids, np.int64), unpack(row.held, np.uint8), unpack(row.lengths, np.uint32),
+        unpack(row.words, np.uint64, delta=True), unpack(row.seq, np.uint32),
+    )
+
+
+ANSWER = "shard int, block long, p3 binary, backoff binary, p2 binary, counts binary, types long, tokens long"
+
+
+def _asked(row) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """((v, u, w, count), (v, w, count) of frequent v) of a request."""
+    wide = lambda b: unpack(b, np.uint32).astype(np.uint64)
+    runs = unpack(row.u_runs, np.uint32)
+    v = np.repeat(np.repeat(unpack(row.v, np.uint64, delta=True), unpack(row.v_runs, np.uint32)), runs)
+    pairs = np.repeat(unpack(row.pair_v, np.uint64), unpack(row.pair_runs, np.uint32)), wide(row.pair_w), unpack(row.pair_counts, np.uint32)
+    return (v, np.repeat(wide(row.u), runs), wide(row.w), unpack(row.counts, np.uint32)), pairs
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Columns of grams, of which the last is a count, sorted and summed; grams without a count go."""
+    columns = [np.concatenate([p[k] for p in parts]) for k in range(len(parts[0]))]
+    seen = columns[-1] > 0
+    *keys, count = (c[seen] for c in columns)
+    order = np.lexsort(keys[::-1])
+    keys, count = [k[order] for k in keys], count[order].astype(np.int64)
+    new = np.zeros(len(count), bool)
+    for k in keys:
+        new |= _heads(k)
+    at = np.flatnonzero(new)
+    return *[k[at] for k in keys], np.add.reduceat(count, at) if len(at) else count
+
+
+def _answers(s: Settings, known):
+    """Of a shard: build its trie from the training counts, then look up what each block asks."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         frequent, frequent_counts = known.value
-        asked = []
-        for row in pdf.sort_values("block").itertuples(index=False):
-            v = np.repeat(unpack(row.contexts, np.uint64, delta=True), unpack(row.runs, np.uint32))
-            asked.append((row.block, v, unpack(row.successors, np.uint64), unpack(row.counts, np.uint32)))
-        v, w, c = (np.concatenate([a[k] for a in asked]) for k in (1, 2, 3))
-        seen = c > 0
-        v, w, c = v[seen], w[seen], c[seen].astype(np.int64)
-        order = np.lexsort((w, v))
-        v, w, c = v[order], w[order], c[order]
-        new = np.ones(len(v), bool)
-        new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-        heads = np.flatnonzero(new)
-        if len(heads):
-            c = np.add.reduceat(c, heads)
-        v, w = v[heads], w[heads]
-        first = np.ones(len(v), bool)
-        first[1:] = v[1:] != v[:-1]
-        rank = np.cumsum(first) - 1
-        total = np.bincount(rank, weights=c)[rank] if len(v) else np.zeros(0)
-        if len(frequent):  # their counts are spread over shards
-            at = np.minimum(np.searchsorted(frequent, v), len(frequent) - 1)
-            total = np.where(frequent[at] == v, frequent_counts[at], total)
-        with tempfile.TemporaryDirectory(dir=local_temp()) as folder:
-            trie = Trie.build(v, w, c, total, s.prior).save(folder)
-            out = []
-            for block, av, aw, _ in asked:
-                probability, backoff = trie.find(av, aw)
-                new = np.ones(len(av), bool)
-                new[1:] = av[1:] != av[:-1]
-                out.append((block, pack(probability), pack(backoff[new])))
-        return pd.DataFrame({"shard": pdf["shard"].iloc[0], "block": [o[0] for o in out], "probability": [o[1] for o in out], "backoff": [o[2] for o in out]})
+        asked = [(row.block, *_asked(row)) for row in pdf.sort_values("block").itertuples(index=False)]
+        trie = Trie(_summed([a[1] for a in asked]), _summed([a[2] for a in asked]), frequent, frequent_counts, s.prior)
+        out = []
+        for block, (v, u, w, _), (fv, fw, _) in asked:
+            p3, backoff = trie.find(v, u, w)
+            plain = np.ones(len(v), bool)
+            if len(frequent):
+                plain = frequent[np.minimum(np.searchsorted(frequent, v), len(frequent) - 1)] != v
+            # each v is one run: number the runs, so that pairs come in the order of the block
+            run = np.cumsum(_heads(v)) - 1
+            pairs = np.unique((run[plain].astype(np.uint64) << _INNER) | w[plain])
+            names = v[_heads(v)]
+            pv = np.concatenate([names[(pairs >> _INNER).astype(np.int64)], fv])
+            p2 = trie.find_pairs(pv, np.concatenate([pairs & np.uint64((1 << INNER_BITS) - 1), fw]))
+            counts = trie.count(v[_heads(v) & plain])
+            out.append((block, pack(p3), pack(backoff[_heads(v) | _heads(u)]), pack(p2), pack(counts)))
+        hot = np.zeros(len(trie.counts), bool)
+        if len(frequent) and len(hot):
+            own = (trie.words[np.arange(trie.words.size)]) << np.uint64(1)
+            hot = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
+        frame = pd.DataFrame({"shard": pdf["shard"].iloc[0], "block": [o[0] for o in out], **{n: [o[k] for o in out] for k, n in enumerate(("p3", "backoff", "p2", "counts"), 1)}})
+        frame["types"], frame["tokens"] = 0, 0
+        frame.loc[0, ["types", "tokens"]] = int((~hot & (trie.counts > 0)).sum()), int(trie.counts[~hot].sum())
+        return frame
 
     return run
 
 
-PAIR_ANSWER = "shard int, block long, probability binary, backoff binary"
 SCORED = "rid long, held_out boolean, n_tokens long, n_known long, base_sum double, score double"
 
 
 def _scores(s: Settings, shards: int, known, tokens: int, types: int):
     def run(key, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        frequent = known.value[0]
-        row = next(blocks.itertuples(index=False))
-        ids, held, lengths, words, seq = _read(row)
-        by_word = answers[answers["kind"] == 0].sort_values("shard")
-        counts = np.concatenate([unpack(b, np.int64) for b in by_word["a"]]) if len(by_word) else np.zeros(0, np.int64)
+        frequent, frequent_counts = known.value
+        ids, held, lengths, words, seq = _read(next(blocks.itertuples(index=False)))
+        g = _grams(held, lengths, words, seq, shards, frequent)
+        answers = answers.sort_values("shard")
+        joined = lambda name, kind: np.concatenate([unpack(b, kind) for b in answers[name]]) if len(answers) else np.zeros(0, kind)
+        # counts of words: of the frequent ones, and of those that the block has as middle words; ends are as many as starts
+        hashes = _middle(np.concatenate([np.array([START]), words]))
+        counts = np.zeros(len(hashes), np.int64)
+        counts[g.own_of >= 0] = joined("counts", np.int64)[g.own_of[g.own_of >= 0]]
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+            counts = np.where(frequent[at] == hashes, frequent_counts[at], counts)
+        counts[np.concatenate([[False], words == END])] = counts[0]
         unigram = (counts + s.add) / (tokens + s.add * (types + 1))
-        context, successor, _, place, v, _, shard, order = _pair_order(row, shards, frequent)
-        by_pair = answers[answers["kind"] == 1].sort_values("shard")
-        joined = [np.zeros(0), np.zeros(0)]
-        if len(by_pair):
-            probability = np.concatenate([unpack(b, np.uint16) for b in by_pair["a"]])
-            sv, ss = v[order], shard[order]
-            new = np.ones(len(sv), bool)
-            new[1:] = (sv[1:] != sv[:-1]) | (ss[1:] != ss[:-1])
-            backoff = np.concatenate([unpack(b, np.uint16) for b in by_pair["b"]])[np.cumsum(new) - 1]
-            backoff = np.where(backoff > 0, restore(backoff), 1.0)
-            if len(frequent):  # a shard may hold no pair of a frequent context
-                at = np.minimum(np.searchsorted(frequent, sv), len(frequent) - 1)
-                backoff = np.where(frequent[at] == sv, s.prior / (known.value[1][at] + s.prior), backoff)
-            joined = [restore(probability), backoff]
-        pair = np.zeros(len(order))
-        pair[order] = joined[0] + joined[1] * unigram[successor[order]]
+        weight = s.prior / (counts[g.middle] + s.prior)
+        two = restore(joined("p2", np.uint16)) + weight * unigram[g.next]
+        _, v, u, _, _ = g.tri
+        new = _heads(g.tri[0]) | _heads(v) | _heads(u)
+        backoff = joined("backoff", np.uint16)[np.cumsum(new) - 1]
+        backoff = np.where(backoff > 0, restore(backoff), 1.0)
+        three = restore(joined("p3", np.uint16))[g.tri_of] + backoff[g.tri_of] * two[g.pair_of]
         starts = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))[:-1]])
         each = lambda x: np.add.reduceat(x, starts) if len(x) else np.zeros(0)
+        word = seq.astype(np.int64) + 1
         return pd.DataFrame(
             {
-                "rid": ids, "held_out": held.astype(bool), "n_tokens": lengths.astype(np.int64), "n_known": each((counts[seq] > 0).astype(np.int64)),
-                "base_sum": each(np.log10(unigram)[seq]), "score": each(np.log10(pair)[place]),
+                "rid": ids, "held_out": held.astype(bool), "n_tokens": lengths.astype(np.int64), "n_known": each((counts[word] > 0).astype(np.int64)),
+                "base_sum": each(np.log10(unigram)[word]), "score": each(np.log10(three)),
             }
         )
 
@@ -405,38 +556,21 @@ def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFr
     Other columns are ignored. An empty table gives an empty result.
     """
     s, spark = settings or Settings(), docs.sparkSession
-    shards = 2 * shuffle_partitions(spark)
     rows = docs.select(
         F.spark_partition_id().cast("long").alias("task"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("rid"),
         (crc_mod("doc_id", FOLDS) == 0).alias("held"), text_of().alias("text"),
     )
     blocks = materialize(rows.mapInArrow(_blocks(s), BLOCK), "blocks", compression="none")
-    words = blocks.mapInArrow(_word_requests(shards), "shard int, block long, words binary, counts binary")
-    words = materialize(words.groupBy("shard").applyInPandas(_word_answers(1 / (s.spread * shards)), WORD_ANSWER), "words", compression="none")
-    totals = words.filter("block = -1")
-    size = totals.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
-    tokens, types = int(size["n"] or 0), int(size["v"] or 0)
-    known = spark.sparkContext.broadcast(_frequent_contexts(totals, tokens, s.spread * shards))
-
-    asked = blocks.mapInArrow(_pair_requests(shards, known), "shard int, block long, contexts binary, runs binary, successors binary, counts binary")
-    pairs = asked.groupBy("shard").applyInPandas(_pair_answers(s, known), PAIR_ANSWER)
-    answers = words.filter("block >= 0").select("block", "shard", F.lit(0).alias("kind"), F.col("answer").alias("a"), F.lit(None).cast("binary").alias("b"))
-    answers = answers.unionByName(pairs.select("block", "shard", F.lit(1).alias("kind"), F.col("probability").alias("a"), F.col("backoff").alias("b")))
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scores(s, shards, known, tokens, types), SCORED)
+    total = int(blocks.agg(F.sum("tokens")).first()[0] or 0)
+    shards = max(2 * shuffle_partitions(spark), -(-total // s.shard_tokens))
+    known = spark.sparkContext.broadcast(_frequent_words(blocks, total, s.spread * shards))
+    asked = blocks.select("block", "ids", "held", "lengths", "words", "seq").mapInArrow(_requests(shards, known), REQUEST)
+    answers = materialize(asked.groupBy("shard").applyInPandas(_answers(s, known), ANSWER), "answers", compression="none")
+    size = answers.agg(F.sum("types").alias("v"), F.sum("tokens").alias("n")).first()
+    # starts count as ends, so middle words are tokens
+    tokens, types = (int(size[k] or 0) + int(extra) for k, extra in (("n", known.value[1].sum()), ("v", (known.value[1] > 0).sum())))
+    scored = blocks.drop("top", "top_counts", "tokens").groupBy("block").cogroup(answers.drop("types", "tokens").groupBy("block")).applyInPandas(_scores(s, shards, known, tokens, types), SCORED)
     return scored.select(
         F.nullif("rid", F.lit(-(1 << 63))).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
         F.col("base_sum").alias("base_score"), "score",
     )
-
-
-def _frequent_contexts(totals: DataFrame, tokens: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts that hold more than one in `most` training tokens (so fewer than `most` of them), sorted, with their counts."""
-    rows = totals.select("top", "top_counts").toPandas()  # 64 words of each shard
-    if not len(rows):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    words = np.concatenate([np.frombuffer(b, np.uint64) for b in rows["top"]])
-    words = np.where(words == END, START, words) & ~np.uint64(1)  # as many starts as ends
-    counts = np.concatenate([np.frombuffer(b, np.int64) for b in rows["top_counts"]])
-    keep = counts * most > max(tokens, 1)
-    order = np.argsort(words[keep])
-    return words[keep][order], counts[keep][order]

@@ -443,6 +443,16 @@ def test_elias_fano(values, asked):
     seq = ngram_lm.EliasFano.of(v, 2**41)
     assert (seq[np.arange(len(v))] == v).all() if len(v) else seq.size == 0
     assert (seq.successor(np.array(asked, dtype=np.uint64)) == np.searchsorted(v, np.array(asked, dtype=np.uint64))).all()
+    assert ((seq.find(np.array(asked, dtype=np.uint64)) >= 0) == np.isin(asked, v)).all()
+
+
+def test_elias_fano_over_many_blocks():
+    rng = np.random.default_rng(1)
+    for values in (rng.integers(0, 2**20, 50_000), rng.integers(0, 2**50, 50_000), np.repeat(np.arange(40), 999), np.arange(5_000) * 3):
+        v = np.sort(values).astype(np.uint64)
+        seq = ngram_lm.EliasFano.of(v, int(v[-1]) + 1)
+        asked = np.concatenate([v[::7], v[::11] + np.uint64(1), rng.integers(0, 2**51, 1000).astype(np.uint64)])
+        assert (seq[np.arange(len(v))] == v).all() and (seq.successor(asked) == np.searchsorted(v, asked)).all()
 
 
 @pytest.mark.parametrize("spread", [4, 10_000])
@@ -451,16 +461,23 @@ def test_language_model_matches_plain_counts(docs, texts, spread):
     got = {r["doc_id"]: r for r in ngram_lm.score_documents(docs, s).collect()}
     tokens = {i: [*t.encode().lower().split(), None] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
-    one, two, ctx = collections.Counter(), collections.Counter(), collections.Counter()
+    grams = lambda w: list(zip([0, 0, *w[:-2]][: len(w)], [0, *w[:-1]], w, strict=True))
+    one, two, three, middle, both = (collections.Counter() for _ in range(5))
     for i, w in tokens.items():
         if not held[i]:
             one.update(w)
-            two.update(zip([0, *w[:-1]], w, strict=True))
-            ctx.update([0, *w[:-1]])
+            for a, b, c in grams(w):
+                two[b, c] += 1
+                three[a, b, c] += 1
+                middle[b] += 1
+                both[a, b] += 1
     n, v = sum(one.values()), len(one)
     for i, w in tokens.items():
         u = [(one[x] + 0.1) / (n + 0.1 * (v + 1)) for x in w]
-        model = sum(math.log10((two[p] + s.prior * q) / (ctx[p[0]] + s.prior)) for p, q in zip(zip([0, *w[:-1]], w, strict=True), u, strict=True))
+        model = 0.0
+        for (a, b, c), q in zip(grams(w), u, strict=True):
+            p = (two[b, c] + s.prior * q) / (middle[b] + s.prior)
+            model += math.log10((three[a, b, c] + s.prior * p) / (both[a, b] + s.prior))
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(w), sum(one[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(map(math.log10, u)), rel=1e-9)
