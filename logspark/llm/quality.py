@@ -1,29 +1,43 @@
 """Quality rules: fixed limits, and robust multivariate outliers per language and source.
 
 For each (language, source) group, or the next wider one with enough rows (the language, then all
-rows), a minimum-covariance-determinant estimate is fitted to
-transformed statistics: coordinate medians and spreads start it, then concentration steps refit
-mean and covariance on the share of rows that lie nearest. A row is rejected when its Mahalanobis
-distance, scaled so that the group's median matches the chi-square median, exceeds the cutoff.
+rows), a minimum-covariance-determinant estimate is fitted to transformed statistics. Deterministic
+starts (spreads alone, plain moments, moments of squashed values and of directions) each take
+concentration steps, which refit mean and covariance on the share of rows that lie nearest; the
+start that reaches the least determinant is kept and refined. A row is rejected when its Mahalanobis
+distance, scaled so that the group's median matches the chi-square median, is beyond the chi-square
+quantile of the tail probability.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_are_keys, materialize, small, text_of
+from .common import ids_are_keys, materialize, release, small, text_of
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Share of a group that a fit keeps, concentration steps, and the smallest group with a fit of its own: five rows a feature.
-KEEP_SHARE, STEPS, MIN_GROUP = 0.75, 3, 20
-#: Median of the chi-square distribution with as many degrees of freedom as FEATURES.
-CHI2_MEDIAN = 3.3567
-#: Squared scaled distance beyond which a row is an outlier. Text statistics have heavier tails than a normal distribution.
-CUTOFF = 100.0
+#: Share of a group that a fit keeps, concentration steps of every start and of the best one, and the smallest group with a fit of its own: five rows a feature.
+KEEP_SHARE, STEPS, MORE_STEPS, MIN_GROUP = 0.75, 2, 2, 20
+#: Tail probability of the chi-square distribution beyond which a row is an outlier. It is this small as text statistics have heavier tails than a normal distribution.
+TAIL = 1e-20
+
+
+def chi2_quantile(tail: float) -> float:
+    """The value that a chi-square variable of four degrees of freedom exceeds with this probability: (1 + x / 2) exp(-x / 2) = tail."""
+    low, high = 0.0, 2000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if math.log1p(mid / 2) - mid / 2 > math.log(tail) else (low, mid)
+    return low
+
+
+CUTOFF = chi2_quantile(TAIL)
 #: Smallest standard deviation of each feature, so that constant statistics keep the covariance regular.
 FEATURES = {"f_words": 0.1, "f_length": 0.1, "f_symbols": 0.05, "f_lines": 0.05}
 
@@ -92,26 +106,48 @@ def _distance(names: list[str]) -> Column:
     return total
 
 
-def _factor(params: DataFrame, floors: list[float]) -> DataFrame:
-    """Columns c{i}{j} of a covariance (lower triangle) to l{i}{j} of its Cholesky factor; variances get their floor added."""
-    for i in range(len(floors)):
+def _factor(params: DataFrame, key: list[str], floors: list[Column]) -> DataFrame:
+    """From columns m{i} and c{i}{j} (lower triangle) of a mean and covariance: m{i}, l{i}{j} of the Cholesky factor, and log_det. Variances get their floor added."""
+    k = len(floors)
+    for i in range(k):
         for j in range(i + 1):
             value = F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0))
-            for k in range(j):
-                value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+            for n in range(j):
+                value = value - F.col(f"l{i}{n}") * F.col(f"l{j}{n}")
             if i == j:
-                value = F.sqrt(F.greatest(value, F.lit(0.0)) + floors[i] ** 2)
+                value = F.sqrt(F.greatest(value, F.lit(0.0)) + floors[i] * floors[i])
             else:
                 value = value / F.col(f"l{j}{j}")
             params = params.withColumn(f"l{i}{j}", value)
-    return params
+    log_det = sum((F.log(F.col(f"l{i}{i}")) for i in range(k)), F.lit(0.0))
+    return params.select(*key, *[f"m{i}" for i in range(k)], *[f"l{i}{j}" for i in range(k) for j in range(i + 1)], log_det.alias("log_det"))
+
+
+def _moments(names: list[str]) -> list[Column]:
+    k = len(names)
+    return [F.avg(n).alias(f"m{i}") for i, n in enumerate(names)] + [F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i in range(k) for j in range(i + 1)]
+
+
+def _starts(rows: DataFrame, gkey: list[str], names: list[str]) -> DataFrame:
+    """(gkey, start, m{i}, c{i}{j}): the moments from which each start begins, of values scaled by median and spread."""
+    z = [F.col(n) for n in names]
+    norm = F.sqrt(sum((x * x for x in z), F.lit(1e-12)))
+    each = [z, [F.tanh(x) for x in z], [x / norm for x in z]]
+    kinds = F.array(*[F.struct(F.lit(k + 1).alias("start"), *[x.alias(f"t{i}") for i, x in enumerate(values)]) for k, values in enumerate(each)])
+    shapes = rows.select(*gkey, F.explode(kinds).alias("s")).select(*gkey, "s.*").groupBy(*gkey, "start").agg(*_moments([f"t{i}" for i in range(len(z))]))
+    # squashed values and directions give a shape about the median; spreads alone are one more start
+    about = {f"m{i}": F.when(F.col("start") > 1, F.lit(0.0)).otherwise(F.col(f"m{i}")) for i in range(len(z))}
+    plain = {f"m{i}": F.lit(0.0) for i in range(len(z))} | {f"c{i}{j}": F.lit(float(i == j)) for i in range(len(z)) for j in range(i + 1)}
+    shapes = materialize(shapes.withColumns(about), "shapes")
+    return shapes.unionByName(shapes.filter("start = 1").withColumn("start", F.lit(0)).withColumns(plain))
 
 
 def outliers(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """stats (columns group_lang, group_source and FEATURES) with d2, the scaled squared distance to the row's group.
 
     stats should be a written table: it is read once for each step. A group under MIN_GROUP rows is
-    judged by the estimate of all rows of its language, or of all rows if these are under MIN_GROUP too.
+    judged by the estimate of all rows of its language, or of all rows if these are under MIN_GROUP
+    too: a covariance of four features needs some rows, whatever the size of the table.
     """
     names, floors, key = list(FEATURES), list(FEATURES.values()), ["group_lang", "group_source"]
     sizes = materialize(stats.groupBy(*key).count().withColumnRenamed("count", "n"), "sizes")
@@ -128,30 +164,37 @@ def outliers(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     rows = rows.withColumn("kind", F.explode(F.array_compact(taken))).drop("by_lang")
     rows = rows.withColumn("group_source", F.when(F.col("kind") == 0, F.col("group_source")).otherwise(""))
     rows = rows.withColumn("group_lang", F.when(F.col("kind") <= 1, F.col("group_lang")).otherwise(""))
-    gkey = ["kind", *key]
-    med = [F.percentile_approx(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, n in enumerate(names)]
-    params = rows.groupBy(*gkey).agg(*med)
-    start = [F.col(f"q{i}")[1].alias(f"m{i}") for i in range(len(names))]
-    spread = [((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349).alias(f"s{i}") for i in range(len(names))]
-    params = params.select(*gkey, *start, *spread)
-    for i in range(len(names)):
-        for j in range(i + 1):
-            params = params.withColumn(f"c{i}{j}", F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0))
-    for step in range(STEPS + 1):
-        params = _factor(materialize(params, "fit"), floors)
-        keepers = params.select(*gkey, *[f"m{i}" for i in range(len(names))], *[f"l{i}{j}" for i in range(len(names)) for j in range(i + 1)])
-        scored = rows.join(small(materialize(keepers, "factor")), gkey).withColumn("d2", _distance(names))
-        limits = scored.groupBy(*gkey).agg(F.percentile_approx("d2", F.array(F.lit(0.5), F.lit(KEEP_SHARE)), 1000).alias("q"))
-        limits = materialize(limits.select(*gkey, F.col("q")[0].alias("mid"), F.col("q")[1].alias("near")), "near")
-        if step == STEPS:
-            break
-        core = scored.join(small(limits), gkey).filter(F.col("d2") <= F.col("near"))
-        moments = [F.avg(n).alias(f"m{i}") for i, n in enumerate(names)]
-        moments += [F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i in range(len(names)) for j in range(i + 1)]
-        params = core.groupBy(*gkey).agg(*moments)
-    judged = scored.filter(F.col("kind") == F.col("own")).join(small(limits), gkey)
-    scale = CHI2_MEDIAN / F.greatest(F.col("mid"), F.lit(1e-9))
-    return judged.withColumn("d2", F.col("d2") * F.least(scale, F.lit(1.0)))
+    gkey, index = ["kind", *key], range(len(names))
+    quartiles = [F.percentile_approx(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, n in enumerate(names)]
+    scale = rows.groupBy(*gkey).agg(*quartiles)
+    spread = lambda i: F.sqrt(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + floors[i] ** 2)
+    scale = materialize(scale.select(*gkey, *[F.col(f"q{i}")[1].alias(f"mid{i}") for i in index], *[spread(i).alias(f"s{i}") for i in index], *[(floors[i] / spread(i)).alias(f"f{i}") for i in index]), "scale")
+    scaled = [((F.col(n) - F.col(f"mid{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, n in enumerate(names)]
+    z = rows.join(small(scale), gkey).select(*rows.columns, *scaled)
+    zs, skey = [f"z{i}" for i in index], [*gkey, "start"]
+    floor = [F.col(f"f{i}") for i in index]
+    factor = lambda params: materialize(_factor(params.join(small(scale), gkey), skey, floor), "factor")
+
+    def step(params: DataFrame) -> DataFrame:
+        """Mean and covariance of the rows nearest to each start's present estimate."""
+        scored = z.select(*gkey, *zs).join(small(params), gkey).select(*skey, *zs, _distance(zs).alias("d2"))
+        near = materialize(scored.groupBy(*skey).agg(F.percentile_approx("d2", F.lit(KEEP_SHARE), 1000).alias("near")), "near")
+        out = factor(scored.join(small(near), skey).filter(F.col("d2") <= F.col("near")).groupBy(*skey).agg(*_moments(zs)))
+        release(params, near)
+        return out
+
+    params = factor(_starts(z, gkey, zs))
+    for _ in range(STEPS):
+        params = step(params)
+    least = params.groupBy(*gkey).agg(F.min(F.struct("log_det", "start")).alias("least")).select(*gkey, F.col("least.start").alias("start"))
+    params = materialize(params.join(least, skey), "best")
+    for _ in range(MORE_STEPS):
+        params = step(params)
+    scored = z.join(small(params), gkey).withColumn("d2", _distance(zs))
+    middle = materialize(scored.groupBy(*gkey).agg(F.percentile_approx("d2", F.lit(0.5), 1000).alias("mid")), "middle")
+    judged = scored.filter(F.col("kind") == F.col("own")).join(small(middle), gkey)
+    # the middle of the distances is set to that of the distribution; groups that are closer than it to their floors are not stretched
+    return judged.withColumn("d2", F.col("d2") * F.least(chi2_quantile(0.5) / F.greatest(F.col("mid"), F.lit(1e-9)), F.lit(1.0)))
 
 
 def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
