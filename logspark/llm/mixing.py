@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, small, text_of
+from .common import materialize, release, small, text_of
 
-#: Slots in a period (the precision of a weight), documents in a block, and the most sources a mix may have.
-PERIOD, BLOCK_ROWS, MAX_SOURCES = 1000, 4, 20_000
-#: Sources without a target weight get a share that grows as their size to this power.
+#: Slots in a period (the precision of a weight), documents in a block, and sources with blocks of their own: the largest ones; all others share the blocks of one more.
+PERIOD, BLOCK_ROWS, OWN_SOURCES = 1000, 4, 20_000
+#: Target shares of the production mix; what they leave is shared by all other sources, as their sizes to the power of TEMPERATURE.
+TARGETS = {"src0": 0.20, "src1": 0.10, "src2": 0.05}
 TEMPERATURE = 0.5
-NO_SOURCE = "\x00"
+NO_SOURCE, OTHERS = "\x00", "\x01"
 
 
 def quantise(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -64,12 +65,31 @@ def source_of() -> Column:
     return F.coalesce(F.col("source"), F.lit(NO_SOURCE))
 
 
-def weights_by_size(docs: DataFrame, targets: dict[str, float] | None, temperature: float) -> dict[str, float]:
-    """A weight for every source of docs: its target, or its size to the power of temperature."""
-    sizes = docs.groupBy(source_of().alias("s")).count().limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them before mixing")
-    return {r["s"]: (targets or {}).get(r["s"], float(r["count"]) ** temperature) for r in sizes}
+def source_sizes(docs: DataFrame, own: int = OWN_SOURCES) -> dict[str, int]:
+    """Documents of each source; those beyond the `own` largest together, under OTHERS."""
+    sizes = materialize(docs.groupBy(source_of().alias("s")).count(), "sizes")
+    found = {r["s"]: r["count"] for r in sizes.orderBy(F.desc("count"), "s").limit(own).collect()}
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    release(sizes)
+    rest = total - sum(found.values())
+    return found | ({OTHERS: rest} if rest else {})
+
+
+def target_weights(sizes: dict[str, int], targets: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> dict[str, float]:
+    """A weight for every source: its target, or its part of what the targets leave (equal to 1 where they leave nothing), by size to the power of temperature."""
+    named = {s: w for s, w in (targets or {}).items() if s in sizes}
+    free = {s: float(n) ** temperature for s, n in sizes.items() if s not in named}
+    left = 1.0 - sum(named.values())
+    share = (left if named and left > 0 else 1.0) / sum(free.values()) if free else 0.0
+    return named | {s: w * share for s, w in free.items()}
+
+
+def horizon(parts: dict[str, int], sizes: dict[str, int], block_rows: int) -> int:
+    """The first slot whose source has no full block left: up to it the mix has its target weights."""
+    slots = {(s, k): t for s, k, t, _, _ in period_schedule(parts)}
+    full = {s: n // block_rows for s, n in sizes.items()}
+    d = sum(parts.values())
+    return min((full[s] // parts[s] * d + slots[s, full[s] % parts[s]] for s in parts), default=0)
 
 
 def ranked(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -89,33 +109,44 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return joined.withColumn("rank", F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
 
 
-def mix_plan(docs: DataFrame, targets: dict[str, float] | None = None, temperature: float = TEMPERATURE, period: int = PERIOD, block_rows: int = BLOCK_ROWS, seed: int = 17, tie: Column | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, source, weight (of the period), block, slot, release, deadline, place (in the block).
+def mix_plan(
+    docs: DataFrame, targets: dict[str, float] | None = None, temperature: float = TEMPERATURE, period: int = PERIOD, block_rows: int = BLOCK_ROWS,
+    seed: int = 17, own: int = OWN_SOURCES, tie: Column | None = None,
+) -> DataFrame:
+    """One row per row of docs: doc_id, source, weight (of the period), block, slot, release, deadline, place (in the block), on_target.
 
     Sorting by (slot, place) gives the mix. All rows stay: once a source has no blocks left its
-    slots are empty, and the others keep theirs. A null source is a source. Within a source, rows
-    come in an order hashed from doc_id; rows without doc_id, and repeated ones, in any, or in that
-    of the column tie, which is then given too. Other columns are ignored.
+    slots are empty, and the others keep theirs; on_target tells the rows before the first such
+    slot. A null source is a source; sources beyond the `own` largest share blocks. Within a
+    source, rows come in an order hashed from doc_id; rows without doc_id, and repeated ones, in
+    any, or in that of the column tie, which is then given too. Other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
-    parts = quantise(weights_by_size(docs, targets, temperature), period)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_of().alias("source"), F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)).alias("order"), *([] if tie is None else [tie.alias("tie")]))
+    sizes = source_sizes(docs, own)
+    parts = quantise(target_weights(sizes, targets, temperature), period)
+    doc_id = F.col("doc_id").cast("long")
+    order = F.conv(F.substring(F.md5(F.concat_ws("/", doc_id.cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
     ties = [] if tie is None else ["tie"]
     if not parts:
-        empty = "doc_id long, source string, weight int, block long, slot long, release long, deadline long, place long" + ", tie long" * len(ties)
+        empty = "doc_id long, source string, weight int, block long, slot long, release long, deadline long, place long, on_target boolean" + ", tie long" * len(ties)
         return spark.createDataFrame([], empty)
     d = sum(parts.values())
-    table = spark.createDataFrame([(s, k, t, r, e, parts[s]) for s, k, t, r, e in period_schedule(parts)], "source string, k long, t long, r long, e long, weight int")
-    placed = ranked(rows, ["source"], ["order", "doc_id", *ties])
-    weights = spark.createDataFrame(list(parts.items()), "source string, w long")
+    table = spark.createDataFrame([(s, k, t, r, e, parts[s]) for s, k, t, r, e in period_schedule(parts)], "part string, k long, t long, r long, e long, weight int")
+    weights = small(spark.createDataFrame(list(parts.items()), "part string, w long"), own + 1)
+    rows = docs.select(doc_id.alias("doc_id"), source_of().alias("source"), order.alias("order"), *([] if tie is None else [tie.alias("tie")]))
+    if OTHERS in parts:
+        rows = rows.join(weights.select(F.col("part").alias("source"), "part"), "source", "left").withColumn("part", F.coalesce("part", F.lit(OTHERS)))
+    else:
+        rows = rows.withColumn("part", F.col("source"))
+    placed = ranked(rows, ["part"], ["order", "doc_id", *ties])
     block = F.expr(f"rank div {block_rows}")
-    placed = placed.select("doc_id", "source", *ties, block.alias("block"), (F.col("rank") % block_rows).alias("place")).join(small(weights), "source")
+    placed = placed.select("doc_id", "source", "part", *ties, block.alias("block"), (F.col("rank") % block_rows).alias("place")).join(weights, "part")
     placed = placed.withColumns({"k": F.col("block") % F.col("w"), "turn": F.expr("block div w") * d})
-    joined = placed.join(small(table, 2 * MAX_SOURCES), ["source", "k"])
-    source = F.when(F.col("source") != NO_SOURCE, F.col("source"))
+    joined = placed.join(small(table, max(PERIOD, period, 2 * own + 2)), ["part", "k"])
+    source, slot = F.when(F.col("source") != NO_SOURCE, F.col("source")), F.col("turn") + F.col("t")
     return joined.select(
-        "doc_id", source.alias("source"), "weight", "block", (F.col("turn") + F.col("t")).alias("slot"),
-        (F.col("turn") + F.col("r")).alias("release"), (F.col("turn") + F.col("e")).alias("deadline"), "place", *ties,
+        "doc_id", source.alias("source"), "weight", "block", slot.alias("slot"), (F.col("turn") + F.col("r")).alias("release"), (F.col("turn") + F.col("e")).alias("deadline"),
+        "place", (slot < horizon(parts, sizes, block_rows)).alias("on_target"), *ties,
     )
 
 

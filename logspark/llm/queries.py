@@ -10,7 +10,7 @@ from .dedup import exact_dedup
 from .jaccard import near_components
 from .langid import identify_languages
 from .license_scan import scan_licenses
-from .mixing import mix_plan
+from .mixing import TARGETS, mix_plan
 from .ngram_lm import score_documents
 from .packing import pack_documents
 from .quality import quality_verdicts
@@ -60,7 +60,7 @@ def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_plan(read(spark, sf_dir, "documents"))
+    return mix_plan(read(spark, sf_dir, "documents"), TARGETS)
 
 
 QUERIES = {
@@ -101,4 +101,33 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.verdict, 'allow') AS verdict
         FROM parts p LEFT JOIN hits h ON p.page_id = h.page_id AND h.place = 1""",
+    # weights to parts of the period by largest remainders, then a slot at a time: of the released blocks the one with the earliest deadline
+    "op10_source_mix": r"""
+        WITH RECURSIVE docs AS (SELECT doc_id, coalesce(source, chr(0)) AS s FROM documents),
+        sizes AS (SELECT s, count(*) AS n FROM docs GROUP BY s),
+        named AS (SELECT s, w FROM (VALUES ('src0', 0.20::DOUBLE), ('src1', 0.10::DOUBLE), ('src2', 0.05::DOUBLE)) t(s, w) SEMI JOIN sizes USING (s)),
+        free AS (SELECT s, sqrt(n::DOUBLE) AS w FROM sizes ANTI JOIN named USING (s)),
+        spare AS (SELECT CASE WHEN count(*) > 0 AND sum(w) < 1 THEN 1 - sum(w) ELSE 1 END AS x FROM named),
+        weights AS (SELECT s, w FROM named UNION ALL SELECT s, w * (SELECT x FROM spare) / (SELECT sum(w) FROM free) FROM free),
+        period AS (SELECT greatest(1000, 2 * count(*)) AS d, count(*) AS m FROM weights),
+        exact AS (SELECT s, w * (SELECT d - m FROM period) / (SELECT sum(w) FROM weights) AS e FROM weights),
+        parts AS (
+            SELECT s, (1 + floor(e) + CASE WHEN row_number() OVER (ORDER BY floor(e) - e, s) <= (SELECT d - m FROM period) - sum(floor(e)) OVER () THEN 1 ELSE 0 END)::BIGINT AS p
+            FROM exact),
+        lists AS (SELECT list(p ORDER BY s) AS p, list(s ORDER BY s) AS names, count(*) AS m, sum(p)::BIGINT AS d FROM parts),
+        edf AS (
+            SELECT -1::BIGINT AS t, list_transform(p, lambda x: 0::BIGINT) AS had, 0::BIGINT AS pick, 0::BIGINT AS k FROM lists
+            UNION ALL
+            SELECT t + 1, list_transform(range(1, m + 1), lambda j: had[j] + CASE WHEN j = best % 100000 THEN 1 ELSE 0 END), best % 100000, had[best % 100000]
+            FROM (
+                SELECT t, had, p, m, d, list_min(list_transform(range(1, m + 1), lambda j:
+                    CASE WHEN had[j] < p[j] AND had[j] * d // p[j] <= t + 1 THEN ((had[j] + 1) * d + p[j] - 1) // p[j] * 100000 + j END)) AS best
+                FROM edf, lists WHERE t + 1 < d)
+        ),
+        slots AS (SELECT names[pick] AS s, k, t, p[pick] AS w, d, k * d // p[pick] AS r, ((k + 1) * d + p[pick] - 1) // p[pick] AS e FROM edf, lists WHERE t >= 0),
+        horizon AS (SELECT min(n // 4 // w * d + t) AS h FROM slots JOIN sizes USING (s) WHERE k = n // 4 % w),
+        ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY s ORDER BY ('0x' || substr(md5(doc_id || '/17'), 1, 15))::BIGINT, doc_id) - 1 AS rank FROM docs)
+        SELECT r.doc_id, nullif(r.s, chr(0)) AS source, l.w::INTEGER AS weight, rank // 4 AS block, rank // 4 // l.w * l.d + l.t AS slot, rank // 4 // l.w * l.d + l.r AS release,
+               rank // 4 // l.w * l.d + l.e AS deadline, rank % 4 AS place, rank // 4 // l.w * l.d + l.t < (SELECT h FROM horizon) AS on_target
+        FROM ranked r JOIN slots l ON l.s = r.s AND l.k = rank // 4 % l.w""",
 }
