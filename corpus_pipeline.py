@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logspark.llm.common import materialize, read
 from logspark.llm.dedup import keep_one
 from logspark.llm.jaccard import keep_first
-from logspark.llm.mixing import with_spots
+from logspark.llm.mixing import TARGETS, with_spots
 from logspark.llm.packing import packed_sequences
 from logspark.llm.quality import keep_good
 
@@ -26,7 +26,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows of a written table have no order: each carries its spot, and packing follows the spots
-    return with_spots(docs)
+    return with_spots(docs, targets=TARGETS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
