@@ -2,37 +2,29 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from logspark.functions import scan
 from logspark.functions.dates import hex_number, log_date, ticks_date
 from logspark.functions.ids import record_id
 from logspark.functions.plan import computed_once
 from logspark.functions.text import clean_presentation, format_millis, format_size, lookup, sanitize_multiline, sanitize_text, truncate_base64, unquote
 from logspark.schema import APP_TYPES, DICTIONARY_KINDS, EVENTLOG_SCHEMA, NO_NAME, SEVERITIES, SYSTEM_EVENTS, TRANSACTION_STATUS
 
-#: Braces nest this deep in a token; records of the journals have two or three levels.
-DEPTH = 8
 #: Dictionaries with at most this many entries are broadcast.
 BROADCAST_ENTRIES = 200_000
 NO_REFERENCE = "(без объектной ссылки)"
 BACKGROUND_USER = "Фоновое задание"
 
 
-def _token_pattern(depth: int = DEPTH) -> str:
-    plain = r'[^{}"]++|"(?:[^"]++|"")*+"'
-    nested = rf"\{{(?:{plain})*+\}}"
-    for _ in range(depth - 1):
-        nested = rf"\{{(?:{plain}|{nested})*+\}}"
-    flat = r'[^{}",]++|"(?:[^"]++|"")*+"'
-    return rf"((?:{flat}|{nested}|\}})*+),"
-
-
-def tokenize(raw: Column) -> Column:
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def tokenize(raw: pd.Series) -> pd.Series:
     """The fields of one brace record, trimmed: commas inside quotes and nested braces do not split."""
-    body = F.regexp_replace(F.regexp_replace(raw, r"^\s*\{", ""), r"\}\s*,?\s*$", "")
-    return F.transform(F.regexp_extract_all(F.concat(body, F.lit(",")), F.lit(_token_pattern()), 1), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
+    return raw.map(scan.fields, na_action="ignore")
 
 
 def decode_dictionary(entries: DataFrame, base: Column | None = None) -> DataFrame:
@@ -71,19 +63,24 @@ def _join_name(rows: DataFrame, dims: DataFrame, kind: str, key: str, out: str,
     return rows.join(dim, ["base", key], "left")
 
 
-def names_of_list(rows: DataFrame, dims: DataFrame, key: str, codes: str, separator: str = ", ") -> DataFrame:
-    """rows with names and name_uuid of a list of metadata codes: names in list order, zeros left out, the first uuid that is not empty. key tells rows apart."""
-    listed = rows.select(key, "base", F.posexplode(codes).alias("pos", "code")).filter(~F.col("code").isin("", "0"))
+def names_of_list(rows: DataFrame, dims: DataFrame, key: str | list[str], codes: str, separator: str = ", ") -> DataFrame:
+    """rows with names and name_uuid of a list of metadata codes: names in list order, zeros left out, the first uuid that is not empty.
+
+    key (with base, if it is a column of rows) tells rows apart; they travel once, beside their codes.
+    """
+    keys = list(dict.fromkeys([*([key] if isinstance(key, str) else key), "base"]))
+    others = [c for c in rows.columns if c not in keys]
+    listed = rows.select(*keys, F.struct(*others).alias("__row"), F.posexplode_outer(codes).alias("pos", "code"))
     meta = dims.filter("kind = 'metadata'").select("base", "code", "name", "uuid")
     listed = listed.join(meta, ["base", "code"], "left")
     shown = F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("Meta #"), F.col("code")))
-    items = F.array_sort(F.collect_list(F.struct("pos", shown.alias("name"), F.coalesce("uuid", F.lit("")).alias("uuid"))))
-    grouped = listed.groupBy(key).agg(items.alias("items"))
-    grouped = grouped.select(
-        key, F.array_join(F.transform("items", lambda x: x["name"]), separator).alias("names"),
-        F.coalesce(F.get(F.filter(F.transform("items", lambda x: x["uuid"]), lambda u: u != ""), F.lit(0)), F.lit("")).alias("name_uuid"),
+    item = F.when(~F.col("code").isin("", "0"), F.struct("pos", shown.alias("name"), F.coalesce("uuid", F.lit("")).alias("uuid")))
+    grouped = listed.groupBy(*keys).agg(F.first("__row").alias("__row"), F.array_sort(F.collect_list(item)).alias("items"))
+    uuid = F.get(F.filter(F.transform("items", lambda x: x["uuid"]), lambda u: u != ""), F.lit(0))
+    return grouped.select(
+        *[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in rows.columns],
+        F.array_join(F.transform("items", lambda x: x["name"]), separator).alias("names"), F.coalesce(uuid, F.lit("")).alias("name_uuid"),
     )
-    return rows.join(grouped, key, "left").withColumns({"names": F.coalesce("names", F.lit("")), "name_uuid": F.coalesce("name_uuid", F.lit(""))})
 
 
 def decode_data(data: Column, reference_name: Column) -> Column:
@@ -173,7 +170,7 @@ def decode_eventlog(records: DataFrame, dims: DataFrame, scope: Column | None =
     one = _join_name(one, dims, "metadata", "meta_code", "meta_name", "meta_uuid")
     shown = F.when(F.col("meta_code") == "", "").otherwise(F.coalesce(F.nullif("meta_name", F.lit("")), F.concat(F.lit("Meta #"), F.col("meta_code"))))
     one = one.withColumns({"names": shown, "name_uuid": F.coalesce("meta_uuid", F.lit(""))}).drop("meta_code", "meta_name", "meta_uuid")
-    many = names_of_list(rows.filter(several > 1), dims, "seq", "meta_codes")
+    many = names_of_list(rows.filter(several > 1), dims, ["base", "seq"], "meta_codes")
     rows = one.unionByName(many)
 
     named = lambda kind, label: F.when(F.col(f"{kind}_code").isin("", "0"), "").otherwise(F.coalesce(F.nullif(f"{kind}_name", F.lit("")), F.concat(F.lit(label), F.col(f"{kind}_code"))))

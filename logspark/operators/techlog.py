@@ -1,19 +1,26 @@
-"""Technical log records: header, key=value pairs, promotion of known keys to columns."""
+"""Technical log records: header, key=value pairs, promotion of known keys to columns.
+
+The header is read with built-in functions, so that conditions on date, duration, event and level
+can be tested before the rest of a record is. The pairs of the others are read in Arrow batches.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from logspark.functions import scan
 from logspark.functions.ids import record_id, techlog_scope
-from logspark.functions.plan import computed_once
-from logspark.functions.text import format_micros, lookup, sanitize_multiline, sanitize_text
+from logspark.functions.text import format_micros, lookup
 from logspark.schema import TECHLOG_EVENTS, TECHLOG_SCHEMA
 
 HEADER = r"^(\d{2}):(\d{2})\.(\d+)-(\d+),([^,\r\n]+),(\d+)"
-#: A quoted value may hold anything, a doubled quote stands for itself, and a missing closer takes the rest.
-PAIR = r"""[\s,]*([^=,\r\n]+)=('(?:[^']++|'')*+(?:'|$)|"(?:[^"]++|"")*+(?:"|$)|[^,\r\n]*)"""
-MAX_RECORD = 262_144
+#: Longer records are cut to so many characters, with a note as their description.
+MAX_RECORD, CUT_NOTE = 262_144, "\ndescr='... [TRUNCATED MASSIVE BLOCK TO 256KB]'"
 
 #: Keys of each column in order of preference (lower case; ':' in keys reads as '_').
 PROMOTED = {
@@ -43,40 +50,35 @@ NUMBERS = ("LongInfoWait", "Rows", "InBytes", "OutBytes")
 MULTILINE = ("Context", "Sql", "Descr", "Locks")
 
 
-def key_values(text: Column) -> Column:
-    """array<struct<key, value>>: keys with ':' as '_'; of keys that differ in case only the last stays."""
-    keys = F.transform(F.regexp_extract_all(text, F.lit(PAIR), 1), lambda k: F.replace(F.trim(k), F.lit(":"), F.lit("_")))
-    values = F.transform(F.regexp_extract_all(text, F.lit(PAIR), 2), _bare)
-    return F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-
-
-def _bare(v: Column) -> Column:
-    single, double = v.startswith("'"), v.startswith('"')
-    # an even run of quotes at the end closes nothing: the last one is part of a doubled quote
-    tail = F.length(F.regexp_extract(v, r"""(['"]*)$""", 1))
-    closed = (F.length(v) >= 2) & (F.when(tail == F.length(v), tail % 2 == 0).otherwise(tail % 2 == 1))
-    inner = F.when(closed, v.substr(F.lit(2), F.length(v) - 2)).otherwise(v.substr(F.lit(2), F.length(v)))
-    return F.when(single, F.replace(inner, F.lit("''"), F.lit("'"))).when(double, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(v)
-
-
-def with_pairs(rows: DataFrame, text: Column) -> DataFrame:
-    """rows with m: the pairs of text as map<string, struct<key, value>> on the lower-cased key, the last of equal keys."""
-    rows = computed_once(rows, pairs=F.reverse(key_values(text)))
-    rows = computed_once(rows, keys=F.transform("pairs", lambda p: F.lower(p["key"])))
-    numbered = F.transform("pairs", lambda p, i: F.struct(F.element_at("keys", i + 1).alias("k"), p.alias("p"), i.alias("i")))
-    firsts = F.filter(numbered, lambda x: F.array_position("keys", x["k"]) == x["i"] + 1)
-    return computed_once(rows, m=F.map_from_entries(F.transform(firsts, lambda x: F.struct(x["k"], x["p"])))).drop("pairs", "keys")
-
-
-def _first(keys: list[str]) -> tuple[Column, Column]:
-    """(the first non-empty value of keys, the keys tried for it)."""
-    value = lambda k: F.element_at("m", k)["value"]
-    tried = None
-    for i, k in enumerate(keys):
-        hit = F.coalesce(value(k), F.lit("")) != ""
-        upto = F.array(*[F.lit(x) for x in keys[: i + 1]])
-        tried = F.when(hit, upto) if tried is None else tried.when(hit, upto)
-    return F.coalesce(*[F.nullif(value(k), F.lit("")) for k in keys], F.lit("")), tried.otherwise(F.array(*[F.lit(x) for x in keys]))
+def _promoted(found: dict[str, tuple[str, str]], keys: list[str]) -> str:
+    """The first value of keys that is not empty, '' if there is none; the pairs tried for it are taken out."""
+    for key in keys:
+        value = found.pop(key, ("", ""))[1]
+        if value:
+            return value
+    return ""
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of headers with body, process and pid to rows with the promoted columns and Properties."""
+    for batch in batches:
+        names = batch.schema.names
+        body, process, pid = (batch.column(names.index(n)).to_pylist() for n in ("body", "process", "pid"))
+        out: dict[str, list] = {n: [] for n in (*PROMOTED, "ProcessName", "ProcessId", "Properties")}
+        for text, own_process, own_pid in zip(body, process, pid, strict=True):
+            found = scan.pairs(text)
+            own_process, own_pid = own_process or "", own_pid or ""
+            for name, keys in PROMOTED.items():
+                value = _promoted(found, keys)
+                out[name].append(value if name in NUMBERS else scan.lines(value) if name in MULTILINE else scan.flat(value))
+            inline = _promoted(found, PROCESS_KEYS) if own_process in ("", "default") else ""
+            out["ProcessName"].append(inline or own_process)
+            out["ProcessId"].append(own_pid or _promoted(found, PID_KEYS))
+            out["Properties"].append([(key, scan.flat(value)) for key, value in found.values()])
+        head = [n for n in names if n not in ("body", "process", "pid")]
+        columns = [batch.column(names.index(n)) for n in head]
+        columns += [pa.array(v, pa.map_(pa.string(), pa.string()) if n == "Properties" else pa.string()) for n, v in out.items()]
+        yield pa.RecordBatch.from_arrays(columns, names=[*head, *out])
 
 
 def is_active() -> Column:
@@ -109,43 +111,41 @@ def file_place(records: DataFrame) -> DataFrame:
     )
 
 
-def decode_techlog(records: DataFrame, empty: bool = False) -> DataFrame:
-    """TECHLOG_SCHEMA rows of records (raw, hour, process, pid); others than records are dropped.
+def read_headers(records: DataFrame) -> DataFrame:
+    """id, DateTime, Duration, DurationMs, Event, Level, process, pid and body of records (raw, hour, process, pid); others than records are dropped.
 
-    raw is cut at MAX_RECORD characters. Missing texts are '', missing numbers null. Rows without
-    content (see empty_event) are left out unless empty is true.
+    The id is that of the whole text; a body beyond MAX_RECORD is cut, with a note.
     """
     part = lambda i: F.regexp_extract("raw", HEADER, i)
-    rows = records.filter(F.col("raw").rlike(HEADER)).withColumn("raw", F.substring("raw", 1, MAX_RECORD))
+    rows = records.filter(F.col("raw").rlike(HEADER))
     micros = F.rpad(F.substring(part(3), 1, 6), 6, "0").cast("long") + (part(1).cast("long") * 60 + part(2).cast("long")) * 1_000_000
-    rows = rows.select(
-        record_id(F.col("raw"), techlog_scope(F.col("process"), F.col("pid"), F.col("hour"))).alias("id"),
-        F.timestamp_micros(F.unix_micros("hour") + micros).alias("DateTime"), part(4).cast("long").alias("Duration"), F.trim(part(5)).alias("event"),
-        part(6).cast("int").alias("Level"), "process", "pid", F.regexp_replace("raw", HEADER, "").alias("body"),
+    duration, event = part(4).cast("long"), F.trim(part(5))
+    raw = F.when(F.length("raw") > MAX_RECORD, F.concat(F.substring("raw", 1, MAX_RECORD), F.lit(CUT_NOTE))).otherwise(F.col("raw"))
+    return rows.select(
+        record_id(F.col("raw"), techlog_scope(F.col("process"), F.col("pid"), F.col("hour"))).alias("id"), F.timestamp_micros(F.unix_micros("hour") + micros).alias("DateTime"), duration.alias("Duration"),
+        F.round(duration / 1000.0, 3).alias("DurationMs"), lookup(F.upper(event), {e: e for e in TECHLOG_EVENTS}, event).alias("Event"), part(6).cast("int").alias("Level"), "process", "pid",
+        F.regexp_replace(raw, HEADER, "").alias("body"),
     )
-    rows = with_pairs(rows, F.col("body"))
-    columns, consumed = {}, []
-    for name, keys in PROMOTED.items():
-        columns[name], tried = _first(keys)
-        consumed.append(tried)
-    path_process = F.coalesce("process", F.lit(""))
-    unnamed = path_process.isin("", "default")
-    inline_process, tried_process = _first(PROCESS_KEYS)
-    inline_pid, tried_pid = _first(PID_KEYS)
-    no_keys = F.array().cast("array<string>")
-    consumed += [F.when(unnamed, tried_process).otherwise(no_keys), F.when(F.coalesce("pid", F.lit("")) == "", tried_pid).otherwise(no_keys)]
-    columns["ProcessName"] = F.when(unnamed & (inline_process != ""), inline_process).otherwise(path_process)
-    columns["ProcessId"] = F.coalesce(F.nullif("pid", F.lit("")), inline_pid)
-    rows = computed_once(rows, **columns, consumed=F.flatten(F.array(*consumed)))
-    rest = F.map_filter("m", lambda k, v: ~F.array_contains("consumed", k))
-    properties = F.map_from_entries(F.transform(F.map_values(rest), lambda p: F.struct(p["key"], sanitize_text(p["value"]))))
-    canonical = lookup(F.upper("event"), {e: e for e in TECHLOG_EVENTS}, F.col("event"))
+
+
+def decode_techlog(records: DataFrame, empty: bool = False, where: Column | None = None) -> DataFrame:
+    """TECHLOG_SCHEMA rows of records (raw, hour, process, pid); others than records are dropped.
+
+    where is a condition on the columns of the header (DateTime, Duration, DurationMs, Event,
+    Level), tested before the rest of a record is read. Missing texts are '', missing numbers null.
+    Rows without content (see empty_event) are left out unless empty is true.
+    """
+    rows = read_headers(records)
+    if where is not None:
+        rows = rows.filter(where)
+    head = T.StructType([f for f in rows.schema if f.name not in ("process", "pid", "body")])
+    made = [T.StructField(n, T.StringType()) for n in (*PROMOTED, "ProcessName", "ProcessId")] + [T.StructField("Properties", T.MapType(T.StringType(), T.StringType()))]
+    rows = rows.mapInArrow(_pairs, T.StructType([*head, *made]))
+    if not empty:
+        rows = rows.filter(~empty_event())
     out = {
-        "DateFormatted": F.date_format("DateTime", "yyyy-MM-dd HH:mm:ss.SSS"), "DurationMs": F.round(F.col("Duration") / 1000.0, 3), "DurationSec": F.round(F.col("Duration") / 1e6, 6),
-        "DurationFormatted": format_micros(F.col("Duration")), "Event": canonical, "SessionId": F.coalesce(F.nullif("SessionId", F.lit("")), "ClientId"), "Properties": properties,
+        "DateFormatted": F.date_format("DateTime", "yyyy-MM-dd HH:mm:ss.SSS"), "DurationSec": F.round(F.col("Duration") / 1e6, 6), "DurationFormatted": format_micros(F.col("Duration")),
+        "SessionId": F.coalesce(F.nullif("SessionId", F.lit("")), "ClientId"),
     }
     out |= {n: F.col(n).try_cast("long") for n in NUMBERS}
-    out |= {n: sanitize_multiline(F.col(n)) for n in MULTILINE}
-    if not empty:  # clean-up never empties a text that has more than white space and control characters
-        rows = rows.filter(~empty_event())
     return rows.select(*[out.get(f.name, F.col(f.name)).alias(f.name) for f in TECHLOG_SCHEMA])

@@ -62,8 +62,8 @@ def techlog_texts(events: DataFrame) -> DataFrame:
     return events.select(F.concat(head, pairs).alias("raw"), F.date_trunc("HOUR", ts).alias("hour"), F.lit("rphost").alias("process"), (F.col("user_id") % 5 + 9000).cast("string").alias("pid"))
 
 
-def techlog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return techlog.decode_techlog(techlog_texts(_t(spark, sf_dir, "events")))
+def techlog_rows(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+    return techlog.decode_techlog(techlog_texts(_t(spark, sf_dir, "events")), where=where)
 
 
 @register(f"""
@@ -96,7 +96,7 @@ def techlog_event_groups(spark, sf_dir):
     WHERE micros / 1000.0 >= 10 AND ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts < TIMESTAMP '2024-01-11 00:00:00'""")
 def techlog_min_duration_filter(spark, sf_dir):
     spec = query.FilterSpec(min_duration_ms=10, date_from=date(2024, 1, 3), date_to=date(2024, 1, 10))
-    return techlog_rows(spark, sf_dir).filter(query.predicate(spec)).select(F.col("SessionId").cast("long").alias("event_id"), F.col("DurationMs").alias("ms"))
+    return techlog_rows(spark, sf_dir, query.predicate(spec)).select(F.col("SessionId").cast("long").alias("event_id"), F.col("DurationMs").alias("ms"))
 
 
 @register(f"""
