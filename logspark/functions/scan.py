@@ -31,6 +31,17 @@ def fields(raw: str) -> list[str]:
     return out
 
 
+def depth(text: str) -> int:
+    """Braces that are open at the end of a text; an open quote counts as one."""
+    level = 0
+    for part in _PART.findall(text):
+        if part[0] == '"':
+            level += len(part) - len(part.rstrip('"')) == 0 or len(part) == 1
+        else:
+            level += (part == "{") - (part == "}")
+    return level
+
+
 def bare(value: str) -> str:
     """A value without its quotes, doubled ones undone."""
     mark = value[:1]

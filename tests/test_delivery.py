@@ -158,3 +158,52 @@ def test_sqlite_journal_stream(spark, journal, tmp_path):
     db.execute("INSERT INTO EventLog (rowID, date) VALUES (5, 639230562450000)")
     db.commit()
     assert run("all") == [1, 2, 3, 4, 5] and run("new", starting="latest") == [5]
+
+
+# ------------------------------------------------------------ growing files
+
+
+def _append(path, text):
+    with open(path, "a", encoding="utf-8", newline="") as f:
+        f.write(text)
+
+
+@pytest.mark.parametrize("step", [1, 7, 40, 10_000])
+def test_ranges_give_each_record_once(spark, tmp_path, monkeypatch, step):
+    from logspark.sources import growing
+
+    records = [f"{k:02d}:00.000001-5,CALL,1,Context='строка {k}\n  вторая'" for k in range(20)]
+    _append(tmp_path / "a.log", "﻿" + "\r\n".join(records).replace("\n  ", "\r\n  ") + "\r\n")
+    options = growing._Options({"path": str(tmp_path), "kind": "techlog", "range_bytes": str(step)})
+    monkeypatch.setattr(growing, "STEP", 64)
+    parts = growing._Reader(options).partitions()
+    got = [x for p in parts for b in options.read(p) for x in b.column(3).to_pylist()]
+    assert sorted(got) == records
+
+
+def test_growing_logs(spark, tmp_path):
+    from logspark.sources import growing
+
+    logs, out = tmp_path / "logs", tmp_path / "out"
+    logs.mkdir()
+    path, journal = logs / "x.log", logs / "y.lgp"
+
+    def run(kind, name=None, **options):
+        name = name or kind
+        query = streams.start(growing.stream_log(spark, str(logs), kind, **options), lambda b, n: b.write.mode("append").json(f"{out}/{name}"), f"{out}/{name}-state")
+        query.awaitTermination()
+        return sorted(r.raw for r in spark.read.schema("raw string").json(f"{out}/{name}").collect()) if (out / name).exists() else []
+
+    _append(path, "00:01.000000-5,CALL,1,Context='a\r\nb'\r\n00:02.000000-7,EXCP,0,descr=unfin")
+    _append(journal, '{20260831000441,C,{0,0},"a}"},\n{20260831000442,C,{0,0},"open ')
+    assert run("techlog") == ["00:01.000000-5,CALL,1,Context='a\nb'"]
+    assert run("eventlog") == ['{20260831000441,C,{0,0},"a}"},'] and run("techlog", "late", starting="latest") == []
+    _append(path, "ished\r\n")
+    _append(journal, '}"},\n{5,0,"Inline",9},\n')
+    assert run("techlog")[1:] == ["00:02.000000-7,EXCP,0,descr=unfinished"] and run("techlog", "late", starting="latest") == ["00:02.000000-7,EXCP,0,descr=unfinished"]
+    assert run("eventlog")[1:] == ['{20260831000442,C,{0,0},"open }"},', '{5,0,"Inline",9},']
+    path.write_text("00:03.000000-5,CALL,1,a=b\n", encoding="utf-8")  # rotated: shorter than before
+    assert run("techlog")[2:] == ["00:03.000000-5,CALL,1,a=b"]
+    assert run("techlog")[2:] == ["00:03.000000-5,CALL,1,a=b"]
+    tail = growing.read_log(spark, str(journal), "eventlog", tail_bytes=30).collect()
+    assert [r.raw for r in tail] == ['{5,0,"Inline",9},'] and growing.tail_bytes(1) == 10 << 20 and growing.tail_bytes(None) == 50 << 20
