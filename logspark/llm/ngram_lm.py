@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, materialize, shuffle_partitions, text_of
-from .words import mix, pack, slices, unpack
+from .words import mix, pack, pack_all, slices, unpack, unpack_all
 
 FOLDS = 10
 #: Hashes that stand for the end and the start of a document.
@@ -43,9 +43,9 @@ _SALT = np.uint64(0x5851F42D4C957F2D)
 class Settings:
     prior: float = 20.0
     add: float = 0.1
-    block_tokens: int = 1_500_000
+    block_tokens: int = 600_000
     #: Trigrams that a shard is meant to hold: there are more shards than twice the shuffle partitions if these are too few.
-    shard_tokens: int = 2_000_000
+    shard_tokens: int = 1_000_000
     #: Middle words with more than 1 / (spread * shards) of all tokens are dealt over shards.
     spread: int = 4
     #: Words of a block among which frequent ones are sought.
@@ -370,15 +370,19 @@ def _grams(held: np.ndarray, lengths: np.ndarray, words: np.ndarray, seq: np.nda
 
     low = np.uint64(0xFFFFFFFF)
     vu, vu_of = unique((v.astype(np.uint64) << np.uint64(32)) | code[u].astype(np.uint64))
+    del u
     tri, tri_of = unique((vu_of.astype(np.uint64) << np.uint64(32)) | code[w].astype(np.uint64))
+    del vu_of
     vu = vu[(tri >> np.uint64(32)).astype(np.int64)]
-    tv, tu, tw = (vu >> np.uint64(32)).astype(np.int64), distinct[(vu & low).astype(np.int64)], distinct[(tri & low).astype(np.int64)]
+    tv, tu, tw = (vu >> np.uint64(32)).astype(np.int64), distinct[(vu & low).astype(np.int64)], distinct[(tri & low).astype(np.int64)].astype(np.uint32)
     count = np.bincount(tri_of[trained], minlength=len(tri)).astype(np.uint32)
-    shard = shard_of(np.where(hot[tv], hashes[tv] ^ mix(tu ^ _SALT), hashes[tv]))
+    shard = shard_of(np.where(hot[tv], hashes[tv] ^ mix(tu ^ _SALT), hashes[tv])).astype(np.int32)
     order = np.argsort(shard, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    found = (shard[order], hashes[tv][order], tu[order], tw[order], count[order])
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    found = (shard[order], hashes[tv][order], tu.astype(np.uint32)[order], tw[order], count[order])
+    tri_of = rank[tri_of]
+    del tri, vu, tv, tu, tw, count, shard, order, rank
     pair, pair_of = unique((v.astype(np.uint64) << np.uint64(32)) | code[w].astype(np.uint64))
     pv, pw = (pair >> np.uint64(32)).astype(np.int64), distinct[(pair & low).astype(np.int64)]
     times = np.bincount(pair_of[trained], minlength=len(pair)).astype(np.uint32)
@@ -396,7 +400,7 @@ def _grams(held: np.ndarray, lengths: np.ndarray, words: np.ndarray, seq: np.nda
     own_of[plain[first]] = np.arange(len(first))
     return Grams(
         found, (at[by], hot[pv][by], hashes[pv][by], pw[by], times[by]), (own_shard[first], hashes[plain][first]),
-        rank[tri_of], place[pair_of], own_of, pv[by], example[by],
+        tri_of, place[pair_of], own_of, pv[by], example[by],
     )
 
 
@@ -410,7 +414,9 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[at], np.diff(np.append(at, len(values))).astype(np.uint32)
 
 
-REQUEST = "shard int, block long, v binary, v_runs binary, u binary, u_runs binary, w binary, counts binary, pair_v binary, pair_runs binary, pair_w binary, pair_counts binary"
+REQUEST = "shard int, block long, grams binary"
+#: Arrays of a request: v and their runs of (v, u), u and their runs of w, w, counts; then v, runs, w and counts of the pairs of frequent v.
+ASKED = [np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint64, np.uint32, np.uint32, np.uint32]
 
 
 def _requests(shards: int, known):
@@ -422,22 +428,20 @@ def _requests(shards: int, known):
             cut, pair_cut = _cut(g.tri[0], shards), _cut(g.pair[0], shards)
             shard, held = [], []
             for i in range(shards):
-                _, v, u, w, c = (x[cut[i] : cut[i + 1]] for x in g.tri)
-                _, hot, pv, pw, pc = (x[pair_cut[i] : pair_cut[i + 1]] for x in g.pair)
+                v, u, w, c = (x[cut[i] : cut[i + 1]] for x in g.tri[1:])
+                hot, pv, pw, pc = (x[pair_cut[i] : pair_cut[i + 1]] for x in g.pair[1:])
                 pv, pw, pc = pv[hot], pw[hot], pc[hot]
                 if not len(v) and not len(pv):
                     continue
-                new = _heads(v) | _heads(u)
-                at = np.flatnonzero(new)
+                at = np.flatnonzero(_heads(v) | _heads(u))
                 names, runs = _runs(v[at])
                 pair_names, pair_runs = _runs(pv)
-                small = lambda x: x.astype(np.uint32)
+                ends = np.diff(np.append(at, len(v)))
+                parts = (names, runs, u[at], ends, w, c, pair_names, pair_runs, pw, pc)
                 shard.append(i)
-                held.append([pack(names, delta=True), *(pack(x) for x in (runs, small(u[at]), np.diff(np.append(at, len(v))).astype(np.uint32), small(w), c, pair_names, pair_runs, small(pw), pc))])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int32()), pa.array([row.block] * len(shard), pa.int64()), *[pa.array([h[k] for h in held], pa.binary()) for k in range(10)]],
-                names=[f.split()[0] for f in REQUEST.split(", ")],
-            )
+                held.append(pack_all([x.astype(k) for x, k in zip(parts, ASKED, strict=True)]))
+            del g
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([row.block] * len(shard), pa.int64()), pa.array(held, pa.binary())], names=["shard", "block", "grams"])
 
     return run
 
@@ -449,28 +453,28 @@ def _read(row) -> tuple[np.ndarray, ...]:
     )
 
 
-ANSWER = "shard int, block long, p3 binary, backoff binary, p2 binary, counts binary, types long, tokens long"
+ANSWER = "shard int, block long, answer binary, types long, tokens long"
+#: Arrays of an answer: p(w | u v) of the trigrams, back-offs of (v, u), p(w | v) of the pairs, counts of v.
+ANSWERED = [np.uint16, np.uint16, np.uint16, np.int64]
 
 
-def _asked(row) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+def _asked(blob: bytes) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """((v, u, w, count), (v, w, count) of frequent v) of a request."""
-    wide = lambda b: unpack(b, np.uint32).astype(np.uint64)
-    runs = unpack(row.u_runs, np.uint32)
-    v = np.repeat(np.repeat(unpack(row.v, np.uint64, delta=True), unpack(row.v_runs, np.uint32)), runs)
-    pairs = np.repeat(unpack(row.pair_v, np.uint64), unpack(row.pair_runs, np.uint32)), wide(row.pair_w), unpack(row.pair_counts, np.uint32)
-    return (v, np.repeat(wide(row.u), runs), wide(row.w), unpack(row.counts, np.uint32)), pairs
+    names, v_runs, u, u_runs, w, c, pair_names, pair_runs, pw, pc = unpack_all(blob, ASKED)
+    v = np.repeat(np.repeat(names, v_runs), u_runs)
+    return (v, np.repeat(u, u_runs), w, c), (np.repeat(pair_names, pair_runs), pw, pc)
 
 
 def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Columns of grams, of which the last is a count, sorted and summed; grams without a count go."""
-    columns = [np.concatenate([p[k] for p in parts]) for k in range(len(parts[0]))]
-    seen = columns[-1] > 0
-    *keys, count = (c[seen] for c in columns)
+    """Columns of grams, of which the last is a count, sorted and summed."""
+    *keys, count = (np.concatenate([p[k] for p in parts]) for k in range(len(parts[0])))
+    parts.clear()
     order = np.lexsort(keys[::-1])
-    keys, count = [k[order] for k in keys], count[order].astype(np.int64)
+    count = count[order].astype(np.int64)
     new = np.zeros(len(count), bool)
-    for k in keys:
-        new |= _heads(k)
+    for i, k in enumerate(keys):
+        keys[i] = k[order].astype(np.uint64)
+        new |= _heads(keys[i])
     at = np.flatnonzero(new)
     return *[k[at] for k in keys], np.add.reduceat(count, at) if len(at) else count
 
@@ -480,10 +484,16 @@ def _answers(s: Settings, known):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         frequent, frequent_counts = known.value
-        asked = [(row.block, *_asked(row)) for row in pdf.sort_values("block").itertuples(index=False)]
-        trie = Trie(_summed([a[1] for a in asked]), _summed([a[2] for a in asked]), frequent, frequent_counts, s.prior)
+        pdf = pdf.sort_values("block")
+        seen: list[list] = [[], []]
+        for blob in pdf["grams"]:
+            for held, (*keys, count) in zip(seen, _asked(blob), strict=True):
+                held.append(tuple(x[count > 0] for x in (*keys, count)))
+        trie = Trie(_summed(seen.pop(0)), _summed(seen.pop(0)), frequent, frequent_counts, s.prior)
         out = []
-        for block, (v, u, w, _), (fv, fw, _) in asked:
+        for block, blob in zip(pdf["block"], pdf["grams"], strict=True):
+            (v, u, w, _), (fv, fw, _) = _asked(blob)
+            u, w, fw = (x.astype(np.uint64) for x in (u, w, fw))
             p3, backoff = trie.find(v, u, w)
             plain = np.ones(len(v), bool)
             if len(frequent):
@@ -495,12 +505,12 @@ def _answers(s: Settings, known):
             pv = np.concatenate([names[(pairs >> _INNER).astype(np.int64)], fv])
             p2 = trie.find_pairs(pv, np.concatenate([pairs & np.uint64((1 << INNER_BITS) - 1), fw]))
             counts = trie.count(v[_heads(v) & plain])
-            out.append((block, pack(p3), pack(backoff[_heads(v) | _heads(u)]), pack(p2), pack(counts)))
+            out.append((block, pack_all([p3, backoff[_heads(v) | _heads(u)], p2, counts])))
         hot = np.zeros(len(trie.counts), bool)
         if len(frequent) and len(hot):
             own = (trie.words[np.arange(trie.words.size)]) << np.uint64(1)
             hot = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
-        frame = pd.DataFrame({"shard": pdf["shard"].iloc[0], "block": [o[0] for o in out], **{n: [o[k] for o in out] for k, n in enumerate(("p3", "backoff", "p2", "counts"), 1)}})
+        frame = pd.DataFrame({"shard": pdf["shard"].iloc[0], "block": [o[0] for o in out], "answer": [o[1] for o in out]})
         frame["types"], frame["tokens"] = 0, 0
         frame.loc[0, ["types", "tokens"]] = int((~hot & (trie.counts > 0)).sum()), int(trie.counts[~hot].sum())
         return frame
@@ -516,24 +526,24 @@ def _scores(s: Settings, shards: int, known, tokens: int, types: int):
         frequent, frequent_counts = known.value
         ids, held, lengths, words, seq = _read(next(blocks.itertuples(index=False)))
         g = _grams(held, lengths, words, seq, shards, frequent)
-        answers = answers.sort_values("shard")
-        joined = lambda name, kind: np.concatenate([unpack(b, kind) for b in answers[name]]) if len(answers) else np.zeros(0, kind)
+        found = [unpack_all(b, ANSWERED) for b in answers.sort_values("shard")["answer"]]
+        p3, backoffs, p2, own = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, kind) for k, kind in enumerate(ANSWERED))
         # counts of words: of the frequent ones, and of those that the block has as middle words; ends are as many as starts
         hashes = _middle(np.concatenate([np.array([START]), words]))
         counts = np.zeros(len(hashes), np.int64)
-        counts[g.own_of >= 0] = joined("counts", np.int64)[g.own_of[g.own_of >= 0]]
+        counts[g.own_of >= 0] = own[g.own_of[g.own_of >= 0]]
         if len(frequent):
             at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
             counts = np.where(frequent[at] == hashes, frequent_counts[at], counts)
         counts[np.concatenate([[False], words == END])] = counts[0]
         unigram = (counts + s.add) / (tokens + s.add * (types + 1))
         weight = s.prior / (counts[g.middle] + s.prior)
-        two = restore(joined("p2", np.uint16)) + weight * unigram[g.next]
+        two = restore(p2) + weight * unigram[g.next]
         _, v, u, _, _ = g.tri
         new = _heads(g.tri[0]) | _heads(v) | _heads(u)
-        backoff = joined("backoff", np.uint16)[np.cumsum(new) - 1]
+        backoff = backoffs[np.cumsum(new) - 1]
         backoff = np.where(backoff > 0, restore(backoff), 1.0)
-        three = restore(joined("p3", np.uint16))[g.tri_of] + backoff[g.tri_of] * two[g.pair_of]
+        three = restore(p3)[g.tri_of] + backoff[g.tri_of] * two[g.pair_of]
         starts = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))[:-1]])
         each = lambda x: np.add.reduceat(x, starts) if len(x) else np.zeros(0)
         word = seq.astype(np.int64) + 1

@@ -121,3 +121,20 @@ def unpack(blob: bytes, dtype, delta: bool = False) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     values = np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(dtype)
     return np.cumsum(values, dtype=dtype) if delta else values
+
+
+def pack_all(columns: list[np.ndarray]) -> bytes:
+    """Several arrays of integers in one compressed blob: their lengths, then the byte planes of each."""
+    sizes = np.array([len(c) for c in columns], dtype=np.uint32)
+    planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns]
+    return _COMPRESS.compress(sizes.tobytes() + b"".join(planes))
+
+
+def unpack_all(blob: bytes, kinds: list) -> list[np.ndarray]:
+    raw = np.frombuffer(_EXPAND.decompress(blob), dtype=np.uint8)
+    sizes, at, out = raw[: 4 * len(kinds)].view(np.uint32), 4 * len(kinds), []
+    for n, kind in zip(sizes.tolist(), kinds, strict=True):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).reshape(-1).view(kind))
+        at += n * width
+    return out
