@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 #: A quoted part may hold anything, a doubled quote stands for itself, and a missing closer takes the rest.
@@ -75,3 +76,37 @@ def flat(text: str, most: int = 65_536) -> str:
 def lines(text: str, most: int = 65_536) -> str:
     """Lines stay: BOM and other control characters go, TAB becomes two spaces, ends are trimmed."""
     return cut((text if text.isprintable() else text.translate(_LINES)).strip(), most)
+
+
+_JSON_PART = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|[{}]', re.S)
+
+
+def objects(text: str) -> list[str]:
+    """Balanced {...} parts of a text, outermost first found; braces inside strings do not count."""
+    out, level, start = [], 0, 0
+    for m in _JSON_PART.finditer(text):
+        if m[0] == "{":
+            if not level:
+                start = m.start()
+            level += 1
+        elif m[0] == "}" and level:
+            level -= 1
+            if not level:
+                out.append(text[start : m.end()])
+    return out
+
+
+def records(text: str, required: list[str]) -> list[str]:
+    """The outermost objects of a text that have all required members, however deep they are wrapped; what does not parse is looked into as well."""
+    out, waiting = [], objects(text)
+    while waiting:
+        part = waiting.pop(0)
+        try:
+            members = json.loads(part)
+        except ValueError:
+            members = {}
+        if all(members.get(k) is not None for k in required):
+            out.append(part)
+        else:
+            waiting += objects(part[1:-1])
+    return out

@@ -52,9 +52,22 @@ def decode_dictionary(entries: DataFrame, base: Column | None = None) -> DataFra
     return grouped.select("base", "kind", "code", F.coalesce("name", unnamed).alias("name"), F.coalesce("uuid", F.lit("")).alias("uuid"))
 
 
+def inline_entries(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(journal records, dictionary entries met among them) of brace records with raw."""
+    entry = F.col("raw").rlike(r"^\s*\{[1-8],")
+    return records.filter(~entry), records.filter(entry)
+
+
+def with_inline(dims: DataFrame, entries: DataFrame) -> DataFrame:
+    """dims with the names of entries found in journals (base, at, raw): these are newer, and win where they have a name."""
+    new = decode_dictionary(entries, F.col("base"))
+    both = dims.withColumn("newer", F.lit(0)).unionByName(new.withColumn("newer", F.lit(1)))
+    known = lambda c: F.max_by(c, F.when(F.col(c) != "", F.col("newer"))).alias(c)
+    return both.groupBy("base", "kind", "code").agg(known("name"), known("uuid")).select("base", "kind", "code", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("uuid", F.lit("")).alias("uuid"))
+
+
 def _sized(dims: DataFrame) -> DataFrame:
-    """dims, kept (nine joins read it) and marked for broadcast if a count shows that it is small."""
-    dims = dims.persist()
+    """dims, marked for broadcast if a count shows that it is small."""
     return F.broadcast(dims) if dims.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES else dims
 
 

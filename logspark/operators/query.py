@@ -32,6 +32,7 @@ EVENTLOG_FIELDS = {
 }
 TECHLOG_ANY = ["Event", "User", "Application", "ProcessName", "ProcessId", "Spid", "OSThread", "SessionId", "Context", "Sql", "Descr", "Locks", "Url", "Method"]
 EVENTLOG_ANY = ["Event", "User", "Application", "Metadata", "Comment", "Severity", "DataPresentation", "Computer", "Server", "Session", "Tran", "FileName"]
+# Events of each group, steps of the least duration and of the row limit.
 EVENT_GROUPS = {
     "errors": lambda e: e.startswith("EXCP") | (e == "QERR"),
     "locks": lambda e: e.isin("TLOCK", "TDEADLOCK", "TTIMEOUT"),
@@ -213,10 +214,14 @@ def loaded_range(rows: DataFrame, column: str = "DateTime") -> DataFrame:
 
 # -------------------------------------------------------------------- sorts
 
+# The orders offered for each log, and the keys they stand for.
 SORT_PRESETS = {
-    "newest": [("DateTime", True)], "oldest": [("DateTime", False)], "longest": [("Duration", True)], "event": [("Event", False)],
-    "active": [("IsActiveOperation", True), ("Duration", True)], "user": [("User", False)], "severity": [("Severity", False)], "metadata": [("Metadata", False)],
+    "newest": [("DateTime", True)], "oldest": [("DateTime", False)], "longest": [("Duration", True)], "longest-newest": [("Duration", True), ("DateTime", True)],
+    "event-longest": [("Event", False), ("Duration", True)], "user": [("User", False), ("DateTime", True)], "severity": [("Severity", False), ("DateTime", True)],
+    "event": [("Event", False), ("DateTime", True)], "active": [("IsActiveOperation", True), ("Duration", True)], "metadata": [("Metadata", False)],
 }
+TECHLOG_PRESETS = ["newest", "oldest", "longest", "longest-newest", "event-longest", "user"]
+EVENTLOG_PRESETS = ["newest", "oldest", "severity", "event", "user"]
 
 
 def sort_keys(keys: list[tuple[str, bool]], types: dict[str, str], date_column: str = "DateTime", extra: list[str] | None = None) -> list[Column]:
@@ -261,6 +266,7 @@ def details(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.select(key, F.explode(items).alias("d")).select(key, "d.pos", "d.name", "d.value")
 
 
+# Columns that each log shows.
 TECHLOG_GRID = ["DateFormatted", "DurationFormatted", "Event", "ProcessName", "ProcessId", "Spid", "OSThread", "User", "Application", "SessionId", "Context"]
 EVENTLOG_GRID = ["DateFormatted", "Event", "Severity", "User", "Application", "Computer", "Metadata", "Data", "DataPresentation", "Comment", "Tran", "TransactionStatus", "Session", "FileName"]
 

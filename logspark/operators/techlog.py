@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from logspark.functions import scan
 from logspark.functions.ids import record_id, techlog_scope
 from logspark.functions.text import format_micros, lookup
+from logspark.plans.catalog import process_of, techlog_name_date
 from logspark.schema import TECHLOG_EVENTS, TECHLOG_SCHEMA
 
 HEADER = r"^(\d{2}):(\d{2})\.(\d+)-(\d+),([^,\r\n]+),(\d+)"
@@ -96,19 +97,10 @@ def empty_event() -> Column:
 
 
 def file_place(records: DataFrame) -> DataFrame:
-    """hour, process and pid from the file's path: YYMMDDHH in its name, process_pid in a folder or the name; rphost if none is named."""
-    name = F.regexp_extract("file", r"([^/]+)$", 1)
-    stamp = F.regexp_extract(name, r"(?<!\d)(\d{8})(?!\d)", 1)
-    day = F.coalesce(F.nullif(F.regexp_extract(name, r"(?<!\d)(\d{6})(?!\d)", 1), F.lit("")), F.nullif(F.regexp_extract("file", r"/(\d{6})/[^/]+$", 1), F.lit("")))
-    hour = F.coalesce(F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit("yyMMddHH")), F.try_to_timestamp(day, F.lit("yyMMdd")))
-    known = r"(rphost|rmngr|ragent|rmngrs|1cv8c|1cv8s|1cv8|webext|crserver|dbgs)[_-](\d+)"
-    return records.withColumns(
-        {
-            "hour": hour,
-            "process": F.coalesce(F.nullif(F.lower(F.regexp_extract("file", f"(?i){known}", 1)), F.lit("")), F.lit("rphost")),
-            "pid": F.regexp_extract("file", f"(?i){known}", 2),
-        }
-    )
+    """hour, process and pid from the file's path (and from modified, if it is there): see the catalogue's rules."""
+    process, pid = process_of(F.col("file"))
+    modified = F.col("modified") if "modified" in records.columns else None
+    return records.withColumns({"hour": techlog_name_date(F.col("file"), modified), "process": process, "pid": pid})
 
 
 def read_headers(records: DataFrame) -> DataFrame:

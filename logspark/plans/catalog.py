@@ -17,35 +17,82 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return listed.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def find_techlog(files: DataFrame, newer_than: str | None = None) -> DataFrame:
-    """Of a listing: *.log if there are any, else *.txt, else JSON dumps; service names are at least eight characters."""
+def find_techlog(files: DataFrame, newer_than: str | None = None, service: bool = False) -> DataFrame:
+    """Of a listing: *.log if there are any, else *.txt, else JSON dumps. A service leaves out names of less than eight characters before the extension."""
     rank = F.when(F.col("path").rlike(r"(?i)\.log$"), 0).when(F.col("path").rlike(r"(?i)\.txt$"), 1).when(F.col("path").rlike(JSON_NAMES), 2)
     ranked = files.withColumn("rank", rank).filter("rank IS NOT NULL")
+    if service:
+        ranked = ranked.filter(F.length(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1)) >= 8)
     best = ranked.agg(F.min("rank").alias("rank"))
     chosen = ranked.join(F.broadcast(best), "rank", "left_semi").drop("rank")  # one row
     return chosen.filter(F.col("modified") >= newer_than) if newer_than else chosen
 
 
-def find_eventlog(files: DataFrame) -> DataFrame:
-    """Journals (.lgd and .lgp) outside full-text and temporary folders, with their directory and infobase folder."""
+def find_eventlog(files: DataFrame, name: str | None = None) -> DataFrame:
+    """Journals (.lgd, then .lgp) outside full-text and temporary folders, with their directory and infobase folder; only those of one file name, if there are any."""
     skip = r"(?i)/(1Cv8FTxt|snccntx[^/]*)/"
     found = files.filter(F.col("path").rlike(r"(?i)\.(lgd|lgp)$") & ~F.col("path").rlike(skip))
+    if name:
+        exact = F.lower(F.regexp_extract("path", r"([^/]+)$", 1)) == name.lower()
+        there = files.filter(exact).agg(F.count(F.lit(1)).alias("n"))
+        found = files.filter(exact).unionByName(found.join(F.broadcast(there), F.col("n") == 0).drop("n"))  # one row
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     base = F.when(folder.rlike(r"(?i)/1Cv8Log$"), F.regexp_extract(folder, r"([^/]+)/[^/]+$", 1)).otherwise(F.regexp_extract(folder, r"([^/]+)$", 1))
     return found.withColumns({"directory": folder, "base": base})
 
 
+def given_journal(path: str) -> tuple[str, bool]:
+    """What one given file stands for: (path, whether it is a folder to search). An index file stands for its journal, a dictionary for its folder, others for themselves."""
+    folder, _, name = path.rpartition("/")
+    if name.lower().endswith(".lgx"):
+        return path[:-4] + ".lgp", False
+    return (folder, True) if name.lower() == "1cv8.lgf" else (path, False)
+
+
+def newest_first(files: DataFrame, day: str = "day") -> DataFrame:
+    """Files in the order in which they are read: latest day first, then by path without case."""
+    return files.orderBy(F.col(day).desc_nulls_last(), F.lower("path"))
+
+
 def nearest_dictionary(files: DataFrame, dictionaries: DataFrame, levels: int = 4) -> DataFrame:
-    """files (path, directory) with dictionary: the path of the dictionary in the same directory or the nearest of up to `levels` ancestors."""
+    """files (path, directory) with dictionary: one in the same directory, in its 1Cv8Log, anywhere below, or in the nearest of up to `levels` ancestors or an ancestor's 1Cv8Log."""
     owners = dictionaries.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("holder"), F.col("path").alias("dictionary"))
-    owners = owners.groupBy("holder").agg(F.min("dictionary").alias("dictionary"))
+    at = owners.groupBy("holder").agg(F.min("dictionary").alias("dictionary"))
+    held = F.split("holder", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(held) - 1), lambda k: F.array_join(F.slice(held, 1, k), "/"))
+    below = owners.filter(F.size(held) > 1).select(F.explode(above).alias("holder"), "dictionary").groupBy("holder").agg(F.min("dictionary").alias("dictionary"))
     parts = F.split("directory", "/")
-    ups = F.transform(F.sequence(F.lit(0), F.least(F.lit(levels), F.size(parts) - 1)), lambda k: F.struct(k.alias("up"), F.array_join(F.slice(parts, 1, F.size(parts) - k), "/").alias("holder")))
-    climbed = files.select("path", F.explode(ups).alias("u")).select("path", "u.up", "u.holder")
-    nearest = climbed.join(owners, "holder").groupBy("path").agg(F.min_by("dictionary", "up").alias("dictionary"))
+    up = lambda k: F.array_join(F.slice(parts, 1, F.size(parts) - k), "/")
+    tried = lambda k: F.array(F.struct((2 * k).alias("rank"), up(k).alias("holder")), F.struct((2 * k + 1).alias("rank"), F.concat(up(k), F.lit("/1Cv8Log")).alias("holder")))
+    ups = F.flatten(F.transform(F.sequence(F.lit(0), F.least(F.lit(levels), F.size(parts) - 1)), tried))
+    climbed = files.select("path", F.explode(ups).alias("u")).select("path", (F.col("u.rank") * 2).alias("rank"), "u.holder").join(at, "holder")
+    # below comes after the own directory and its 1Cv8Log, and before the first ancestor
+    inside = files.select("path", F.lit(3).alias("rank"), F.col("directory").alias("holder")).join(below, "holder")
+    nearest = climbed.unionByName(inside).groupBy("path").agg(F.min_by("dictionary", "rank").alias("dictionary"))
     return files.join(nearest, "path", "left")
 
 
+#: Names of processes in files and folders.
+PROCESSES = r"(rphost|rmngr|ragent|1cv8c?|crserver|ras|common|tlock|excp)"
+
+
+def process_of(path: Column) -> tuple[Column, Column]:
+    """(process, pid) of a log's path: from its name, else from the nearest of four folders named like one (a folder a_b is process a, pid b), else the folder's name."""
+    parts = F.split(path, "/")
+    stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
+    named = F.regexp_extract(stem, rf"(?i){PROCESSES}", 1)
+    folders = F.slice(F.reverse(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))), 1, 4)
+    pair = lambda name, pid: F.struct(name.alias("process"), pid.alias("pid"))
+    of = F.transform(
+        folders,
+        lambda d: F.when(F.contains(d, F.lit("_")), pair(F.substring_index(d, "_", 1), F.regexp_replace(d, "^[^_]*_", ""))).when(d.rlike(rf"(?i)^{PROCESSES}$"), pair(F.lower(d), F.lit(""))),
+    )
+    near = F.get(F.filter(of, lambda x: x.isNotNull()), F.lit(0))
+    folder = F.coalesce(F.nullif(F.get(folders, F.lit(0)), F.lit("")), F.lit("rphost"))
+    process = F.when(named != "", F.lower(named)).otherwise(F.coalesce(near["process"], folder))
+    return process, F.when(named != "", F.regexp_extract(stem, rf"(?i){PROCESSES}_(\d+)", 2)).otherwise(F.coalesce(near["pid"], F.lit("")))
+
+
 def infobases(registry: DataFrame) -> DataFrame:
     """guid, name of a cluster registry's texts (column value): the first name of a guid."""
     guid = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
@@ -60,16 +107,29 @@ def named_infobases(bases: DataFrame, wanted: str) -> DataFrame:
     return bases.filter(F.lower("name").isin(names)) if names else bases
 
 
-def techlog_name_date(path: Column) -> Column:
-    """YYMMDDHH or YYMMDD in the name, or YYMMDD of the folder; null if none is a date."""
+def techlog_name_date(path: Column, modified: Column | None = None) -> Column:
+    """YYMMDDHH or YYMMDD in the name, or YYMMDD of the folder; else the hour of the last change, or null if that is not given."""
     name = F.regexp_extract(path, r"([^/]+)$", 1)
-    hour, day, folder = F.regexp_extract(name, r"(?<!\d)(\d{8})(?!\d)", 1), F.regexp_extract(name, r"(?<!\d)(\d{6})(?!\d)", 1), F.regexp_extract(path, r"/(\d{6})/[^/]+$", 1)
-    return F.coalesce(F.try_to_timestamp(F.nullif(hour, F.lit("")), F.lit("yyMMddHH")), *[F.try_to_timestamp(F.nullif(d, F.lit("")), F.lit("yyMMdd")) for d in (day, folder)])
-
-
-def eventlog_name_date(path: Column) -> Column:
-    """20YYMMDD in the name; null if it is none."""
-    return F.try_to_timestamp(F.nullif(F.regexp_extract(F.regexp_extract(path, r"([^/]+)$", 1), r"(20\d{6})", 1), F.lit("")), F.lit("yyyyMMdd")).cast("date")
+    hour, day, folder = F.regexp_extract(name, r"(?<!\d)(\d{8})(?!\d)", 1), F.regexp_extract(name, r"(?<!\d)(\d{6})(?!\d)", 1), F.regexp_extract(path, r"(?<!\d)(\d{6})(?!\d)[^/]*/[^/]+$", 1)
+    found = [F.try_to_timestamp(F.nullif(hour, F.lit("")), F.lit("yyMMddHH")), *[F.try_to_timestamp(F.nullif(d, F.lit("")), F.lit("yyMMdd")) for d in (day, folder)]]
+    return F.coalesce(*found, *([] if modified is None else [F.date_trunc("HOUR", modified)]))
+
+
+def eventlog_name_date(path: Column, modified: Column | None = None) -> Column:
+    """20YYMMDD in the name; else the day of the last change, or null if that is not given."""
+    named = F.try_to_timestamp(F.nullif(F.regexp_extract(F.regexp_extract(path, r"([^/]+)$", 1), r"(?<!\d)(20\d{6})", 1), F.lit("")), F.lit("yyyyMMdd"))
+    return F.coalesce(named, *([] if modified is None else [modified])).cast("date")
+
+
+def recent_files(files: DataFrame, today: date, start: date | None = None, end: date | None = None, archive: bool = False, day: str = "day") -> DataFrame:
+    """Technical log files to read: those of the wanted days, or (without any, and without the archive) of yesterday and today; all of them if that leaves none. Undated files stay."""
+    if archive and not (start or end):
+        return files
+    low, high = (start, end) if start or end else (date.fromordinal(today.toordinal() - 1), None)
+    d = F.col(day).cast("date")
+    wanted = d.isNull() | ((d >= F.lit(low) if low else F.lit(True)) & (d <= F.lit(high) if high else F.lit(True)))
+    found = files.agg(F.count_if(wanted).alias("__n"))
+    return files.join(F.broadcast(found)).filter(wanted | (F.col("__n") == 0)).drop("__n")  # one row
 
 
 def prune_by_date(files: DataFrame, start: date | Column | None, end: date | Column | None, by: list[str] | None = None, day: str = "day") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import urllib.error
 import urllib.parse
 import urllib.request
 import zipfile
@@ -12,7 +13,7 @@ from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,7 @@ from logspark.functions.ids import index_name
 
 CHUNK_ROWS = 5_000
 XML_BAD = re.compile("[^\t\n\r\x20-퟿-�]")
+#: Column types of the store.
 CLICKHOUSE_TYPES = {"string": "String", "bigint": "Nullable(Int64)", "int": "UInt32", "double": "Float64", "timestamp": "Nullable(DateTime64(3))", "map<string,string>": "Map(String, String)"}
 
 
@@ -33,12 +35,21 @@ def server_url(url: str) -> str:
     return url if parts.port else f"{url}:{8443 if parts.scheme == 'https' else 8123}"
 
 
-def json_rows(rows: DataFrame) -> DataFrame:
-    """id and body, a compact JSON object with nulls written and dates as 'yyyy-MM-dd HH:mm:ss.fff'; the date is also given under its legacy name."""
+def ping(url: str, user: str = "default", password: str = "") -> str:
+    """The version of the column store at url; raises if it does not answer."""
+    return post(server_url(url), b"SELECT version()", {"X-ClickHouse-User": user, "X-ClickHouse-Key": password}).decode().strip()
+
+
+def json_rows_body(rows: DataFrame, pretty: bool = False) -> Column:
+    """A compact (or indented) JSON object with nulls written and dates as 'yyyy-MM-dd HH:mm:ss.fff'; the date is also given under its legacy name."""
     columns = [json_date_text(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f.name) for f in rows.schema]
     if "DateTime" in rows.columns:
         columns.append(json_date_text(F.col("DateTime")).alias("Date"))
-    return rows.select("id", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("body"))
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false", "pretty": str(pretty).lower()})
+
+
+def json_rows(rows: DataFrame, pretty: bool = False) -> DataFrame:
+    return rows.select("id", json_rows_body(rows, pretty).alias("body"))
 
 
 def chunk_token(ids: list[str]) -> str:
@@ -86,23 +97,40 @@ def write_clickhouse(rows: DataFrame, url: str, database: str, table: str, user:
     return _deliver(rows, send)
 
 
-def write_elastic(rows: DataFrame, url: str, prefix: str, separation: str = "Day", index_id: str | None = None) -> int:
-    """Bulk upserts keyed by id into the index of each row's own date; raises if any row fails."""
+def ensure_index(url: str, index: str) -> None:
+    """Create an index unless it is there."""
+    try:
+        urllib.request.urlopen(urllib.request.Request(f"{url.rstrip('/')}/{index}", method="HEAD"), timeout=60).close()
+    except urllib.error.HTTPError as e:
+        if e.code != 404:
+            raise
+        urllib.request.urlopen(urllib.request.Request(f"{url.rstrip('/')}/{index}", method="PUT"), timeout=60).close()
+
+
+def write_elastic(rows: DataFrame, url: str, prefix: str, separation: str = "Day", index_id: str | None = None, ensure: bool = False) -> tuple[int, int]:
+    """Bulk upserts keyed by id into the index of each row's own date, in one pass; (rows indexed, rows refused), and an error if any is refused."""
     named = rows.withColumn("__index", index_name(prefix, F.col("DateTime"), separation, index_id))
-    total = 0
-    for row in named.select("__index").distinct().toLocalIterator():  # as many as days, months or hours
-        index = row["__index"]
+    if ensure:
+        for row in named.select("__index").distinct().toLocalIterator():  # as many as days, months or hours
+            ensure_index(url, row["__index"])
+    bodies = named.select("__index", "id", json_rows_body(rows).alias("body"))
 
-        def send(ids: list[str], bodies: list[str], index: str = index) -> int:
-            lines = "".join(json.dumps({"index": {"_index": index, "_id": i}}) + "\n" + b + "\n" for i, b in zip(ids, bodies, strict=True))
-            answer = json.loads(post(f"{url.rstrip('/')}/_bulk", lines.encode(), {"Content-Type": "application/x-ndjson"}) or b"{}")
-            failed = sum(1 for item in answer.get("items", []) if next(iter(item.values())).get("status", 200) >= 300)
-            if failed:
-                raise RuntimeError(f"{failed} of {len(ids)} rows were not indexed")
-            return len(ids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = refused = 0
+        for batch in batches:
+            items = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            for at in range(0, len(items), CHUNK_ROWS):
+                lines = "".join(json.dumps({"index": {"_index": index, "_id": i}}) + "\n" + b + "\n" for index, i, b in items[at : at + CHUNK_ROWS])
+                answer = json.loads(post(f"{url.rstrip('/')}/_bulk", lines.encode(), {"Content-Type": "application/x-ndjson"}) or b"{}")
+                failed = sum(1 for item in answer.get("items", []) if next(iter(item.values())).get("status", 200) >= 300)
+                done, refused = done + len(items[at : at + CHUNK_ROWS]) - failed, refused + failed
+        yield pa.RecordBatch.from_pydict({"done": [done], "refused": [refused]})
 
-        total += _deliver(named.filter(F.col("__index") == index).drop("__index"), send)
-    return total
+    sent = bodies.sortWithinPartitions("__index", "id").mapInArrow(run, "done long, refused long").agg(F.sum("done"), F.sum("refused")).first()
+    done, refused = sent[0] or 0, sent[1] or 0
+    if refused:
+        raise RuntimeError(f"{refused} of {done + refused} rows were not indexed")
+    return done, refused
 
 
 def write_ndjson(rows: DataFrame, path: str, records_per_file: int = 100_000, by_index: str | None = None, separation: str = "Day", mode: str = "append") -> None:
@@ -116,6 +144,81 @@ def write_ndjson(rows: DataFrame, path: str, records_per_file: int = 100_000, by
     (writer.partitionBy("index") if by_index else writer).json(path)
 
 
+def write_pretty(rows: DataFrame, path: str, mode: str = "error") -> None:
+    """Indented JSON objects, one after the other, as text files."""
+    json_rows(rows, pretty=True).select("body").write.mode(mode).text(path)
+
+
+class Ring:
+    """NDJSON dumps in a ring of slots, as a sink for micro-batches: a batch goes to the newest slot that is not full, else to a free one, else it takes the place of the oldest.
+
+    A slot is a folder; it is full at max_records rows or max_bytes (by size, count or either, as
+    policy says). Rows without Event are left out. Slots remember their rows by file name.
+    """
+
+    def __init__(self, path: str, slots: int = 30, max_records: int = 100_000, max_bytes: int = 0, total_bytes: int = 0, policy: str = "SizeOrRecordCount"):
+        self.path, self.slots, self.records, self.policy = path.rstrip("/"), slots, max_records, policy
+        # without a limit of its own a slot has its share of the total, 5 MB at least; 16 MB without a total
+        self.bytes = max_bytes or (max(5 << 20, total_bytes // slots) if total_bytes else 16 << 20)
+
+    def _state(self, spark: SparkSession) -> dict[int, tuple[int, int, int]]:
+        """Last change, bytes and rows of each slot that is in use."""
+        fs, root = _files(spark, self.path)
+        out: dict[int, tuple[int, int, int]] = {}
+        for part in fs.listStatus(root) if fs.exists(root) else []:
+            _, slot, rows, _ = part.getPath().getName().split("-", 3)
+            size = sum(f.getLen() for f in fs.listStatus(part.getPath()))
+            old = out.get(int(slot), (0, 0, 0))
+            out[int(slot)] = max(old[0], part.getModificationTime()), old[1] + size, old[2] + int(rows)
+        return out
+
+    def full(self, size: int, rows: int) -> bool:
+        by_size, by_rows = size >= self.bytes, rows >= self.records
+        return by_size if self.policy == "Size" else by_rows if self.policy == "RecordCount" else by_size or by_rows
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fs, root = _files(spark, self.path)
+        kept = batch.filter(F.trim(F.coalesce("Event", F.lit(""))) != "")
+        rows = kept.count()
+        if not rows:
+            return
+        state = self._state(spark)
+        newest = max(state, key=lambda k: state[k][0], default=None)
+        if newest is not None and not self.full(*state[newest][1:]):
+            slot = newest
+        else:
+            free = [k for k in range(self.slots) if k not in state]
+            slot = free[0] if free else min(state, key=lambda k: state[k][0])
+            for part in fs.listStatus(root) if slot in state else []:
+                if part.getPath().getName().startswith(f"slot-{slot}-"):
+                    fs.delete(part.getPath(), True)
+        # a batch that is delivered again takes its own place
+        for part in fs.listStatus(root) if fs.exists(root) else []:
+            if part.getPath().getName().endswith(f"-batch{number}"):
+                fs.delete(part.getPath(), True)
+        json_rows(kept).select("body").write.mode("overwrite").text(f"{self.path}/slot-{slot}-{rows}-batch{number}")
+
+
+def _files(spark: SparkSession, path: str):
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
+def retain(spark: SparkSession, path: str, limit: int = 30, total_bytes: int = 0, stale_ms: int = 120_000) -> list[str]:
+    """Delete the oldest dumps (json and jsonl files) of a folder beyond `limit` files and total_bytes, keeping one, and temporary files older than stale_ms; the names that went."""
+    fs, root = _files(spark, path)
+    entries = [(f.getModificationTime(), f.getPath(), f.getLen()) for f in fs.listStatus(root) if f.isFile()]
+    now = int(spark.sparkContext._jvm.System.currentTimeMillis())
+    gone = [p for at, p, _ in entries if p.getName().endswith(".tmp") and now - at > stale_ms]
+    dumps = sorted(((at, p, n) for at, p, n in entries if p.getName().lower().endswith((".json", ".jsonl"))), key=lambda e: (e[0], e[1].getName()))
+    while len(dumps) > limit or (total_bytes and len(dumps) > 1 and sum(n for _, _, n in dumps) > total_bytes):
+        gone.append(dumps.pop(0)[1])
+    for p in gone:
+        fs.delete(p, False)
+    return [p.getName() for p in gone]
+
+
 def write_xlsx(rows: DataFrame, path: str, columns: list[str], text_of: dict[str, list[str]] | None = None, sheet: str = "Log") -> int:
     """A spreadsheet of inline strings for a person to read: rows stream through the driver one by one. text_of names columns that show the first non-empty of several."""
     chosen = [F.coalesce(*[F.nullif(F.col(x).cast("string"), F.lit("")) for x in (text_of or {}).get(c, [c])]).alias(c) for c in columns]

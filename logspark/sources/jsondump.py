@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logspark.functions import scan
 from logspark.functions.dates import json_date
 from logspark.schema import EVENTLOG_SCHEMA, TECHLOG_SCHEMA
 from logspark.sources import framing
 
 REQUIRED = {"eventlog": ["id", "DateFormatted"], "techlog": ["id", "DateFormatted", "Duration", "Event", "Level"]}
-#: Objects nest this deep in a record found inside a larger text.
-DEPTH = 4
 
 
 def _schema(kind: str) -> T.StructType:
@@ -34,14 +34,14 @@ def _columns(kind: str) -> list[Column]:
     return out
 
 
-def _objects(text: Column, depth: int = DEPTH) -> Column:
-    """Balanced {...} parts of a text, outermost first; braces inside strings do not count."""
-    quoted = r'"(?:[^"\\]++|\\.)*+"'
-    flat = rf'[^{{}}"]++|{quoted}'
-    nested = rf"\{{(?:{flat})*+\}}"
-    for _ in range(depth - 1):
-        nested = rf"\{{(?:{flat}|{nested})*+\}}"
-    return F.regexp_extract_all(text, F.lit(f"(?s)({nested})"), 1)
+def records_of(text: Column, kind: str) -> Column:
+    """The record objects of a text, at the top, in arrays, or wrapped, however deep."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: scan.records(t, REQUIRED[kind]), na_action="ignore")
+
+    return found(text)
 
 
 def parse_objects(objects: DataFrame, kind: str) -> DataFrame:
@@ -83,19 +83,7 @@ def read_whole(spark: SparkSession, paths: str | list[str], kind: str) -> DataFr
     head = F.hex(F.substring("content", 1, 2))
     body = F.when(head == "FFFE", F.decode(F.expr("substring(content, 3)"), "UTF-16LE")).when(head == "FEFF", F.decode(F.expr("substring(content, 3)"), "UTF-16BE")).otherwise(F.decode("content", "UTF-8"))
     texts = files.select(F.regexp_replace(body, r"^\x{FEFF}", "").alias("value"))
-    outer = texts.select(F.explode(_objects(F.col("value"))).alias("value"))
-    # a wrapper is no record: look at the objects inside it
-    is_record = F.lit(True)
-    for name in REQUIRED[kind]:
-        is_record = is_record & F.get_json_object("value", f"$.{name}").isNotNull()
-    marked = outer.withColumn("record", F.coalesce(is_record, F.lit(False)))
-    found = marked.filter("record").select("value")
-    inside = marked.filter("NOT record")
-    for _ in range(3):
-        inside = inside.select(F.explode(_objects(F.col("value").substr(F.lit(2), F.length("value") - 2))).alias("value")).withColumn("record", F.coalesce(is_record, F.lit(False)))
-        found = found.unionByName(inside.filter("record").select("value"))
-        inside = inside.filter("NOT record")
-    return parse_objects(found, kind)
+    return parse_objects(texts.select(F.explode(records_of(F.col("value"), kind)).alias("value")), kind)
 
 
 def read_dump(spark: SparkSession, paths: str | list[str], kind: str, shape: str = "lines") -> DataFrame:

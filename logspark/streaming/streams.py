@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -62,14 +63,22 @@ def with_session_user(rows: DataFrame, horizon: str = "1 day", keep_ms: int = 86
             return
         known = state.get if state.exists else (None, None)
         rows = pd.concat(list(batches)).sort_values(["DateTime", "id"], kind="stable").reset_index(drop=True)
-        for i, user, uuid, event in zip(rows.index, rows["User"], rows["UserUuid"], rows["Event"], strict=True):
-            if not user or user in (NO_NAME, "1") or user.startswith("User #"):
-                if known[0]:
-                    rows.at[i, "User"], rows.at[i, "UserUuid"] = known
-            else:
-                known = (user, uuid)
-            if "завершение" in (event or "").lower():
-                known = (None, None)
+        user, event = rows["User"].fillna(""), rows["Event"].fillna("").str.lower()
+        has = ~(user.isin(["", NO_NAME, "1"]) | user.str.startswith("User #"))
+        ends = event.str.contains("завершение", regex=False)
+        epoch = ends.cumsum().shift(fill_value=0)  # rows up to an end share what they know
+        seen = has.groupby(epoch).cumsum() > 0
+        carried = rows[["User", "UserUuid"]].where(has).groupby(epoch).ffill()
+        first = ~seen & (epoch == 0) & (known[0] is not None)
+        for i, column in enumerate(("User", "UserUuid")):
+            rows[column] = rows[column].where(has | ~seen, carried[column]).where(has | ~first, known[i])
+        last = int(epoch.iloc[-1]) + int(ends.iloc[-1])
+        inside = has & (epoch == last)
+        if inside.any():
+            at = inside[inside].index[-1]
+            known = (rows.at[at, "User"], rows.at[at, "UserUuid"])
+        elif last > 0:
+            known = (None, None)
         if known[0]:
             state.update(known)
             last = int(pd.Timestamp(rows["DateTime"].max()).timestamp() * 1000)
@@ -82,8 +91,44 @@ def with_session_user(rows: DataFrame, horizon: str = "1 day", keep_ms: int = 86
     return columns.groupBy("base", "Session").applyInPandasWithState(run, ENRICHED, "user string, uuid string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def fan_out(sinks: dict[str, Callable[[DataFrame, int], None]], dead_letter: str | None = None, attempts: int = 3) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: every sink gets the batch; one that fails `attempts` times leaves the batch as JSON under dead_letter, and the stream goes on (without dead_letter it fails)."""
+def deduplicated_last(rows: DataFrame, last: int = 500_000, key: str = "id", parts: int = 64) -> DataFrame:
+    """Rows whose key is not among the last ones seen: each of `parts` parts of the keys remembers its last / parts, first in, first out.
+
+    Unlike deduplicated, the horizon is a number of rows, so that a pause in a log forgets nothing.
+    """
+    each = max(1, last // parts)
+    schema = rows.schema
+
+    def run(part: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = list(state.get[0]) if state.exists else []
+        have = set(known)
+        for batch in batches:
+            fresh = ~batch["__key"].isin(have) & ~batch["__key"].duplicated()
+            added = batch.loc[fresh, "__key"].tolist()
+            known += added
+            have.update(added)
+            yield batch.loc[fresh, schema.names]
+        state.update((known[-each:],))
+
+    hashed = rows.select("*", F.xxhash64(key).alias("__key"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("__part"))
+    return hashed.groupBy("__part").applyInPandasWithState(run, schema, "known array<bigint>", "append", GroupStateTimeout.NoTimeout)
+
+
+def reloaded(load: Callable[[], DataFrame], stamp: Callable[[], object]) -> Callable[[], DataFrame]:
+    """A function that gives load()'s table (a dictionary), read again whenever stamp() (its last change) differs: call it once a micro-batch."""
+    held: list = []
+
+    def get() -> DataFrame:
+        now = stamp()
+        if not held or held[0] != now:
+            held[:] = [now, load()]
+        return held[1]
+
+    return get
+
+
+def fan_out(sinks: dict[str, Callable[[DataFrame, int], None]], dead_letter: str | None = None, attempts: int = 3, pause: float = 1.0) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: every sink gets the batch; one that fails `attempts` times (after pauses that double) leaves the batch as JSON under dead_letter, and the stream goes on (without dead_letter it fails)."""
 
     def deliver(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
@@ -95,6 +140,7 @@ def fan_out(sinks: dict[str, Callable[[DataFrame, int], None]], dead_letter: str
                         break
                     except Exception:
                         if attempt + 1 < attempts:
+                            time.sleep(pause * 2**attempt)
                             continue
                         if dead_letter is None:
                             raise
@@ -115,4 +161,4 @@ def identified(rows: DataFrame, scope: str = "file") -> DataFrame:
     return rows.withColumn("id", record_id(F.col("raw"), F.col(scope)))
 
 
-__all__ = ["stream_ndjson", "stream_texts", "deduplicated", "collapsed", "with_session_user", "fan_out", "start", "identified", "unknown_user"]
+__all__ = ["stream_ndjson", "stream_texts", "deduplicated", "deduplicated_last", "reloaded", "collapsed", "with_session_user", "fan_out", "start", "identified", "unknown_user"]

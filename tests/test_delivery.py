@@ -62,7 +62,7 @@ def test_clickhouse(rows, server):
 
 def test_elastic(rows, server):
     url, seen = server
-    assert delivery.write_elastic(rows.coalesce(1), url, "events", "Day", "prod") == 6
+    assert delivery.write_elastic(rows.coalesce(1), url, "events", "Day", "prod") == (6, 0)
     assert json.loads(seen[0][1].split("\n")[0]) == {"index": {"_index": "events_prod_20260911", "_id": "i0"}}
 
 
