@@ -76,8 +76,8 @@ def _join_name(rows: DataFrame, dims: DataFrame, kind: str, key: str, out: str,
     return rows.join(dim, ["base", key], "left")
 
 
-def names_of_list(rows: DataFrame, dims: DataFrame, key: str | list[str], codes: str, separator: str = ", ") -> DataFrame:
-    """rows with names and name_uuid of a list of metadata codes: names in list order, zeros left out, the first uuid that is not empty.
+def names_of_list(rows: DataFrame, dims: DataFrame, key: str | list[str], codes: str, separator: str = ", ", skipped: tuple[str, ...] = ("", "0")) -> DataFrame:
+    """rows with names and name_uuid of a list of metadata codes: names in list order, skipped codes left out, the first uuid that is not empty.
 
     key (with base, if it is a column of rows) tells rows apart; they travel once, beside their codes.
     """
@@ -87,7 +87,7 @@ def names_of_list(rows: DataFrame, dims: DataFrame, key: str | list[str], codes:
     meta = dims.filter("kind = 'metadata'").select("base", "code", "name", "uuid")
     listed = listed.join(meta, ["base", "code"], "left")
     shown = F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("Meta #"), F.col("code")))
-    item = F.when(~F.col("code").isin("", "0"), F.struct("pos", shown.alias("name"), F.coalesce("uuid", F.lit("")).alias("uuid")))
+    item = F.when(~F.col("code").isin(*skipped), F.struct("pos", shown.alias("name"), F.coalesce("uuid", F.lit("")).alias("uuid")))
     grouped = listed.groupBy(*keys).agg(F.first("__row").alias("__row"), F.array_sort(F.collect_list(item)).alias("items"))
     uuid = F.get(F.filter(F.transform("items", lambda x: x["uuid"]), lambda u: u != ""), F.lit(0))
     return grouped.select(

@@ -34,7 +34,7 @@ def metadata_names(rows: DataFrame, dims: DataFrame) -> DataFrame:
     single = rows.filter(~several).join(meta.select(F.col("base").alias("path"), F.col("code").alias("__one"), F.col("name").alias("__name")), ["path", "__one"], "left")
     shown = F.when(F.col("__one").isNotNull(), F.coalesce("__name", F.concat(F.lit("Meta #"), F.col("__one")))).otherwise(F.coalesce("metadataCodes", F.lit("")))
     single = single.withColumn("Metadata", shown).select(*rows.columns, "Metadata")
-    many = names_of_list(rows.filter(several).withColumn("base", F.col("path")), meta, "rowID", "__codes").withColumnRenamed("names", "Metadata")
+    many = names_of_list(rows.filter(several).withColumn("base", F.col("path")), meta, "rowID", "__codes", skipped=("",)).withColumnRenamed("names", "Metadata")
     return single.unionByName(many.select(*single.columns)).drop("__codes", "__one")
 
 

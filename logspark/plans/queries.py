@@ -13,8 +13,9 @@ from pyspark.sql.window import Window
 
 from logspark.functions import ids, text
 from logspark.functions.dates import hex_number, json_date, json_date_text, ticks_date
-from logspark.operators import eventlog, query, repeats, techlog
+from logspark.operators import eventlog, lgd, query, repeats, techlog
 from logspark.plans import catalog
+from logspark.sinks import delivery
 from logspark.sources import jsondump
 
 Q, SQL = {}, {}
@@ -376,11 +377,12 @@ def index_name_partition(spark, sf_dir):
     return rows.groupBy("index", "hourly").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("SELECT user_id, count(*) AS n, sha256(string_agg(lpad(CAST(event_id AS VARCHAR), 12, '0'), chr(10) ORDER BY event_id) || chr(10)) AS token FROM events GROUP BY user_id")
+@register("SELECT user_id, event_id // 1000 AS chunk, count(*) AS n, sha256(string_agg(lpad(CAST(event_id AS VARCHAR), 12, '0'), chr(10) ORDER BY event_id) || chr(10)) AS token FROM events GROUP BY user_id, event_id // 1000")
 def dedup_token(spark, sf_dir):
-    rows = _t(spark, sf_dir, "events").select("user_id", F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"))
-    listed = rows.groupBy("user_id").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return listed.select("user_id", F.size("ids").cast("long").alias("n"), ids.ids_token("ids").alias("token"))
+    """Tokens of chunks: the rows of a user within 1,000 ids, so that no chunk grows with the table."""
+    rows = _t(spark, sf_dir, "events").select("user_id", F.expr("event_id div 1000").alias("chunk"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"))
+    listed = rows.groupBy("user_id", "chunk").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    return listed.select("user_id", "chunk", F.size("ids").cast("long").alias("n"), ids.ids_token("ids").alias("token"))
 
 
 @register("SELECT event_id AS k, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS shown, date_trunc('millisecond', ts) AS back FROM events")
@@ -441,3 +443,185 @@ def techlog_framed_files(spark, sf_dir):
     framed = framing.frame(lines.select("file", "size", "split", "at", "line"), framing.TECHLOG_START).join(places, "file")
     rows = techlog.decode_techlog(framed.withColumn("process", F.lit("rphost")))
     return rows.groupBy(F.col("User").alias("user"), F.col("Event").alias("event")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------ SQLite journals
+
+_UNITS = "CAST((epoch_us(date_trunc('second', ts)) + 62135596800000000) // 100 AS BIGINT)"
+
+
+def journal_rows(events: DataFrame) -> DataFrame:
+    """Events as rows of the SQLite journals of three infobases."""
+    e, u = F.col("event_id"), F.col("user_id")
+    lists = F.when(e % 4 == 1, u.cast("string")).when(e % 4 == 2, F.concat(F.lit("["), u.cast("string"), F.lit(", "), (u + 1).cast("string"), F.lit("]"))).when(e % 4 == 3, "word").otherwise("")
+    units = F.floor((F.unix_micros(F.date_trunc("SECOND", "ts")) + F.lit(62_135_596_800_000_000)) / 100).cast("long")
+    return events.select(
+        F.concat(F.lit("/logs/Base"), (u % 3).cast("string"), F.lit("/1Cv8Log/1Cv8.lgd")).alias("path"), F.lit(2048).cast("long").alias("size"), e.alias("rowID"), (e % 5).alias("severity"), units.alias("date"), u.alias("connectID"),
+        F.when(u % 7 != 0, e).alias("session"), (e % 5).alias("transactionStatus"), F.when(e % 3 != 0, e).alias("transactionID"), (u + 1).alias("userCode"), (u % 30).alias("appCode"), (e % 4).alias("eventCode"), F.col("event_type").alias("comment"),
+        F.col("event_type").alias("dataPresentation"), lists.alias("metadataCodes"), F.lit(0).cast("long").alias("computerCode"), F.lit(9).cast("long").alias("workServerCode"), (u % 2).alias("primaryPortCode"), "ts",
+    )
+
+
+def journal_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n, p = (_t(spark, sf_dir, t) for t in ("customer", "nation", "part"))
+    row = lambda kind, code, name: (F.lit(kind).alias("kind"), code.cast("long").alias("code"), name.alias("name"))
+    rows = c.select(*row("user", F.col("c_custkey") + 1, F.col("c_name"))).unionByName(n.select(*row("app", F.col("n_nationkey") + 1, F.col("n_name")))).unionByName(p.select(*row("metadata", F.col("p_partkey"), F.col("p_name"))))
+    rows = rows.unionByName(n.filter("n_nationkey < 2").select(*row("event", F.col("n_nationkey") + 1, F.when(F.col("n_nationkey") == 0, "_$Transaction$_.Begin").otherwise("_$Data$_.Post"))))
+    paths = F.explode(F.array(*[F.lit(f"/logs/Base{k}/1Cv8Log/1Cv8.lgd") for k in range(3)])).alias("path")
+    return rows.select(paths, "kind", "code", "name", F.lit("").alias("uuid"))
+
+
+@register(f"""
+    SELECT 'Base' || (user_id % 3) AS base, e.event_id AS seq, 'lgd_' || e.event_id || '_' || {_UNITS} || '_' || substr(sha256(chr(1) || 'Base' || (user_id % 3) || chr(10) || 'lgd'), 1, 8) AS id, date_trunc('second', ts) AS "DateTime",
+           coalesce(c.c_name, CASE WHEN user_id = 0 THEN '<Не указан>' ELSE 'User #' || (user_id + 1) END) AS "User", CASE WHEN user_id % 30 = 0 THEN '' ELSE coalesce(n.n_name, 'App #' || (user_id % 30)) END AS "Application",
+           CASE e.event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Транзакция. Начало' WHEN 2 THEN 'Данные. Проведение' ELSE 'Event #3' END AS "Event",
+           CASE e.event_id % 4 WHEN 0 THEN '' WHEN 1 THEN coalesce(p1.p_name, 'Meta #' || user_id) WHEN 2 THEN coalesce(p1.p_name, 'Meta #' || user_id) || ', ' || coalesce(p2.p_name, 'Meta #' || (user_id + 1)) ELSE 'word' END AS "Metadata",
+           CASE e.event_id % 5 WHEN 0 THEN '-' WHEN 1 THEN 'X' WHEN 2 THEN 'R' WHEN 3 THEN 'InProc' ELSE '4' END || CASE WHEN e.event_id % 3 <> 0 THEN '(' || e.event_id || ')' ELSE '' END AS "Tran",
+           CASE e.event_id % 5 WHEN 0 THEN 'Информация' WHEN 1 THEN 'Предупреждение' WHEN 2 THEN 'Ошибка' WHEN 3 THEN 'Примечание' ELSE 'Уровень 4' END AS "Severity",
+           CASE WHEN user_id % 7 <> 0 THEN CAST(e.event_id AS VARCHAR) ELSE '' END AS "Session", CASE WHEN e.event_id % 5 <> 0 THEN date_trunc('second', ts) END AS "TransactionDate", CASE WHEN e.event_id % 3 <> 0 THEN e.event_id ELSE 0 END AS "TransactionNumber",
+           'Server #9' AS "Server", CASE WHEN user_id % 2 = 1 THEN '1' ELSE '' END AS "MainPort", '2.0 КБ' AS "FileSizeFormatted"
+    FROM events e LEFT JOIN customer c ON c.c_custkey = user_id LEFT JOIN nation n ON n.n_nationkey + 1 = user_id % 30 LEFT JOIN part p1 ON p1.p_partkey = user_id LEFT JOIN part p2 ON p2.p_partkey = user_id + 1""")
+def lgd_decode(spark, sf_dir):
+    rows = lgd.decode_journal(journal_rows(_t(spark, sf_dir, "events")), journal_codes(spark, sf_dir))
+    return rows.select("base", "seq", "id", "DateTime", "User", "Application", "Event", "Metadata", "Tran", "Severity", "Session", "TransactionDate", "TransactionNumber", "Server", "MainPort", "FileSizeFormatted")
+
+
+@register("SELECT event_id AS seq, user_id % 3 AS base, date_trunc('second', ts) AS \"DateTime\" FROM events ORDER BY event_id DESC, base LIMIT 200")
+def lgd_newest(spark, sf_dir):
+    rows = lgd.newest(lgd.decode_journal(journal_rows(_t(spark, sf_dir, "events")), journal_codes(spark, sf_dir)), 200)
+    return rows.select("seq", F.substring("base", 5, 1).cast("long").alias("base"), "DateTime")
+
+
+# --------------------------------------------------- event log: bases, layouts
+
+
+@register("""
+    SELECT 'b' || (event_id % 2) AS base, event_id // 2 AS seq, concat_ws(', ', CASE WHEN user_id <> 0 THEN coalesce(CASE WHEN event_id % 2 = 1 THEN '1:' ELSE '' END || p1.p_name, 'Meta #' || user_id) END,
+           coalesce(CASE WHEN event_id % 2 = 1 THEN '1:' ELSE '' END || p2.p_name, 'Meta #' || (user_id + 1))) AS "Metadata"
+    FROM events LEFT JOIN part p1 ON p1.p_partkey + 1 = user_id LEFT JOIN part p2 ON p2.p_partkey = user_id""")
+def eventlog_metadata_of_bases(spark, sf_dir):
+    """Lists of metadata in two infobases whose records have the same numbers, and whose codes have other names."""
+    events, dims = _t(spark, sf_dir, "events"), _dims(spark, sf_dir)
+    texts = eventlog_texts(events.withColumns({"__e": F.col("event_id"), "event_id": F.col("event_id") * 5}))
+    texts = texts.select(F.concat(F.lit("b"), (F.col("seq") / 5 % 2).cast("long").cast("string")).alias("base"), F.expr("seq div 10").alias("seq"), "raw")
+    both = dims.withColumn("base", F.lit("b0")).unionByName(dims.withColumns({"base": F.lit("b1"), "name": F.concat(F.lit("1:"), "name")}))
+    return eventlog.decode_eventlog(texts, both).select("base", "seq", "Metadata")
+
+
+@register("""
+    SELECT event_id AS seq, CASE WHEN event_id % 5 = 0 THEN concat_ws(', ', CASE WHEN user_id <> 0 THEN coalesce(n1.name, p1.p_name, 'Meta #' || user_id) END, coalesce(n2.name, p2.p_name, 'Meta #' || (user_id + 1)))
+           WHEN event_id % 50 = 0 THEN '' ELSE coalesce(n3.name, p3.p_name, 'Meta #' || (event_id % 50)) END AS "Metadata"
+    FROM events LEFT JOIN part p1 ON p1.p_partkey + 1 = user_id LEFT JOIN part p2 ON p2.p_partkey = user_id LEFT JOIN part p3 ON p3.p_partkey + 1 = event_id % 50
+    LEFT JOIN (SELECT n_nationkey AS k, 'Inline ' || n_name AS name FROM nation) n1 ON n1.k + 1 = user_id LEFT JOIN (SELECT n_nationkey AS k, 'Inline ' || n_name AS name FROM nation) n2 ON n2.k = user_id
+    LEFT JOIN (SELECT n_nationkey AS k, 'Inline ' || n_name AS name FROM nation) n3 ON n3.k + 1 = event_id % 50""")
+def eventlog_inline_dictionary(spark, sf_dir):
+    """Dictionary rows within a journal rename codes of the dictionary."""
+    entry = F.concat(F.lit('{5,0,"Inline '), "n_name", F.lit('",'), (F.col("n_nationkey") + 1).cast("string"), F.lit("},"))
+    inline = _t(spark, sf_dir, "nation").select(F.lit("").alias("base"), F.col("n_nationkey").cast("long").alias("seq"), entry.alias("raw"))
+    records, entries = eventlog.inline_entries(eventlog_texts(_t(spark, sf_dir, "events")).unionByName(inline))
+    dims = eventlog.with_inline(_dims(spark, sf_dir), entries.withColumnRenamed("seq", "at"))
+    return eventlog.decode_eventlog(records, dims).select("seq", "Metadata")
+
+
+@register("""
+    SELECT event_id AS seq, CASE event_id % 3 WHEN 0 THEN CASE WHEN user_id % 2 = 0 THEN 'acc' || user_id ELSE 'DOM\\u' || user_id END WHEN 1 THEN 'Фоновое задание' ELSE 'User #' || (user_id + 5000000) END AS "User",
+           CASE event_id % 3 WHEN 0 THEN 'Сеанс. Аутентификация' WHEN 1 THEN 'Event #9' ELSE 'Event #8' END AS "Event",
+           CASE event_id % 3 WHEN 0 THEN CASE WHEN user_id % 2 = 0 THEN 'acc' || user_id ELSE 'DOM\\u' || user_id END WHEN 1 THEN '' ELSE CAST(user_id AS VARCHAR) END AS "Data",
+           CASE event_id % 3 WHEN 0 THEN 'Пользователь ОС: DOM\\u' || user_id ELSE '' END AS "DataPresentation", CASE WHEN event_id % 3 = 2 THEN '' ELSE '77' END AS "Connection", CAST(event_id AS VARCHAR) AS "Session" FROM events""")
+def eventlog_accounts_and_layouts(spark, sf_dir):
+    """Authentication names its account, a background job its user; every third record has the old layout, without a connection."""
+    e, u = F.col("event_id"), F.col("user_id")
+    head = F.concat(F.lit("{"), F.date_format("ts", "yyyyMMddHHmmss"), F.lit(",N,{0,0},"))
+    own = F.when(u % 2 == 0, F.concat(F.lit(',{2,{"S","acc'), u.cast("string"), F.lit('"}}'))).otherwise("")
+    auth = F.concat(head, F.lit('0,0,1,77,1,I,"",0,{"P",{1,{"S","DOM\\u'), u.cast("string"), F.lit('"}}'), own, F.lit('},"",0,0,0,'), e.cast("string"), F.lit(",0}"))
+    job = F.concat(head, F.lit('0,0,2,77,9,I,"",0,{"U"},"",0,0,0,'), e.cast("string"), F.lit(",0}"))
+    old = F.concat(head, (u + 5_000_000).cast("string"), F.lit(',0,1,8,I,"",0,{"N",'), u.cast("string"), F.lit('},"",0,0,0,'), e.cast("string"), F.lit("}"))
+    rows = _t(spark, sf_dir, "events").select(F.lit("").alias("base"), e.alias("seq"), F.when(e % 3 == 0, auth).when(e % 3 == 1, job).otherwise(old).alias("raw"))
+    entries = spark.createDataFrame([(1, '{3,"1CV8C",1}'), (2, '{3,"BackgroundJob",2}'), (3, '{4,"_$Session$_.Authentication",1}')], "at long, raw string")
+    return eventlog.decode_eventlog(rows, eventlog.decode_dictionary(entries)).select("seq", "User", "Event", "Data", "DataPresentation", "Connection", "Session")
+
+
+# ------------------------------------------------------------ discovery
+
+
+@register("""
+    SELECT lower(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)) AS guid, n_name || ' "x"' AS name
+    FROM (SELECT *, md5(n_name) AS h FROM nation) WHERE n_name IN ('FRANCE', 'GERMANY', 'NATION_1', 'NATION_2') OR n_nationkey < 7""")
+def infobases_registry(spark, sf_dir):
+    """A cluster registry for each region, read back: guid and name, the first of a guid."""
+    h = F.md5(F.col("n_name").cast("binary"))
+    guid = F.upper(F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
+    entry = F.concat(F.lit("{"), guid, F.lit(',"'), "n_name", F.lit(' ""x"""'), F.lit(',"later",{0}}'))
+    nations = _t(spark, sf_dir, "nation")
+    texts = nations.groupBy("n_regionkey").agg(F.concat_ws(",\n", F.collect_list(entry)).alias("value"))
+    wanted = nations.filter(F.col("n_name").isin("FRANCE", "GERMANY", "NATION_1", "NATION_2") | (F.col("n_nationkey") < 7)).select(F.concat("n_name", F.lit(' "x"')).alias("name"))
+    return catalog.infobases(texts).join(wanted, "name", "left_semi").select("guid", "name")
+
+
+@register("""
+    SELECT '/r/s' || (c_custkey % 50) || '/base/1Cv8Log/' || c_custkey || '.lgp' AS path, CASE c_custkey % 50 % 5 WHEN 0 THEN '/r/s' || (c_custkey % 50) || '/base/1Cv8Log/1Cv8.lgf' WHEN 1 THEN '/r/s' || (c_custkey % 50) || '/base/1Cv8.lgf'
+           WHEN 2 THEN '/r/s' || (c_custkey % 50) || '/base/1Cv8Log/old/1Cv8.lgf' WHEN 3 THEN '/r/s' || (c_custkey % 50) || '/1Cv8Log/1Cv8.lgf' ELSE '/r/1Cv8.lgf' END AS dictionary FROM customer""")
+def dictionary_resolution(spark, sf_dir):
+    k = F.col("c_custkey") % 50
+    home = F.concat(F.lit("/r/s"), k.cast("string"))
+    journals = _t(spark, sf_dir, "customer").select(F.concat(home, F.lit("/base/1Cv8Log")).alias("directory"), F.concat(home, F.lit("/base/1Cv8Log/"), F.col("c_custkey").cast("string"), F.lit(".lgp")).alias("path"))
+    place = F.when(k % 5 == 0, "/base/1Cv8Log").when(k % 5 == 1, "/base").when(k % 5 == 2, "/base/1Cv8Log/old").when(k % 5 == 3, "/1Cv8Log")
+    found = _t(spark, sf_dir, "customer").select(F.concat(home, place, F.lit("/1Cv8.lgf")).alias("path")).filter("path IS NOT NULL").distinct()
+    dictionaries = found.unionByName(_t(spark, sf_dir, "region").select(F.lit("/r/1Cv8.lgf").alias("path")).distinct())
+    return catalog.nearest_dictionary(journals, dictionaries).select("path", "dictionary")
+
+
+@register("""
+    SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'rphost' WHEN 1 THEN 'rmngr' WHEN 2 THEN 'common' WHEN 3 THEN 'Desktop' WHEN 4 THEN 'my' ELSE '1cv8' END AS process,
+           CASE event_id % 6 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN CAST(user_id AS VARCHAR) WHEN 4 THEN 'p_1' ELSE '' END AS pid,
+           CASE event_id % 6 WHEN 3 THEN NULL WHEN 4 THEN date_trunc('day', ts) ELSE date_trunc('hour', ts) END AS hour FROM events""")
+def process_and_hour_from_path(spark, sf_dir):
+    e, u = F.col("event_id") % 6, F.col("user_id").cast("string")
+    stamp, day = F.date_format("ts", "yyMMddHH"), F.date_format("ts", "yyMMdd")
+    path = (
+        F.when(e == 0, F.concat(F.lit("/l/rphost_"), u, F.lit("/"), stamp, F.lit(".log"))).when(e == 1, F.concat(F.lit("/l/x/RMNGR_"), u, F.lit("_"), stamp, F.lit(".log"))).when(e == 2, F.concat(F.lit("/l/COMMON/d/"), stamp, F.lit(".log")))
+        .when(e == 3, F.lit("/l/Desktop/x.log")).when(e == 4, F.concat(F.lit("/l/my_p_1/"), day, F.lit("/x.log"))).otherwise(F.concat(F.lit("/a_b/l/1cv8."), stamp, F.lit(".log")))
+    )
+    rows = techlog.file_place(_t(spark, sf_dir, "events").select("event_id", path.alias("file")))
+    return rows.select("event_id", "process", "pid", "hour")
+
+
+@register("""
+    WITH f AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 3 = 0 THEN 'short' ELSE 'longer_name' END || o_orderkey AS stem FROM orders)
+    SELECT '/l/' || stem || '.log' AS path FROM f WHERE length(stem) >= 8 AND (day >= (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) - 1 OR day IS NULL)""")
+def recent_techlog_files(spark, sf_dir):
+    """What a service reads without the archive: files of the last two days with names of eight characters or more."""
+    k = F.col("o_orderkey")
+    stem = F.concat(F.when(k % 3 == 0, "short").otherwise("longer_name"), k.cast("string"))
+    orders = _t(spark, sf_dir, "orders")
+    today = orders.agg(F.max(F.to_date("o_orderdate"))).first()[0]
+    files = orders.select(F.concat(F.lit("/l/"), stem, F.lit(".log")).alias("path"), F.to_date("o_orderdate").alias("day"))
+    return catalog.recent_files(catalog.find_techlog(files, service=True), today).select("path")
+
+
+# ------------------------------------------------------------ dumps
+
+
+@register(f"""
+    SELECT CAST(event_id AS VARCHAR) AS session, date_trunc('millisecond', ts) AS "DateTime", {MICROS_SQL} AS "Duration", {NAME_SQL} AS "Event", 'Base' || (user_id % 7) AS base FROM events""")
+def json_dump_roundtrip(spark, sf_dir):
+    """Decoded records as dump lines, read back: dates with milliseconds, nulls, properties."""
+    lines = delivery.json_rows(techlog_rows(spark, sf_dir)).select(F.col("body").alias("value"))
+    return jsondump.parse_lines(lines, "techlog").select(F.col("SessionId").alias("session"), "DateTime", "Duration", "Event", F.element_at("Properties", "p_processName").alias("base"))
+
+
+@register("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS \"Event\" FROM events WHERE event_id % 4 <> 3")
+def json_wrapped_records(spark, sf_dir):
+    """Records inside arrays and wrapper objects, up to twelve deep; objects that lack a member are none."""
+    e = F.col("event_id")
+    record = F.to_json(F.struct(e.cast("string").alias("id"), F.when(e % 4 != 3, "2024-01-01 00:00:00").alias("DateFormatted"), F.col("event_type").alias("Event")))
+    wrapped = F.when(e % 4 == 0, record).when(e % 4 == 1, F.concat(F.lit('{"meta": {"a": "}"}, "data": ['), record, F.lit("]}"))).otherwise(F.concat(F.lit('{"w":' * 12), record, F.lit("}" * 12)))
+    texts = _t(spark, sf_dir, "events").select(F.explode(jsondump.records_of(wrapped, "eventlog")).alias("value"))
+    return jsondump.parse_objects(texts, "eventlog").select("id", "Event")
+
+
+@register(f"""
+    SELECT event_id, {NAME_SQL} AS event, {MICROS_SQL} AS micros FROM events ORDER BY lower({NAME_SQL}), micros DESC, ts DESC, event_id LIMIT 150""")
+def event_longest_preset(spark, sf_dir):
+    rows = techlog_rows(spark, sf_dir).withColumn("event_id", F.col("SessionId").cast("long"))
+    return query.top_rows(rows, "event-longest", 150, extra=["event_id"]).select("event_id", F.col("Event").alias("event"), F.col("Duration").alias("micros"))
