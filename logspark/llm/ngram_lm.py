@@ -5,9 +5,9 @@ each block sends its distinct (u, v, w) to the shard of v, which has all that a
 after u v needs, and the answers return to the block; so neither the model nor the vocabulary has
 to fit anywhere as a whole. Of frequent middle words, the trigrams are dealt by (v, u) and the
 bigrams by (v, w). A shard is a trie of compact levels in one memory map: middle words, (v, w) and
-(v, u) pairs, and the w of each (v, u). Levels and the pointers between them are Elias-Fano coded
-monotone sequences, read in place; an element is found by a successor search within the range of
-its context, and holds a probability quantised to 16 bits.
+(v, u) pairs, and the w of each (v, u). A level is an Elias-Fano coded monotone sequence, read in
+place, of pointers to the context and words below it; an element is found by a successor search
+within the range of its context, and holds a probability quantised to 16 bits.
 
 Probabilities are Dirichlet-smoothed: p(w | v) = (c(v w) + K u(w)) / (c(v) + K) and p(w | u v) =
 (c(u v w) + K p(w | v)) / (c(u v) + K), with u the add-0.1 unigram estimate. Before its first word
@@ -54,12 +54,27 @@ class Settings:
 
 # ---------------------------------------------------------------- Elias-Fano
 
-_BLOCK = 8  # 64-bit words of high bits that share an entry of the directory
+_U = np.uint64
 _CHUNK = 1 << 15
+#: Place of the r-th one of each byte, at r * 256 + byte.
+_IN_BYTE = np.array([[([i for i in range(8) if byte >> i & 1] + [8] * 8)[r] for byte in range(256)] for r in range(8)], dtype=np.int64).ravel()
+
+
+def _select_in(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The place of the one of each rank in each 64-bit word, by sums over its bytes."""
+    pairs = word - ((word >> _U(1)) & _U(0x5555555555555555))
+    fours = (pairs & _U(0x3333333333333333)) + ((pairs >> _U(2)) & _U(0x3333333333333333))
+    upto = ((fours + (fours >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _U(0x0101010101010101)
+    r = rank.astype(np.uint64)
+    below = ((r * _U(0x0101010101010101) | _U(0x8080808080808080)) - upto) & _U(0x8080808080808080)
+    shift = np.bitwise_count(below).astype(np.uint64) * _U(8)
+    before = np.where(shift > 0, (upto >> (np.maximum(shift, _U(8)) - _U(8))) & _U(255), _U(0))
+    byte = (word >> np.minimum(shift, _U(56))) & _U(255)
+    return shift.astype(np.int64) + _IN_BYTE[((r - before) * _U(256) + byte).astype(np.int64)]
 
 
 class EliasFano:
-    """A non-decreasing sequence: low bits in a plain array, high bits in unary with a directory of counts; element and successor access, in place."""
+    """A non-decreasing sequence: low bits in a plain array, high bits in unary with a count for each 64 of them; element and successor access, in place."""
 
     def __init__(self, low: np.ndarray, high: np.ndarray, ones: np.ndarray, bits: int, size: int):
         self.low, self.high, self.ones, self.bits, self.size = low, high, ones, bits, size
@@ -71,92 +86,77 @@ class EliasFano:
         bits = max(0, int(universe // max(n, 1)).bit_length() - 1)
         low = values & np.uint64((1 << bits) - 1)
         places = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        flags = np.zeros(-(-((int(places[-1]) if n else 0) + 2) // (64 * _BLOCK)) * 64 * _BLOCK, dtype=np.uint8)
+        flags = np.zeros(-(-((int(places[-1]) if n else 0) + 2) // 64) * 64, dtype=np.uint8)
         flags[places] = 1
         high = np.packbits(flags, bitorder="little").view("<u8")
-        each = np.bitwise_count(high).reshape(-1, _BLOCK).sum(axis=1)
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
         width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if bits <= np.dtype(t).itemsize * 8)
-        return EliasFano(low.astype(width), high, np.concatenate([[0], np.cumsum(each, dtype=np.int64)]), bits, n)
+        return EliasFano(low.astype(width), high, ones.astype(np.uint32 if n < 2**32 else np.int64), bits, n)
 
     def _select(self, at: np.ndarray, zeros: bool) -> np.ndarray:
-        """Bit positions of the ones (or zeros) of the given ranks: the directory picks a block, counts pick the word and then halves of it."""
+        """Bit positions of the ones (or zeros) of the given ranks: the counts pick the word, sums of bytes the place in it."""
         out = np.empty(len(at), dtype=np.int64)
-        counts = np.arange(len(self.ones)) * (64 * _BLOCK) - self.ones if zeros else self.ones
+        counts = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones if zeros else self.ones
         for first in range(0, len(at), _CHUNK):
             rank = at[first : first + _CHUNK]
-            block = np.searchsorted(counts, rank, side="right") - 1
-            rank = rank - counts[block]
-            words = self.high[block[:, None] * _BLOCK + np.arange(_BLOCK)]
-            if zeros:
-                words = ~words
-            upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
-            k = (upto <= rank[:, None]).sum(axis=1)
-            row = np.arange(len(rank))
-            rank = rank - np.where(k > 0, upto[row, np.maximum(k - 1, 0)], 0)
-            word, place = words[row, k], block * (64 * _BLOCK) + k * 64
-            for width in (32, 16, 8, 4, 2, 1):
-                half = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
-                upper = rank >= half
-                rank -= np.where(upper, half, 0)
-                place += np.where(upper, width, 0)
-                word = np.where(upper, word >> np.uint64(width), word)
-            out[first : first + _CHUNK] = place
+            k = np.searchsorted(counts, rank.astype(counts.dtype), side="right") - 1
+            word = self.high[k]
+            out[first : first + _CHUNK] = k * 64 + _select_in(~word if zeros else word, rank - counts[k])
         return out
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         at = np.asarray(at, dtype=np.int64)
         return ((self._select(at, False) - at).astype(np.uint64) << np.uint64(self.bits)) | self.low[at].astype(np.uint64)
 
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """The place of the first element >= each value (size if none): the high part picks a run, a binary search within it the element."""
-        values = np.asarray(values, dtype=np.uint64)
+    def _search(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the place of the first element >= each value, whether it is equal): the high part picks a run, a binary search within it the element."""
         head = (values >> np.uint64(self.bits)).astype(np.int64)
-        zeros = len(self.high) * 64 - self.size
-        inside = head < zeros
-        hi = np.full(len(values), self.size, dtype=np.int64)
-        hi[inside] = self._select(head[inside], True) - head[inside]
-        lo = hi.copy()
+        want = values & np.uint64((1 << self.bits) - 1)
+        lo = np.full(len(values), self.size, dtype=np.int64)
+        equal = np.zeros(len(values), bool)
+        inside = np.flatnonzero(head < len(self.high) * 64 - self.size)
+        later = inside[head[inside] > 0]
         lo[inside] = 0
-        later = inside & (head > 0)
         lo[later] = self._select(head[later] - 1, True) - (head[later] - 1)
-        want = values & np.uint64((1 << self.bits) - 1)
-        while (open_ := np.flatnonzero(lo < hi)).size:
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self.low[mid].astype(np.uint64) < want[open_]
-            lo[open_[less]] = mid[less] + 1
+        # where the run's first low part is greater, or the sequence ends, that is the place
+        q = inside[lo[inside] < self.size]
+        q = q[self.low[lo[q]] <= want[q]]
+        end = self._select(head[q], True) - head[q]
+        at, need, hi = lo[q], want[q], end.copy()
+        while (open_ := np.flatnonzero(at < hi)).size:
+            mid = (at[open_] + hi[open_]) >> 1
+            less = self.low[mid] < need[open_]
+            at[open_[less]] = mid[less] + 1
             hi[open_[~less]] = mid[~less]
-        return lo
+        equal[q] = (at < end) & (self.low[np.minimum(at, self.size - 1)] == need)
+        lo[q] = at
+        return lo, equal
+
+    def successor(self, values: np.ndarray) -> np.ndarray:
+        """The place of the first element >= each value (size if none)."""
+        values = np.asarray(values, dtype=np.uint64)
+        return self._search(values)[0] if self.size else np.zeros(len(values), dtype=np.int64)
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The place of each value, -1 if the sequence has it not."""
         if not self.size:
             return np.full(len(values), -1, dtype=np.int64)
-        at = self.successor(values)
-        near = np.minimum(at, self.size - 1)
-        return np.where((at < self.size) & (self[near] == values), near, -1)
+        at, equal = self._search(np.asarray(values, dtype=np.uint64))
+        return np.where(equal, at, -1)
 
 
 class Level:
-    """The elements below each context of the level above: values of INNER_BITS, context by context, with a pointer to the end of each range."""
+    """The elements below each context of the level above: one monotone sequence of (place of the context, word), in which the places are the pointers to a context's range."""
 
-    def __init__(self, values: EliasFano, ends: EliasFano):
-        self.values, self.ends = values, ends
+    def __init__(self, context: np.ndarray, word: np.ndarray, contexts: int):
+        """From words of INNER_BITS, sorted by context (0 to contexts - 1) and word."""
+        self.values = EliasFano.of((context.astype(np.uint64) << _INNER) | word.astype(np.uint64), max(contexts, 1) << INNER_BITS)
 
-    @staticmethod
-    def of(context: np.ndarray, value: np.ndarray, contexts: int) -> Level:
-        """From values sorted by context (0 to contexts - 1) and value."""
-        keys = (context.astype(np.uint64) << _INNER) | value.astype(np.uint64)
-        ends = np.searchsorted(context, np.arange(contexts), side="right")
-        return Level(EliasFano.of(keys, max(contexts, 1) << INNER_BITS), EliasFano.of(ends, len(keys) + 1))
-
-    def find(self, context: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The place of each value within the range of its context, -1 if it is not there or there is no context."""
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The place of each word within the range of its context, -1 if it is not there or there is no context."""
         out = np.full(len(context), -1, dtype=np.int64)
         q = np.flatnonzero(context >= 0)
-        if len(q) and self.values.size:
-            at = self.values.find((context[q].astype(np.uint64) << _INNER) | value[q].astype(np.uint64))
-            inside = (at >= 0) & (at.astype(np.uint64) < self.ends[context[q]])
-            out[q] = np.where(inside, at, -1)
+        out[q] = self.values.find((context[q].astype(np.uint64) << _INNER) | word[q].astype(np.uint64))
         return out
 
 
@@ -181,9 +181,9 @@ class Trie:
         rank = np.cumsum(new) - 1
         seen = np.bincount(rank, weights=c, minlength=int(new.sum()))
         self.words = EliasFano.of(own >> np.uint64(1), 1 << 63)
-        self.before = Level.of(at[new], u[new], len(own))
+        self.before = Level(at[new], u[new], len(own))
         self.backoff = quantise(prior / (seen + prior))
-        self.third = Level.of(rank, w, len(seen))
+        self.third = Level(rank, w, len(seen))
         self.p3 = quantise(c / (seen[rank] + prior))
         # bigrams: sums over u, and the frequent ones as they came
         plain = ~hot[at]
@@ -194,14 +194,14 @@ class Trie:
         order = np.argsort(key, kind="stable")
         key, count = key[order], count[order]
         context = (key >> _INNER).astype(np.int64)
-        self.after = Level.of(context, key & np.uint64((1 << INNER_BITS) - 1), len(own))
+        self.after = Level(context, key & np.uint64((1 << INNER_BITS) - 1), len(own))
         self.p2 = quantise(count / (total[context] + prior))
         self._map()
 
     def _map(self) -> None:
         """Move all arrays into one memory map."""
         holders = [(self, n) for n in ("counts", "backoff", "p2", "p3")]
-        for seq in (self.words, *(s for level in (self.before, self.after, self.third) for s in (level.values, level.ends))):
+        for seq in (self.words, self.before.values, self.after.values, self.third.values):
             holders += [(seq, n) for n in ("low", "high", "ones")]
         size = sum(-(-getattr(h, n).nbytes // 8) * 8 for h, n in holders)
         self.memory, at = mmap.mmap(-1, max(size, 8)), 0
@@ -212,17 +212,15 @@ class Trie:
             setattr(holder, name, copy)
             at += -(-values.nbytes // 8) * 8
 
-    def find(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(quantised p(w | u v), quantised back-off of (u, v)) without smoothing; 0 stands for no such gram or context."""
-        context = self.before.find(self.words.find(v >> np.uint64(1)), u)
-        at = self.third.find(context, w)
-        return _taken(self.p3, at), _taken(self.backoff, context)
+    def find(self, names: np.ndarray, v_runs: np.ndarray, u: np.ndarray, u_runs: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For middle words, their runs of u, and the runs of w of each: (p(w | u v), back-off of each (v, u), place of each v). A probability of 0 stands for no such gram, a place of -1 for no such word."""
+        place = self.words.find(names >> np.uint64(1))
+        context = self.before.find(np.repeat(place, v_runs), u)
+        return _taken(self.p3, self.third.find(np.repeat(context, u_runs), w)), _taken(self.backoff, context), place
 
-    def find_pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return _taken(self.p2, self.after.find(self.words.find(v >> np.uint64(1)), w))
-
-    def count(self, v: np.ndarray) -> np.ndarray:
-        return _taken(self.counts, self.words.find(v >> np.uint64(1)))
+    def find_pairs(self, place: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """p(w | v) for the places of middle words."""
+        return _taken(self.p2, self.after.find(place, w))
 
 
 def _taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -365,26 +363,28 @@ def _grams(held: np.ndarray, lengths: np.ndarray, words: np.ndarray, seq: np.nda
     shard_of = lambda key: (mix(key) % np.uint64(shards)).astype(np.int64)
     trained = _trained(held, lengths)
 
-    def unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(keys.astype(np.uint64), return_inverse=True)
-
-    low = np.uint64(0xFFFFFFFF)
-    vu, vu_of = unique((v.astype(np.uint64) << np.uint64(32)) | code[u].astype(np.uint64))
-    del u
-    tri, tri_of = unique((vu_of.astype(np.uint64) << np.uint64(32)) | code[w].astype(np.uint64))
-    del vu_of
-    vu = vu[(tri >> np.uint64(32)).astype(np.int64)]
-    tv, tu, tw = (vu >> np.uint64(32)).astype(np.int64), distinct[(vu & low).astype(np.int64)], distinct[(tri & low).astype(np.int64)].astype(np.uint32)
-    count = np.bincount(tri_of[trained], minlength=len(tri)).astype(np.uint32)
+    bits = np.uint64(len(named).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    v64, w64 = v.astype(np.uint64), code[w].astype(np.uint64)
+    if 3 * int(bits) <= 64:
+        tri, tri_of = np.unique(((v64 << bits | code[u].astype(np.uint64)) << bits) | w64, return_inverse=True)
+        vu, tw = tri >> bits, tri & low
+    else:
+        vu, vu_of = np.unique(v64 << bits | code[u].astype(np.uint64), return_inverse=True)
+        tri, tri_of = np.unique(vu_of.astype(np.uint64) << bits | w64, return_inverse=True)
+        vu, tw = vu[(tri >> bits).astype(np.int64)], tri & low
+    del u, tri
+    tv, tu, tw = (vu >> bits).astype(np.int64), distinct[(vu & low).astype(np.int64)], distinct[tw.astype(np.int64)].astype(np.uint32)
+    count = np.bincount(tri_of[trained], minlength=len(tw)).astype(np.uint32)
     shard = shard_of(np.where(hot[tv], hashes[tv] ^ mix(tu ^ _SALT), hashes[tv])).astype(np.int32)
     order = np.argsort(shard, kind="stable")
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     found = (shard[order], hashes[tv][order], tu.astype(np.uint32)[order], tw[order], count[order])
     tri_of = rank[tri_of]
-    del tri, vu, tv, tu, tw, count, shard, order, rank
-    pair, pair_of = unique((v.astype(np.uint64) << np.uint64(32)) | code[w].astype(np.uint64))
-    pv, pw = (pair >> np.uint64(32)).astype(np.int64), distinct[(pair & low).astype(np.int64)]
+    del vu, tv, tu, tw, count, shard, order, rank
+    pair, pair_of = np.unique(v64 << bits | w64, return_inverse=True)
+    pv, pw = (pair >> bits).astype(np.int64), distinct[(pair & low).astype(np.int64)]
     times = np.bincount(pair_of[trained], minlength=len(pair)).astype(np.uint32)
     at = shard_of(np.where(hot[pv], hashes[pv] ^ mix(pw), hashes[pv]))
     by = np.argsort(at * 2 + hot[pv], kind="stable")
@@ -415,8 +415,22 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 REQUEST = "shard int, block long, grams binary"
-#: Arrays of a request: v and their runs of (v, u), u and their runs of w, w, counts; then v, runs, w and counts of the pairs of frequent v.
-ASKED = [np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint64, np.uint32, np.uint32, np.uint32]
+#: Arrays of a request: differences of v, their runs of (v, u), u and their runs of w, w, counts; v, runs, w and counts of
+#: the pairs of frequent v; and differences of the words that u and w are places of.
+ASKED = [np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32]
+
+
+def _pack_request(names, v_runs, u, u_runs, w, c, pair_names, pair_runs, pw, pc) -> bytes:
+    words, place = np.unique(np.concatenate([u, w, pw]).astype(np.uint32), return_inverse=True)
+    u, w, pw = np.split(place, [len(u), len(u) + len(w)])
+    parts = (np.diff(names, prepend=np.uint64(0)), v_runs, u, u_runs, w, c, pair_names, pair_runs, pw, pc, np.diff(words, prepend=np.uint32(0)))
+    return pack_all([x.astype(k) for x, k in zip(parts, ASKED, strict=True)])
+
+
+def _unpack_request(blob: bytes) -> list[np.ndarray]:
+    names, v_runs, u, u_runs, w, c, pair_names, pair_runs, pw, pc, words = unpack_all(blob, ASKED)
+    words = np.cumsum(words, dtype=np.uint32)
+    return [np.cumsum(names, dtype=np.uint64), v_runs, words[u], u_runs, words[w], c, pair_names, pair_runs, words[pw], pc]
 
 
 def _requests(shards: int, known):
@@ -437,9 +451,8 @@ def _requests(shards: int, known):
                 names, runs = _runs(v[at])
                 pair_names, pair_runs = _runs(pv)
                 ends = np.diff(np.append(at, len(v)))
-                parts = (names, runs, u[at], ends, w, c, pair_names, pair_runs, pw, pc)
                 shard.append(i)
-                held.append(pack_all([x.astype(k) for x, k in zip(parts, ASKED, strict=True)]))
+                held.append(_pack_request(names, runs, u[at], ends, w, c, pair_names, pair_runs, pw, pc))
             del g
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([row.block] * len(shard), pa.int64()), pa.array(held, pa.binary())], names=["shard", "block", "grams"])
 
@@ -460,23 +473,22 @@ ANSWERED = [np.uint16, np.uint16, np.uint16, np.int64]
 
 def _asked(blob: bytes) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """((v, u, w, count), (v, w, count) of frequent v) of a request."""
-    names, v_runs, u, u_runs, w, c, pair_names, pair_runs, pw, pc = unpack_all(blob, ASKED)
+    names, v_runs, u, u_runs, w, c, pair_names, pair_runs, pw, pc = _unpack_request(blob)
     v = np.repeat(np.repeat(names, v_runs), u_runs)
     return (v, np.repeat(u, u_runs), w, c), (np.repeat(pair_names, pair_runs), pw, pc)
 
 
 def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Columns of grams, of which the last is a count, sorted and summed."""
+    """Columns of grams (v, then words known by INNER_BITS, then a count), sorted and summed."""
     *keys, count = (np.concatenate([p[k] for p in parts]) for k in range(len(parts[0])))
     parts.clear()
-    order = np.lexsort(keys[::-1])
-    count = count[order].astype(np.int64)
-    new = np.zeros(len(count), bool)
-    for i, k in enumerate(keys):
-        keys[i] = k[order].astype(np.uint64)
-        new |= _heads(keys[i])
-    at = np.flatnonzero(new)
-    return *[k[at] for k in keys], np.add.reduceat(count, at) if len(at) else count
+    names, rank = np.unique(keys[0], return_inverse=True)
+    columns = []
+    for k in keys[1:]:  # each step ranks the grams by one word more
+        key, rank = np.unique((rank.astype(np.uint64) << _INNER) | k, return_inverse=True)
+        columns = [c[(key >> _INNER).astype(np.int64)] for c in columns] if columns else [names[(key >> _INNER).astype(np.int64)]]
+        columns.append(key & np.uint64((1 << INNER_BITS) - 1))
+    return *columns, np.bincount(rank, weights=count, minlength=len(columns[0])).astype(np.int64)
 
 
 def _answers(s: Settings, known):
@@ -492,20 +504,18 @@ def _answers(s: Settings, known):
         trie = Trie(_summed(seen.pop(0)), _summed(seen.pop(0)), frequent, frequent_counts, s.prior)
         out = []
         for block, blob in zip(pdf["block"], pdf["grams"], strict=True):
-            (v, u, w, _), (fv, fw, _) = _asked(blob)
-            u, w, fw = (x.astype(np.uint64) for x in (u, w, fw))
-            p3, backoff = trie.find(v, u, w)
-            plain = np.ones(len(v), bool)
+            names, v_runs, u, u_runs, w, _, pair_names, pair_runs, pw, _ = _unpack_request(blob)
+            p3, backoff, place = trie.find(names, v_runs, u, u_runs, w)
+            plain = np.ones(len(names), bool)
             if len(frequent):
-                plain = frequent[np.minimum(np.searchsorted(frequent, v), len(frequent) - 1)] != v
-            # each v is one run: number the runs, so that pairs come in the order of the block
-            run = np.cumsum(_heads(v)) - 1
-            pairs = np.unique((run[plain].astype(np.uint64) << _INNER) | w[plain])
-            names = v[_heads(v)]
-            pv = np.concatenate([names[(pairs >> _INNER).astype(np.int64)], fv])
-            p2 = trie.find_pairs(pv, np.concatenate([pairs & np.uint64((1 << INNER_BITS) - 1), fw]))
-            counts = trie.count(v[_heads(v) & plain])
-            out.append((block, pack_all([p3, backoff[_heads(v) | _heads(u)], p2, counts])))
+                plain = frequent[np.minimum(np.searchsorted(frequent, names), len(frequent) - 1)] != names
+            # number the runs of v, so that pairs come in the order of the block
+            run = np.repeat(np.repeat(np.arange(len(names), dtype=np.uint64), v_runs), u_runs)
+            here = np.repeat(np.repeat(plain, v_runs), u_runs)
+            pairs = np.unique((run[here] << _INNER) | w[here])
+            p2 = trie.find_pairs(place[(pairs >> _INNER).astype(np.int64)], (pairs & np.uint64((1 << INNER_BITS) - 1)).astype(np.uint32))
+            hot2 = trie.find_pairs(np.repeat(trie.words.find(pair_names >> np.uint64(1)), pair_runs), pw)
+            out.append((block, pack_all([p3, backoff, np.concatenate([p2, hot2]), _taken(trie.counts, place[plain])])))
         hot = np.zeros(len(trie.counts), bool)
         if len(frequent) and len(hot):
             own = (trie.words[np.arange(trie.words.size)]) << np.uint64(1)
