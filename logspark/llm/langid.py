@@ -1,10 +1,11 @@
 """Language identification with string kernels.
 
-The kernel of two texts counts the character n-grams (n = 1..4, blended) present in both,
-normalised by their own counts. A bounded sample of labelled documents trains one-versus-rest
-kernel ridge regression on the Nystroem features of a smaller set of landmark texts. Since the
-presence kernel against the landmarks is linear in the n-grams that they hold, scoring a batch
-takes two matrix products: n-gram presence by landmark presence, and kernel values by weights.
+The kernel of two texts counts the character n-grams (n = 1..3, blended) present in both,
+normalised by the numbers of their own. N-grams are known exactly: three code points of 21 bits
+fit a 64-bit integer. A bounded sample of labelled documents trains one-versus-rest kernel ridge
+regression on the Nystroem features of a smaller set of landmark texts, taken whole. A batch's
+margins are the product of its n-gram presence, the landmarks' presence and the weights; the last
+two do not depend on the batch, so they are multiplied once, and a batch takes one sparse product.
 """
 
 from __future__ import annotations
@@ -18,187 +19,165 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, text_of
+from .words import pack, unpack
 
 UNKNOWN = "und"
 FOLDS = 5
-#: Characters are known by CLASSES codes; n-grams of up to LONGEST characters by positions in a table of TABLE entries.
-CLASSES, LONGEST, TABLE_BITS = 128, 4, 22
+#: Bits of a code point, the longest n-gram, and the code of what stands between letters.
+POINT, LONGEST, GAP = 21, 3, 1
+#: Margins become shares by a softmax of this steepness.
+STEEPNESS = 4.0
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Labelled documents and landmarks of each language, at most.
+    #: Labelled documents and landmarks of each language, at most; landmarks in all; languages, those with most labelled documents.
     sample: int = 250
     landmarks: int = 24
-    #: Characters of a landmark text: windows of the sampled documents, so that long texts do not fill the table.
-    window: int = 600
-    #: N-grams in fewer landmarks than this are left out.
-    least: int = 2
+    all_landmarks: int = 2_000
+    languages: int = 400
     ridge: float = 1e-3
-    max_languages: int = 400
 
 
 @dataclass
 class Model:
     languages: list[str]
-    grams: np.ndarray  # table positions, sorted
-    presence: np.ndarray  # grams x landmarks, 0 or 1
-    norms: np.ndarray  # root of each landmark's own n-gram count
-    weights: np.ndarray  # landmarks x languages
+    grams: np.ndarray  # n-grams of the landmarks, sorted
+    weights: np.ndarray  # grams x languages: the landmarks' presence times the weights of their kernel values
     bias: np.ndarray
 
 
-def _class_table() -> np.ndarray:
-    """A code below CLASSES for each character of the basic plane: 0 for all but letters, own codes for a-z and Latin letters, shared ones for the rest."""
-    table = np.zeros(65536, dtype=np.uint32)
-    for c in range(65536):
-        ch = chr(c)
-        if ch.isalpha():
-            low = ch.lower()[0]
-            o = ord(low)
-            table[c] = o - 96 if low.isascii() else 27 + (o * 40503 >> 3) % (CLASSES - 27)
-    return table
+_LETTER: list[np.ndarray] = []
 
 
-_CLASS: list[np.ndarray] = []
-
-
-def codes(text: str) -> tuple[np.ndarray, bool]:
-    """(character codes with runs of other characters made one 0, whether the text has a letter)."""
-    if not _CLASS:
-        _CLASS.append(_class_table())
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    known = _CLASS[0][np.minimum(points, 65535)]
+def codes(text: str) -> np.ndarray:
+    """Code points of the lower-cased text, with each run of other characters than letters as one GAP; empty if there is no letter."""
+    if not _LETTER:
+        _LETTER.append(np.array([chr(c).isalpha() for c in range(65536)]))
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    letter = _LETTER[0][np.minimum(points, 65535)]
     beyond = points > 65535
     if beyond.any():
-        known[beyond] = [27 + (c * 40503 >> 3) % (CLASSES - 27) if chr(c).isalpha() else 0 for c in points[beyond].tolist()]
-    if not known.any():
-        return known[:0], False
-    keep = np.ones(len(known), bool)
-    keep[1:] = (known[1:] != 0) | (known[:-1] != 0)
-    return known[keep], True
-
-
-def gram_positions(known: np.ndarray) -> np.ndarray:
-    """Table positions of all n-grams of a text, repeats included."""
-    out, h = [], known.astype(np.uint32)
-    for n in range(1, LONGEST + 1):
-        if n > 1:
-            h = h[:-1] * np.uint32(CLASSES) + known[n - 1 :]
-        if not len(h):
-            break
-        mixed = (h + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-        mixed ^= mixed >> np.uint32(15)
-        out.append((mixed * np.uint32(0xC2B2AE35)) >> np.uint32(32 - TABLE_BITS))
-    return np.concatenate(out)
-
-
-class Scorer:
-    """Presence of the model's n-grams in texts: a table of stamps, one for each text, serves all texts of a task."""
-
-    def __init__(self, grams: np.ndarray):
-        self.grams = grams
-        self.stamp = np.zeros(1 << TABLE_BITS, dtype=np.int32)
-        self.serial = 0
-
-    def row(self, known: np.ndarray) -> tuple[np.ndarray, int]:
-        """(presence of each gram, number of distinct n-grams of the text)."""
-        at = gram_positions(known)
-        self.serial += 1
-        if self.serial >= 2**31 - 2:
-            self.stamp[:], self.serial = 0, 1
-        order = np.arange(len(at), dtype=np.int32)
-        self.stamp[at] = order
-        distinct = int(np.count_nonzero(self.stamp[at] == order))  # the last of each n-gram
-        self.stamp[at] = -self.serial
-        return self.stamp[self.grams] == -self.serial, distinct
-
-
-def _kernel(rows: np.ndarray, counts: np.ndarray, model_presence: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    return (rows @ model_presence) / (np.sqrt(np.maximum(counts, 1))[:, None] * norms)
-
-
-def train(sample: dict[str, list[str]], s: Settings | None = None) -> Model:
-    """A model of the languages of sample (language -> texts, in a fixed order)."""
+        rare, place = np.unique(points[beyond], return_inverse=True)
+        letter[beyond] = np.array([chr(c).isalpha() for c in rare.tolist()])[place]
+    if not letter.any():
+        return np.zeros(0, np.uint64)
+    keep = letter.copy()
+    keep[0] = True
+    keep[1:] |= letter[:-1]
+    return np.where(letter, points, GAP)[keep].astype(np.uint64)
+
+
+def grams_of(text: str) -> np.ndarray:
+    """The distinct n-grams of a text, sorted: the integers of n code points do not meet those of another n, as no code is 0."""
+    known = codes(text)
+    each, h = [known], known
+    for n in range(2, LONGEST + 1):
+        h = (h[:-1] << np.uint64(POINT)) | known[n - 1 :]
+        each.append(h)
+    return np.unique(np.concatenate(each))
+
+
+def _postings(marks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all n-grams of the landmarks, sorted; where each one's landmarks begin, and the end; landmarks of n-gram after n-gram)."""
+    every, owner = np.concatenate(marks), np.repeat(np.arange(len(marks)), [len(m) for m in marks])
+    order = np.argsort(every, kind="stable")
+    grams, first = np.unique(every[order], return_index=True)
+    return grams, np.append(first, len(every)), owner[order]
+
+
+def _shared(text: np.ndarray, grams: np.ndarray, first: np.ndarray, owner: np.ndarray, landmarks: int) -> np.ndarray:
+    """How many n-grams a text shares with each landmark."""
+    at = _places(text, grams)
+    sizes = first[at + 1] - first[at]
+    steps = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.bincount(owner[np.repeat(first[at], sizes) + steps], minlength=landmarks).astype(np.float64)
+
+
+def _places(text: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(grams, text), len(grams) - 1)
+    return at[grams[at] == text]
+
+
+def train(sample: dict[str, list[np.ndarray]], s: Settings | None = None) -> Model:
+    """A model of the languages of sample (language -> n-grams of texts, in a fixed order)."""
     s = s or Settings()
-    languages = sorted(sample)
-    texts, owner = [], []
-    for i, language in enumerate(languages):
-        for text in sample[language][: s.sample]:
-            known, letters = codes(text)
-            if letters:
-                texts.append(known)
-                owner.append(i)
-    owner = np.array(owner, dtype=np.int64)
-    chosen = [j for i in range(len(languages)) for j in np.flatnonzero(owner == i)[: s.landmarks]]
-    marks = [np.unique(gram_positions(texts[j][: s.window])) for j in chosen]
-    if not marks:
-        return Model(languages, np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0, np.float32), np.zeros((0, len(languages)), np.float32), np.zeros(len(languages), np.float32))
-    grams, times = np.unique(np.concatenate(marks), return_counts=True)
-    grams = grams[times >= s.least] if (times >= s.least).any() else grams
-    presence = np.stack([np.isin(grams, m) for m in marks], axis=1).astype(np.float32)
-    norms = np.sqrt(np.array([len(m) for m in marks], dtype=np.float32))
-    scorer = Scorer(grams)
-    found = [scorer.row(t) for t in texts]
-    rows, counts = np.stack([f[0] for f in found]).astype(np.float32), np.array([f[1] for f in found])
-    cross = _kernel(rows, counts, presence, norms).astype(np.float64)
+    languages = sorted(k for k, v in sample.items() if any(len(g) for g in v))
+    texts = [g for k in languages for g in sample[k][: s.sample] if len(g)]
+    owner = np.array([i for i, k in enumerate(languages) for g in sample[k][: s.sample] if len(g)], dtype=np.int64)
+    if not texts:
+        return Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
+    each = min(s.landmarks, max(2, s.all_landmarks // len(languages)))
+    chosen = [j for i in range(len(languages)) for j in np.flatnonzero(owner == i)[:each]]
+    grams, first, held = _postings([texts[j] for j in chosen])
+    shared = np.stack([_shared(t, grams, first, held, len(chosen)) for t in texts])
+    sizes = np.array([len(t) for t in texts], dtype=np.float64)
+    cross = shared / np.sqrt(sizes[:, None] * sizes[None, chosen])
     # Nystroem: features K_nm W^(-1/2), and ridge regression on them for each language against the rest
-    own = _kernel(presence.T, norms**2, presence, norms).astype(np.float64)
-    values, vectors = np.linalg.eigh(own)
+    values, vectors = np.linalg.eigh(cross[chosen])
     keep = values > values.max() * 1e-7
     root = vectors[:, keep] / np.sqrt(values[keep])
     features = cross @ root
     mean = features.mean(axis=0)
     targets = np.where(owner[:, None] == np.arange(len(languages)), 1.0, -1.0)
-    share = np.array([(owner == i).mean() for i in range(len(languages))])
-    weight = 1.0 / np.maximum(share[owner], 1e-9) / len(languages)  # languages count alike
+    weight = 1.0 / np.bincount(owner)[owner] * len(owner) / len(languages)  # languages count alike
     centred = features - mean
     gram = (centred * weight[:, None]).T @ centred + s.ridge * len(owner) * np.eye(features.shape[1])
     level = (targets * weight[:, None]).sum(axis=0) / weight.sum()
     beta = np.linalg.solve(gram, (centred * weight[:, None]).T @ (targets - level))
-    return Model(languages, grams, presence, norms, (root @ beta).astype(np.float32), (level - mean @ beta).astype(np.float32))
+    of_landmark = (root @ beta) / np.sqrt(sizes[chosen])[:, None]
+    weights = np.add.reduceat(of_landmark[held], first[:-1], axis=0)
+    return Model(languages, grams, weights.astype(np.float32), (level - mean @ beta).astype(np.float32))
 
 
-def predict(texts: list[str | None], model: Model, scorer: Scorer) -> tuple[list[str], list[float]]:
+def predict(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
     """(language, score) of each text; the score turns margins into a share of 0 to 1."""
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    if not len(model.grams):
+    if not model.languages:
         return names, scores
-    at, rows, counts = [], [], []
-    for i, text in enumerate(texts):
-        known, letters = codes(text or "")
-        if letters:
-            row, n = scorer.row(known)
-            at.append(i)
-            rows.append(row)
-            counts.append(n)
-    if at:
-        kernel = _kernel(np.stack(rows).astype(np.float32), np.array(counts), model.presence, model.norms)
-        margin = (kernel @ model.weights + model.bias).astype(np.float64)
-        share = np.exp(4 * (margin - margin.max(axis=1, keepdims=True)))
-        share /= share.sum(axis=1, keepdims=True)
-        best = margin.argmax(axis=1)
-        for i, b, p in zip(at, best.tolist(), share[np.arange(len(best)), best].tolist(), strict=True):
-            names[i], scores[i] = model.languages[b], p
+    found = [grams_of(t) if t else np.zeros(0, np.uint64) for t in texts]
+    with_letters = [i for i, g in enumerate(found) if len(g)]
+    if not with_letters:
+        return names, scores
+    places = [_places(found[i], model.grams) for i in with_letters]
+    # presence by weights: rows of the weights, summed text by text (a last row of zeros for texts that share nothing)
+    ends = np.cumsum([len(p) for p in places])
+    rows = np.concatenate([model.weights, np.zeros((1, model.weights.shape[1]), np.float32)])[np.concatenate([*places, [len(model.grams)]])]
+    sums = np.add.reduceat(rows, np.concatenate([[0], ends[:-1]]), axis=0, dtype=np.float64)
+    sums[np.array([len(p) for p in places]) == 0] = 0.0
+    margin = sums / np.sqrt([len(found[i]) for i in with_letters])[:, None] + model.bias
+    share = np.exp(STEEPNESS * (margin - margin.max(axis=1, keepdims=True)))
+    share /= share.sum(axis=1, keepdims=True)
+    best = margin.argmax(axis=1)
+    for i, b, p in zip(with_letters, best.tolist(), share[np.arange(len(best)), best].tolist(), strict=True):
+        names[i], scores[i] = model.languages[b], p
     return names, scores
 
 
-def labelled_sample(docs: DataFrame, s: Settings) -> dict[str, list[str]]:
-    """At most s.sample texts of each language, those of the least hashes of doc_id; documents of fold 0 are held out."""
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        blobs = [pack(grams_of(t), delta=True) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["lang", "o", "grams"])
+
+
+def labelled_sample(docs: DataFrame, s: Settings) -> dict[str, list[np.ndarray]]:
+    """N-grams of at most s.sample texts of each language, those of the least hashes of doc_id and text; documents of fold 0 are held out.
+
+    Only the n-grams of about twice the sample reach the driver, however the rows repeat.
+    """
     train_rows = docs.filter((crc_mod("doc_id", FOLDS) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = train_rows.groupBy("lang").count().limit(s.max_languages + 1).collect()
-    if len(sizes) > s.max_languages:
-        raise ValueError(f"more than {s.max_languages} languages")
+    sizes = train_rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()
     if not sizes:
         return {}
-    spark = docs.sparkSession
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    # a first cut by hash, of twice the rows that are wanted, so that little is sorted
-    cut = spark.createDataFrame([(r["lang"], min(1 << 40, int((2 * s.sample + 40) / r["count"] * (1 << 40)))) for r in sizes], "lang string, cut long")
-    rows = train_rows.select("lang", "text", order.alias("o")).join(F.broadcast(cut), "lang").filter("o < cut").select("lang", "o", "text").collect()
-    out: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["o"], r["text"])):
-        out.setdefault(r["lang"], []).append(r["text"])
+    spark, space = docs.sparkSession, 1 << 40
+    order = F.pmod(F.xxhash64("doc_id", "text"), F.lit(space))
+    # a first cut by hash, of some more rows than are wanted, so that little is moved
+    cut = spark.createDataFrame([(r["lang"], min(space, int((1.5 * s.sample + 40) / r["count"] * space))) for r in sizes], "lang string, cut long")
+    rows = train_rows.select("lang", order.alias("o"), "text").join(F.broadcast(cut), "lang").filter("o < cut").select("lang", "o", "text")
+    found = rows.mapInArrow(_sampled, "lang string, o long, grams binary").dropDuplicates(["lang", "o"]).collect()
+    out: dict[str, list[np.ndarray]] = {}
+    for r in sorted(found, key=lambda r: (r["lang"], r["o"])):
+        out.setdefault(r["lang"], []).append(unpack(r["grams"], np.uint64, delta=True))
     return {k: v[: s.sample] for k, v in out.items()}
 
 
@@ -215,12 +194,10 @@ def identify_languages(docs: DataFrame, settings: Settings | None = None) -> Dat
     known = spark.sparkContext.broadcast(train(labelled_sample(docs, s), s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = known.value
-        scorer = Scorer(model.grams)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                names, scores = predict(batch.column(2).to_pylist(), model, scorer)
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                names, scores = predict(batch.column(2).to_pylist(), known.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", FOLDS) == 0).alias("held_out"), F.col("text"))

@@ -371,6 +371,38 @@ def test_languages_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in right)
 
 
+def test_kernel_predictions_match_plain_sets():
+    """Kernel values from sets of substrings, and ridge regression on them, give the margins that the folded weights give."""
+    texts = {"aa": ["the cat sat on the mat", "a dog and the cat 12", "then that hat"], "bb": ["le chat noir et le chien", "la maison \U0001d400 et été", "les chats, les chiens"]}
+
+    def plain(t):
+        letters = "".join(c if c.isalpha() else "\x01" for c in t.lower())
+        while "\x01\x01" in letters:
+            letters = letters.replace("\x01\x01", "\x01")
+        return {letters[i : i + n] for n in (1, 2, 3) for i in range(len(letters) - n + 1)}
+
+    every = [t for v in texts.values() for t in v]
+    model = langid.train({k: [langid.grams_of(t) for t in v] for k, v in texts.items()})
+    assert all(len(langid.grams_of(t)) == len(plain(t)) for t in every)
+    k = lambda a, b: len(plain(a) & plain(b)) / math.sqrt(len(plain(a)) * len(plain(b)))
+    cross = np.array([[k(a, b) for b in every] for a in every])
+    values, vectors = np.linalg.eigh(cross)
+    root = vectors[:, values > values.max() * 1e-7] / np.sqrt(values[values > values.max() * 1e-7])
+    phi, y = cross @ root, np.where(np.arange(6)[:, None] // 3 == np.arange(2), 1.0, -1.0)
+    x = np.concatenate([phi - phi.mean(axis=0), np.ones((6, 1))], axis=1)
+    penalty = np.diag([*[6e-3] * phi.shape[1], 0.0])
+    beta = np.linalg.solve(x.T @ x + penalty, x.T @ y)
+    for t in [*every, "the chat", "zzz", "", None, "12"]:
+        names, scores = langid.predict([t], model)
+        if not t or t == "12":
+            assert (names, scores) == (["und"], [0.0])
+            continue
+        row = np.array([k(t, b) for b in every]) @ root - phi.mean(axis=0)
+        margin = row @ beta[:-1] + beta[-1]
+        share = np.exp(4 * (margin - margin.max()))
+        assert names[0] == "ab"[margin.argmax()] * 2 and scores[0] == pytest.approx((share / share.sum()).max(), abs=1e-4)
+
+
 # ------------------------------------------------------------------ mixing
 
 
