@@ -100,12 +100,41 @@ def test_dedup_matches_grouping(docs, texts):
     assert all(small[i] == min(groups[t]) for i, t in texts.items())
 
 
-def test_dedup_index_merges_runs(spark, docs):
-    index = dedup.DigestIndex(spark)
-    half = docs.filter("doc_id % 2 = 0")
-    index.flush(half)
+def test_dedup_index_merges_runs(spark, docs, texts):
+    index = dedup.DigestIndex(spark, buckets=3)
+    index.flush(docs.filter("doc_id % 2 = 0"), memtables=2)
     index.flush(docs.filter("doc_id % 2 = 1"))
-    assert index.compact().count() == docs.select("text").distinct().count()
+    a, b = index.levels[0][:2]
+    plan = a.join(b.hint("merge"), "digest", "full")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan  # runs are bucketed alike
+    level1 = index.compact()
+    assert {r["digest"].hex(): (r["keep_id"], r["group_size"]) for r in map(lambda r: {**r.asDict(), "digest": bytes(r["digest"])}, level1.collect())} == {
+        hashlib.sha256(t.encode()).hexdigest(): (max(i for i, x in texts.items() if x == t), sum(x == t for x in texts.values())) for t in texts.values()
+    }
+    digest = hashlib.sha256(texts[7].encode()).digest()
+    found = index.find([digest])
+    assert [r["keep_id"] for r in found.collect()] == [max(i for i, x in texts.items() if x == texts[7])]
+    assert "PushedFilters: [" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "EqualTo(digest" in plan or "In(digest" in plan
+    assert index.find([b"none"]).count() == 0
+
+
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_texts_that_share_a_digest_stay_apart(spark, keep):
+    """A digest of one hex digit clashes for most texts: the texts decide, repeated and missing ids included."""
+    rows = [(1, "a"), (2, "a"), (2, "a"), (3, "b"), (None, "b"), (None, "c"), (None, "c"), (4, None), (5, ""), (6, "d")]
+    rows += [(10 + i, f"text {i % 20}") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = dedup.exact_dedup(frame, keep=keep, digest=lambda t: F.unhex(F.concat(F.lit("0"), F.substring(F.sha2(t, 256), 1, 1)))).collect()
+    assert len(out) == len(rows) and all(r["kept"] is not None for r in out)
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[hashlib.sha256((t or "").encode()).hexdigest()].append(i)
+    for r in out:
+        same = groups[r["text_sha256"]] if len(r["text_sha256"]) == 64 else None
+        if same:
+            known = [i for i in same if i is not None]
+            assert (r["keep_id"], r["group_size"]) == ((max if keep == "largest" else min)(known, default=None), len(same))
+    assert sum(r["kept"] for r in out) == len(groups)
 
 
 # --------------------------------------------------------------- near copies
