@@ -43,9 +43,9 @@ _SALT = np.uint64(0x5851F42D4C957F2D)
 class Settings:
     prior: float = 20.0
     add: float = 0.1
-    block_tokens: int = 600_000
-    #: Trigrams that a shard is meant to hold: there are more shards than twice the shuffle partitions if these are too few.
-    shard_tokens: int = 1_000_000
+    block_tokens: int = 900_000
+    #: Tokens that a shard is meant to hold: there are more shards than shuffle partitions if these are too few.
+    shard_tokens: int = 2_000_000
     #: Middle words with more than 1 / (spread * shards) of all tokens are dealt over shards.
     spread: int = 4
     #: Words of a block among which frequent ones are sought.
@@ -582,7 +582,7 @@ def score_documents(docs: DataFrame, settings: Settings | None = None) -> DataFr
     )
     blocks = materialize(rows.mapInArrow(_blocks(s), BLOCK), "blocks", compression="none")
     total = int(blocks.agg(F.sum("tokens")).first()[0] or 0)
-    shards = max(2 * shuffle_partitions(spark), -(-total // s.shard_tokens))
+    shards = max(shuffle_partitions(spark), -(-total // s.shard_tokens))
     known = spark.sparkContext.broadcast(_frequent_words(blocks, total, s.spread * shards))
     asked = blocks.select("block", "ids", "held", "lengths", "words", "seq").mapInArrow(_requests(shards, known), REQUEST)
     answers = materialize(asked.groupBy("shard").applyInPandas(_answers(s, known), ANSWER), "answers", compression="none")
