@@ -8,12 +8,12 @@ need only one total a file.
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -27,81 +27,93 @@ END_ID = 1
 #: Words whose ids a Python worker remembers.
 MEMO_WORDS = 1_000_000
 SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
-#: White space on which str.split and the tokenizer's own pattern may disagree: texts that have any are encoded whole.
-ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
-_STATE: dict[str, tuple] = {}
+_STATE: dict[str, WordEncoder] = {}
+#: How byte-level files write the pattern that makes pieces of a text, if white space is never part of one.
+APART = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter by which byte-level vocabularies write each byte: printable Latin-1 stands for itself, the rest follows from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+def words_are_apart(spec: dict) -> bool:
+    """Whether the ids of a text are those of its words, one after the other: white space must end every piece and leave no id.
+
+    That is so if the normaliser only composes characters, makes white space one space and lowers
+    letters, and the pre-tokeniser removes all but pieces without white space.
+    """
+    steps = spec["normalizer"]["normalizers"] if (spec.get("normalizer") or {}).get("type") == "Sequence" else [spec.get("normalizer")]
+    plain = all(s is None or s["type"] in ("NFC", "Lowercase") or s == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "} for s in steps)
+    cuts = spec["pre_tokenizer"]["pretokenizers"] if (spec.get("pre_tokenizer") or {}).get("type") == "Sequence" else [spec.get("pre_tokenizer")]
+    first = cuts[0] or {}
+    split = first.get("type") == "Split" and first["pattern"].get("Regex") in APART and first["behavior"] == "Removed" and first["invert"]
+    later = all(c["type"] == "ByteLevel" and not c["add_prefix_space"] and not c["use_regex"] for c in cuts[1:])
+    return plain and split and later and not spec.get("post_processor") and not spec.get("truncation") and not spec.get("padding")
 
 
 class WordEncoder:
-    """Encodes texts word by word with a tokenizer that never joins ids over white space, remembering words.
+    """Encodes texts with a tokenizer; where its words are apart, every distinct word goes through the tokenizer (small letters of ASCII: its model) once and its ids are remembered.
 
-    A full stop or comma after letters is a piece of its own, so such words share the ids of their
-    letters. Words of letters go straight to the tokenizer's model, all else through the whole tokenizer.
+    Words are cut at the six white space characters of ASCII, which all patterns take for white
+    space. Texts with a special token's letters, which the tokenizer seeks across words, are encoded
+    whole, and so is every text of a tokenizer whose words are not apart.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.apart, self.model = words_are_apart(spec), self.tokenizer.model
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.memo: dict[str, bytes] = {}
-        self.letters = _byte_letters()
-        # the short way must agree with the whole tokenizer, or is not taken
-        trial = ["the", "Ofthly", "qzxv", "inerin", "a", "thnderre", "zunge", "\u00c9t\u00e9", "fu\u00dfg\u00e4nger", "\u0436\u0443\u043a", "\u4f60\u597d"]
-        ends = {e: self._full(e) for e in ".,"}
-        self.ends = ends if all(self._model(w) + ends[e] == self._full(w + e) for w in trial for e in ends) else None
 
-    def _full(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _model(self, letters: str) -> bytes:
-        letters = letters.lower()
-        if not letters.isascii():
-            letters = letters.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-
-    def _learn(self, word: str) -> None:
-        memo, end = self.memo, word[-1] if word[-1] in ".," else ""
-        stem = word[:-1] if end else word
-        plain = self.ends and stem.isalpha() and (stem.isascii() or is_normalized("NFC", stem) and "\u03a3" not in stem and stem.lower().isalpha())
-        if not plain:
-            memo[word] = self._full(word)
-            return
-        ids = memo.get(stem)
-        if ids is None:
-            ids = memo[stem] = self._model(stem)
-        if end:
-            memo[word] = ids + self.ends[end]
-
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if ODD_SPACE.search(text):
-            return self._full(text)
-        words, memo = text.split(), self.memo
+        if not self.apart or any(t in text for t in self.special):
+            return self.whole(text)
+        for space in _SPACES:
+            if space in text:
+                text = text.replace(space, " ")
+        words, memo = text.split(" "), self.memo
         try:
             return b"".join(map(memo.__getitem__, words))
         except KeyError:
             pass
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        for word in set(words):
-            if word not in memo:
-                self._learn(word)
+        missing = {w: _stem(w) for w in words if w not in memo}
+        new = {part for parts in missing.values() for part in parts if part not in memo}
+        letters = [part for part in new if part.isascii() and part.isalpha()]
+        for part in letters:  # small letters of ASCII are one piece, and stand for themselves in the model
+            memo[part] = array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+        others = list(new.difference(letters))
+        for part, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            memo[part] = array("I", found.ids).tobytes()
+        for word, parts in missing.items():
+            memo[word] = b"".join([memo[part] for part in parts])
         return b"".join(map(memo.__getitem__, words))
 
 
+def _stem(word: str) -> tuple[str, ...]:
+    """Letters of ASCII and a mark after them are two pieces for the tokenizer, and capitals become small: such words share their ids."""
+    stem = word[:-1] if word[-1:] in _MARKS else word
+    if stem and stem.isascii() and stem.isalpha():
+        return (stem.lower(), word[len(stem) :]) if len(stem) < len(word) else (stem.lower(),)
+    return (word,)
+
+
+_MARKS = frozenset(".,;:!?")
+#: White space of ASCII besides the space.
+_SPACES = "\n\t\r\x0b\x0c"
+
+
 def encoder(path: str) -> WordEncoder:
     """One encoder for each tokenizer file and Python worker."""
     if path not in _STATE:
-        _STATE[path] = (WordEncoder(path),)
-    return _STATE[path][0]
+        _STATE[path] = WordEncoder(path)
+    return _STATE[path]
 
 
 def _encode(path: str, end_id: int):
@@ -132,7 +144,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(shuffle_partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     rows = rows.select("doc_id", F.spark_partition_id().alias("part"), "text")
     encoded = rows.mapInArrow(_encode(tokenizer_path, end_id), SCHEMA)
     (

@@ -255,10 +255,17 @@ def test_tokens_round_trip(spark, docs, texts, tmp_path):
     assert "PushedFilters: [In(doc_id" in plan or "EqualTo(doc_id,7)" in plan
 
 
-@pytest.mark.parametrize("text", ["", "  ", "İ. x", "don't it's 'S", "<|endoftext|> x<|endoftext|>.", "Σας. ΣΑΣ", "x\x1c.y", "a..b,.", "ﬁ. ½ 12.5", "e\u0301 x \u0301", "你好，世界。", "a\u3000b"])
+@pytest.mark.parametrize("text", ["", "  ", "İ. x", "don't it's 'S", "<|endoftext|> x<|endoftext|>.", "Σας. ΣΑΣ", "x\x1c.y", "a..b,.", "ﬁ. ½ 12.5", "e\u0301 x \u0301", "你好，世界。", "a\u3000b", "a\u0301\x0b\u0301b", "x\x1c\x1d y\u2028z\xa0'll", "İ I\u0307 ΑΣ ΑΣ.", "it 's 't\t'", "<|startoftext |> <|endoftext|"])
 def test_word_encoder_equals_the_tokenizer(text):
     enc = token_store.encoder(tokenizer_path())
-    assert enc.encode(text) == enc._full(text)
+    assert enc.apart and enc.encode(text) == enc.whole(text)
+
+
+@given(st.text(max_size=60))
+@settings(max_examples=150, deadline=None)
+def test_any_text_has_the_ids_of_the_tokenizer(text):
+    enc = token_store.encoder(tokenizer_path())
+    assert enc.encode(text) == enc.whole(text)
 
 
 # ---------------------------------------------------------------------- urls
