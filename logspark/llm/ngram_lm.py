@@ -245,6 +245,15 @@ def restore(q: np.ndarray) -> np.ndarray:
     return np.where(q > 0, np.exp(-(q.astype(np.float64) - 1) * STEP), 0.0)
 
 
+def relative(q: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Quantised probabilities as steps above that of a single occurrence in their context (few values, so they compress); 0 stays 0."""
+    return np.where(q > 0, single.astype(np.int64) - q + 2, 0).astype(np.uint16)
+
+
+def absolute(steps: np.ndarray, single: np.ndarray) -> np.ndarray:
+    return np.where(steps > 0, single.astype(np.int64) - steps + 2, 0).astype(np.uint16)
+
+
 # ---------------------------------------------------------------- blocks
 
 BLOCK = "block long, tokens long, ids binary, held binary, lengths binary, words binary, seq binary, top binary, top_counts binary"
@@ -467,7 +476,7 @@ def _read(row) -> tuple[np.ndarray, ...]:
 
 
 ANSWER = "shard int, block long, answer binary, types long, tokens long"
-#: Arrays of an answer: p(w | u v) of the trigrams, back-offs of (v, u), p(w | v) of the pairs, counts of v.
+#: Arrays of an answer: p(w | u v) of the trigrams (relative to the back-off), back-offs of (v, u), p(w | v) of the pairs (relative to the count of v), counts of v.
 ANSWERED = [np.uint16, np.uint16, np.uint16, np.int64]
 
 
@@ -496,6 +505,7 @@ def _answers(s: Settings, known):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         frequent, frequent_counts = known.value
+        shift = np.int64(round(np.log(s.prior) / STEP))
         pdf = pdf.sort_values("block")
         seen: list[list] = [[], []]
         for blob in pdf["grams"]:
@@ -513,9 +523,15 @@ def _answers(s: Settings, known):
             run = np.repeat(np.repeat(np.arange(len(names), dtype=np.uint64), v_runs), u_runs)
             here = np.repeat(np.repeat(plain, v_runs), u_runs)
             pairs = np.unique((run[here] << _INNER) | w[here])
-            p2 = trie.find_pairs(place[(pairs >> _INNER).astype(np.int64)], (pairs & np.uint64((1 << INNER_BITS) - 1)).astype(np.uint32))
-            hot2 = trie.find_pairs(np.repeat(trie.words.find(pair_names >> np.uint64(1)), pair_runs), pw)
-            out.append((block, pack_all([p3, backoff, np.concatenate([p2, hot2]), _taken(trie.counts, place[plain])])))
+            of = (pairs >> _INNER).astype(np.int64)
+            p2 = trie.find_pairs(place[of], (pairs & np.uint64((1 << INNER_BITS) - 1)).astype(np.uint32))
+            counts = _taken(trie.counts, place)
+            p2 = relative(p2, quantise(1 / (counts[of] + s.prior)))
+            hot_place = trie.words.find(pair_names >> np.uint64(1))
+            hot2 = trie.find_pairs(np.repeat(hot_place, pair_runs), pw)
+            hot2 = relative(hot2, np.repeat(quantise(1 / (_taken(trie.counts, hot_place) + s.prior)), pair_runs))
+            p3 = relative(p3, np.repeat(backoff + shift, u_runs))
+            out.append((block, pack_all([p3, backoff, np.concatenate([p2, hot2]), counts[plain]])))
         hot = np.zeros(len(trie.counts), bool)
         if len(frequent) and len(hot):
             own = (trie.words[np.arange(trie.words.size)]) << np.uint64(1)
@@ -548,10 +564,11 @@ def _scores(s: Settings, shards: int, known, tokens: int, types: int):
         counts[np.concatenate([[False], words == END])] = counts[0]
         unigram = (counts + s.add) / (tokens + s.add * (types + 1))
         weight = s.prior / (counts[g.middle] + s.prior)
-        two = restore(p2) + weight * unigram[g.next]
+        two = restore(absolute(p2, quantise(1 / (counts[g.middle] + s.prior)))) + weight * unigram[g.next]
         _, v, u, _, _ = g.tri
         new = _heads(g.tri[0]) | _heads(v) | _heads(u)
         backoff = backoffs[np.cumsum(new) - 1]
+        p3 = absolute(p3, backoff + np.int64(round(np.log(s.prior) / STEP)))
         backoff = np.where(backoff > 0, restore(backoff), 1.0)
         three = restore(p3)[g.tri_of] + backoff[g.tri_of] * two[g.pair_of]
         starts = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))[:-1]])

@@ -1,10 +1,10 @@
 """Conflict-constrained best-fit packing of documents into sequences of fixed capacity.
 
 Rows are dealt by a hash of doc_id, or in runs of a given order such as a source mix, into packing
-groups of bounded size, each packed by one task step. Within a group, pieces go longest first into the tightest open bin that has room and no
-conflict: every bin carries a bitmap of the sources and one of the duplicate clusters it holds,
-and the search walks the bins in order of residual space until one is compatible. Only lengths,
-sources and clusters are moved, never texts.
+groups of bounded size, each packed by one task step. Within a group, pieces go longest first into
+the tightest open bin that has room and no conflict: every bin carries a bitmap of the sources and
+one of the duplicate clusters it holds, and the search walks the bins in order of residual space
+until one is compatible. Only lengths, sources and clusters are moved, never texts.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import ids_are_keys, materialize, text_of
 from .mixing import ranked
 from .quality import words_of
 
@@ -69,25 +69,31 @@ def _pack(capacity: int, by_source: bool):
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, by_source: bool = True, group_rows: int = GROUP_ROWS, order: list[str] | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, by_source: bool = True, group_rows: int = GROUP_ROWS, order: list[str] | None = None, cluster: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start (first word), length, bin_id, bin_offset, bin_fill.
 
     A text's length is its number of words; one longer than the capacity is cut into full pieces,
     each a bin of its own, and a rest that is packed. Texts without words (null, empty, blank) have
     one piece of length 0 in no bin (bin_id null). Two pieces of one bin never come from the same
-    source (unless by_source is off) or from documents with equal texts; a null source conflicts
-    with nothing. Repeated rows have equal texts and so are kept apart. With order, documents that
+    source (unless by_source is off) or from documents of one duplicate cluster: those with equal
+    texts, or with equal values of the column that cluster names; nulls conflict with nothing.
+    Repeated rows have equal texts and so are kept apart. With order, documents that
     follow each other in it are packed together, and the column rank tells a document's place in
     it. Other columns are ignored.
     """
     words = F.size(words_of(text_of())).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64(text_of()).alias("cluster"), words.alias("n"), *(order or []))
+    same = F.xxhash64(text_of()) if cluster is None else F.when(F.col(cluster).isNotNull(), F.xxhash64(cluster))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", same.alias("cluster"), words.alias("n"), *[F.col(c).alias(f"__order{i}") for i, c in enumerate(order or [])])
     if order:
-        rows = ranked(rows, [], [*order, "doc_id", "cluster"]).drop(*order)
+        keys = [f"__order{i}" for i in range(len(order))]
+        rows = ranked(rows, [], [*keys, "doc_id", "cluster"]).drop(*keys)
         grp = F.expr(f"rank div {group_rows}")
     else:
-        rows = rows.withColumn("rank", F.lit(0).cast("long"))
-        grp = F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(max(1, -(-docs.count() // group_rows))))
+        # the lengths are read several times; rows that share an id are told apart by their place, so that they are dealt as well
+        rows = materialize(rows.select("*", F.monotonically_increasing_id().alias("at"), F.lit(0).cast("long").alias("rank")), "lengths")
+        key = ["doc_id"] if ids_are_keys(rows) else ["doc_id", "at"]
+        grp = F.pmod(F.xxhash64(*key), F.lit(max(1, -(-rows.count() // group_rows))))
+    rows = rows.withColumn("grp", grp)
     rest = F.col("n") % capacity
     cut = F.col("n") - rest
     whole = F.when(F.col("n") >= capacity, F.transform(F.sequence(F.lit(1), F.expr(f"n div {capacity}")), lambda i: i - 1)).otherwise(F.array().cast("array<bigint>"))
@@ -101,9 +107,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, by_source: bool =
         "doc_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"),
         F.lit(None).cast("string").alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"), F.lit(0).cast("long").alias("bin_fill"), "rank",
     )
-    loose = rows.filter(rest > 0).select("doc_id", F.expr(f"n div {capacity}").alias("piece"), cut.alias("start"), rest.alias("length"), "source", "cluster", "rank")
+    loose = rows.filter(rest > 0).select("doc_id", F.expr(f"n div {capacity}").alias("piece"), cut.alias("start"), rest.alias("length"), "source", "cluster", "rank", "grp")
     none = F.lit(-(1 << 63))  # stands for a missing doc_id: pandas has no nullable long by default
-    loose = loose.withColumns({"grp": grp, "doc_id": F.coalesce("doc_id", none)})
+    loose = loose.withColumn("doc_id", F.coalesce("doc_id", none))
     packed = loose.groupBy("grp").applyInPandas(_pack(capacity, by_source), PIECES)
     packed = packed.withColumn("doc_id", F.nullif("doc_id", none))
     out = packed.unionByName(full).unionByName(blank)

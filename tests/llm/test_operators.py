@@ -43,6 +43,8 @@ EVERY = {
     "ngram_lm": lambda d: ngram_lm.score_documents(d),
     "mixing": lambda d: mixing.mix_plan(d),
     "tokens": lambda d: token_store.encode_documents(d, tokenizer_path()),
+    "packing": lambda d: packing.pack_documents(d, capacity=100_000),
+    "packing in order": lambda d: packing.pack_documents(d, capacity=100_000, order=["row"]),
     "license": lambda d: license_scan.scan_licenses(d.withColumn("path", d["source"])),
 }
 
@@ -294,6 +296,8 @@ def test_url_verdicts(spark):
     for i, u in enumerate(urls):
         assert got[i][0] == brute_verdict(u), u
     assert url_filter.url_verdicts(pages.limit(0)).count() == 0
+    clashing = pages.withColumns({c: F.lit("x") for c in ("host", "path", "rule", "row", "suffix", "prefix", "verdict", "short", "digest", "size")})
+    assert sorted(url_filter.url_verdicts(clashing).collect(), key=str) == sorted(url_filter.url_verdicts(pages).collect(), key=str)
 
 
 # ------------------------------------------------------------------- licences
@@ -368,6 +372,23 @@ def test_statistics_match_plain_counts(spark, docs, texts):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_statistics_match_sql(spark, docs):
+    """The counts by DuckDB, over whole texts."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT doc_id, coalesce(text, '') AS text FROM '{SF}/documents.parquet'")
+    want = con.execute(r"""
+        WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
+        g AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
+        t AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+        r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM t, range(8) s(k) GROUP BY doc_id)
+        SELECT w.doc_id, len(words), list_sum(list_transform(words, lambda x: length(x)))::BIGINT, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')), len(lines) - len(list_distinct(lines)), coalesce(r.n, 0)
+        FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) ORDER BY 1""").fetchall()
+    got = quality.quality_verdicts(docs).orderBy("doc_id").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()
+    assert [tuple(r) for r in got] == [(i, n, c or 0, s, d, k) for i, n, c, s, d, k in want]
+
+
 def test_outliers_go_and_the_rest_stays(spark):
     rng = np.random.default_rng(3)
     rows = [(i, "en", "s", float(rng.normal(5, 1)), float(rng.normal(1.7, 0.1)), 0.0, 0.0) for i in range(600)] + [(900 + i, "en", "s", 5.0, 1.7, 1.7, 0.0) for i in range(20)]
@@ -454,6 +475,30 @@ def test_schedule_stays_within_a_block():
             assert all(abs(got[x] - (slot + 1) * parts[x] / d) < 1 for x in parts)
 
 
+def test_mix_meets_its_targets(spark):
+    """Up to the horizon each source has had its target share to within a block; sources without a target share the rest."""
+    rows = [(i, "abcd"[min(i % 17, 3)]) for i in range(4000)] + [(5000 + i, None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    targets = {"a": 0.5, "b": 0.2, "none": 0.9}
+    out = mixing.mix_plan(docs, targets, block_rows=5, period=100).collect()
+    sizes = collections.Counter("\x00" if s is None else s for _, s in rows)
+    weights = mixing.target_weights(dict(sizes), targets)
+    assert weights["a"] == 0.5 and weights["b"] == 0.2 and sum(weights.values()) == pytest.approx(1)
+    parts = mixing.quantise(weights, 100)
+    slots = {r["slot"]: r["source"] or "\x00" for r in out if r["on_target"]}
+    assert sorted(slots) == list(range(len(slots))) and len(slots) >= 200 // 5 * 2
+    got = collections.Counter()
+    for t in range(len(slots)):
+        got[slots[t]] += 1
+        assert all(abs(got[s] - (t + 1) * parts[s] / 100) < 1 for s in parts), t
+    # the first slot after them belongs to a source that has no full block left
+    late = [r for r in out if not r["on_target"]]
+    assert len(late) + 5 * len(slots) == len(rows) and {r["doc_id"] for r in out} == {i for i, _ in rows}
+    # with blocks of their own for two sources only, the others share theirs
+    few = mixing.mix_plan(docs, block_rows=5, own=2).collect()
+    assert len(few) == len(rows) and len({(r["slot"], r["place"]) for r in few}) == len(rows)
+
+
 def test_mix_ranks_every_row_once(docs):
     rows = mixing.mix_plan(docs, block_rows=3).collect()
     by = collections.defaultdict(list)

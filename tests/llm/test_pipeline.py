@@ -58,3 +58,14 @@ def test_pipeline_bins_have_places(spark):
     spots = stages["source mix"](spark, docs, SF)
     places = [r["place"] for r in stages["best-fit packing"](spark, spots, SF).collect()]
     assert places and None not in places and all(0 <= p < 100 for p in places)
+
+
+def test_stages_on_odd_rows(spark, odd):
+    """Nulls, repeats, empty and very long texts go through all stages, and so does an empty table."""
+    for docs in (odd, odd.limit(0)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns[: len(columns)] == columns, name
+        bins = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+        assert sum(p["length"] for r in bins for p in r["pieces"]) == sum(len(t.encode().split()) for (t,) in docs.select("text").collect())
