@@ -1,4 +1,10 @@
-"""Documents to packed training sequences: quality rules, exact and near dedup, mixing, packing."""
+"""Documents to packed training sequences: quality rules, exact and near dedup, mixing, packing.
+
+Every stage but the last returns the columns of its docs, and mix two more (mix_slot, mix_place).
+Where doc_ids are null or repeat, rows are told apart by their texts as well: no clean row goes
+because of another one, and rows alike in doc_id and text are one document from the second stage
+on. A null text counts as empty: it fails the quality rules. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -13,23 +19,30 @@ from logspark.llm.quality import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the fixed limits and are no outliers of their language and source; a null language or source is one."""
     return keep_good(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id; a null one ranks lowest."""
     return keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id; one without a doc_id only if its group has no other."""
     return keep_first(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # rows of a written table have no order: each carries its spot, and packing follows the spots
+    """All rows, with their spots in a mix to the target weights; rows alike in doc_id and text share a spot.
+
+    Rows of a written table have no order: each carries its spot, and packing follows the spots.
+    """
     return with_spots(docs, targets=TARGETS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per sequence: bin_id, fill, n_pieces, doc_ids, pieces, place (in the mix, of its first document)."""
     return packed_sequences(docs, order=["mix_slot", "mix_place"])
 
 
