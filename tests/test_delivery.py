@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 import sqlite3
 import threading
+import time
 import zipfile
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -207,3 +209,69 @@ def test_growing_logs(spark, tmp_path):
     assert run("techlog")[2:] == ["00:03.000000-5,CALL,1,a=b"]
     tail = growing.read_log(spark, str(journal), "eventlog", tail_bytes=30).collect()
     assert [r.raw for r in tail] == ['{5,0,"Inline",9},'] and growing.tail_bytes(1) == 10 << 20 and growing.tail_bytes(None) == 50 << 20
+
+
+# ------------------------------------------------------------ dumps, state
+
+
+def test_ring_of_dumps(spark, rows, tmp_path):
+    ring = delivery.Ring(str(tmp_path / "ring"), slots=2, max_records=8)
+    counts = lambda: sorted(p.name.split("-")[1:3] for p in (tmp_path / "ring").iterdir())
+    ring(rows, 0)  # one of six rows has no event
+    ring(rows, 1)
+    assert counts() == [["0", "5"], ["0", "5"]]  # not full before the second batch
+    ring(rows, 1)  # delivered again
+    assert len(counts()) == 2
+    ring(rows, 2)
+    assert counts() == [["0", "5"], ["0", "5"], ["1", "5"]]
+    ring(rows, 3)
+    ring(rows, 4)  # both slots are full: the oldest goes
+    assert counts() == [["0", "5"], ["1", "5"], ["1", "5"]]
+    assert spark.read.json(str(tmp_path / "ring" / "*")).count() == 15
+    by_size = delivery.Ring(str(tmp_path), policy="Size", total_bytes=600 << 20, slots=30)
+    assert by_size.bytes == 20 << 20 and by_size.full(20 << 20, 0) and not by_size.full(1, 10**9) and delivery.Ring("x").bytes == 16 << 20
+    assert delivery.Ring("x", policy="RecordCount", max_records=3).full(0, 3)
+
+
+def test_retention(spark, tmp_path):
+    for k, name in enumerate(["a.json", "b.jsonl", "c.json", "d.txt", "old.tmp", "new.tmp"]):
+        (tmp_path / name).write_text("x" * 100)
+        os.utime(tmp_path / name, (time.time() - 500 + k, time.time() - 500 + k) if name != "new.tmp" else None)
+    assert delivery.retain(spark, str(tmp_path), limit=2) == ["old.tmp", "a.json"]
+    assert delivery.retain(spark, str(tmp_path), limit=9, total_bytes=150) == ["b.jsonl"] and (tmp_path / "d.txt").exists() and (tmp_path / "new.tmp").exists()
+
+
+def test_pretty_and_ping(spark, rows, tmp_path, server):
+    delivery.write_pretty(rows.limit(1), str(tmp_path / "p"))
+    text = "".join(p.read_text() for p in (tmp_path / "p").glob("part*"))
+    assert json.loads(text)["id"] == "i0" and "\n  " in text
+    url, seen = server
+    assert delivery.ping(url) == "{}" and seen[-1][1] == "SELECT version()"
+
+
+def test_dedup_of_the_last_rows(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+
+    def run():
+        stream = streams.deduplicated_last(streams.stream_ndjson(spark, str(source), "id string, n long"), last=6, parts=1)
+        streams.start(stream, lambda b, k: b.write.mode("append").json(str(out)), str(tmp_path / "state")).awaitTermination()
+        return sorted(r.n for r in spark.read.schema("id string, n long").json(str(out)).collect())
+
+    write = lambda name, ids, first: (source / name).write_text("".join(json.dumps({"id": i, "n": first + k}) + "\n" for k, i in enumerate(ids)))
+    write("1.json", "abca", 0)
+    assert len(run()) == 3
+    write("2.json", "adef", 10)
+    assert [n for n in run() if n >= 10] == [11, 12, 13]  # a is among the last six
+    write("3.json", "ghia", 20)
+    assert [n for n in run() if n >= 20] == [20, 21, 22]
+    write("4.json", "ab", 30)
+    assert [n for n in run() if n >= 30] == [30, 31]  # forgotten: six others came since
+
+
+def test_reloaded_dictionary():
+    loads, stamp = [], ["1"]
+    get = streams.reloaded(lambda: loads.append(1) or len(loads), lambda: stamp[0])
+    assert (get(), get()) == (1, 1)
+    stamp[0] = "2"
+    assert (get(), len(loads)) == (2, 2)

@@ -8,7 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from logspark.functions import dates, ids, text
+from logspark.functions import dates, ids, scan, text
 from logspark.operators import eventlog, query, repeats, techlog
 from logspark.plans import catalog
 from logspark.sources import framing, jsondump
@@ -174,3 +174,39 @@ def test_file_pruning(spark):
     kept = lambda a, b: sorted(r.path for r in catalog.prune_by_date(files, a, b, by=["directory"]).collect())
     assert kept(dt.date(2026, 9, 3), dt.date(2026, 9, 4)) == ["d/1Cv8.lgd", "d/20260831000000.lgp"]
     assert kept(dt.date(2026, 8, 20), dt.date(2026, 8, 25)) == ["d/1Cv8.lgd", "d/20260817000000.lgp", "d/20260824000000.lgp"]
+
+
+def test_discovery(spark):
+    when = dt.datetime(2026, 8, 31, 14, 30)
+    files = spark.createDataFrame([("/b/1Cv8Log/20260831000000.lgp", 1, when), ("/b/1Cv8Log/1Cv8.lgd", 1, when), ("/b/1Cv8FTxt/x.lgp", 1, when), ("/b/special.txt", 1, when)], "path string, size long, modified timestamp")
+    assert {(r.path, r.base) for r in catalog.find_eventlog(files).collect()} == {("/b/1Cv8Log/20260831000000.lgp", "b"), ("/b/1Cv8Log/1Cv8.lgd", "b")}
+    assert [r.path for r in catalog.find_eventlog(files, "SPECIAL.txt").collect()] == ["/b/special.txt"]
+    assert catalog.find_eventlog(files, "none.lgp").count() == 2
+    assert catalog.given_journal("/b/x.lgx") == ("/b/x.lgp", False) and catalog.given_journal("/b/1Cv8.lgf") == ("/b", True) and catalog.given_journal("/b/x.json") == ("/b/x.json", False)
+    dated = files.select("path", catalog.eventlog_name_date(F.col("path"), F.col("modified")).alias("day"), catalog.techlog_name_date(F.lit("/l/x.log"), F.col("modified")).alias("hour"))
+    assert {r.day for r in dated.collect()} == {dt.date(2026, 8, 31)} and dated.first().hour == dt.datetime(2026, 8, 31, 14)
+    assert [r.path for r in catalog.newest_first(dated.select("path", "day")).collect()][0] == "/b/1Cv8FTxt/x.lgp"
+    recent = spark.createDataFrame([("a", dt.date(2026, 8, 29)), ("b", dt.date(2026, 8, 30)), ("c", None)], "path string, day date")
+    names = lambda **o: sorted(r.path for r in catalog.recent_files(recent, dt.date(2026, 8, 31), **o).collect())
+    assert names() == ["b", "c"] and names(archive=True) == ["a", "b", "c"] and names(end=dt.date(2026, 8, 29)) == ["a", "c"]
+    assert catalog.recent_files(recent.filter("path = 'a'"), dt.date(2026, 8, 31)).count() == 1  # else nothing would be left
+
+
+def test_long_records_keep_their_own_ids(spark):
+    long = "00:01.000000-5,CALL,1,Usr=u,x=" + "x" * techlog.MAX_RECORD
+    one, two = techlog_rows(spark, long + "1", long + "2")
+    assert one.id != two.id and one.User == "u" and one.Descr == two.Descr == "... [TRUNCATED MASSIVE BLOCK TO 256KB]"
+
+
+def test_fields_of_any_depth():
+    deep = "{" * 30 + "a,b" + "}" * 30
+    assert scan.fields('{1,{a,"}"},' + deep + ',"x "" , y",}') == ["1", '{a,"}"}', deep, '"x "" , y"', ""]
+    assert scan.pairs("a=1,B:c='x ''y'' z',a=2,d=\"\",e='open") == {"a": ("a", "2"), "b_c": ("B_c", "x 'y' z"), "d": ("d", ""), "e": ("e", "open")}
+    assert scan.depth('{"a}",{') == 2 and scan.depth('{"open') == 2 and scan.depth("{}") == 0
+
+
+def test_header_conditions_come_before_the_pairs(spark):
+    records = spark.createDataFrame([("00:01.000000-5000,CALL,1,Usr=a", dt.datetime(2026, 1, 1), "p", ""), ("00:02.000000-9,CALL,1,Usr=b", dt.datetime(2026, 1, 1), "p", "")], "raw string, hour timestamp, process string, pid string")
+    rows = techlog.decode_techlog(records, where=F.col("DurationMs") >= 1)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.User for r in rows.collect()] == ["a"] and plan.index("MapInArrow") < plan.rindex("Filter")
