@@ -56,13 +56,13 @@ class Settings:
 
 
 TOKEN_SHIFT = np.uint64(20)  # frequencies and lists know shingles by their upper 44 bits
-SKETCH = "rid long, doc_id long, n long, cls long, bands array<long>, shard int, blob binary"
+SKETCH = "rid long, doc_id long, th long, n long, cls long, bands array<long>, shard int, blob binary"
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """rid stands for doc_id; rows without one get a negative number made from their text."""
+    """rid stands for doc_id; rows without one get a negative number made from their text. As doc_ids may repeat, th, a hash of the text, tells their rows apart."""
     missing = -F.pmod(F.xxhash64(text_of()), F.lit(1 << 62)) - 1
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), missing).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), missing).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("th"))
 
 
 def set_hash(tokens: np.ndarray) -> int:
@@ -104,8 +104,8 @@ def _sketch(s: Settings, shards: int):
             none = pa.nulls(len(at), pa.int64())
             blobs = [pack(tokens[cut[i] : cut[i + 1]] >> TOKEN_SHIFT, delta=True) for i in at]
             return pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.nulls(len(at), pa.list_(pa.int64())), pa.array(at, pa.int32()), pa.array(blobs, pa.binary())],
-                names=["rid", "doc_id", "n", "cls", "bands", "shard", "blob"],
+                [none, none, none, none, none, pa.nulls(len(at), pa.list_(pa.int64())), pa.array(at, pa.int32()), pa.array(blobs, pa.binary())],
+                names=["rid", "doc_id", "th", "n", "cls", "bands", "shard", "blob"],
             )
 
         for batch in batches:
@@ -130,8 +130,8 @@ def _sketch(s: Settings, shards: int):
                     yield counts()
                     held, count = [], 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n), pa.array(cls), pa.array(bands, pa.list_(pa.int64())), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-                names=["rid", "doc_id", "n", "cls", "bands", "shard", "blob"],
+                [batch.column(0), batch.column(1), batch.column(3), pa.array(n), pa.array(cls), pa.array(bands, pa.list_(pa.int64())), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
+                names=["rid", "doc_id", "th", "n", "cls", "bands", "shard", "blob"],
             )
         if count:
             yield counts()
@@ -295,7 +295,8 @@ def _select(known, bits: int):
         for batch in batches:
             bit = batch.column(2).to_numpy(zero_copy_only=False)
             hit = (mask[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit.astype(bool))), batch.column(1).filter(pa.array(hit.astype(bool)))], names=["rid", "text"])
+            keep = pa.array(hit.astype(bool))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1, 3)], names=["rid", "text", "th"])
 
     return run
 
@@ -313,7 +314,7 @@ def _compare(s: Settings):
                 batch = whole.slice(at, 256)
                 linked = []
                 for x, y, a, b in zip(sets(batch, "text_a"), sets(batch, "text_b"), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    # a doc_id may stand for several texts: only the text of the class counts
+                    # hashes of texts may meet: only the text of the class counts
                     if set_hash(x) == a and set_hash(y) == b:
                         inter = len(np.intersect1d(x, y, assume_unique=True))
                         linked.append(100 * inter >= s.percent * (len(x) + len(y) - inter))
@@ -337,12 +338,13 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, s: Settings)
 
 
 def _texts_of(ends: DataFrame, classes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """(cls, text) of the classes in ends."""
+    """(cls, text) of the classes in ends, one row each: the text of one row, however many rows have its doc_id or repeat it."""
     spark = docs.sparkSession
-    ends = materialize(ends.join(classes.select("cls", "rid"), "cls"), "ends")
+    ends = materialize(ends.join(classes.select("cls", "rid", "th"), "cls"), "ends")
     known = spark.sparkContext.broadcast(_wanted(ends, s.filter_bits))
-    texts = docs.select("rid", "text", F.pmod(F.xxhash64("rid"), F.lit(s.filter_bits)).alias("bit")).mapInArrow(_select(known, s.filter_bits), "rid long, text string")
-    out = materialize(ends.join(texts, "rid").select("cls", "text"), "texts")
+    texts = docs.select("rid", "text", F.pmod(F.xxhash64("rid"), F.lit(s.filter_bits)).alias("bit"), "th").mapInArrow(_select(known, s.filter_bits), "rid long, text string, th long")
+    texts = texts.groupBy("rid", "th").agg(F.first("text").alias("text"))
+    out = materialize(ends.join(texts, ["rid", "th"]).select("cls", "text"), "texts")
     release(ends)
     return out
 
@@ -390,7 +392,6 @@ def _bounded(s: Settings):
         keep = np.zeros(len(asked), bool)
         cls = asked["cls"].tolist()
         for i, tokens in _texts(pa.RecordBatch.from_pydict({"text": asked["text"].tolist()}), s.size):
-            # a doc_id may stand for several texts: only the text of the class counts
             if set_hash(tokens) == cls[i]:
                 keep[i] = 100 * len(np.intersect1d(tokens, union, assume_unique=True)) >= s.percent * len(tokens)
         return asked.loc[keep, ["cls", "grp"]]
@@ -426,7 +427,7 @@ def _within(s: Settings):
     """Links between the groups of one block of a list: intersections of all its classes from the shingles that two of them share; of the links found, as many as join the groups."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # a doc_id may stand for several texts: the one of the class is found below
+        # hashes of texts may meet: the text of the class is found below
         pdf = pdf.drop_duplicates(["cls", "text"])
         sets, cls, grp, held = [], [], [], set()
         for (_, tokens), c, g in zip(_texts(pa.RecordBatch.from_pydict({"text": pdf["text"].tolist()}), s.size), pdf["cls"].tolist(), pdf["grp"].tolist(), strict=True):
@@ -498,9 +499,9 @@ def near_components(docs: DataFrame, settings: Settings | None = None) -> DataFr
     docs = _identified(docs)
     shards = s.shards(shuffle_partitions(spark))
     sketch = materialize(docs.mapInArrow(_sketch(s, shards), SKETCH), "sketch")
-    rows = sketch.filter("shard IS NULL").select("rid", "doc_id", "n", "cls", "bands")
-    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("rid").alias("rid"), F.first("n").alias("n"))
-    classes = materialize(classes, "classes")
+    rows = sketch.filter("shard IS NULL").select("rid", "doc_id", "th", "n", "cls", "bands")
+    classes = rows.filter("n > 0").groupBy("cls").agg(F.min(F.struct("rid", "th")).alias("r"), F.first("n").alias("n"))
+    classes = materialize(classes.select("cls", "r.rid", "r.th", "n"), "classes")
 
     # groups: leaders of min-hash bands
     banded = rows.filter("n > 0").select("cls", "n", F.explode("bands").alias("band"))
