@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,8 +104,11 @@ CYRILLIC_UNITS = ("Б", "КБ", "МБ", "ГБ")
 
 
 def lookup(c: Column, table: dict, default: Column | None = None) -> Column:
-    """A small fixed table as a CASE expression; other values give default (c itself if not given)."""
+    """A small fixed table: a CASE expression, or a map literal if it has many texts; other values give default (c itself if not given)."""
+    other = c if default is None else default
+    if len(table) > 6 and all(isinstance(x, str) for pair in table.items() for x in pair):
+        return F.coalesce(F.try_element_at(F.from_json(F.lit(json.dumps(table)), "map<string,string>"), c), other)
     out = None
     for key, value in table.items():
         out = F.when(c == key, value) if out is None else out.when(c == key, value)
-    return out.otherwise(c if default is None else default)
+    return out.otherwise(other)

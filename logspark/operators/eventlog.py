@@ -66,14 +66,16 @@ def with_inline(dims: DataFrame, entries: DataFrame) -> DataFrame:
     return both.groupBy("base", "kind", "code").agg(known("name"), known("uuid")).select("base", "kind", "code", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("uuid", F.lit("")).alias("uuid"))
 
 
-def _sized(dims: DataFrame) -> DataFrame:
-    """dims, marked for broadcast if a count shows that it is small."""
-    return F.broadcast(dims) if dims.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES else dims
+def _by_code(dims: DataFrame) -> DataFrame:
+    """base, code, v: what a code stands for, by kind. One table serves all joins, and is marked for broadcast if a count shows that it is small."""
+    table = dims.groupBy("base", "code").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct("name", "uuid")))).alias("v"))
+    return F.broadcast(table) if dims.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES else table
 
 
-def _join_name(rows: DataFrame, dims: DataFrame, kind: str, key: str, out: str, uuid: str | None = None) -> DataFrame:
-    dim = dims.filter(F.col("kind") == kind).select("base", F.col("code").alias(key), F.col("name").alias(out), *([F.col("uuid").alias(uuid)] if uuid else []))
-    return rows.join(dim, ["base", key], "left")
+def _join_name(rows: DataFrame, by_code: DataFrame, kind: str, key: str, out: str, uuid: str | None = None) -> DataFrame:
+    joined = rows.join(by_code.select("base", F.col("code").alias(key), "v"), ["base", key], "left")
+    found = F.try_element_at("v", F.lit(kind))
+    return joined.withColumns({out: found["name"], **({uuid: found["uuid"]} if uuid else {})}).drop("v")
 
 
 def names_of_list(rows: DataFrame, dims: DataFrame, key: str | list[str], codes: str, separator: str = ", ", skipped: tuple[str, ...] = ("", "0")) -> DataFrame:
@@ -149,7 +151,7 @@ def decode_eventlog(records: DataFrame, dims: DataFrame, scope: Column | None =
     Texts are '' where the record has none; an unreadable date is null. Records of fewer than nine
     fields or without a date are dropped. seq orders the records of a base.
     """
-    dims = _sized(dims)
+    by_code = _by_code(dims)
     has = set(records.columns)
     rows = records.filter(F.col("raw").rlike(r"^\s*\{\d{14},")).select(
         "base", "seq", (F.col("file") if "file" in has else F.lit("")).alias("file"), (F.col("size") if "size" in has else F.lit(0)).cast("long").alias("size"),
@@ -174,13 +176,13 @@ def decode_eventlog(records: DataFrame, dims: DataFrame, scope: Column | None =
     ]
     made = rows.select("base", "seq", "file", "size", "id", F.explode(F.array(F.struct(*fields))).alias("r"))  # once a row
     rows = made.select("base", "seq", "file", "size", "id", "r.*")
-    rows = _join_name(rows, dims, "user", "user_code", "user_name", "user_uuid")
+    rows = _join_name(rows, by_code, "user", "user_code", "user_name", "user_uuid")
     for kind in ("computer", "app", "event", "server", "port", "addport"):
-        rows = _join_name(rows, dims, kind, f"{kind}_code", f"{kind}_name")
-    rows = rows.join(dims.filter("kind = 'metadata'").select("base", F.col("code").alias("reference_code"), F.col("name").alias("reference_name")), ["base", "reference_code"], "left")
+        rows = _join_name(rows, by_code, kind, f"{kind}_code", f"{kind}_name")
+    rows = _join_name(rows, by_code, "metadata", "reference_code", "reference_name")
     several = F.size(F.filter("meta_codes", lambda c: ~c.isin("", "0")))
     one = rows.filter(several <= 1).withColumn("meta_code", F.coalesce(F.get(F.filter("meta_codes", lambda c: ~c.isin("", "0")), F.lit(0)), F.lit("")))
-    one = _join_name(one, dims, "metadata", "meta_code", "meta_name", "meta_uuid")
+    one = _join_name(one, by_code, "metadata", "meta_code", "meta_name", "meta_uuid")
     shown = F.when(F.col("meta_code") == "", "").otherwise(F.coalesce(F.nullif("meta_name", F.lit("")), F.concat(F.lit("Meta #"), F.col("meta_code"))))
     one = one.withColumns({"names": shown, "name_uuid": F.coalesce("meta_uuid", F.lit(""))}).drop("meta_code", "meta_name", "meta_uuid")
     many = names_of_list(rows.filter(several > 1), dims, ["base", "seq"], "meta_codes")
