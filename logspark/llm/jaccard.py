@@ -284,11 +284,18 @@ def _wanted(ids: DataFrame, bits: int) -> np.ndarray:
     bit = F.pmod(F.xxhash64("rid"), F.lit(bits))
     words = ids.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rid), {bits}) % 64 as int))")).alias("mask"))
     out = np.zeros(bits // 64, dtype=np.int64)
-    rows = words.toPandas()  # at most bits / 64 rows
-    out[rows["word"].to_numpy(dtype=np.int64)] = rows["mask"].to_numpy(dtype=np.int64)
+    for row in words.mapInArrow(_packed, "words binary, masks binary").collect():  # at most bits / 64 of them, packed
+        out[unpack(row["words"], np.int64)] = unpack(row["masks"], np.int64)
     return out
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            blobs = [pa.array([pack(batch.column(i).to_numpy(zero_copy_only=False))], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(blobs, names=["words", "masks"])
+
+
 def _select(known, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = known.value.view(np.uint8)

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_are_keys, materialize, release, small, text_of
+from .common import BROADCAST_ROWS, ids_are_keys, materialize, release, text_of
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -24,6 +24,7 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Share of a group that a fit keeps, concentration steps of every start and of the best one, and the smallest group with a fit of its own: five rows a feature.
 KEEP_SHARE, STEPS, MORE_STEPS, MIN_GROUP = 0.75, 2, 2, 20
+STARTS = 4
 #: Tail probability of the chi-square distribution beyond which a row is an outlier. It is this small as text statistics have heavier tails than a normal distribution.
 TAIL = 1e-20
 
@@ -138,7 +139,7 @@ def _starts(rows: DataFrame, gkey: list[str], names: list[str]) -> DataFrame:
     # squashed values and directions give a shape about the median; spreads alone are one more start
     about = {f"m{i}": F.when(F.col("start") > 1, F.lit(0.0)).otherwise(F.col(f"m{i}")) for i in range(len(z))}
     plain = {f"m{i}": F.lit(0.0) for i in range(len(z))} | {f"c{i}{j}": F.lit(float(i == j)) for i in range(len(z)) for j in range(i + 1)}
-    shapes = materialize(shapes.withColumns(about), "shapes")
+    shapes = materialize(shapes.withColumns(about), "shapes")  # read twice
     return shapes.unionByName(shapes.filter("start = 1").withColumn("start", F.lit(0)).withColumns(plain))
 
 
@@ -158,7 +159,10 @@ def outliers(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     asked = levels.groupBy("group_lang").agg(F.max(F.col("own") == 1).alias("by_lang"))
     by_all = levels.filter("own = 2").limit(1).count() > 0
     plan = materialize(levels.join(asked, "group_lang"), "fits")
-    rows = stats.join(small(plan), key)
+    # tables of parameters have a row for each fit and start, so one count bounds them all
+    few = plan.limit(BROADCAST_ROWS // STARTS + 1).count() <= BROADCAST_ROWS // STARTS
+    near_by = F.broadcast if few else (lambda table: table)
+    rows = stats.join(near_by(plan), key)
     # a row counts in every fit that its group, its language or all rows have, and is judged by one
     taken = F.array(F.when(F.col("own") == 0, 0), F.when(F.col("by_lang"), 1), F.lit(2 if by_all else None).cast("int"))
     rows = rows.withColumn("kind", F.explode(F.array_compact(taken))).drop("by_lang")
@@ -170,29 +174,29 @@ def outliers(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     spread = lambda i: F.sqrt(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + floors[i] ** 2)
     scale = materialize(scale.select(*gkey, *[F.col(f"q{i}")[1].alias(f"mid{i}") for i in index], *[spread(i).alias(f"s{i}") for i in index], *[(floors[i] / spread(i)).alias(f"f{i}") for i in index]), "scale")
     scaled = [((F.col(n) - F.col(f"mid{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, n in enumerate(names)]
-    z = rows.join(small(scale), gkey).select(*rows.columns, *scaled)
+    z = rows.join(near_by(scale), gkey).select(*rows.columns, *scaled)
     zs, skey = [f"z{i}" for i in index], [*gkey, "start"]
     floor = [F.col(f"f{i}") for i in index]
-    factor = lambda params: materialize(_factor(params.join(small(scale), gkey), skey, floor), "factor")
+    factor = lambda params: materialize(_factor(params.join(near_by(scale), gkey), skey, floor), "factor")
 
     def step(params: DataFrame) -> DataFrame:
         """Mean and covariance of the rows nearest to each start's present estimate."""
-        scored = z.select(*gkey, *zs).join(small(params), gkey).select(*skey, *zs, _distance(zs).alias("d2"))
-        near = materialize(scored.groupBy(*skey).agg(F.percentile_approx("d2", F.lit(KEEP_SHARE), 1000).alias("near")), "near")
-        out = factor(scored.join(small(near), skey).filter(F.col("d2") <= F.col("near")).groupBy(*skey).agg(*_moments(zs)))
-        release(params, near)
+        scored = z.select(*gkey, *zs).join(near_by(params), gkey).select(*skey, *zs, _distance(zs).alias("d2"))
+        near = scored.groupBy(*skey).agg(F.percentile_approx("d2", F.lit(KEEP_SHARE), 1000).alias("near"))
+        out = factor(scored.join(near_by(near), skey).filter(F.col("d2") <= F.col("near")).groupBy(*skey).agg(*_moments(zs)))
+        release(params)
         return out
 
     params = factor(_starts(z, gkey, zs))
     for _ in range(STEPS):
         params = step(params)
     least = params.groupBy(*gkey).agg(F.min(F.struct("log_det", "start")).alias("least")).select(*gkey, F.col("least.start").alias("start"))
-    params = materialize(params.join(least, skey), "best")
+    params = materialize(params.join(near_by(least), skey), "best")
     for _ in range(MORE_STEPS):
         params = step(params)
-    scored = z.join(small(params), gkey).withColumn("d2", _distance(zs))
-    middle = materialize(scored.groupBy(*gkey).agg(F.percentile_approx("d2", F.lit(0.5), 1000).alias("mid")), "middle")
-    judged = scored.filter(F.col("kind") == F.col("own")).join(small(middle), gkey)
+    scored = z.join(near_by(params), gkey).withColumn("d2", _distance(zs))
+    middle = scored.groupBy(*gkey).agg(F.percentile_approx("d2", F.lit(0.5), 1000).alias("mid"))
+    judged = scored.filter(F.col("kind") == F.col("own")).join(near_by(middle), gkey)
     # the middle of the distances is set to that of the distribution; groups that are closer than it to their floors are not stretched
     return judged.withColumn("d2", F.col("d2") * F.least(chi2_quantile(0.5) / F.greatest(F.col("mid"), F.lit(1e-9)), F.lit(1.0)))
 
