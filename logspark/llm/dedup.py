@@ -36,7 +36,7 @@ class DigestIndex:
         self.spark, self.keep, self.digest = spark, keep, digest
         self.path = path or f"{scratch_dir(spark)}/digests-{uuid.uuid4().hex[:12]}"
         self.buckets = buckets or shuffle_partitions(spark)
-        self.levels: list[list[DataFrame]] = [[]]
+        self.levels: list[list[str]] = [[]]  # names of runs
         self.entries: list[DataFrame] = []
 
     def _best(self, doc_id: str, row: str) -> Column:
@@ -44,13 +44,16 @@ class DigestIndex:
         rank = F.col(doc_id) if self.keep == "largest" else -F.col(doc_id)
         return F.struct(F.col(doc_id).isNotNull().alias("known"), rank.alias("rank"), (-F.col(row)).alias("less"), F.col(doc_id).alias("id"), F.col(row).alias("row"))
 
-    def _write(self, run: DataFrame) -> DataFrame:
-        """A sorted run: digest, best, n, a file for each bucket of digests."""
+    def _write(self, run: DataFrame) -> str:
+        """The name of a sorted run: digest, best, n, a file for each bucket of digests."""
         name = f"digests_{uuid.uuid4().hex}"
         (
             run.write.bucketBy(self.buckets, "digest").sortBy("digest").option("path", f"{self.path}/{name}").option("parquet.bloom.filter.enabled#digest", "true")
             .option("parquet.bloom.filter.expected.ndv#digest", "200000").format("parquet").saveAsTable(name)
         )
+        return name
+
+    def run(self, name: str) -> DataFrame:
         return self.spark.table(name)
 
     def flush(self, docs: DataFrame, memtables: int = 1) -> None:
@@ -64,8 +67,9 @@ class DigestIndex:
             run = entries.filter(F.col("memtable") == m).groupBy("digest").agg(F.max(self._best("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("n"))
             self.levels[0].append(self._write(run.repartition(self.buckets, "digest")))
 
-    def _merge(self, a: DataFrame, b: DataFrame) -> DataFrame:
+    def _merge(self, x: str, y: str) -> str:
         """One run of two: both are sorted and in the same buckets, so nothing is shuffled."""
+        a, b = self.run(x), self.run(y)
         both = a.select("digest", F.col("best").alias("a"), F.col("n").alias("an")).join(b.select("digest", F.col("best").alias("b"), F.col("n").alias("bn")).hint("merge"), "digest", "full")
         best = F.greatest("a", "b")  # nulls are passed over
         return self._write(both.select("digest", best.alias("best"), (F.coalesce("an", F.lit(0)) + F.coalesce("bn", F.lit(0))).alias("n")))
@@ -85,16 +89,15 @@ class DigestIndex:
             runs.clear()
             level += 1
         (last,) = self.levels[-1]
-        return last.select("digest", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("n").alias("group_size"))
+        # read by its files, not as buckets, so that a join may split a digest of very many rows
+        return self.spark.read.schema(self.run(last).schema).parquet(f"{self.path}/{last}").select("digest", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("n").alias("group_size"))
 
-    def _drop(self, *runs: DataFrame) -> None:
+    def _drop(self, *names: str) -> None:
         """Merged runs leave the catalog, and their files the folder."""
-        for run in runs:
-            for path in {f.rsplit("/", 1)[0] for f in run.inputFiles()}:
-                name = path.rsplit("/", 1)[1]
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-                folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
     def all_entries(self) -> DataFrame:
         out = self.entries[0]
@@ -105,7 +108,7 @@ class DigestIndex:
     def find(self, digests: list[bytes]) -> DataFrame:
         """The entries of a few digests in all runs: the files' sort order and Bloom filters tell which parts are read."""
         wanted = F.col("digest").isin(*[F.lit(d) for d in digests])
-        found = [run.filter(wanted) for level in self.levels for run in level]
+        found = [self.run(name).filter(wanted) for level in self.levels for name in level]
         out = found[0]
         for more in found[1:]:
             out = out.unionByName(more)

@@ -106,7 +106,7 @@ def test_dedup_index_merges_runs(spark, docs, texts):
     index = dedup.DigestIndex(spark, buckets=3)
     index.flush(docs.filter("doc_id % 2 = 0"), memtables=2)
     index.flush(docs.filter("doc_id % 2 = 1"))
-    a, b = index.levels[0][:2]
+    a, b = map(index.run, index.levels[0][:2])
     plan = a.join(b.hint("merge"), "digest", "full")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan  # runs are bucketed alike
     level1 = index.compact()
