@@ -176,17 +176,19 @@ def decode_eventlog(records: DataFrame, dims: DataFrame, scope: Column | None =
     ]
     made = rows.select("base", "seq", "file", "size", "id", F.explode(F.array(F.struct(*fields))).alias("r"))  # once a row
     rows = made.select("base", "seq", "file", "size", "id", "r.*")
+    # a list of codes is resolved beside the other columns, which it meets again by record; all else passes once
+    codes = F.filter("meta_codes", lambda c: ~c.isin("", "0"))
+    lists = rows.filter(F.size(codes) > 1).select("base", "seq", "meta_codes")
+    lists = names_of_list(lists, dims, "seq", "meta_codes").select("base", "seq", F.col("names").alias("list_names"), F.col("name_uuid").alias("list_uuid"))
+    rows = rows.withColumn("meta_code", F.when(F.size(codes) == 1, codes[0]).otherwise(""))
     rows = _join_name(rows, by_code, "user", "user_code", "user_name", "user_uuid")
     for kind in ("computer", "app", "event", "server", "port", "addport"):
         rows = _join_name(rows, by_code, kind, f"{kind}_code", f"{kind}_name")
     rows = _join_name(rows, by_code, "metadata", "reference_code", "reference_name")
-    several = F.size(F.filter("meta_codes", lambda c: ~c.isin("", "0")))
-    one = rows.filter(several <= 1).withColumn("meta_code", F.coalesce(F.get(F.filter("meta_codes", lambda c: ~c.isin("", "0")), F.lit(0)), F.lit("")))
-    one = _join_name(one, by_code, "metadata", "meta_code", "meta_name", "meta_uuid")
+    rows = _join_name(rows, by_code, "metadata", "meta_code", "meta_name", "meta_uuid")
+    rows = rows.join(lists, ["base", "seq"], "left")
     shown = F.when(F.col("meta_code") == "", "").otherwise(F.coalesce(F.nullif("meta_name", F.lit("")), F.concat(F.lit("Meta #"), F.col("meta_code"))))
-    one = one.withColumns({"names": shown, "name_uuid": F.coalesce("meta_uuid", F.lit(""))}).drop("meta_code", "meta_name", "meta_uuid")
-    many = names_of_list(rows.filter(several > 1), dims, ["base", "seq"], "meta_codes")
-    rows = one.unionByName(many)
+    rows = rows.withColumns({"names": F.coalesce("list_names", shown), "name_uuid": F.coalesce("list_uuid", F.when(F.col("meta_code") != "", F.col("meta_uuid")), F.lit(""))})
 
     named = lambda kind, label: F.when(F.col(f"{kind}_code").isin("", "0"), "").otherwise(F.coalesce(F.nullif(f"{kind}_name", F.lit("")), F.concat(F.lit(label), F.col(f"{kind}_code"))))
     user = F.when((F.col("user_code") == "1") & (F.coalesce("user_name", F.lit("")) == "") & F.col("user_name").isNotNull(), NO_NAME).otherwise(named("user", "User #"))
