@@ -92,10 +92,11 @@ def horizon(parts: dict[str, int], sizes: dict[str, int], block_rows: int) -> in
     return min((full[s] // parts[s] * d + slots[s, full[s] % parts[s]] for s in parts), default=0)
 
 
-def ranked(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def ranked(rows: DataFrame, keys: list[str], order: list[str], total: str | None = None) -> DataFrame:
     """rows with rank, the place (from 0) of each among rows of equal keys: a range partitioning, so that no key sits in one task.
 
     Only the counts of each (partition, key) are gathered to turn places within a partition into ranks.
+    total: a column for the number of rows of equal keys. Keys aren't null.
     """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -104,7 +105,10 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     dealt = materialize(dealt.select("*", F.spark_partition_id().alias("__part"), place.alias("__at")), "dealt")
     counts = dealt.groupBy("__part", *keys).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).drop("__n", "__first")
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first"))
+    if total:
+        counts = counts.withColumn(total, F.sum("__n").over(Window.partitionBy(*keys)))
+    counts = counts.drop("__n", "__first")
     joined = dealt.join(small(materialize(counts, "counts")), ["__part", *keys])
     return joined.withColumn("rank", F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
 
