@@ -147,6 +147,43 @@ def test_json_shapes(spark, tmp_path):
     assert jsondump.read_dump(spark, str(tmp_path / "u16"), "eventlog", "whole").count() == 4
 
 
+def test_json_of_any_shape_loses_nothing(spark, tmp_path):
+    """Records on one line, in arrays, wrapped, pretty, with braces and quotes in texts: found alike however small the splits are."""
+    record = lambda c, **more: {"id": c, "DateFormatted": "2026-01-01 00:00:00", "Event": 'a "{" \\ }' + c, **more}
+    one, two, three, four, five, six = (record(c) for c in "123456")
+    bodies = {
+        "line": f"{json.dumps(one)}{json.dumps(two)}\n[{json.dumps(three)},{json.dumps(four)}]\n{json.dumps(five)}\n", "pretty": json.dumps([one, {"w": [two, {"x": three}]}, four], indent=4) + json.dumps(five),
+        "late": json.dumps({"kids": [six, six], **five}) + "\n" + "\n".join(map(json.dumps, (one, two, three, four))), "nulls": json.dumps({"id": None, "DateFormatted": "x", "in": [one, two]}) + json.dumps([[three], [[four]], five]),
+        "broken": '{"id": "0", "DateFormatted": "cut \n' + "\n".join(map(json.dumps, (one, two, three, four, five))), "empty": "",
+    }
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("3b", "40b", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            for name, body in bodies.items():
+                (tmp_path / name).mkdir(exist_ok=True)
+                (tmp_path / name / "x.json").write_text(body, encoding="utf-8")
+                if size == "3b" and name != "line":
+                    continue
+                rows = jsondump.read_dump(spark, str(tmp_path / name), "eventlog").select("id", "Event").collect()
+                assert sorted(map(tuple, rows)) == ([(r["id"], r["Event"]) for r in (one, two, three, four, five)] if name != "empty" else []), (name, size)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    both = jsondump.read_dump(spark, [str(tmp_path / n) for n in ("line", "pretty")], "eventlog")
+    assert both.count() == 10
+    (tmp_path / "line" / "wide.json").write_bytes(json.dumps([six, [six]]).encode("utf-16"))
+    assert jsondump.read_dump(spark, str(tmp_path / "line"), "eventlog").count() == 7
+
+
+def test_json_lines_with_several_objects(spark):
+    record = lambda c: json.dumps({"id": c, "DateFormatted": "d", "Event": "} {"})
+    lines = [record("1") + record("2"), f"[{record('3')},{record('4')}]", record("5"), "{broken", "", None, f"[{record('6')}], [{record('7')}]"]
+    got = jsondump.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string"), "eventlog")
+    assert sorted(r.id for r in got.collect()) == list("1234567")
+
+
 def test_collapse(spark):
     def row(i, s, meta="m", event="e", user="u"):
         return (i, f"{i}", dt.datetime(2026, 1, 1, 0, 0, s % 60) + dt.timedelta(minutes=s // 60), meta, event, user, user, 1)
