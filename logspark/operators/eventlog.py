@@ -145,14 +145,19 @@ def empty_transaction() -> Column:
     return edge & blank("Comment") & blank("Data") & blank("DataPresentation") & blank("Metadata") & F.coalesce("Severity", F.lit("")).isin("", SEVERITIES["I"], SEVERITIES["N"])
 
 
-def decode_eventlog(records: DataFrame, dims: DataFrame, scope: Column | None = None) -> DataFrame:
-    """EVENTLOG_SCHEMA rows (and base, seq for enrichment) of records: raw, base, seq and optionally file, size.
+def decode_eventlog(records: DataFrame, dims: DataFrame, scope: Column | None = None, where: Column | None = None) -> DataFrame:
+    """EVENTLOG_SCHEMA rows (and base, seq for enrichment) of records: raw, base, seq and optionally file, size, DateTime.
 
     Texts are '' where the record has none; an unreadable date is null. Records of fewer than nine
-    fields or without a date are dropped. seq orders the records of a base.
+    fields or without a date are dropped. seq orders the records of a base. where is a condition on
+    DateTime, tested on the header before a record is split into fields; if records have a column
+    DateTime, as those of a growing log do, it reaches the source.
     """
     by_code = _by_code(dims)
     has = set(records.columns)
+    if where is not None:
+        records = records if "DateTime" in has else records.withColumn("DateTime", log_date(F.regexp_extract("raw", r"^\s*\{(\d{14}),", 1)))
+        records = records.filter(where)
     rows = records.filter(F.col("raw").rlike(r"^\s*\{\d{14},")).select(
         "base", "seq", (F.col("file") if "file" in has else F.lit("")).alias("file"), (F.col("size") if "size" in has else F.lit(0)).cast("long").alias("size"),
         record_id(F.col("raw"), F.col("base") if scope is None else scope).alias("id"), "raw",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ TRANSACTION_TEXTS = {0: "Вне транзакции", 1: "Отменена", 2:
 CODES = {"userCode": ("user", "User #"), "appCode": ("app", "App #"), "eventCode": ("event", "Event #"), "computerCode": ("computer", "Comp #"), "workServerCode": ("server", "Server #"), "primaryPortCode": ("port", "")}
 
 
+def date_units(when: datetime) -> int:
+    """A date as journals hold it: units of 100 microseconds since 0001-01-01 (UTC)."""
+    return ((when.replace(tzinfo=when.tzinfo or UTC) - datetime(1, 1, 1, tzinfo=UTC)) // timedelta(microseconds=100))
+
+
 def base_of(path: Column) -> Column:
     """The infobase's folder: the one that holds 1Cv8Log, or that of the file."""
     folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)

@@ -7,6 +7,8 @@ Options: path (files, separated by commas, that driver and executors can open),
 or 'last'), from_row (rows after it), date_from and date_to (days, tested by SQLite), newest (so many
 of the latest rows of each file), rows_per_partition, and for streams starting ('earliest', or
 'latest' to skip the rows that a file has when it is first seen at the start of the stream).
+Filters on columns of numbers (comparisons, lists, nulls and their negations) are tested by SQLite, on
+every column that a row has; so is a date, as units (lgd.date_units).
 SQLite reads a write-ahead log beside the file, and rowids tell what is new, so growth needs no sizes.
 """
 
@@ -15,14 +17,14 @@ from __future__ import annotations
 import os
 import sqlite3
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import closing
 from dataclasses import dataclass
 from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not
 
 NAME = "sqlite_journal"
 #: Columns of EventLog; those that some releases have not are 0 there.
@@ -40,6 +42,24 @@ SCHEMAS = {
 #: Days from 0001-01-01 on, in units of 100 microseconds.
 DAY_UNITS = 86_400 * 10_000
 
+#: Tests of SQLite for filters of one value.
+COMPARED = {EqualTo: "=", EqualNullSafe: "IS", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
+
+def sql_test(f: Filter) -> tuple[str, list] | None:
+    """A filter on a column of numbers as a test of SQLite and its values; None for others."""
+    if isinstance(f, Not):
+        inner = sql_test(f.child)
+        return (f"NOT ({inner[0]})", inner[1]) if inner else None
+    column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+    if ROW_COLUMNS.get(column) != "long":
+        return None
+    if isinstance(f, (IsNull, IsNotNull)):
+        return f"{column} IS {'NOT ' * isinstance(f, IsNotNull)}NULL", []
+    if isinstance(f, In):
+        return f"{column} IN ({', '.join('?' * len(f.value))})", list(f.value)
+    return (f"{column} {COMPARED[type(f)]} ?", [f.value]) if type(f) in COMPARED else None
+
 
 @dataclass
 class Rows(InputPartition):
@@ -77,6 +97,7 @@ class _Options:
         self.paths = [p.strip().removeprefix("file://") for p in get("path", "").split(",") if p.strip()]
         self.part, self.after, self.newest = get("part", "rows"), int(get("from_row", "0")), int(get("newest", "0"))
         self.each, self.latest = int(get("rows_per_partition", "100000")), get("starting", "earliest") == "latest"
+        self.pushed: list[tuple[str, list]] = []
         self.start, self.end = (date.fromisoformat(d) if (d := get(k)) else None for k in ("date_from", "date_to"))
 
     def ranges(self, path: str, after: int, upto: int) -> list[Rows]:
@@ -96,6 +117,11 @@ class _Options:
                 tests, values = [*tests, "date >= ?"], [*values, (self.start.toordinal() - 1) * DAY_UNITS]
             if self.end:
                 tests, values = [*tests, "date < ?"], [*values, self.end.toordinal() * DAY_UNITS]
+            # a column that a release has not is 0 in its rows
+            absent = {c for c in OPTIONAL if c.lower() not in have}
+            for test, given in self.pushed:
+                column = next(c for c in ROW_COLUMNS if c in test.replace("(", " ").split())
+                tests, values = [*tests, test.replace(column, "0") if column in absent else test], [*values, *given]
             order = f"DESC LIMIT {part.newest}" if part.newest else "ASC"
             found = db.execute(f"SELECT {columns} FROM EventLog WHERE {' AND '.join(tests)} ORDER BY rowID {order}", values)
             size = os.path.getsize(part.path)
@@ -120,6 +146,14 @@ class _Reader(DataSourceReader):
     def __init__(self, options: _Options):
         self.options = options
 
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """What SQLite tests itself; the rest is Spark's. Of the newest rows only those count that are among them, so nothing is tested before."""
+        if self.options.part != "rows" or self.options.newest:
+            return filters
+        tests = [(f, sql_test(f)) for f in filters]
+        self.options.pushed = [t for _, t in tests if t]
+        return [f for f, t in tests if not t]
+
     def partitions(self) -> list[Rows]:
         o = self.options
         if o.part != "rows":
@@ -179,11 +213,14 @@ class SqliteJournal(DataSource):
 
 def read_journal(spark: SparkSession, paths: list[str], **options: object) -> DataFrame:
     """Rows of journals (or, with part, their codes or last rowids)."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteJournal)
     return spark.read.format(NAME).options(path=",".join(paths), **{k: str(v) for k, v in options.items()}).load()
 
 
 def stream_journal(spark: SparkSession, paths: list[str], **options: object) -> DataFrame:
     """New rows of journals as they are written."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteJournal)
     return spark.readStream.format(NAME).options(path=",".join(paths), **{k: str(v) for k, v in options.items()}).load()
