@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,3 +22,20 @@ def computed_once(rows: DataFrame, **columns: Column) -> DataFrame:
 def utc(c: Column) -> Column:
     """A timestamp; one without zone is read in the session's zone."""
     return c.cast("timestamp")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, if they come in fewer partitions: for work that costs far more than moving its input, such as parsing one small file."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where driver and executors keep tables: spark.checkpoint.dir; where it is unset, a new folder of this machine, if Spark runs on this machine alone."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")

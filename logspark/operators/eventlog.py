@@ -27,13 +27,8 @@ def tokenize(raw: pd.Series) -> pd.Series:
     return raw.map(scan.fields, na_action="ignore")
 
 
-def decode_dictionary(entries: DataFrame, base: Column | None = None) -> DataFrame:
-    """base, kind, code, name, uuid: one row per code.
-
-    The code is an entry's last token, the name its first that is no uuid and no number. Later
-    entries win, but an empty name never replaces one; user 1 without a name is NO_NAME. entries
-    has raw and an order column `at`.
-    """
+def _entries(entries: DataFrame, base: Column | None) -> DataFrame:
+    """base, at, kind, code, name, uuid of dictionary entries, as they stand."""
     rows = entries.select((F.lit("") if base is None else base).alias("base"), "at", "raw")
     rows = computed_once(rows, t=tokenize(F.col("raw"))).drop("raw")
     size = F.size("t")
@@ -46,8 +41,19 @@ def decode_dictionary(entries: DataFrame, base: Column | None = None) -> DataFra
         "base", "at", kind.alias("kind"), F.regexp_replace(F.element_at("t", -1), r"[^\w-]", "").alias("code"), name.alias("name"),
         F.get(F.filter(middle, lambda x: x.rlike(uuid)), F.lit(0)).alias("uuid"),
     )
+    return rows.filter("kind IS NOT NULL")
+
+
+def decode_dictionary(entries: DataFrame, base: Column | None = None) -> DataFrame:
+    """base, kind, code, name, uuid: one row per code.
+
+    The code is an entry's last token, the name its first that is no uuid and no number. Later
+    entries win, but an empty name never replaces one; user 1 without a name is NO_NAME. entries
+    has raw and an order column `at`.
+    """
+    rows = _entries(entries, base)
     has = F.coalesce("name", F.lit("")) != ""
-    grouped = rows.filter("kind IS NOT NULL").groupBy("base", "kind", "code").agg(F.max_by(F.when(has, F.col("name")), F.when(has, F.col("at"))).alias("name"), F.max_by("uuid", F.when(F.col("uuid").isNotNull(), F.col("at"))).alias("uuid"))
+    grouped = rows.groupBy("base", "kind", "code").agg(F.max_by(F.when(has, F.col("name")), F.when(has, F.col("at"))).alias("name"), F.max_by("uuid", F.when(F.col("uuid").isNotNull(), F.col("at"))).alias("uuid"))
     unnamed = F.when((F.col("kind") == "user") & (F.col("code") == "1"), NO_NAME).otherwise("")
     return grouped.select("base", "kind", "code", F.coalesce("name", unnamed).alias("name"), F.coalesce("uuid", F.lit("")).alias("uuid"))
 
@@ -58,6 +64,20 @@ def inline_entries(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records.filter(~entry), records.filter(entry)
 
 
+def with_versions(dims: DataFrame, entries: DataFrame) -> DataFrame:
+    """Versions of dictionary entries: dims (the dictionary at the journal's start: at is null) and, from their place `at` on, entries found in it (base, at, raw).
+
+    at counts like the records' seq. A version without a name or uuid keeps the one before it. Codes are
+    independent, so each is a small window of its own.
+    """
+    both = dims.select("base", F.lit(None).cast("long").alias("at"), "kind", "code", F.nullif("name", F.lit("")).alias("name"), F.nullif("uuid", F.lit("")).alias("uuid"))
+    new = _entries(entries, F.col("base")).select("base", F.col("at").cast("long").alias("at"), "kind", "code", F.nullif("name", F.lit("")).alias("name"), F.nullif("uuid", F.lit("")).alias("uuid"))
+    upto = Window.partitionBy("base", "kind", "code").orderBy(F.asc_nulls_first("at")).rowsBetween(Window.unboundedPreceding, 0)
+    kept = lambda c: F.last(c, ignorenulls=True).over(upto)
+    unnamed = F.when((F.col("kind") == "user") & (F.col("code") == "1"), NO_NAME).otherwise("")
+    return both.unionByName(new).select("base", "at", "kind", "code", F.coalesce(kept("name"), unnamed).alias("name"), F.coalesce(kept("uuid"), F.lit("")).alias("uuid"))
+
+
 def with_inline(dims: DataFrame, entries: DataFrame) -> DataFrame:
     """dims with the names of entries found in journals (base, at, raw): these are newer, and win where they have a name."""
     new = decode_dictionary(entries, F.col("base"))
@@ -66,16 +86,43 @@ def with_inline(dims: DataFrame, entries: DataFrame) -> DataFrame:
     return both.groupBy("base", "kind", "code").agg(known("name"), known("uuid")).select("base", "kind", "code", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("uuid", F.lit("")).alias("uuid"))
 
 
-def _by_code(dims: DataFrame) -> DataFrame:
-    """base, code, v: what a code stands for, by kind. One table serves all joins, and is marked for broadcast if a count shows that it is small."""
-    table = dims.groupBy("base", "code").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct("name", "uuid")))).alias("v"))
-    return F.broadcast(table) if dims.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES else table
+#: Parts into which the facts of a hot code are dealt where the dictionary is too large to be broadcast.
+SALTS = 16
+
 
+def _by_code(dims: DataFrame) -> tuple[DataFrame, bool]:
+    """(base, code, v: what a code stands for, by kind, its versions in order; whether a count shows that the table can be broadcast)."""
+    at = F.col("at").cast("long") if "at" in dims.columns else F.lit(None).cast("long")
+    versions = dims.groupBy("base", "code", "kind").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(at, F.lit(-(1 << 63))).alias("at"), "name", "uuid"))).alias("versions"))
+    table = versions.groupBy("base", "code").agg(F.map_from_entries(F.collect_list(F.struct("kind", "versions"))).alias("v"))
+    return table, dims.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
 
-def _join_name(rows: DataFrame, by_code: DataFrame, kind: str, key: str, out: str, uuid: str | None = None) -> DataFrame:
-    joined = rows.join(by_code.select("base", F.col("code").alias(key), "v"), ["base", key], "left")
-    found = F.try_element_at("v", F.lit(kind))
-    return joined.withColumns({out: found["name"], **({uuid: found["uuid"]} if uuid else {})}).drop("v")
+
+def _resolve(rows: DataFrame, dims: DataFrame, codes: dict[str, tuple[str, str]], listed: str) -> DataFrame:
+    """rows with names: a map of slots to (name, uuid), and items: those of the metadata codes in the column listed, in order.
+
+    codes: the kind and the column of each slot. rows have base, seq and id, by which they are told apart.
+    All codes of a record are unpivoted and meet the dictionary in one join; one more shuffle brings them
+    together again. A code's version is the last one at or before the record's seq.
+    """
+    table, is_small = _by_code(dims)
+    keys = ["base", "seq", "id"]
+    slots = [F.struct(F.lit(slot).alias("slot"), F.lit(kind).alias("kind"), F.lit(0).alias("pos"), F.col(column).alias("code")) for slot, (kind, column) in codes.items()]
+    items = F.transform(listed, lambda c, i: F.struct(F.lit("").alias("slot"), F.lit("metadata").alias("kind"), i.alias("pos"), c.alias("code")))
+    each = F.filter(F.concat(F.array(*slots), items), lambda x: x["code"] != "")
+    facts = rows.select(*keys, F.struct(*[c for c in rows.columns if c not in keys]).alias("__row"), F.explode_outer(each).alias("c")).select(*keys, "__row", "c.*")
+    if is_small:
+        found = facts.join(F.broadcast(table), ["base", "code"], "left")
+    else:
+        # equal codes of many records are dealt over SALTS tasks
+        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = facts.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int")).join(salted, ["base", "code", "salt"], "left")
+    versions = F.filter(F.try_element_at("v", F.col("kind")), lambda x: x["at"] <= F.col("seq"))
+    version = F.try_element_at(versions, F.lit(-1))
+    item = F.when(F.col("slot").isNotNull(), F.struct("pos", "slot", "code", version["name"].alias("name"), version["uuid"].alias("uuid")))
+    grouped = found.groupBy(*keys).agg(F.first("__row").alias("__row"), F.array_sort(F.collect_list(item)).alias("found"))
+    named = F.map_from_entries(F.transform(F.filter("found", lambda x: x["slot"] != ""), lambda x: F.struct(x["slot"], F.struct(x["name"].alias("name"), x["uuid"].alias("uuid")))))
+    return computed_once(grouped, names=named, items=F.filter("found", lambda x: x["slot"] == "")).select(*keys, "__row.*", "names", "items")
 
 
 def names_of_list(rows: DataFrame, dims: DataFrame, key: str | list[str], codes: str, separator: str = ", ", skipped: tuple[str, ...] = ("", "0")) -> DataFrame:
@@ -149,11 +196,11 @@ def decode_eventlog(records: DataFrame, dims: DataFrame, scope: Column | None =
     """EVENTLOG_SCHEMA rows (and base, seq for enrichment) of records: raw, base, seq and optionally file, size, DateTime.
 
     Texts are '' where the record has none; an unreadable date is null. Records of fewer than nine
-    fields or without a date are dropped. seq orders the records of a base. where is a condition on
+    fields or without a date are dropped. seq orders the records of a base and, with their texts, tells them
+    apart. dims may hold versions (with_versions): a record is read by those at or before its seq. where is a condition on
     DateTime, tested on the header before a record is split into fields; if records have a column
     DateTime, as those of a growing log do, it reaches the source.
     """
-    by_code = _by_code(dims)
     has = set(records.columns)
     if where is not None:
         records = records if "DateTime" in has else records.withColumn("DateTime", log_date(F.regexp_extract("raw", r"^\s*\{(\d{14}),", 1)))
@@ -181,19 +228,13 @@ def decode_eventlog(records: DataFrame, dims: DataFrame, scope: Column | None =
     ]
     made = rows.select("base", "seq", "file", "size", "id", F.explode(F.array(F.struct(*fields))).alias("r"))  # once a row
     rows = made.select("base", "seq", "file", "size", "id", "r.*")
-    # a list of codes is resolved beside the other columns, which it meets again by record; all else passes once
-    codes = F.filter("meta_codes", lambda c: ~c.isin("", "0"))
-    lists = rows.filter(F.size(codes) > 1).select("base", "seq", "meta_codes")
-    lists = names_of_list(lists, dims, "seq", "meta_codes").select("base", "seq", F.col("names").alias("list_names"), F.col("name_uuid").alias("list_uuid"))
-    rows = rows.withColumn("meta_code", F.when(F.size(codes) == 1, codes[0]).otherwise(""))
-    rows = _join_name(rows, by_code, "user", "user_code", "user_name", "user_uuid")
-    for kind in ("computer", "app", "event", "server", "port", "addport"):
-        rows = _join_name(rows, by_code, kind, f"{kind}_code", f"{kind}_name")
-    rows = _join_name(rows, by_code, "metadata", "reference_code", "reference_name")
-    rows = _join_name(rows, by_code, "metadata", "meta_code", "meta_name", "meta_uuid")
-    rows = rows.join(lists, ["base", "seq"], "left")
-    shown = F.when(F.col("meta_code") == "", "").otherwise(F.coalesce(F.nullif("meta_name", F.lit("")), F.concat(F.lit("Meta #"), F.col("meta_code"))))
-    rows = rows.withColumns({"names": F.coalesce("list_names", shown), "name_uuid": F.coalesce("list_uuid", F.when(F.col("meta_code") != "", F.col("meta_uuid")), F.lit(""))})
+    rows = rows.withColumn("meta_codes", F.filter("meta_codes", lambda c: ~c.isin("", "0")))
+    codes = {kind: (kind, f"{kind}_code") for kind in ("user", "computer", "app", "event", "server", "port", "addport")} | {"reference": ("metadata", "reference_code")}
+    rows = _resolve(rows, dims, codes, "meta_codes")
+    rows = rows.withColumns({f"{slot}_name": F.try_element_at("names", F.lit(slot))["name"] for slot in codes} | {"user_uuid": F.try_element_at("names", F.lit("user"))["uuid"]})
+    shown = F.transform("items", lambda x: F.coalesce(F.nullif(x["name"], F.lit("")), F.concat(F.lit("Meta #"), x["code"])))
+    uuids = F.filter(F.transform("items", lambda x: F.coalesce(x["uuid"], F.lit(""))), lambda u: u != "")
+    rows = rows.withColumns({"names": F.array_join(shown, ", "), "name_uuid": F.coalesce(F.get(uuids, F.lit(0)), F.lit(""))})
 
     named = lambda kind, label: F.when(F.col(f"{kind}_code").isin("", "0"), "").otherwise(F.coalesce(F.nullif(f"{kind}_name", F.lit("")), F.concat(F.lit(label), F.col(f"{kind}_code"))))
     user = F.when((F.col("user_code") == "1") & (F.coalesce("user_name", F.lit("")) == "") & F.col("user_name").isNotNull(), NO_NAME).otherwise(named("user", "User #"))

@@ -5,6 +5,7 @@ The tables hold no logs, so log texts are rendered from `events` inside each que
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, time
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +14,11 @@ from pyspark.sql.window import Window
 
 from logspark.functions import ids, text
 from logspark.functions.dates import hex_number, json_date, json_date_text, ticks_date
+from logspark.functions.plan import shared_folder, spread
 from logspark.operators import eventlog, lgd, query, repeats, techlog
 from logspark.plans import catalog
 from logspark.sinks import delivery
-from logspark.sources import jsondump
+from logspark.sources import framing, growing, jsondump
 
 Q, SQL = {}, {}
 
@@ -54,6 +56,7 @@ def _event_name() -> Column:
 
 def techlog_texts(events: DataFrame) -> DataFrame:
     """One technical log record per event: raw, hour, process, pid."""
+    events = spread(events)
     ts = F.col("ts")
     head = F.concat(F.date_format(ts, "mm:ss.SSSSSS"), F.lit("-"), _micros().cast("string"), F.lit(","), _event_name(), F.lit(","), (F.col("user_id") % 6).cast("string"))
     pairs = F.concat(
@@ -148,6 +151,7 @@ def _dims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eventlog_texts(events: DataFrame) -> DataFrame:
     """One event log record per event: base, seq, raw."""
+    events = spread(events)
     e, u, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
     s = lambda c: c.cast("string")
     hexes = F.concat(F.lit("{"), F.lower(F.hex(F.floor((F.unix_micros(F.date_trunc("SECOND", ts)) + F.lit(62_135_596_800_000_000)) / 100).cast("long"))), F.lit(","), F.lower(F.hex(e + 1)), F.lit("}"))
@@ -171,6 +175,48 @@ def eventlog_parse_roundtrip(spark, sf_dir):
     return rows.select("seq", "DateTime", "User", "Application", "TransactionStatus", "TransactionDate", "TransactionNumber", "Severity", "Comment", "Data", "DataPresentation", "Session", "Metadata")
 
 
+@register("""
+    SELECT event_id AS seq, date_trunc('second', ts) AS "DateTime", 'say "' || event_type || '", {x}' AS "Comment", coalesce(n_name, 'App #' || (user_id % 25 + 1)) AS "Application" FROM events LEFT JOIN nation ON n_nationkey = user_id % 25
+    WHERE date_trunc('second', ts) >= TIMESTAMP '2024-01-03 00:00:00' AND date_trunc('second', ts) < TIMESTAMP '2024-01-11 00:00:00'""")
+def eventlog_date_range(spark, sf_dir):
+    """Records of a range of days: others are left out by their headers, before they are split into fields."""
+    where = query.predicate(query.FilterSpec(kind="eventlog", date_from=date(2024, 1, 3), date_to=date(2024, 1, 10)))
+    return eventlog.decode_eventlog(eventlog_texts(_t(spark, sf_dir, "events")), _dims(spark, sf_dir), where=where).select("seq", "DateTime", "Comment", "Application")
+
+
+@register("""
+    SELECT user_id % 6 AS base, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, min(date_trunc('second', ts)) AS first, max(date_trunc('second', ts)) AS last FROM events
+    WHERE date_trunc('second', ts) >= TIMESTAMP '2024-01-05 06:00:00' AND date_trunc('second', ts) < TIMESTAMP '2024-01-09 00:00:00' GROUP BY 1""")
+def eventlog_files_date_range(spark, sf_dir):
+    """Journals of six infobases as files, in the order of time; a range of dates is pushed into their reader."""
+    events = _t(spark, sf_dir, "events")
+    texts = eventlog_texts(events).join(events.select(F.col("event_id").alias("seq"), (F.col("user_id") % 6).alias("k"), "ts"), "seq")
+    folder = f"{shared_folder(spark)}/journals-{uuid.uuid4().hex}"
+    lines = texts.repartition(6, "k").sortWithinPartitions("k", F.date_trunc("SECOND", "ts")).select("k", F.concat("raw", F.lit(",")).alias("value"))
+    lines.write.partitionBy("k").text(folder)
+    log = growing.read_log(spark, folder, "eventlog", glob="*.txt").filter("DateTime >= timestamp'2024-01-05 06:00:00' AND DateTime < timestamp'2024-01-09 00:00:00'")
+    base = F.regexp_extract("file", r"k=(\d+)", 1).cast("long")
+    rows = eventlog.decode_eventlog(log.select(base.cast("string").alias("base"), F.col("at").alias("seq"), "file", "size", "DateTime", "raw"), _dims(spark, sf_dir).limit(0))
+    return rows.groupBy(F.col("base").cast("long").alias("base")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("Session").cast("long")).alias("ids"), F.min("DateTime").alias("first"), F.max("DateTime").alias("last"))
+
+
+@register("""
+    WITH m AS (SELECT n_nationkey + 1 AS code, n_nationkey * 37 AS pos, 'First ' || n_name AS name FROM nation UNION ALL SELECT n_nationkey + 1, n_nationkey * 91 + 2000, 'Second ' || n_name FROM nation),
+    e AS (SELECT event_id AS seq, event_id % 50 AS code, event_id % 5 = 0 AS several FROM events)
+    SELECT e.seq, CASE WHEN e.code = 0 THEN '' ELSE coalesce((SELECT arg_max(name, pos) FROM m WHERE m.code = e.code AND m.pos <= e.seq), p_name, 'Meta #' || e.code) END AS "Metadata"
+    FROM e LEFT JOIN part ON p_partkey + 1 = e.code WHERE NOT several""")
+def eventlog_dictionary_versions(spark, sf_dir):
+    """Dictionary rows within a journal rename codes from their place on: what stands before keeps the old name."""
+    entry = lambda word: F.concat(F.lit('{5,0,"' + word), "n_name", F.lit('",'), (F.col("n_nationkey") + 1).cast("string"), F.lit("},"))
+    k = F.col("n_nationkey").cast("long")
+    nations, nothing = _t(spark, sf_dir, "nation"), F.concat(F.lit('{5,0,"",'), (k + 1).cast("string"), F.lit("},"))  # a row without a name changes nothing
+    inline = nations.select((k * 37).alias("seq"), entry("First ").alias("raw")).unionByName(nations.select((k * 91 + 2000).alias("seq"), entry("Second ").alias("raw"))).unionByName(nations.select((k * 91 + 3000).alias("seq"), nothing.alias("raw")))
+    texts = eventlog_texts(_t(spark, sf_dir, "events").filter("event_id % 5 <> 0")).unionByName(inline.withColumn("base", F.lit("")))
+    records, entries = eventlog.inline_entries(texts)
+    dims = eventlog.with_versions(_dims(spark, sf_dir), entries.withColumnRenamed("seq", "at"))
+    return eventlog.decode_eventlog(records, dims).select("seq", "Metadata")
+
+
 @register("""
     SELECT l_orderkey AS "order", string_agg(p_name, ', ' ORDER BY l_linenumber, l_partkey) AS names, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey <> 0 GROUP BY l_orderkey""")
 def eventlog_composite_metadata(spark, sf_dir):
@@ -431,8 +477,6 @@ def star_join_counts(spark, sf_dir):
     SELECT "user", event, count(*) AS n FROM (SELECT 'user' || user_id AS "user", {NAME_SQL} AS event FROM events) GROUP BY ALL""")
 def techlog_framed_files(spark, sf_dir):
     """Records as lines of files, framed and decoded again: the framer sees a file per pid and splits of 500 records."""
-    from logspark.sources import framing
-
     texts = techlog_texts(_t(spark, sf_dir, "events").filter("event_id IS NOT NULL"))
     numbered = texts.withColumn("n", F.row_number().over(Window.partitionBy("pid", "hour").orderBy("raw")))
     lines = numbered.select("pid", "hour", F.posexplode(F.split("raw", "\n")).alias("i", "line"), "n")
@@ -610,6 +654,20 @@ def json_dump_roundtrip(spark, sf_dir):
     return jsondump.parse_lines(lines, "techlog").select(F.col("SessionId").alias("session"), "DateTime", "Duration", "Event", F.element_at("Properties", "p_processName").alias("base"))
 
 
+@register("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS \"Event\", props AS \"Comment\" FROM events")
+def json_files_of_any_shape(spark, sf_dir):
+    """Dump files in which records follow one another on a line, lie in arrays over many lines, or within objects: nothing is lost."""
+    e = F.col("event_id")
+    record = F.to_json(F.struct(e.cast("string").alias("id"), F.lit("2024-01-01 00:00:00").alias("DateFormatted"), F.col("event_type").alias("Event"), F.col("props").alias("Comment")))
+    three = _t(spark, sf_dir, "events").groupBy(F.expr("event_id div 3").alias("g")).agg(F.sort_array(F.collect_list(record)).alias("r"))
+    line, array = F.array_join("r", ""), F.concat(F.lit("[\n  "), F.array_join("r", ",\n  "), F.lit("\n],"))
+    inside = F.concat(F.lit('{"took": 1, "hits": {"hits": [{"_source": '), F.array_join("r", '}, {"_source": '), F.lit("}]}}"))
+    g = F.col("g")
+    folder = f"{shared_folder(spark)}/dumps-{uuid.uuid4().hex}"
+    three.select(F.when(g % 3 == 0, line).when(g % 3 == 1, array).otherwise(inside).alias("value")).write.text(folder)
+    return jsondump.read_dump(spark, folder, "eventlog").select("id", "Event", "Comment")
+
+
 @register("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS \"Event\" FROM events WHERE event_id % 4 <> 3")
 def json_wrapped_records(spark, sf_dir):
     """Records inside arrays and wrapper objects, up to twelve deep; objects that lack a member are none."""
