@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_dir, shuffle_partitions, small, text_of
+from .common import materialize, release, scratch_dir, shuffle_partitions, small, text_of
 
 #: Memtables that the documents of one call are dealt to.
 MEMTABLES = 4
@@ -99,6 +99,19 @@ class DigestIndex:
             folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
+    def close(self) -> None:
+        """Take the runs that are left out of the catalog; their files stay, and are read by path."""
+        for level in self.levels:
+            for name in level:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def delete(self) -> None:
+        """Delete the index: its entries and runs."""
+        self.close()
+        release(*self.entries)
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
     def all_entries(self) -> DataFrame:
         out = self.entries[0]
         for more in self.entries[1:]:
@@ -128,16 +141,18 @@ def clashing_digests(docs: DataFrame, level1: DataFrame, digest: Callable[[Colum
 VERDICT = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
 
 
-def exact_dedup(docs: DataFrame, keep: str = "largest", digest: Callable[[Column], Column] = sha256, memtables: int = MEMTABLES) -> DataFrame:
+def exact_dedup(docs: DataFrame, keep: str = "largest", digest: Callable[[Column], Column] = sha256, memtables: int = MEMTABLES, index: DigestIndex | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; a null text counts as empty. Of equal texts the row with the
     largest (or smallest) doc_id stays; a null doc_id ranks below all others; of repeated rows with
     that doc_id one stays. Other columns of docs are ignored. An empty table gives an empty result.
+    index: an empty one to use, for a caller that deletes it once the result is written.
     """
-    index = DigestIndex(docs.sparkSession, keep=keep, digest=digest)
+    index = index or DigestIndex(docs.sparkSession, keep=keep, digest=digest)
     index.flush(docs, memtables)
     level1 = index.compact()
+    index.close()
     out = index.all_entries().join(level1, "digest").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "digest")
     clashes = materialize(clashing_digests(docs, level1, digest), "clashes")
     if not clashes.limit(1).count():
@@ -160,7 +175,9 @@ def keep_one(docs: DataFrame, keep: str = "largest") -> DataFrame:
     Rows are told apart by doc_id; of rows that share both text and doc_id one stays. A null text
     counts as empty, a null doc_id as an identifier of its own. An empty table stays empty.
     """
-    verdicts = materialize(exact_dedup(docs, keep), "verdicts")
+    index = DigestIndex(docs.sparkSession, keep=keep)
+    verdicts = materialize(exact_dedup(docs, keep, index=index), "verdicts")
+    index.delete()
     ids = verdicts.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"), F.countDistinct("doc_id").alias("ids")).first()
     if ids["n"] == ids["ids"]:
         return docs.join(verdicts.filter("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)

@@ -27,15 +27,16 @@ FOLDS = 5
 POINT, LONGEST, GAP = 21, 3, 1
 #: Margins become shares by a softmax of this steepness.
 STEEPNESS = 4.0
+#: Weights that are summed at once.
+CELLS = 1 << 22
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Labelled documents and landmarks of each language, at most; landmarks in all; languages, those with most labelled documents.
+    #: Labelled documents and landmarks of each language, at most; landmarks in all (but two of every language).
     sample: int = 250
     landmarks: int = 24
     all_landmarks: int = 2_000
-    languages: int = 400
     ridge: float = 1e-3
 
 
@@ -140,11 +141,12 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], list[floa
     if not with_letters:
         return names, scores
     places = [_places(found[i], model.grams) for i in with_letters]
-    # presence by weights: rows of the weights, summed text by text (a last row of zeros for texts that share nothing)
-    ends = np.cumsum([len(p) for p in places])
-    rows = np.concatenate([model.weights, np.zeros((1, model.weights.shape[1]), np.float32)])[np.concatenate([*places, [len(model.grams)]])]
-    sums = np.add.reduceat(rows, np.concatenate([[0], ends[:-1]]), axis=0, dtype=np.float64)
-    sums[np.array([len(p) for p in places]) == 0] = 0.0
+    # presence by weights: rows of the weights summed, so many at once that they stay small whatever the number of languages
+    once = max(1, CELLS // len(model.languages))
+    sums = np.zeros((len(with_letters), len(model.languages)))
+    for i, own in enumerate(places):
+        for at in range(0, len(own), once):
+            sums[i] += model.weights[own[at : at + once]].sum(axis=0, dtype=np.float64)
     margin = sums / np.sqrt([len(found[i]) for i in with_letters])[:, None] + model.bias
     share = np.exp(STEEPNESS * (margin - margin.max(axis=1, keepdims=True)))
     share /= share.sum(axis=1, keepdims=True)
@@ -166,7 +168,7 @@ def labelled_sample(docs: DataFrame, s: Settings) -> dict[str, list[np.ndarray]]
     Only the n-grams of about twice the sample reach the driver, however the rows repeat.
     """
     train_rows = docs.filter((crc_mod("doc_id", FOLDS) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = train_rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()
+    sizes = train_rows.groupBy("lang").count().collect()
     if not sizes:
         return {}
     spark, space = docs.sparkSession, 1 << 40

@@ -46,10 +46,10 @@ TEMPLATES = {
     "All-rights-reserved": ["All rights reserved"],
 }
 #: Licences whose full text lies in the folder licenses; those of CC-BY-4.0 and CC-BY-NC-4.0 are known by their notices only.
-FULL_TEXTS = ["Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-3.0", "LGPL-3.0", "MIT", "MPL-2.0"]
+FULL_TEXTS = ["Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-3.0", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"]
 THRESHOLD = 0.75
-#: Segments of the windows compared with notices, at every place.
-SPANS = (1, 2, 3, 4, 5)
+#: Segments of the windows compared with notices, at every place. A window may have any number of segments as long as it has no more words than LONGEST times the longest notice, so a notice is found however it is wrapped.
+SPAN, LONGEST = 5, 2
 #: Squared weight of a full text that its rare terms may leave out, and the share of documents above which a term is not rare.
 LEFT_OUT, COMMON = 0.25, 0.05
 #: Share of a document's terms in matched lines from which it is a licence file.
@@ -110,13 +110,20 @@ def _words(words: list[str]) -> Column:
     return F.array(*[F.lit(t) for t in words]).cast("array<string>")
 
 
-def _windows(ends: Column) -> Column:
-    """Structs (start, span, terms) of the windows of the array segs that begin and end with a segment that has one of the terms in ends."""
-    size = F.size("segs")
-    edges = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.arrays_overlap(F.col("segs")[i], ends))
-    near = lambda i: F.filter(edges, lambda j: (j >= i) & (j < i + max(SPANS)))
+def _windows(ends: Column, words: int) -> Column:
+    """Structs (start, span, terms) of the windows of the array segs that begin and end with a segment that has one of the terms in ends: of SPAN segments at most, or of so many that they have `words` words at most."""
+    last = F.size("segs") - 1
+    edges = F.filter(F.sequence(F.lit(0), last), lambda i: F.col("edge")[i])
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach"))
+
+    def reach(i: Column) -> Column:
+        """How many segments from i on have `words` words together, at most."""
+        after = lambda acc, seg: F.struct((acc["n"] + F.size(seg)).alias("n"), (acc["reach"] + F.when(acc["n"] + F.size(seg) <= words, 1).otherwise(0)).alias("reach"))
+        return F.aggregate(F.slice("segs", i + 1, F.lit(words)), none, after)["reach"]
+
+    near = lambda i: F.filter(F.sequence(i, F.least(i + F.greatest(F.lit(SPAN), reach(i)) - 1, last)), lambda j: F.col("edge")[j])
     window = lambda i, j: F.struct(i.alias("start"), (j - i + 1).alias("span"), F.flatten(F.slice("segs", i + 1, j - i + 1)).alias("terms"))
-    return F.when(size > 0, F.flatten(F.transform(edges, lambda i: F.transform(near(i), lambda j: window(i, j)))))
+    return F.when(F.size("segs") > 0, F.flatten(F.transform(edges, lambda i: F.transform(near(i), lambda j: window(i, j)))))
 
 
 def _weighed(units: DataFrame, frequencies: DataFrame, n: int) -> DataFrame:
@@ -145,7 +152,8 @@ def _cosines(units: DataFrame, w: Weights, frequencies: DataFrame, threshold: fl
     weighed = materialize(weighed, "weights")
     norms = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.join(vectors, "term").join(small(near), [*key, "template"]).groupBy(*key, "template").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
-    cosine = dots.join(norms, key).withColumn("cosine", F.col("dot") / F.col("norm")).filter(F.col("cosine") >= threshold)
+    # rounded, so that the order in which sums were made does not decide between equals
+    cosine = dots.join(norms, key).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("cosine") >= threshold)
     return cosine.select(*key, "cosine", F.substring_index("template", "#", 1).alias("license"))
 
 
@@ -182,8 +190,10 @@ def scan_licenses(files: DataFrame, templates: dict[str, list[str]] | None = Non
     )
     rows = materialize(rows, "segments")
 
-    windows = F.filter(_windows(ends), lambda u: F.arrays_overlap(u["terms"], _words(anchors)))
-    units = rows.filter("segs IS NOT NULL").select("row", F.explode(windows).alias("u")).select("row", "u.start", "u.span", "u.terms")
+    most = LONGEST * max((sum(_terms(t).values()) for texts in notices.values() for t in texts), default=0)
+    windows = F.filter(_windows(ends, most), lambda u: F.arrays_overlap(u["terms"], _words(anchors)))
+    edged = rows.filter("segs IS NOT NULL").select("row", "segs", F.transform("segs", lambda s: F.arrays_overlap(s, ends)).alias("edge"))
+    units = edged.select("row", F.explode(windows).alias("u")).select("row", "u.start", "u.span", "u.terms")
     matched = materialize(_cosines(units, short, frequencies, threshold), "matched")
     best = matched.select("row", "cosine", "license")
     # what the matches cover: of the windows with one start, and of those with one end, only the best

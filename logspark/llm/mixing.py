@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from .common import materialize, release, small, text_of
 
-#: Slots in a period (the precision of a weight), documents in a block, and sources with blocks of their own: the largest ones; all others share the blocks of one more.
+#: Slots in a period (the precision of a weight), documents in a block, and sources with blocks of their own besides those with a target: the largest ones; all others share the blocks of one more.
 PERIOD, BLOCK_ROWS, OWN_SOURCES = 1000, 4, 20_000
 #: Target shares of the production mix; what they leave is shared by all other sources, as their sizes to the power of TEMPERATURE.
 TARGETS = {"src0": 0.20, "src1": 0.10, "src2": 0.05}
@@ -65,10 +65,11 @@ def source_of() -> Column:
     return F.coalesce(F.col("source"), F.lit(NO_SOURCE))
 
 
-def source_sizes(docs: DataFrame, own: int = OWN_SOURCES) -> dict[str, int]:
-    """Documents of each source; those beyond the `own` largest together, under OTHERS."""
+def source_sizes(docs: DataFrame, own: int = OWN_SOURCES, named: list[str] | None = None) -> dict[str, int]:
+    """Documents of each source; those beyond the `own` largest that aren't named together, under OTHERS."""
     sizes = materialize(docs.groupBy(source_of().alias("s")).count(), "sizes")
-    found = {r["s"]: r["count"] for r in sizes.orderBy(F.desc("count"), "s").limit(own).collect()}
+    is_named = F.col("s").isin(named or [])
+    found = {r["s"]: r["count"] for r in sizes.filter(is_named).unionByName(sizes.filter(~is_named).orderBy(F.desc("count"), "s").limit(own)).collect()}
     total = sizes.agg(F.sum("count")).first()[0] or 0
     release(sizes)
     rest = total - sum(found.values())
@@ -121,12 +122,12 @@ def mix_plan(
 
     Sorting by (slot, place) gives the mix. All rows stay: once a source has no blocks left its
     slots are empty, and the others keep theirs; on_target tells the rows before the first such
-    slot. A null source is a source; sources beyond the `own` largest share blocks. Within a
+    slot. A null source is a source; sources without a target beyond the `own` largest share blocks. Within a
     source, rows come in an order hashed from doc_id; rows without doc_id, and repeated ones, in
     any, or in that of the column tie, which is then given too. Other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
-    sizes = source_sizes(docs, own)
+    sizes = source_sizes(docs, own, list(targets or {}))
     parts = quantise(target_weights(sizes, targets, temperature), period)
     doc_id = F.col("doc_id").cast("long")
     order = F.conv(F.substring(F.md5(F.concat_ws("/", doc_id.cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
@@ -136,7 +137,7 @@ def mix_plan(
         return spark.createDataFrame([], empty)
     d = sum(parts.values())
     table = spark.createDataFrame([(s, k, t, r, e, parts[s]) for s, k, t, r, e in period_schedule(parts)], "part string, k long, t long, r long, e long, weight int")
-    weights = small(spark.createDataFrame(list(parts.items()), "part string, w long"), own + 1)
+    weights = small(spark.createDataFrame(list(parts.items()), "part string, w long"), own + len(targets or {}) + 1)
     rows = docs.select(doc_id.alias("doc_id"), source_of().alias("source"), order.alias("order"), *([] if tie is None else [tie.alias("tie")]))
     if OTHERS in parts:
         rows = rows.join(weights.select(F.col("part").alias("source"), "part"), "source", "left").withColumn("part", F.coalesce("part", F.lit(OTHERS)))
@@ -146,7 +147,7 @@ def mix_plan(
     block = F.expr(f"rank div {block_rows}")
     placed = placed.select("doc_id", "source", "part", *ties, block.alias("block"), (F.col("rank") % block_rows).alias("place")).join(weights, "part")
     placed = placed.withColumns({"k": F.col("block") % F.col("w"), "turn": F.expr("block div w") * d})
-    joined = placed.join(small(table, max(PERIOD, period, 2 * own + 2)), ["part", "k"])
+    joined = placed.join(small(table, max(PERIOD, period, 2 * (own + len(targets or {})) + 2)), ["part", "k"])
     source, slot = F.when(F.col("source") != NO_SOURCE, F.col("source")), F.col("turn") + F.col("t")
     return joined.select(
         "doc_id", source.alias("source"), "weight", "block", slot.alias("slot"), (F.col("turn") + F.col("r")).alias("release"), (F.col("turn") + F.col("e")).alias("deadline"),
@@ -168,5 +169,5 @@ def with_spots(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs in the order of the mix, written order included; columns as they were."""
+    """docs in the order of the mix, written order included; columns as they were. Nulls and repeated rows as in with_spots; an empty table stays empty."""
     return with_spots(docs, **options).orderBy("mix_slot", "mix_place").select(*docs.columns)

@@ -329,6 +329,15 @@ def test_embedded_wrapped_and_full_licenses(spark):
     assert not any(got[100 + i]["license"] for i in range(3000))
 
 
+@pytest.mark.parametrize("a_line", [1, 2, 3])
+def test_notices_at_few_words_a_line(spark, a_line):
+    wrap = lambda t: "\n".join(" ".join(w) for w in (t.split()[k : k + a_line] for k in range(0, len(t.split()), a_line)))
+    want = {i: (name, f"Some words come first.\n{wrap(t)}\nand some follow it") for i, (name, t) in enumerate((n, t) for n, ts in license_scan.TEMPLATES.items() for t in ts)}
+    rows = [(i, t) for i, (_, t) in want.items()] + [(100 + i, f"ordinary words number {i} of the text, such as it is") for i in range(300)]
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").withColumn("path", F.lit("x"))).collect()}
+    assert {i: got[i] for i in want} == {i: name for i, (name, _) in want.items()}
+
+
 def test_licenses_match_all_cosines(spark, docs, texts):
     """Every window of every text against every notice, and every text against every full text, by plain counts."""
     terms = {i: license_scan._terms(t) for i, t in texts.items()}
@@ -339,6 +348,7 @@ def test_licenses_match_all_cosines(spark, docs, texts):
         norm = math.sqrt(sum(x * x for x in w.values()))
         return {t: x / norm for t, x in w.items()}
 
+    most = license_scan.LONGEST * max(sum(license_scan._terms(t).values()) for ts in license_scan.TEMPLATES.values() for t in ts)
     notices = [(name, unit(license_scan._terms(t))) for name, ts in license_scan.TEMPLATES.items() for t in ts]
     full = [(name, unit(license_scan._terms(t))) for name, (t,) in license_scan.full_texts().items()]
     got = {r["doc_id"]: r for r in license_scan.scan_licenses(docs.withColumn("path", F.lit(None).cast("string"))).collect()}
@@ -346,9 +356,11 @@ def test_licenses_match_all_cosines(spark, docs, texts):
         segs = [c for c in map(license_scan._terms, license_scan.re.split(license_scan.SEGMENT, t)) if c]
         units = [(terms[i], full)] if terms[i] else []
         for a in range(len(segs)):
-            for b in range(a, min(a + max(license_scan.SPANS), len(segs))):
+            for b in range(a, len(segs)):
+                if b - a >= license_scan.SPAN and sum(sum(c.values()) for c in segs[a : b + 1]) > most:
+                    break
                 units.append((sum(segs[a : b + 1], collections.Counter()), notices))
-        found = [(sum(x * v.get(w, 0) for w, x in unit(c).items()), name) for c, vectors in units for name, v in vectors]
+        found = [(round(sum(x * v.get(w, 0) for w, x in unit(c).items()), 9), name) for c, vectors in units for name, v in vectors]
         best = max((f for f in found if f[0] >= license_scan.THRESHOLD), default=None)
         assert (got[i]["origin"] == "own") == (best is not None)
         if best:
@@ -419,6 +431,15 @@ def test_outliers_of_the_smallest_table_go(spark, docs):
 # ------------------------------------------------------------------ languages
 
 
+def test_every_labelled_language_is_learned(spark):
+    """Five hundred languages, each of letters of its own."""
+    word = lambda k, j: "".join(chr(0x4E00 + 7 * k + (j + i) % 5) for i in range(4))
+    rows = [(k * 10 + j, " ".join(word(k, j + i) for i in range(8)), f"l{k}") for k in range(500) for j in range(6)]
+    got = langid.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {i: x for i, _, x in rows}
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in got) > 0.98 * len(rows) and len({r["lang_pred"] for r in got}) >= 499
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")  # some hundred labelled texts to learn from
     right = docs.select("doc_id", "lang").join(langid.identify_languages(docs), "doc_id").collect()
@@ -499,6 +520,14 @@ def test_mix_meets_its_targets(spark):
     assert len(few) == len(rows) and len({(r["slot"], r["place"]) for r in few}) == len(rows)
 
 
+def test_mix_never_folds_a_source_with_a_target(spark):
+    rows = [(i, s) for i, s in enumerate(["big"] * 90 + ["mid"] * 50 + ["small"] * 12 + [f"rest{k}" for k in range(30)])]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    out = mixing.mix_plan(docs, {"small": 0.3}, block_rows=1, own=2).collect()
+    weights = {r["source"]: r["weight"] for r in out}
+    assert weights["small"] == pytest.approx(300, abs=2) and {r["source"] for r in out} == {s for _, s in rows} and len(out) == len(rows)
+
+
 def test_mix_ranks_every_row_once(docs):
     rows = mixing.mix_plan(docs, block_rows=3).collect()
     by = collections.defaultdict(list)
@@ -595,3 +624,9 @@ def test_language_model_matches_plain_counts(docs, texts, spread):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(w), sum(one[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(map(math.log10, u)), rel=1e-9)
         assert r["score"] == pytest.approx(model, abs=2e-4 * len(w))
+
+
+def test_exact_dedup_leaves_no_tables(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert dedup.keep_one(docs).count() > 0 and dedup.exact_dedup(docs).count() > 0
+    assert {t.name for t in spark.catalog.listTables()} == before
