@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logspark.llm.common import materialize, read
+from logspark.llm.common import materialize, read, release
 from logspark.llm.dedup import keep_one
 from logspark.llm.jaccard import keep_first
 from logspark.llm.mixing import TARGETS, with_spots
@@ -61,5 +61,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(docs)  # what a stage has read is on disk no longer than that
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
