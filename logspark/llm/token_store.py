@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -83,8 +84,8 @@ class WordEncoder:
             pass
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        missing = {w: _stem(w) for w in words if w not in memo}
-        new = {part for parts in missing.values() for part in parts if part not in memo}
+        missing = {w: _stem(w) for w in set(words).difference(memo)}
+        new = {part for parts in missing.values() for part in parts}.difference(memo)
         letters = [part for part in new if part.isascii() and part.isalpha()]
         for part in letters:  # small letters of ASCII are one piece, and stand for themselves in the model
             memo[part] = array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
@@ -97,14 +98,19 @@ class WordEncoder:
 
 
 def _stem(word: str) -> tuple[str, ...]:
-    """Letters of ASCII and a mark after them are two pieces for the tokenizer, and capitals become small: such words share their ids."""
-    stem = word[:-1] if word[-1:] in _MARKS else word
-    if stem and stem.isascii() and stem.isalpha():
-        return (stem.lower(), word[len(stem) :]) if len(stem) < len(word) else (stem.lower(),)
-    return (word,)
-
-
-_MARKS = frozenset(".,;:!?")
+    """Letters and the marks after them are two pieces for the tokenizer, and capitals of ASCII become small: such words share their ids."""
+    stem = word.rstrip(_MARKS)
+    if not stem.isalpha():
+        return (word,)
+    if stem.isascii():
+        stem = stem.lower()
+    elif not unicodedata.normalize("NFC", stem).lower().isalpha():  # a letter that becomes a letter and a mark joins the marks after it
+        return (word,)
+    return (stem, word[len(stem) :]) if len(stem) < len(word) else (stem,)
+
+
+#: Marks of ASCII but the apostrophe, which may begin a piece of letters.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space of ASCII besides the space.
 _SPACES = "\n\t\r\x0b\x0c"
 
@@ -187,7 +193,11 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> DataFrame:
-    """Write docs as token files (in shared storage unless a path is given) and digest what reads back."""
+    """Write docs as token files (in shared storage unless a path is given) and digest what reads back: doc_id, start, n_tokens, ids_crc32.
+
+    One row per row of docs, repeated rows and those without doc_id or text included (see
+    write_tokens); an empty table gives none. Other columns are left out.
+    """
     spark = docs.sparkSession
     path = path or f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex[:12]}"
     write_tokens(docs, path, tokenizer_path)
