@@ -1,12 +1,13 @@
 """Quality rules: fixed limits, and robust multivariate outliers per language and source.
 
-For each (language, source) group, or the next wider one with enough rows (the language, then all
-rows), a minimum-covariance-determinant estimate is fitted to transformed statistics. Deterministic
-starts (spreads alone, plain moments, moments of squashed values and of directions) each take
-concentration steps, which refit mean and covariance on the share of rows that lie nearest; the
-start that reaches the least determinant is kept and refined. A row is rejected when its Mahalanobis
-distance, scaled so that the group's median matches the chi-square median, is beyond the chi-square
-quantile of the tail probability.
+For each (language, source) group, each language and all rows, a minimum-covariance-determinant
+estimate is fitted to transformed statistics. Deterministic starts (spreads alone, plain moments,
+moments of squashed values and of directions) each take concentration steps, which refit mean and
+covariance on the share of rows that lie nearest; the start that reaches the least determinant is
+kept and refined, and scaled so that the median of the distances is at most the chi-square median. A group's
+estimate is shrunk towards its language's, and that towards the one of all rows. A fit of n rows weighs n² against
+PRIOR² of the wider one, at all sizes: that of a few rows can't leave its own outliers out. A row is rejected when its Mahalanobis distance to its
+group's shrunk estimate is beyond the chi-square quantile of the tail probability.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Share of a group that a fit keeps, concentration steps of every start and of the best one, and the smallest group with a fit of its own: five rows a feature.
-KEEP_SHARE, STEPS, MORE_STEPS, MIN_GROUP = 0.75, 2, 2, 20
+#: Share of a group that a fit keeps, concentration steps of every start and of the best one, and the rows at which a fit weighs as much as the wider one: five a feature.
+KEEP_SHARE, STEPS, MORE_STEPS, PRIOR = 0.75, 2, 2, 20
 STARTS = 4
 #: Tail probability of the chi-square distribution beyond which a row is an outlier. It is this small as text statistics have heavier tails than a normal distribution.
 TAIL = 1e-20
@@ -146,35 +147,23 @@ def _starts(rows: DataFrame, gkey: list[str], names: list[str]) -> DataFrame:
 def outliers(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """stats (columns group_lang, group_source and FEATURES) with d2, the scaled squared distance to the row's group.
 
-    stats should be a written table: it is read once for each step. A group under MIN_GROUP rows is
-    judged by the estimate of all rows of its language, or of all rows if these are under MIN_GROUP
-    too: a covariance of four features needs some rows, whatever the size of the table.
+    stats should be a written table: it is read once for each step. Every row counts in three fits, of
+    its group, its language and all rows.
     """
     names, floors, key = list(FEATURES), list(FEATURES.values()), ["group_lang", "group_source"]
-    sizes = materialize(stats.groupBy(*key).count().withColumnRenamed("count", "n"), "sizes")
-    # the level of the fit that judges a group: 0 its own, 1 its language's, 2 that of all rows
-    langs = sizes.groupBy("group_lang").agg(F.sum("n").alias("all_n"))
-    level = F.when(F.col("n") >= MIN_GROUP, 0).when(F.col("all_n") >= MIN_GROUP, 1).otherwise(2)
-    levels = materialize(sizes.join(langs, "group_lang").select(*key, level.alias("own")), "levels")
-    asked = levels.groupBy("group_lang").agg(F.max(F.col("own") == 1).alias("by_lang"))
-    by_all = levels.filter("own = 2").limit(1).count() > 0
-    plan = materialize(levels.join(asked, "group_lang"), "fits")
-    # tables of parameters have a row for each fit and start, so one count bounds them all
-    few = plan.limit(BROADCAST_ROWS // STARTS + 1).count() <= BROADCAST_ROWS // STARTS
+    # tables of parameters have a row for each fit and start; a group has three fits at most
+    few = stats.select(*key).distinct().limit(BROADCAST_ROWS // (3 * STARTS) + 1).count() <= BROADCAST_ROWS // (3 * STARTS)
     near_by = F.broadcast if few else (lambda table: table)
-    rows = stats.join(near_by(plan), key)
-    # a row counts in every fit that its group, its language or all rows have, and is judged by one
-    taken = F.array(F.when(F.col("own") == 0, 0), F.when(F.col("by_lang"), 1), F.lit(2 if by_all else None).cast("int"))
-    rows = rows.withColumn("kind", F.explode(F.array_compact(taken))).drop("by_lang")
+    rows = stats.select(*key, *names).withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     rows = rows.withColumn("group_source", F.when(F.col("kind") == 0, F.col("group_source")).otherwise(""))
     rows = rows.withColumn("group_lang", F.when(F.col("kind") <= 1, F.col("group_lang")).otherwise(""))
     gkey, index = ["kind", *key], range(len(names))
     quartiles = [F.percentile_approx(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, n in enumerate(names)]
-    scale = rows.groupBy(*gkey).agg(*quartiles)
+    scale = rows.groupBy(*gkey).agg(*quartiles, F.count(F.lit(1)).alias("n"))
     spread = lambda i: F.sqrt(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + floors[i] ** 2)
-    scale = materialize(scale.select(*gkey, *[F.col(f"q{i}")[1].alias(f"mid{i}") for i in index], *[spread(i).alias(f"s{i}") for i in index], *[(floors[i] / spread(i)).alias(f"f{i}") for i in index]), "scale")
+    scale = materialize(scale.select(*gkey, "n", *[F.col(f"q{i}")[1].alias(f"mid{i}") for i in index], *[spread(i).alias(f"s{i}") for i in index], *[(floors[i] / spread(i)).alias(f"f{i}") for i in index]), "scale")
     scaled = [((F.col(n) - F.col(f"mid{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, n in enumerate(names)]
-    z = rows.join(near_by(scale), gkey).select(*rows.columns, *scaled)
+    z = rows.join(near_by(scale), gkey).select(*gkey, *scaled)
     zs, skey = [f"z{i}" for i in index], [*gkey, "start"]
     floor = [F.col(f"f{i}") for i in index]
     factor = lambda params: materialize(_factor(params.join(near_by(scale), gkey), skey, floor), "factor")
@@ -194,11 +183,29 @@ def outliers(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     params = materialize(params.join(near_by(least), skey), "best")
     for _ in range(MORE_STEPS):
         params = step(params)
-    scored = z.join(near_by(params), gkey).withColumn("d2", _distance(zs))
+    scored = z.join(near_by(params), gkey).select(*gkey, _distance(zs).alias("d2"))
     middle = scored.groupBy(*gkey).agg(F.percentile_approx("d2", F.lit(0.5), 1000).alias("mid"))
-    judged = scored.filter(F.col("kind") == F.col("own")).join(near_by(middle), gkey)
-    # the middle of the distances is set to that of the distribution; groups that are closer than it to their floors are not stretched
-    return judged.withColumn("d2", F.col("d2") * F.least(chi2_quantile(0.5) / F.greatest(F.col("mid"), F.lit(1e-9)), F.lit(1.0)))
+    # groups that are closer than the distribution's middle to their floors are not stretched
+    stretch = F.greatest(F.col("mid") / chi2_quantile(0.5), F.lit(1.0))
+    known = params.join(near_by(scale), gkey).join(near_by(middle), gkey)
+    mean = [(F.col(f"mid{i}") + F.col(f"s{i}") * F.col(f"m{i}")).alias(f"m{i}") for i in index]
+    product = lambda i, j: sum((F.col(f"l{i}{t}") * F.col(f"l{j}{t}") for t in range(j + 1)), F.lit(0.0))
+    spreads = [(F.col(f"s{i}") * F.col(f"s{j}") * product(i, j) * stretch).alias(f"c{i}{j}") for i in index for j in range(i + 1)]
+    fits = materialize(known.select(*gkey, "n", *mean, *spreads), "fits")
+    release(params, scale)
+    everything = fits.filter("kind = 2").select("n", *[c for c in fits.columns if c[0] in "mc"])
+    langs = _shrunk(fits.filter("kind = 1").drop("kind", "group_source").withColumn("any", F.lit(1)), everything.withColumn("any", F.lit(1)), ["any"]).drop("any")
+    own = _shrunk(fits.filter("kind = 0").drop("kind"), langs, ["group_lang"])
+    final = materialize(_factor(own, key, [F.lit(1e-9)] * len(names)), "shrunk")
+    return stats.join(near_by(final), key).select(*stats.columns, _distance(names).alias("d2"))
+
+
+def _shrunk(fits: DataFrame, wider: DataFrame, key: list[str]) -> DataFrame:
+    """fits (n, m{i}, c{i}{j}) drawn towards the wider fit of their key."""
+    values = [c for c in fits.columns if c[0] in "mc" and c[1:].isdigit()]
+    share = F.col("n") * F.col("n") / (F.col("n") * F.col("n") + PRIOR**2)
+    joined = fits.join(F.broadcast(wider.select(*key, *[F.col(c).alias(f"w_{c}") for c in values])) if key == ["any"] else wider.select(*key, *[F.col(c).alias(f"w_{c}") for c in values]), key)
+    return joined.select(*[c for c in fits.columns if c not in values], *[(share * F.col(c) + (1 - share) * F.col(f"w_{c}")).alias(c) for c in values])
 
 
 def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
