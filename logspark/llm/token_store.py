@@ -98,19 +98,23 @@ class WordEncoder:
 
 
 def _stem(word: str) -> tuple[str, ...]:
-    """Letters and the marks after them are two pieces for the tokenizer, and capitals of ASCII become small: such words share their ids."""
+    """Letters and the marks after them are two pieces for the tokenizer, and capitals become small: such words share their ids."""
     stem = word.rstrip(_MARKS)
     if not stem.isalpha():
         return (word,)
     if stem.isascii():
         stem = stem.lower()
-    elif not unicodedata.normalize("NFC", stem).lower().isalpha():  # a letter that becomes a letter and a mark joins the marks after it
+    elif not (lower := unicodedata.normalize("NFC", stem).lower()).isalpha():  # a letter that becomes a letter and a mark joins the marks after it
         return (word,)
+    elif max(stem) < _STABLE and "\u03a3" not in stem:  # a capital sigma depends on its place here, not there
+        stem = lower
     return (stem, word[len(stem) :]) if len(stem) < len(word) else (stem,)
 
 
 #: Marks of ASCII but the apostrophe, which may begin a piece of letters.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Before it stand alphabets whose capitals have been the same for long.
+_STABLE = "\u0530"
 #: White space of ASCII besides the space.
 _SPACES = "\n\t\r\x0b\x0c"
 
@@ -128,7 +132,7 @@ def _encode(path: str, end_id: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                blobs = [enc.encode(t.as_py()) + end for t in batch.column(2)]
+                blobs = [enc.encode(t) + end for t in batch.column(2).to_pylist()]
                 n = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
                 offsets = np.concatenate([[0], np.cumsum(n)])
                 ids = np.frombuffer(b"".join(blobs), dtype="<i4")
