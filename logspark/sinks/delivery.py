@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from logspark.functions.dates import json_date_text
 from logspark.functions.ids import index_name
@@ -52,6 +53,12 @@ def json_rows(rows: DataFrame, pretty: bool = False) -> DataFrame:
     return rows.select("id", json_rows_body(rows, pretty).alias("body"))
 
 
+def shaped(rows: DataFrame, prefix: str | None = None, separation: str = "Day", index_id: str | None = None) -> DataFrame:
+    """Rows as log_sink takes them: id, body, and the index of each row's own date if a prefix is given. Works on streams as well."""
+    index = F.lit(None).cast("string") if prefix is None else index_name(prefix, F.col("DateTime"), separation, index_id)
+    return rows.select("id", json_rows_body(rows).alias("body"), index.alias("index"))
+
+
 def chunk_token(ids: list[str]) -> str:
     return hashlib.sha256("".join(f"{i}\n" for i in ids).encode()).hexdigest()
 
@@ -150,10 +157,17 @@ def write_pretty(rows: DataFrame, path: str, mode: str = "error") -> None:
 
 
 class Ring:
-    """NDJSON dumps in a ring of slots, as a sink for micro-batches: a batch goes to the newest slot that is not full, else to a free one, else it takes the place of the oldest.
+    """NDJSON dumps in a ring of slots, as a sink for micro-batches: rows go to the newest slot until it is full, then to free ones, then they take the place of the oldest.
+
+    A slot is full at max_records rows or max_bytes (by size, count or either, as policy says). Running
+    sums over a batch deal its rows to as many slots as they fill. A row takes the larger one of its
+    shares of the limits, so no slot is beyond either by more than a row. Of a batch
+    that fills more slots than the ring has, the last ones stay, as if it had come row by row.
+    Rows without Event are left out.
 
-    A slot is a folder; it is full at max_records rows or max_bytes (by size, count or either, as
-    policy says). Rows without Event are left out. Slots remember their rows by file name.
+    A batch's share of a slot is a folder, slot-NUMBER-ROWS-batchN. The manifest beside the ring names the
+    folders that count, and is replaced in one step when all folders of a batch are in place:
+    read() never sees half a batch. Folders that no longer count are deleted then.
     """
 
     def __init__(self, path: str, slots: int = 30, max_records: int = 100_000, max_bytes: int = 0, total_bytes: int = 0, policy: str = "SizeOrRecordCount"):
@@ -161,43 +175,91 @@ class Ring:
         # without a limit of its own a slot has its share of the total, 5 MB at least; 16 MB without a total
         self.bytes = max_bytes or (max(5 << 20, total_bytes // slots) if total_bytes else 16 << 20)
 
-    def _state(self, spark: SparkSession) -> dict[int, tuple[int, int, int]]:
-        """Last change, bytes and rows of each slot that is in use."""
-        fs, root = _files(spark, self.path)
-        out: dict[int, tuple[int, int, int]] = {}
-        for part in fs.listStatus(root) if fs.exists(root) else []:
-            _, slot, rows, _ = part.getPath().getName().split("-", 3)
-            size = sum(f.getLen() for f in fs.listStatus(part.getPath()))
-            old = out.get(int(slot), (0, 0, 0))
-            out[int(slot)] = max(old[0], part.getModificationTime()), old[1] + size, old[2] + int(rows)
-        return out
-
     def full(self, size: int, rows: int) -> bool:
         by_size, by_rows = size >= self.bytes, rows >= self.records
         return by_size if self.policy == "Size" else by_rows if self.policy == "RecordCount" else by_size or by_rows
 
+    def _load(self, size: Column | int, rows: Column | int, larger: Callable = max):
+        """What rows of so many bytes take of a slot, which holds bytes * records in all."""
+        if self.policy == "Size":
+            return size * self.records
+        return rows * self.bytes if self.policy == "RecordCount" else larger(size * self.records, rows * self.bytes)
+
+    def manifest(self, spark: SparkSession) -> list[dict]:
+        """The folders that count, in the order in which they were filled: folder, slot, rows, bytes, batch."""
+        fs, root = _files(spark, f"{self.path}.manifest")
+        if not fs.exists(root):
+            return []
+        stream = fs.open(root)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _swap(self, spark: SparkSession, parts: list[dict]) -> None:
+        """Replace the manifest in one step."""
+        fs, new = _files(spark, f"{self.path}.manifest.new")
+        stream = fs.create(new, True)
+        stream.write(bytearray(json.dumps(parts).encode()))
+        stream.close()
+        jvm = spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(fs.makeQualified(new), fs.makeQualified(_files(spark, f"{self.path}.manifest")[1]), overwrite)
+
+    def read(self, spark: SparkSession, schema: T.StructType | str) -> DataFrame:
+        """The rows of all slots."""
+        parts = self.manifest(spark)
+        return spark.read.schema(schema).json([f"{self.path}/{p['folder']}" for p in parts]) if parts else spark.createDataFrame([], schema)
+
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fs, root = _files(spark, self.path)
-        kept = batch.filter(F.trim(F.coalesce("Event", F.lit(""))) != "")
-        rows = kept.count()
-        if not rows:
-            return
+        kept = json_rows(batch.filter(F.trim(F.coalesce("Event", F.lit(""))) != ""))
+        sized = kept.select("id", "body", (F.octet_length("body") + 1).cast("long").alias("size"))
         # a batch that is delivered again takes its own place
-        for part in fs.listStatus(root) if fs.exists(root) else []:
-            if part.getPath().getName().endswith(f"-batch{number}"):
-                fs.delete(part.getPath(), True)
-        state = self._state(spark)
-        newest = max(state, key=lambda k: state[k][0], default=None)
-        if newest is not None and not self.full(*state[newest][1:]):
-            slot = newest
-        else:
-            free = [k for k in range(self.slots) if k not in state]
-            slot = free[0] if free else min(state, key=lambda k: state[k][0])
-            for part in fs.listStatus(root) if slot in state else []:
-                if part.getPath().getName().startswith(f"slot-{slot}-"):
-                    fs.delete(part.getPath(), True)
-        json_rows(kept).select("body").write.mode("overwrite").text(f"{self.path}/slot-{slot}-{rows}-batch{number}")
+        before = [p for p in self.manifest(spark) if p["batch"] != number]
+        last = before[-1]["slot"] if before else None
+        own = [p for p in before if p["slot"] == last]
+        size, rows = sum(p["bytes"] for p in own), sum(p["rows"] for p in own)
+        if last is None or self.full(size, rows):
+            size = rows = 0
+            last = None
+        capacity = self.bytes * self.records
+        load = self._load(F.col("size"), F.lit(1), F.greatest)
+        # a running sum: partitions' sums are few, and what stands before a row in its partition is added to them
+        placed = sized.repartitionByRange(spark.sparkContext.defaultParallelism, "id", "body").sortWithinPartitions("id", "body").select("body", "size", load.alias("load"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+        folder = f"{self.path}/.batch{number}"
+        placed.write.mode("overwrite").parquet(f"{folder}/rows")
+        placed = spark.read.schema(placed.schema).parquet(f"{folder}/rows")
+        sums = placed.groupBy("part").agg(F.sum("load").alias("load"))
+        ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select("part", F.coalesce(F.sum("load").over(ahead), F.lit(0)).alias("ahead"))  # a row for each partition
+        upto = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.lit(self._load(size, rows)) + F.col("ahead") + F.coalesce(F.sum("load").over(upto), F.lit(0))
+        dealt = placed.join(F.broadcast(sums), "part").select("body", "size", F.floor(start / F.lit(capacity)).cast("long").alias("k"))
+        counts = {r["k"]: (r["n"], r["size"]) for r in dealt.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()}
+        if counts:
+            dealt.select("k", "body").write.mode("overwrite").partitionBy("k").text(f"{folder}/slots")
+        used = list(dict.fromkeys(p["slot"] for p in before))  # oldest first
+        for k in sorted(counts):
+            if k == 0 and last is not None:
+                slot = last
+            else:
+                free = [s for s in range(self.slots) if s not in used]
+                slot = free[0] if free else used[0]
+                before = [p for p in before if p["slot"] != slot]
+            used = [s for s in used if s != slot] + [slot]
+            name = f"slot-{slot}-{counts[k][0]}-batch{number}" + (f"-{k}" if k else "")
+            fs.delete(_files(spark, f"{self.path}/{name}")[1], True)
+            fs.rename(_files(spark, f"{folder}/slots/k={k}")[1], _files(spark, f"{self.path}/{name}")[1])
+            before.append({"folder": name, "slot": slot, "rows": counts[k][0], "bytes": counts[k][1], "batch": number})
+        self._swap(spark, before)
+        counted = {p["folder"] for p in before}
+        for found in fs.listStatus(root) if fs.exists(root) else []:
+            if found.getPath().getName() not in counted:
+                fs.delete(found.getPath(), True)
 
 
 def _files(spark: SparkSession, path: str):

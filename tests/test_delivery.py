@@ -327,19 +327,120 @@ def test_rotation_by_identity_and_unchanged_files(spark, tmp_path, monkeypatch):
 
 def test_ring_of_dumps(spark, rows, tmp_path):
     ring = delivery.Ring(str(tmp_path / "ring"), slots=2, max_records=8)
-    counts = lambda: sorted(p.name.split("-")[1:3] for p in (tmp_path / "ring").iterdir())
+    counts = lambda: [(p["slot"], p["rows"], p["batch"]) for p in ring.manifest(spark)]
+    folders = lambda: sorted(p.name for p in (tmp_path / "ring").iterdir())
     ring(rows, 0)  # one of six rows has no event
     ring(rows, 1)
-    assert counts() == [["0", "5"], ["0", "5"]]  # not full before the second batch
+    assert counts() == [(0, 5, 0), (0, 3, 1), (1, 2, 1)]  # full at its limit
     ring(rows, 1)  # delivered again
-    assert len(counts()) == 2
+    assert counts() == [(0, 5, 0), (0, 3, 1), (1, 2, 1)] and ring.read(spark, COLUMNS).count() == 10
     ring(rows, 2)
-    assert counts() == [["0", "5"], ["0", "5"], ["1", "5"]]
-    ring(rows, 3)
-    ring(rows, 4)  # both slots are full: the oldest goes
-    assert counts() == [["0", "5"], ["1", "5"], ["1", "5"]]
-    assert spark.read.json(str(tmp_path / "ring" / "*")).count() == 15
-    by_size = delivery.Ring(str(tmp_path), policy="Size", total_bytes=600 << 20, slots=30)
+    ring(rows, 3)  # both slots are full: the oldest goes
+    assert counts() == [(1, 2, 1), (1, 5, 2), (1, 1, 3), (0, 4, 3)]
+    assert folders() == sorted(p["folder"] for p in ring.manifest(spark))
+    assert ring.read(spark, COLUMNS).count() == spark.read.json(str(tmp_path / "ring" / "*")).count() == 12
+    before = folders()
+    (tmp_path / "ring" / "slot-1-9-batch4").mkdir()  # what a batch that died has left isn't seen
+    assert ring.read(spark, COLUMNS).count() == 12
+    ring(rows.filter("id = 'none'"), 5)
+    assert folders() == before
+
+
+def test_one_batch_fills_several_slots(spark, tmp_path):
+    many = spark.range(1000).selectExpr("cast(id as string) id", "timestamp'2026-09-11 10:00:00' DateTime", "'e' Event", "repeat('x', cast(id % 7 as int)) User")
+    by_rows = delivery.Ring(str(tmp_path / "rows"), slots=9, max_records=333)
+    by_rows(many, 0)
+    assert [(p["slot"], p["rows"]) for p in by_rows.manifest(spark)] == [(0, 333), (1, 333), (2, 333), (3, 1)]
+    by_size = delivery.Ring(str(tmp_path / "size"), slots=9, max_bytes=20_000, policy="Size")
+    by_size(many, 0)
+    parts = by_size.manifest(spark)
+    assert sum(p["rows"] for p in parts) == 1000 and all(20_000 - 200 < p["bytes"] < 20_000 + 200 for p in parts[:-1]) and len(parts) > 3
+    files = {p["folder"]: sum(len(line) + 1 for f in (tmp_path / "size" / p["folder"]).glob("*.txt") for line in f.read_text().splitlines()) for p in parts}
+    assert files == {p["folder"]: p["bytes"] for p in parts}
+    small = delivery.Ring(str(tmp_path / "small"), slots=3, max_records=100)
+    small(many, 0)  # ten slots' worth: the last three stay
+    assert [(p["slot"], p["rows"]) for p in small.manifest(spark)] == [(1, 100), (2, 100), (0, 100)]
+
+
+@pytest.fixture
+def store():
+    """A server that keeps rows by token or id, and loses the answer to some requests after it has kept their rows."""
+    kept, told, lose = {}, [], []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            told.append(self.path)
+            if self.path.endswith("_bulk"):
+                lines = body.splitlines()
+                ids = [json.loads(x)["index"]["_id"] for x in lines[::2]]
+                kept.update({i: row for i, row in zip(ids, lines[1::2], strict=True) if "bad" not in row})
+                answer = {"items": [{"index": {"_id": i, "status": 400 if "bad" in row else 201, "error": "no"}} for i, row in zip(ids, lines[1::2], strict=True)]}
+            else:
+                kept.setdefault(self.path.split("token=")[1], body.splitlines())
+                answer = {}
+            fails = bool(lose) and lose.pop()
+            self.send_response(503 if fails else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps(answer).encode())
+
+        def log_message(self, *args):
+            pass
+
+    http = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{http.server_port}", kept, told, lose
+    http.shutdown()
+
+
+def test_sink_doubles_nothing_when_answers_are_lost(spark, store, tmp_path):
+    from logspark.sinks import log_sink
+
+    url, kept, told, lose = store
+    lose += [True, False, True, False]
+    log_sink.register(spark)
+    many = spark.range(95).repartition(3).selectExpr("cast(id as string) id", "timestamp'2026-09-11 10:00:00' DateTime", "'e' Event")
+    delivery.shaped(many).write.format("log_sink").options(url=url, database="d", table="t", chunk_rows=10, pause=0.01, report=f"{tmp_path}/said").mode("append").save()
+    rows = [json.loads(x)["id"] for lines in kept.values() for x in lines]
+    assert sorted(rows, key=int) == [str(i) for i in range(95)]
+    said = json.loads((tmp_path / "said" / "write.json").read_text())
+    assert said["rows"] == 95 and said["repeated"] == 2 and said["refused"] == 0 and len(told) == said["chunks"] + 2
+
+
+def test_sink_tells_refused_rows(spark, store, tmp_path):
+    from logspark.sinks import log_sink
+
+    url, kept, told, lose = store
+    log_sink.register(spark)
+    many = spark.range(40).selectExpr("cast(id as string) id", "timestamp'2026-09-11 10:00:00' DateTime", "if(id in (7, 8), 'bad', 'e') Event")
+    write = lambda **more: delivery.shaped(many, "events").write.format("log_sink").options(target="elastic", url=url, chunk_rows=7, report=f"{tmp_path}/said", **more).mode("append").save()
+    with pytest.raises(Exception, match="2 of 40 rows were refused"):
+        write()
+    write(refused=2)
+    said = json.loads((tmp_path / "said" / "write.json").read_text())
+    assert (said["rows"], said["refused"]) == (38, 2) and sorted(x[0] for x in said["named"]) == ["7", "8"] and len(kept) == 38
+    with pytest.raises(Exception, match="400|Bad|HTTP|target"):
+        delivery.shaped(many).write.format("log_sink").options(target="other").mode("append").save()
+
+
+def test_stream_into_the_sink(spark, store, tmp_path):
+    from logspark.sinks import log_sink
+
+    url, kept, told, lose = store
+    log_sink.register(spark)
+    source = tmp_path / "in"
+    for part in range(2):
+        spark.range(part * 10, part * 10 + 10).selectExpr("cast(id as string) id", "timestamp'2026-09-11 10:00:00' DateTime", "'e' Event").coalesce(1).write.mode("append").json(str(source))
+        lose[:] = [False, True]
+        stream = streams.stream_ndjson(spark, str(source), "id string, DateTime timestamp, Event string")
+        query = delivery.shaped(stream).writeStream.format("log_sink").options(url=url, pause=0.01, report=f"{tmp_path}/said", checkpointLocation=f"{tmp_path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert sorted((json.loads(x)["id"] for lines in kept.values() for x in lines), key=int) == [str(i) for i in range(20)]
+    assert [json.loads((tmp_path / "said" / f"batch-{k}.json").read_text())["rows"] for k in range(2)] == [10, 10]
+
+
+def test_ring_limits():
+    by_size = delivery.Ring("y", policy="Size", total_bytes=600 << 20, slots=30)
     assert by_size.bytes == 20 << 20 and by_size.full(20 << 20, 0) and not by_size.full(1, 10**9) and delivery.Ring("x").bytes == 16 << 20
     assert delivery.Ring("x", policy="RecordCount", max_records=3).full(0, 3)
 
