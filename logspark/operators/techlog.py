@@ -60,26 +60,34 @@ def _promoted(found: dict[str, tuple[str, str]], keys: list[str]) -> str:
     return ""
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of headers with body, process and pid to rows with the promoted columns and Properties."""
-    for batch in batches:
-        names = batch.schema.names
-        body, process, pid = (batch.column(names.index(n)).to_pylist() for n in ("body", "process", "pid"))
-        out: dict[str, list] = {n: [] for n in (*PROMOTED, "ProcessName", "ProcessId", "Properties")}
-        for text, own_process, own_pid in zip(body, process, pid, strict=True):
-            found = scan.pairs(text)
-            own_process, own_pid = own_process or "", own_pid or ""
-            for name, keys in PROMOTED.items():
-                value = _promoted(found, keys)
-                out[name].append(value if name in NUMBERS else scan.lines(value) if name in MULTILINE else scan.flat(value))
-            inline = _promoted(found, PROCESS_KEYS) if own_process in ("", "default") else ""
-            out["ProcessName"].append(inline or own_process)
-            out["ProcessId"].append(own_pid or _promoted(found, PID_KEYS))
-            out["Properties"].append([(key, scan.flat(value)) for key, value in found.values()])
-        head = [n for n in names if n not in ("body", "process", "pid")]
-        columns = [batch.column(names.index(n)) for n in head]
-        columns += [pa.array(v, pa.map_(pa.string(), pa.string()) if n == "Properties" else pa.string()) for n, v in out.items()]
-        yield pa.RecordBatch.from_arrays(columns, names=[*head, *out])
+def _pairs(wanted: set[str]):
+    """Rows of headers with body, process and pid to rows with those of the promoted columns that are wanted, and Properties."""
+    rest = "Properties" in wanted
+    # a pair that a promoted column takes is no property, so properties need all of them
+    promoted = {n: keys for n, keys in PROMOTED.items() if rest or n in wanted}
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            body, process, pid = (batch.column(names.index(n)).to_pylist() for n in ("body", "process", "pid"))
+            out: dict[str, list] = {n: [] for n in (*promoted, "ProcessName", "ProcessId", *(["Properties"] if rest else []))}
+            for text, own_process, own_pid in zip(body, process, pid, strict=True):
+                found = scan.pairs(text) if text else {}
+                own_process, own_pid = own_process or "", own_pid or ""
+                for name, keys in promoted.items():
+                    value = _promoted(found, keys)
+                    out[name].append(value if name in NUMBERS else scan.lines(value) if name in MULTILINE else scan.flat(value))
+                inline = _promoted(found, PROCESS_KEYS) if own_process in ("", "default") else ""
+                out["ProcessName"].append(inline or own_process)
+                out["ProcessId"].append(own_pid or _promoted(found, PID_KEYS))
+                if rest:
+                    out["Properties"].append([(key, scan.flat(value)) for key, value in found.values()])
+            head = [n for n in names if n not in ("body", "process", "pid")]
+            columns = [batch.column(names.index(n)) for n in head]
+            columns += [pa.array(v, pa.map_(pa.string(), pa.string()) if n == "Properties" else pa.string()) for n, v in out.items()]
+            yield pa.RecordBatch.from_arrays(columns, names=[*head, *out])
+
+    return pairs
 
 
 def is_active() -> Column:
@@ -120,24 +128,41 @@ def read_headers(records: DataFrame) -> DataFrame:
     )
 
 
-def decode_techlog(records: DataFrame, empty: bool = False, where: Column | None = None) -> DataFrame:
-    """TECHLOG_SCHEMA rows of records (raw, hour, process, pid); others than records are dropped.
+#: Columns that other columns of the result are made of, and those that a record's header gives.
+_SOURCES = {"DateFormatted": ("DateTime",), "DurationSec": ("Duration",), "DurationFormatted": ("Duration",), "SessionId": ("SessionId", "ClientId")}
+HEADER_COLUMNS = ("id", "DateTime", "Duration", "DurationMs", "Event", "Level", "DateFormatted", "DurationSec", "DurationFormatted")
+
+
+def decode_techlog(records: DataFrame, empty: bool = False, where: Column | None = None, columns: list[str] | None = None) -> DataFrame:
+    """TECHLOG_SCHEMA rows of records (raw, hour, process, pid), or the given columns of them; others than records are dropped.
 
     where is a condition on the columns of the header (DateTime, Duration, DurationMs, Event,
     Level), tested before the rest of a record is read. Missing texts are '', missing numbers null.
-    Rows without content (see empty_event) are left out unless empty is true.
+    Rows without content (see empty_event) are left out unless empty is true; of a row with a duration
+    or a level the header alone tells that it has content. Only what the columns need is read:
+    those of the header need no body.
     """
+    names = list(columns) if columns is not None else [f.name for f in TECHLOG_SCHEMA]
     rows = read_headers(records)
     if where is not None:
         rows = rows.filter(where)
-    head = T.StructType([f for f in rows.schema if f.name not in ("process", "pid", "body")])
-    made = [T.StructField(n, T.StringType()) for n in (*PROMOTED, "ProcessName", "ProcessId")] + [T.StructField("Properties", T.MapType(T.StringType(), T.StringType()))]
-    rows = rows.mapInArrow(_pairs, T.StructType([*head, *made]))
+    content = (F.coalesce("Duration", F.lit(0)) > 0) | (F.coalesce("Level", F.lit(0)) > 0)
+    wanted = {source for n in names for source in _SOURCES.get(n, (n,))}
+    if not wanted - set(HEADER_COLUMNS):
+        rows = rows.withColumn("body", F.when(F.lit(not empty) & ~content, F.col("body")))
+    if not empty:
+        wanted |= set(MULTILINE)
+    if wanted - set(HEADER_COLUMNS):
+        head = T.StructType([f for f in rows.schema if f.name not in ("process", "pid", "body")])
+        rest = "Properties" in wanted
+        made = [T.StructField(n, T.StringType()) for n in (*[n for n in PROMOTED if rest or n in wanted], "ProcessName", "ProcessId")]
+        made += [T.StructField("Properties", T.MapType(T.StringType(), T.StringType()))] if rest else []
+        rows = rows.mapInArrow(_pairs(wanted), T.StructType([*head, *made]))
     if not empty:
-        rows = rows.filter(~empty_event())
+        rows = rows.filter(content | ~empty_event())
     out = {
         "DateFormatted": F.date_format("DateTime", "yyyy-MM-dd HH:mm:ss.SSS"), "DurationSec": F.round(F.col("Duration") / 1e6, 6), "DurationFormatted": format_micros(F.col("Duration")),
         "SessionId": F.coalesce(F.nullif("SessionId", F.lit("")), "ClientId"),
     }
     out |= {n: F.col(n).try_cast("long") for n in NUMBERS}
-    return rows.select(*[out.get(f.name, F.col(f.name)).alias(f.name) for f in TECHLOG_SCHEMA])
+    return rows.select(*[out.get(n, F.col(n)).alias(n) for n in names])

@@ -66,8 +66,8 @@ def techlog_texts(events: DataFrame) -> DataFrame:
     return events.select(F.concat(head, pairs).alias("raw"), F.date_trunc("HOUR", ts).alias("hour"), F.lit("rphost").alias("process"), (F.col("user_id") % 5 + 9000).cast("string").alias("pid"))
 
 
-def techlog_rows(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
-    return techlog.decode_techlog(techlog_texts(_t(spark, sf_dir, "events")), where=where)
+def techlog_rows(spark: SparkSession, sf_dir: str, where: Column | None = None, columns: list[str] | None = None) -> DataFrame:
+    return techlog.decode_techlog(techlog_texts(_t(spark, sf_dir, "events")), where=where, columns=columns)
 
 
 @register(f"""
@@ -89,7 +89,7 @@ def techlog_parse_roundtrip(spark, sf_dir):
             CASE WHEN name IN ('DBMSSQL', 'SDBL', 'DBPOSTGRS', 'DBORACLE', 'DBV8DBENG') THEN 'dbms' END, CASE WHEN name IN ('CALL', 'SCALL', 'RUNMETH') THEN 'calls' END, CASE WHEN name = 'LONGDURATIONINFO' THEN 'long' END]) AS grp
         FROM (SELECT *, {NAME_SQL} AS name FROM events)) WHERE grp IS NOT NULL GROUP BY grp""")
 def techlog_event_groups(spark, sf_dir):
-    rows = techlog_rows(spark, sf_dir)
+    rows = techlog_rows(spark, sf_dir, columns=["Event", "Duration"])
     marks = F.array(*[F.when(test(F.col("Event")), name) for name, test in query.EVENT_GROUPS.items()])
     marked = rows.select("Duration", F.explode(marks).alias("grp")).filter("grp IS NOT NULL")
     return marked.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("Duration").alias("total"))
@@ -100,7 +100,7 @@ def techlog_event_groups(spark, sf_dir):
     WHERE micros / 1000.0 >= 10 AND ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts < TIMESTAMP '2024-01-11 00:00:00'""")
 def techlog_min_duration_filter(spark, sf_dir):
     spec = query.FilterSpec(min_duration_ms=10, date_from=date(2024, 1, 3), date_to=date(2024, 1, 10))
-    return techlog_rows(spark, sf_dir, query.predicate(spec)).select(F.col("SessionId").cast("long").alias("event_id"), F.col("DurationMs").alias("ms"))
+    return techlog_rows(spark, sf_dir, query.predicate(spec), ["SessionId", "DurationMs"]).select(F.col("SessionId").cast("long").alias("event_id"), F.col("DurationMs").alias("ms"))
 
 
 @register(f"""

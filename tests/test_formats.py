@@ -130,6 +130,18 @@ def test_files_of_records(spark, tmp_path):
     assert rows[0].Context == "a\nb"
 
 
+def test_techlog_columns(spark):
+    """Columns of the header need no body; which rows are empty does not depend on the columns."""
+    raw = ["00:01.000000-5,CALL,1,Context='a',SessionID=7", "00:02.000000-0,CALL,0,x=1", "00:03.000000-0,EXCP,0,Descr=d,Usr=u", "00:04.000000-0,CALL,2,x=1", "00:05.000000-9,SDBL,0,p=q"]
+    records = spark.createDataFrame([(r,) for r in raw], "raw string").selectExpr("raw", "timestamp'2026-08-31 14:00:00' hour", "'rphost' process", "'1' pid")
+    for empty in (False, True):
+        whole = sorted(tuple(r) for r in techlog.decode_techlog(records, empty).select("Event", "DurationMs", "DateFormatted").collect())
+        assert sorted(map(tuple, techlog.decode_techlog(records, empty, columns=["Event", "DurationMs", "DateFormatted"]).collect())) == whole and len(whole) == (5 if empty else 4)
+        for columns in (["SessionId", "User"], ["Properties"], ["Context", "ProcessId"], ["id"]):
+            assert sorted(map(str, techlog.decode_techlog(records, empty, columns=columns).collect())) == sorted(map(str, techlog.decode_techlog(records, empty).select(*columns).collect())), columns
+    assert "MapInArrow" not in techlog.decode_techlog(records, True, columns=["Event"])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_json_shapes(spark, tmp_path):
     records = [{"id": c, "DateFormatted": "2026-01-01 00:00:00", "Date": "2026-01-01 00:00:00.250", "Event": f"e {{{c}", "Id": c} for c in "abcd"]
     shapes = {
