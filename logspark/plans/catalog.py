@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logspark.functions.plan import shared_folder
+from logspark.sources.files import Files
+
 JSON_NAMES = r"(?i)\.(json|jsonl|ndjson)$"
 
 
@@ -17,6 +23,68 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return listed.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+_LISTED = "path string, size long, changed long, folder boolean, real string"
+
+
+def _children(resolver: str):
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What is right under each folder (path, real); links back to a folder above are left out."""
+        files = Files(resolver)
+        for batch in batches:
+            rows = []
+            for path, real in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found, folders = files.children(path)
+                rows += [(f.path, f.size, f.changed, False, "") for f in found]
+                for folder in folders:
+                    leads = files.real(folder)
+                    if not f"{real.rstrip('/')}/".startswith(f"{leads.rstrip('/')}/"):
+                        rows.append((folder, 0, 0, True, leads))
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _LISTED.split(", ")])
+
+    return listed
+
+
+def list_tree(spark: SparkSession, root: str, depth: int = 16, resolver: str = "", skip: str = r"(?i)/(1Cv8FTxt|snccntx[^/]*)$") -> DataFrame:
+    """path, size, modified of the files under root, down to `depth` folders below it; contents are not read.
+
+    Folders are listed level by level, those of a level by tasks, so a wide tree takes as long as its
+    depth. A link to a folder above is not followed, and depth bounds all others; folders that match
+    skip, and those that can't be read, are left out. Each level is a table in the shared folder.
+    """
+    folder = f"{shared_folder(spark)}/listing-{uuid.uuid4().hex}"
+    level = spark.createDataFrame([(root.rstrip("/") or "/", Files(resolver).real(root))], "path string, real string")
+    parts, n = [], 1
+    for k in range(depth + 1):
+        listed = level.repartition(min(n, 32 * spark.sparkContext.defaultParallelism)).mapInArrow(_children(resolver), _LISTED)
+        listed.write.parquet(f"{folder}/level-{k}")
+        parts.append(f"{folder}/level-{k}")
+        level = spark.read.schema(_LISTED).parquet(parts[-1]).filter(F.col("folder") & ~F.col("path").rlike(skip)).select("path", "real")
+        n = level.count()
+        if not n:
+            break
+    found = spark.read.schema(_LISTED).parquet(*parts).filter("NOT folder")
+    return found.select("path", "size", F.timestamp_micros(F.expr("changed div 1000")).alias("modified"))
+
+
+def refreshed(files: DataFrame, resolver: str = "") -> DataFrame:
+    """files (path, size, modified) with the present size and time of the newest journal of each folder: the one that is written to may be listed with an old size."""
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Files(resolver)
+        for batch in batches:
+            found = [known.info(p) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f and f.size for f in found], pa.int64()), pa.array([f and f.changed for f in found], pa.int64())], names=["path", "now_size", "now_changed"])
+
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    newest = files.filter(F.lower("path").endswith(".lgp")).groupBy(folder.alias("folder")).agg(F.max_by("path", F.lower("path")).alias("path")).select("path")
+    now = newest.mapInArrow(looked_up, "path string, now_size long, now_changed long")
+    others = [c for c in files.columns if c not in ("size", "modified")]
+    joined = files.join(now, "path", "left")
+    return joined.select(*others, F.coalesce("now_size", "size").alias("size"), F.coalesce(F.timestamp_micros(F.expr("now_changed div 1000")), "modified").alias("modified")).select(*files.columns)
+
+
 def find_techlog(files: DataFrame, newer_than: str | None = None, service: bool = False) -> DataFrame:
     """Of a listing: *.log if there are any, else *.txt, else JSON dumps. A service leaves out names of less than eight characters before the extension."""
     rank = F.when(F.col("path").rlike(r"(?i)\.log$"), 0).when(F.col("path").rlike(r"(?i)\.txt$"), 1).when(F.col("path").rlike(JSON_NAMES), 2)

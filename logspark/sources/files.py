@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import hashlib
 import importlib
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -68,6 +69,22 @@ class Files:
                     seen.add(f.path)
                     yield f
 
+    def children(self, folder: str) -> tuple[list[Found], list[str]]:
+        """(files, folders) right under a folder; those that can't be read have none."""
+        system, inner = self._of(folder)
+        inner = inner.rstrip("/") or "/"
+        try:
+            below = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+        except OSError:
+            return [], []
+        own = lambda f: f"{folder.rstrip('/')}/{f.base_name}"
+        return [Found(own(f), f.size, f.mtime_ns or 0) for f in below if f.type == fs.FileType.File], [own(f) for f in below if f.type == fs.FileType.Directory]
+
+    def real(self, path: str) -> str:
+        """Where a local path leads, links resolved; other paths as they are."""
+        system, inner = self._of(path)
+        return os.path.realpath(inner) if isinstance(system, fs.LocalFileSystem) else path
+
     def open(self, path: str):
         system, inner = self._of(path)
         return system.open_input_file(inner)

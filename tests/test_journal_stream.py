@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql.functions import lit
 
 from logspark.operators import eventlog
 from logspark.streaming import journal
@@ -93,3 +94,24 @@ def test_large_dictionary_is_salted(spark, monkeypatch):
     rows = eventlog.decode_eventlog(records, dims)
     assert "salt" in rows._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.User, r.UserUuid, r.Metadata) for r in rows.collect()} == {("Anna", "u", "M")} and rows.count() == 50
+
+
+def test_tree_listing_is_bounded(spark, tmp_path):
+    from logspark.plans import catalog
+
+    for k in range(3):
+        deep = tmp_path / f"srv{k}" / "base" / "1Cv8Log"
+        deep.mkdir(parents=True)
+        (deep / "20260831000000.lgp").write_text("old")
+        (deep / "20260901000000.lgp").write_text("new")
+        (deep / "1Cv8FTxt").mkdir()
+        (deep / "1Cv8FTxt" / "20260901000000.lgp").write_text("index")
+    (tmp_path / "srv0" / "base" / "again").symlink_to(tmp_path / "srv0")  # a loop
+    (tmp_path / "srv1" / "aside").symlink_to(tmp_path / "srv2" / "base")  # a link aside is followed
+    (tmp_path / "top.log").write_text("x" * 7)
+    got = {r.path.removeprefix(str(tmp_path)): r.size for r in catalog.list_tree(spark, str(tmp_path)).collect()}
+    assert len(got) == 2 * 4 + 1 and got["/top.log"] == 7 and "/srv1/aside/1Cv8Log/20260831000000.lgp" in got
+    assert {r.path.count("/") for r in catalog.list_tree(spark, str(tmp_path), depth=0).collect()} == {str(tmp_path).count("/") + 1}
+    assert catalog.list_tree(spark, str(tmp_path / "none")).count() == 0
+    files = catalog.list_tree(spark, f"{tmp_path}/srv2").withColumn("size", lit(1).cast("long")).cache()
+    assert sorted((r.path[-18:], r.size) for r in catalog.refreshed(files).collect()) == [("20260831000000.lgp", 1), ("20260901000000.lgp", 3)]
