@@ -5,9 +5,14 @@ The tables hold no logs, so log texts are rendered from `events` inside each que
 
 from __future__ import annotations
 
+import os
+import sqlite3
 import uuid
-from datetime import date, time
+from contextlib import closing
+from datetime import date, datetime, time
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,7 +23,7 @@ from logspark.functions.plan import shared_folder, spread
 from logspark.operators import eventlog, lgd, query, repeats, techlog
 from logspark.plans import catalog
 from logspark.sinks import delivery
-from logspark.sources import framing, growing, jsondump
+from logspark.sources import framing, growing, jsondump, sqlite_journal
 
 Q, SQL = {}, {}
 
@@ -536,6 +541,46 @@ def lgd_newest(spark, sf_dir):
     return rows.select("seq", F.substring("base", 5, 1).cast("long").alias("base"), "DateTime")
 
 
+def _written_journals(rows: DataFrame, codes: DataFrame, folder: str) -> list[str]:
+    """SQLite files of journal rows and their codes, a task for each file; their paths. Inserts replace, so a task may run again."""
+
+    def run(batches):
+        for batch in batches:
+            named = "kind" in batch.schema.names
+            for path in set(batch.column("path").to_pylist()):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                own = batch.filter(pc.equal(batch.column("path"), path)).to_pylist()
+                with closing(sqlite3.connect(path, timeout=60)) as db, db:
+                    if named:
+                        for table, kind in sqlite_journal.CODE_TABLES.items():
+                            db.execute(f"CREATE TABLE IF NOT EXISTS {table} (code INTEGER PRIMARY KEY, name TEXT, uuid TEXT)")
+                            db.executemany(f"INSERT OR REPLACE INTO {table} VALUES (?, ?, ?)", [(r["code"], r["name"], r["uuid"]) for r in own if r["kind"] == kind])
+                    else:
+                        columns = list(sqlite_journal.ROW_COLUMNS)
+                        db.execute("CREATE TABLE IF NOT EXISTS EventLog (rowID INTEGER PRIMARY KEY, " + ", ".join(f"{c} {'INTEGER' if sqlite_journal.ROW_COLUMNS[c] == 'long' else 'TEXT'}" for c in columns[1:]) + ")")
+                        db.executemany(f"INSERT OR REPLACE INTO EventLog VALUES ({', '.join('?' * len(columns))})", [tuple(r[c] for c in columns) for r in own])
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    placed = F.regexp_replace("path", "^/logs", folder).alias("path")
+    for table in (rows.select(placed, *sqlite_journal.ROW_COLUMNS), codes.select(placed, "kind", "code", "name", "uuid")):
+        table.repartition("path").mapInArrow(run, "n long").agg(F.sum("n")).first()
+    return [f"{folder}/Base{k}/1Cv8Log/1Cv8.lgd" for k in range(3)]
+
+
+@register("""
+    SELECT 'Base' || (user_id % 3) AS base, e.event_id AS seq, date_trunc('second', ts) AS "DateTime", coalesce(c.c_name, CASE WHEN user_id = 0 THEN '<Не указан>' ELSE 'User #' || (user_id + 1) END) AS "User",
+           CASE e.event_id % 4 WHEN 0 THEN '' WHEN 1 THEN coalesce(p1.p_name, 'Meta #' || user_id) WHEN 2 THEN coalesce(p1.p_name, 'Meta #' || user_id) || ', ' || coalesce(p2.p_name, 'Meta #' || (user_id + 1)) ELSE 'word' END AS "Metadata"
+    FROM events e LEFT JOIN customer c ON c.c_custkey = user_id LEFT JOIN part p1 ON p1.p_partkey = user_id LEFT JOIN part p2 ON p2.p_partkey = user_id + 1
+    WHERE date_trunc('second', ts) >= TIMESTAMP '2024-01-05 06:00:00' AND date_trunc('second', ts) < TIMESTAMP '2024-01-09 00:00:00' AND e.event_id % 5 <> 2""")
+def lgd_files_date_range(spark, sf_dir):
+    """Journals of three infobases written as SQLite files; a range of dates and a severity are tested by SQLite."""
+    folder = f"{shared_folder(spark).removeprefix('file://')}/lgd-{uuid.uuid4().hex}"
+    paths = _written_journals(journal_rows(_t(spark, sf_dir, "events")), journal_codes(spark, sf_dir), folder)
+    units = [lgd.date_units(datetime(2024, 1, 5, 6)), lgd.date_units(datetime(2024, 1, 9))]
+    rows = sqlite_journal.read_journal(spark, paths).filter((F.col("date") >= units[0]) & (F.col("date") < units[1]) & (F.col("severity") != 2))
+    return lgd.decode_journal(rows, sqlite_journal.read_journal(spark, paths, part="codes")).select("base", "seq", "DateTime", "User", "Metadata")
+
+
 # --------------------------------------------------- event log: bases, layouts
 
 
