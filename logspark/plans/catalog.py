@@ -123,21 +123,26 @@ def newest_first(files: DataFrame, day: str = "day") -> DataFrame:
 
 
 def nearest_dictionary(files: DataFrame, dictionaries: DataFrame, levels: int = 4) -> DataFrame:
-    """files (path, directory) with dictionary: one in the same directory, in its 1Cv8Log, anywhere below, or in the nearest of up to `levels` ancestors or an ancestor's 1Cv8Log."""
+    """files (path, directory) with dictionary: one in the same directory, in its 1Cv8Log, anywhere below, or in the nearest of up to `levels` ancestors or an ancestor's 1Cv8Log.
+
+    Each directory is looked up once. Joins are by sorting: how large listings are is not known from what Spark
+    estimates of them, so none is broadcast.
+    """
     owners = dictionaries.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("holder"), F.col("path").alias("dictionary"))
     at = owners.groupBy("holder").agg(F.min("dictionary").alias("dictionary"))
     held = F.split("holder", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(held) - 1), lambda k: F.array_join(F.slice(held, 1, k), "/"))
-    below = owners.filter(F.size(held) > 1).select(F.explode(above).alias("holder"), "dictionary").groupBy("holder").agg(F.min("dictionary").alias("dictionary"))
+    below = at.filter(F.size(held) > 1).select(F.explode(above).alias("holder"), "dictionary").groupBy("holder").agg(F.min("dictionary").alias("dictionary"))
     parts = F.split("directory", "/")
     up = lambda k: F.array_join(F.slice(parts, 1, F.size(parts) - k), "/")
     tried = lambda k: F.array(F.struct((2 * k).alias("rank"), up(k).alias("holder")), F.struct((2 * k + 1).alias("rank"), F.concat(up(k), F.lit("/1Cv8Log")).alias("holder")))
     ups = F.flatten(F.transform(F.sequence(F.lit(0), F.least(F.lit(levels), F.size(parts) - 1)), tried))
-    climbed = files.select("path", F.explode(ups).alias("u")).select("path", (F.col("u.rank") * 2).alias("rank"), "u.holder").join(at, "holder")
+    directories = files.select("directory").distinct()
+    climbed = directories.select("directory", F.explode(ups).alias("u")).select("directory", (F.col("u.rank") * 2).alias("rank"), "u.holder").join(at.hint("merge"), "holder")
     # below comes after the own directory and its 1Cv8Log, and before the first ancestor
-    inside = files.select("path", F.lit(3).alias("rank"), F.col("directory").alias("holder")).join(below, "holder")
-    nearest = climbed.unionByName(inside).groupBy("path").agg(F.min_by("dictionary", "rank").alias("dictionary"))
-    return files.join(nearest, "path", "left")
+    inside = directories.select("directory", F.lit(3).alias("rank"), F.col("directory").alias("holder")).join(below.hint("merge"), "holder")
+    nearest = climbed.unionByName(inside).groupBy("directory").agg(F.min_by("dictionary", "rank").alias("dictionary"))
+    return files.join(nearest.hint("merge"), "directory", "left").select("path", *[c for c in files.columns if c != "path"], "dictionary")
 
 
 #: Names of processes in files and folders.

@@ -259,3 +259,13 @@ def test_header_conditions_come_before_the_pairs(spark):
     rows = techlog.decode_techlog(records, where=F.col("DurationMs") >= 1)
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert [r.User for r in rows.collect()] == ["a"] and plan.index("MapInArrow") < plan.rindex("Filter")
+
+
+def test_no_listing_is_broadcast(spark):
+    """Listings are of any size: directories are looked up once, and joins are by sorting whatever sizes are estimated."""
+    files = spark.createDataFrame([("/r/a/1Cv8Log/1.lgp", "/r/a/1Cv8Log"), ("/r/a/1Cv8Log/2.lgp", "/r/a/1Cv8Log"), ("/r/b/c/3.lgp", "/r/b/c"), ("/q/4.lgp", "/q"), ("5.lgp", None)], "path string, directory string")
+    dictionaries = spark.createDataFrame([("/r/a/1Cv8Log/1Cv8.lgf",), ("/r/a/1Cv8Log/old/1Cv8.lgf",), ("/r/1Cv8Log/1Cv8.lgf",), ("/q/x/y/1Cv8.lgf",)], "path string")
+    found = catalog.nearest_dictionary(files, dictionaries)
+    own = "/r/a/1Cv8Log/1Cv8.lgf"
+    assert {r.path: r.dictionary for r in found.collect()} == {"/r/a/1Cv8Log/1.lgp": own, "/r/a/1Cv8Log/2.lgp": own, "/r/b/c/3.lgp": "/r/1Cv8Log/1Cv8.lgf", "/q/4.lgp": "/q/x/y/1Cv8.lgf", "5.lgp": None}
+    assert found.columns == ["path", "directory", "dictionary"] and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
