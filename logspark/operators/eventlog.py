@@ -86,43 +86,92 @@ def with_inline(dims: DataFrame, entries: DataFrame) -> DataFrame:
     return both.groupBy("base", "kind", "code").agg(known("name"), known("uuid")).select("base", "kind", "code", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("uuid", F.lit("")).alias("uuid"))
 
 
-#: Parts into which the facts of a hot code are dealt where the dictionary is too large to be broadcast.
-SALTS = 16
-
-
-def _by_code(dims: DataFrame) -> tuple[DataFrame, bool]:
-    """(base, code, v: what a code stands for, by kind, its versions in order; whether a count shows that the table can be broadcast)."""
+#: Parts into which the facts of a hot code are dealt where the dictionary is too large to be broadcast, and how many copies of its entries that may make.
+SALTS, SALTED_ENTRIES = 16, 2_000_000
+#: What the decoded columns take from dictionaries: slots of codes, and "list" for the metadata codes.
+NEEDS = {
+    "User": ("user", "app", "event"), "UserUuid": ("user",), "Computer": ("computer",), "Application": ("app",), "AppTypeName": ("app",), "Event": ("event",), "Server": ("server",), "MainPort": ("port",), "AddPort": ("addport",),
+    "Metadata": ("list",), "MetadataUuid": ("list",), "Data": ("reference", "list", "event"), "DataPresentation": ("list", "event"),
+}
+
+
+def _sizes(dims: DataFrame, kinds: set[str]) -> tuple[dict[str, int], set[str]]:
+    """(entries of each kind that has any, those that together can be broadcast): counted, as estimates from compressed files are far too low."""
+    counts = {r["kind"]: r["n"] for r in dims.filter(F.col("kind").isin(*kinds)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small, total = set(), 0
+    for kind in sorted(counts, key=lambda k: (counts[k], k)):
+        total += counts[kind]
+        if total <= BROADCAST_ENTRIES:
+            small.add(kind)
+    return counts, small
+
+
+def _versions(dims: DataFrame, kinds: set[str]) -> DataFrame:
+    """base, code, kind, versions: what a code stands for, in order."""
     at = F.col("at").cast("long") if "at" in dims.columns else F.lit(None).cast("long")
-    versions = dims.groupBy("base", "code", "kind").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(at, F.lit(-(1 << 63))).alias("at"), "name", "uuid"))).alias("versions"))
-    table = versions.groupBy("base", "code").agg(F.map_from_entries(F.collect_list(F.struct("kind", "versions"))).alias("v"))
-    return table, dims.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
+    version = F.struct(F.coalesce(at, F.lit(-(1 << 63))).alias("at"), "name", "uuid")
+    return dims.filter(F.col("kind").isin(*kinds)).groupBy("base", "code", "kind").agg(F.array_sort(F.collect_list(version)).alias("versions"))
 
 
-def _resolve(rows: DataFrame, dims: DataFrame, codes: dict[str, tuple[str, str]], listed: str) -> DataFrame:
-    """rows with names: a map of slots to (name, uuid), and items: those of the metadata codes in the column listed, in order.
+def _resolve(rows: DataFrame, dims: DataFrame, codes: dict[str, tuple[str, str]], listed: str, wanted: set[str]) -> DataFrame:
+    """rows with {slot}_found, the name and uuid of a slot's code, and items: those of the metadata codes in the column listed, in order.
 
-    codes: the kind and the column of each slot. rows have base, seq and id, by which they are told apart.
-    All codes of a record are unpivoted and meet the dictionary in one join; one more shuffle brings them
-    together again. A code's version is the last one at or before the record's seq.
+    codes: the kind and the column of each slot. Only wanted slots (and, if wanted, the list) are looked up. rows have base, seq
+    and id, by which they are told apart. A code's version is the last one at or before the record's seq. Kinds of few
+    entries are broadcast, and a code of theirs is met in place. Lists and codes of large kinds are unpivoted
+    and meet their entries in one join; one more shuffle brings them together again. The other columns travel with a
+    record's first code alone, and those that nobody asks for not at all.
     """
-    table, is_small = _by_code(dims)
     keys = ["base", "seq", "id"]
-    slots = [F.struct(F.lit(slot).alias("slot"), F.lit(kind).alias("kind"), F.lit(0).alias("pos"), F.col(column).alias("code")) for slot, (kind, column) in codes.items()]
-    items = F.transform(listed, lambda c, i: F.struct(F.lit("").alias("slot"), F.lit("metadata").alias("kind"), i.alias("pos"), c.alias("code")))
-    each = F.filter(F.concat(F.array(*slots), items), lambda x: x["code"] != "")
-    facts = rows.select(*keys, F.struct(*[c for c in rows.columns if c not in keys]).alias("__row"), F.explode_outer(each).alias("c")).select(*keys, "__row", "c.*")
-    if is_small:
-        found = facts.join(F.broadcast(table), ["base", "code"], "left")
+    kinds = {kind for slot, (kind, _) in codes.items() if slot in wanted} | ({"metadata"} if "list" in wanted else set())
+    counts, small = _sizes(dims, kinds) if kinds else ({}, set())
+    last = lambda versions: F.try_element_at(F.filter(versions, lambda x: x["at"] <= F.col("seq")), F.lit(-1))
+    named = "struct<name:string,uuid:string>"
+    nothing = F.lit(None).cast(named)
+
+    table = _versions(dims, small).groupBy("base", "code").agg(F.map_from_entries(F.collect_list(F.struct("kind", "versions"))).alias("v")) if small else None
+    far = []  # slots that are unpivoted
+    for slot, (kind, column) in codes.items():
+        if slot not in wanted or kind not in counts:
+            rows = rows.withColumn(f"{slot}_found", nothing)
+        elif kind in small:
+            of_slot = table.select("base", F.col("code").alias("__code"), F.col("v").alias("__v"))
+            rows = rows.withColumn("__code", F.nullif(column, F.lit(""))).join(F.broadcast(of_slot), ["base", "__code"], "left")
+            version = last(F.try_element_at("__v", F.lit(kind)))
+            rows = rows.withColumn(f"{slot}_found", F.when(version.isNotNull(), F.struct(version["name"].alias("name"), version["uuid"].alias("uuid")))).drop("__code", "__v")
+        else:
+            far.append(slot)
+    has_list = "list" in wanted and "metadata" in counts
+    if not far and not has_list:
+        return rows.withColumn("items", F.transform(listed, lambda c, i: F.struct(i.alias("pos"), F.lit("").alias("slot"), c.alias("code"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("uuid"))))
+
+    fact = lambda slot, kind, pos, code: F.struct(F.lit(slot).alias("slot"), F.lit(kind).alias("kind"), pos.alias("pos"), code.alias("code"))
+    each = F.array(*[fact(slot, codes[slot][0], F.lit(0), F.col(codes[slot][1])) for slot in far]) if far else None
+    if has_list:
+        items = F.transform(listed, lambda c, i: fact("", "metadata", i, c))
+        each = items if each is None else F.concat(each, items)
+    each = F.filter(each, lambda x: x["code"] != "")
+    others = [c for c in rows.columns if c not in keys]
+    facts = rows.select(*keys, *others, F.posexplode_outer(each).alias("__i", "__c"))
+    facts = facts.select(*keys, *[F.when(F.coalesce("__i", F.lit(0)) == 0, F.col(c)).alias(c) for c in others], "__c.*")
+    met = {codes[slot][0] for slot in far} | ({"metadata"} if has_list else set())
+    table = _versions(dims, met)
+    if met <= small:
+        found = facts.join(F.broadcast(table), ["base", "code", "kind"], "left")
     else:
-        # equal codes of many records are dealt over SALTS tasks
-        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        found = facts.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int")).join(salted, ["base", "code", "salt"], "left")
-    versions = F.filter(F.try_element_at("v", F.col("kind")), lambda x: x["at"] <= F.col("seq"))
-    version = F.try_element_at(versions, F.lit(-1))
+        # equal codes of many records are dealt over tasks as long as copies of the entries are few; beyond, Spark splits the partitions that they make large
+        salts = max(1, min(SALTS, SALTED_ENTRIES // sum(counts[kind] for kind in met)))
+        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = facts.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int")).join(salted.hint("merge"), ["base", "code", "kind", "salt"], "left")
+    version = last(F.col("versions"))
     item = F.when(F.col("slot").isNotNull(), F.struct("pos", "slot", "code", version["name"].alias("name"), version["uuid"].alias("uuid")))
-    grouped = found.groupBy(*keys).agg(F.first("__row").alias("__row"), F.array_sort(F.collect_list(item)).alias("found"))
-    named = F.map_from_entries(F.transform(F.filter("found", lambda x: x["slot"] != ""), lambda x: F.struct(x["slot"], F.struct(x["name"].alias("name"), x["uuid"].alias("uuid")))))
-    return computed_once(grouped, names=named, items=F.filter("found", lambda x: x["slot"] == "")).select(*keys, "__row.*", "names", "items")
+    grouped = found.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in others], F.array_sort(F.collect_list(item)).alias("__found"))
+    of = lambda slot: F.get(F.filter("__found", lambda x: x["slot"] == slot), F.lit(0))
+    if not has_list:
+        items = F.transform(listed, lambda c, i: F.struct(i.alias("pos"), F.lit("").alias("slot"), c.alias("code"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("uuid")))
+    else:
+        items = F.filter("__found", lambda x: x["slot"] == "")
+    return computed_once(grouped, **{f"{slot}_found": F.struct(of(slot)["name"].alias("name"), of(slot)["uuid"].alias("uuid")) for slot in far}, items=items).drop("__found")
 
 
 def names_of_list(rows: DataFrame, dims: DataFrame, key: str | list[str], codes: str, separator: str = ", ", skipped: tuple[str, ...] = ("", "0")) -> DataFrame:
@@ -192,15 +241,17 @@ def empty_transaction() -> Column:
     return edge & blank("Comment") & blank("Data") & blank("DataPresentation") & blank("Metadata") & F.coalesce("Severity", F.lit("")).isin("", SEVERITIES["I"], SEVERITIES["N"])
 
 
-def decode_eventlog(records: DataFrame, dims: DataFrame, scope: Column | None = None, where: Column | None = None) -> DataFrame:
+def decode_eventlog(records: DataFrame, dims: DataFrame, scope: Column | None = None, where: Column | None = None, columns: list[str] | None = None) -> DataFrame:
     """EVENTLOG_SCHEMA rows (and base, seq for enrichment) of records: raw, base, seq and optionally file, size, DateTime.
 
     Texts are '' where the record has none; an unreadable date is null. Records of fewer than nine
     fields or without a date are dropped. seq orders the records of a base and, with their texts, tells them
     apart. dims may hold versions (with_versions): a record is read by those at or before its seq. where is a condition on
     DateTime, tested on the header before a record is split into fields; if records have a column
-    DateTime, as those of a growing log do, it reaches the source.
+    DateTime, as those of a growing log do, it reaches the source. With columns, only these (beside base
+    and seq) are made, and only codes that they show are looked up.
     """
+    wanted = {need for c in (columns or NEEDS) for need in NEEDS.get(c, ())}
     has = set(records.columns)
     if where is not None:
         records = records if "DateTime" in has else records.withColumn("DateTime", log_date(F.regexp_extract("raw", r"^\s*\{(\d{14}),", 1)))
@@ -230,8 +281,8 @@ def decode_eventlog(records: DataFrame, dims: DataFrame, scope: Column | None =
     rows = made.select("base", "seq", "file", "size", "id", "r.*")
     rows = rows.withColumn("meta_codes", F.filter("meta_codes", lambda c: ~c.isin("", "0")))
     codes = {kind: (kind, f"{kind}_code") for kind in ("user", "computer", "app", "event", "server", "port", "addport")} | {"reference": ("metadata", "reference_code")}
-    rows = _resolve(rows, dims, codes, "meta_codes")
-    rows = rows.withColumns({f"{slot}_name": F.try_element_at("names", F.lit(slot))["name"] for slot in codes} | {"user_uuid": F.try_element_at("names", F.lit("user"))["uuid"]})
+    rows = _resolve(rows, dims, codes, "meta_codes", wanted)
+    rows = rows.withColumns({f"{slot}_name": F.col(f"{slot}_found.name") for slot in codes} | {"user_uuid": F.col("user_found.uuid")})
     shown = F.transform("items", lambda x: F.coalesce(F.nullif(x["name"], F.lit("")), F.concat(F.lit("Meta #"), x["code"])))
     uuids = F.filter(F.transform("items", lambda x: F.coalesce(x["uuid"], F.lit(""))), lambda u: u != "")
     rows = rows.withColumns({"names": F.array_join(shown, ", "), "name_uuid": F.coalesce(F.get(uuids, F.lit(0)), F.lit(""))})
@@ -264,7 +315,7 @@ def decode_eventlog(records: DataFrame, dims: DataFrame, scope: Column | None =
         "TransactionStatus": lookup(F.col("status"), TRANSACTION_STATUS), "AppTypeName": lookup(F.col("App"), APP_TYPES), "FileName": F.regexp_extract("file", r"([^/]*)$", 1),
         "FileSize": F.col("size"), "FileSizeFormatted": format_size(F.col("size")), "RepeatCount": F.lit(1),
     }
-    return rows.select("base", "seq", *[out.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in EVENTLOG_SCHEMA])
+    return rows.select("base", "seq", *[out.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in EVENTLOG_SCHEMA if columns is None or f.name in columns])
 
 
 def _authentication(rows: DataFrame) -> DataFrame:

@@ -176,8 +176,8 @@ def eventlog_texts(events: DataFrame) -> DataFrame:
     FROM events e LEFT JOIN customer c ON c.c_custkey + 1 = user_id LEFT JOIN nation n ON n.n_nationkey = user_id % 25
     LEFT JOIN part p1 ON p1.p_partkey + 1 = user_id LEFT JOIN part p2 ON p2.p_partkey = user_id LEFT JOIN part p3 ON p3.p_partkey + 1 = e.event_id % 50""")
 def eventlog_parse_roundtrip(spark, sf_dir):
-    rows = eventlog.decode_eventlog(eventlog_texts(_t(spark, sf_dir, "events")), _dims(spark, sf_dir))
-    return rows.select("seq", "DateTime", "User", "Application", "TransactionStatus", "TransactionDate", "TransactionNumber", "Severity", "Comment", "Data", "DataPresentation", "Session", "Metadata")
+    columns = ["DateTime", "User", "Application", "TransactionStatus", "TransactionDate", "TransactionNumber", "Severity", "Comment", "Data", "DataPresentation", "Session", "Metadata"]
+    return eventlog.decode_eventlog(eventlog_texts(_t(spark, sf_dir, "events")), _dims(spark, sf_dir), columns=columns).select("seq", *columns)
 
 
 @register("""
@@ -186,7 +186,7 @@ def eventlog_parse_roundtrip(spark, sf_dir):
 def eventlog_date_range(spark, sf_dir):
     """Records of a range of days: others are left out by their headers, before they are split into fields."""
     where = query.predicate(query.FilterSpec(kind="eventlog", date_from=date(2024, 1, 3), date_to=date(2024, 1, 10)))
-    return eventlog.decode_eventlog(eventlog_texts(_t(spark, sf_dir, "events")), _dims(spark, sf_dir), where=where).select("seq", "DateTime", "Comment", "Application")
+    return eventlog.decode_eventlog(eventlog_texts(_t(spark, sf_dir, "events")), _dims(spark, sf_dir), where=where, columns=["DateTime", "Comment", "Application"]).select("seq", "DateTime", "Comment", "Application")
 
 
 @register("""
@@ -201,7 +201,7 @@ def eventlog_files_date_range(spark, sf_dir):
     lines.write.partitionBy("k").text(folder)
     log = growing.read_log(spark, folder, "eventlog", glob="*.txt").filter("DateTime >= timestamp'2024-01-05 06:00:00' AND DateTime < timestamp'2024-01-09 00:00:00'")
     base = F.regexp_extract("file", r"k=(\d+)", 1).cast("long")
-    rows = eventlog.decode_eventlog(log.select(base.cast("string").alias("base"), F.col("at").alias("seq"), "file", "size", "DateTime", "raw"), _dims(spark, sf_dir).limit(0))
+    rows = eventlog.decode_eventlog(log.select(base.cast("string").alias("base"), F.col("at").alias("seq"), "file", "size", "DateTime", "raw"), _dims(spark, sf_dir).limit(0), columns=["DateTime", "Session"])
     return rows.groupBy(F.col("base").cast("long").alias("base")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("Session").cast("long")).alias("ids"), F.min("DateTime").alias("first"), F.max("DateTime").alias("last"))
 
 
@@ -219,7 +219,7 @@ def eventlog_dictionary_versions(spark, sf_dir):
     texts = eventlog_texts(_t(spark, sf_dir, "events").filter("event_id % 5 <> 0")).unionByName(inline.withColumn("base", F.lit("")))
     records, entries = eventlog.inline_entries(texts)
     dims = eventlog.with_versions(_dims(spark, sf_dir), entries.withColumnRenamed("seq", "at"))
-    return eventlog.decode_eventlog(records, dims).select("seq", "Metadata")
+    return eventlog.decode_eventlog(records, dims, columns=["Metadata"]).select("seq", "Metadata")
 
 
 @register("""
@@ -594,7 +594,7 @@ def eventlog_metadata_of_bases(spark, sf_dir):
     texts = eventlog_texts(events.withColumns({"__e": F.col("event_id"), "event_id": F.col("event_id") * 5}))
     texts = texts.select(F.concat(F.lit("b"), (F.col("seq") / 5 % 2).cast("long").cast("string")).alias("base"), F.expr("seq div 10").alias("seq"), "raw")
     both = dims.withColumn("base", F.lit("b0")).unionByName(dims.withColumns({"base": F.lit("b1"), "name": F.concat(F.lit("1:"), "name")}))
-    return eventlog.decode_eventlog(texts, both).select("base", "seq", "Metadata")
+    return eventlog.decode_eventlog(texts, both, columns=["Metadata"]).select("base", "seq", "Metadata")
 
 
 @register("""
@@ -609,7 +609,7 @@ def eventlog_inline_dictionary(spark, sf_dir):
     inline = _t(spark, sf_dir, "nation").select(F.lit("").alias("base"), F.col("n_nationkey").cast("long").alias("seq"), entry.alias("raw"))
     records, entries = eventlog.inline_entries(eventlog_texts(_t(spark, sf_dir, "events")).unionByName(inline))
     dims = eventlog.with_inline(_dims(spark, sf_dir), entries.withColumnRenamed("seq", "at"))
-    return eventlog.decode_eventlog(records, dims).select("seq", "Metadata")
+    return eventlog.decode_eventlog(records, dims, columns=["Metadata"]).select("seq", "Metadata")
 
 
 @register("""
@@ -627,7 +627,8 @@ def eventlog_accounts_and_layouts(spark, sf_dir):
     old = F.concat(head, (u + 5_000_000).cast("string"), F.lit(',0,1,8,I,"",0,{"N",'), u.cast("string"), F.lit('},"",0,0,0,'), e.cast("string"), F.lit("}"))
     rows = _t(spark, sf_dir, "events").select(F.lit("").alias("base"), e.alias("seq"), F.when(e % 3 == 0, auth).when(e % 3 == 1, job).otherwise(old).alias("raw"))
     entries = spark.createDataFrame([(1, '{3,"1CV8C",1}'), (2, '{3,"BackgroundJob",2}'), (3, '{4,"_$Session$_.Authentication",1}')], "at long, raw string")
-    return eventlog.decode_eventlog(rows, eventlog.decode_dictionary(entries)).select("seq", "User", "Event", "Data", "DataPresentation", "Connection", "Session")
+    columns = ["User", "Event", "Data", "DataPresentation", "Connection", "Session"]
+    return eventlog.decode_eventlog(rows, eventlog.decode_dictionary(entries), columns=columns).select("seq", *columns)
 
 
 # ------------------------------------------------------------ discovery

@@ -96,6 +96,34 @@ def test_large_dictionary_is_salted(spark, monkeypatch):
     assert {(r.User, r.UserUuid, r.Metadata) for r in rows.collect()} == {("Anna", "u", "M")} and rows.count() == 50
 
 
+def test_large_dictionaries_are_never_broadcast(spark, monkeypatch, tmp_path):
+    """What Spark estimates of a compressed file does not decide: kinds are counted, and each is met where it fits, with the same results."""
+    entries = [("b", "user", str(k), f"U{k}", f"u{k}") for k in range(9)] + [("b", "metadata", str(k), f"M{k}" if k else "", "") for k in range(12)] + [("b", "app", "1", "BackgroundJob", ""), ("b", "event", "1", "_$Data$_.Post", ""), ("b", "port", "1", "1560", "")]
+    spark.createDataFrame(entries, "base string, kind string, code string, name string, uuid string").write.parquet(str(tmp_path / "dims"))
+    dims = spark.read.parquet(str(tmp_path / "dims"))
+    codes = ["0", "3", "{1,2}", "{2,0,11,99}", ""]
+    records = spark.createDataFrame([("b", k, record(k, k % 11, k % 3, 1, code=codes[k % 5]).strip()) for k in range(60)], "base string, seq long, raw string")
+    got = {}
+    for most in (0, 1, 3, 12, 100):
+        monkeypatch.setattr(eventlog, "BROADCAST_ENTRIES", most)
+        rows = eventlog.decode_eventlog(records, dims)
+        got[most] = sorted(map(str, rows.collect()))
+        if not most:
+            assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert len(set(map(tuple, got.values()))) == 1 and len(got[0]) == 60 and any("M2, M11, Meta #99" in r for r in got[0])
+
+
+def test_only_codes_that_are_shown_are_looked_up(spark):
+    dims = spark.createDataFrame([("b", "user", "1", "Anna", "u"), ("b", "metadata", "1", "M", ""), ("b", "app", "1", "BackgroundJob", "")], "base string, kind string, code string, name string, uuid string")
+    records = spark.createDataFrame([("b", k, record(k, k % 2, 1, 1).strip()) for k in range(9)], "base string, seq long, raw string")
+    whole = eventlog.decode_eventlog(records, dims)
+    for columns in (["DateTime", "Session"], ["Metadata"], ["User", "Data"], ["Application"], ["UserUuid", "DataPresentation"]):
+        rows = eventlog.decode_eventlog(records, dims, columns=columns)
+        assert set(rows.columns) == {"base", "seq", *columns}
+        assert sorted(map(str, rows.select(*columns).collect())) == sorted(map(str, whole.select(*columns).collect())), columns
+    assert "Join" not in eventlog.decode_eventlog(records, dims, columns=["DateTime", "Session"])._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_tree_listing_is_bounded(spark, tmp_path):
     from logspark.plans import catalog
 
