@@ -137,9 +137,10 @@ class _Options:
             if table not in there:
                 continue
             known = "uuid" if any(r[1].lower() == "uuid" for r in db.execute(f"PRAGMA table_info({table})")) else "NULL"
-            rows = db.execute(f"SELECT code, coalesce(name, ''), {known} FROM {table}").fetchall()
-            columns = [pa.array([path] * len(rows), pa.string()), pa.array([kind] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([_uuid(r[2]) for r in rows], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["path", "kind", "code", "name", "uuid"])
+            found = db.execute(f"SELECT code, coalesce(name, ''), {known} FROM {table}")
+            while rows := found.fetchmany(5_000):
+                columns = [pa.array([path] * len(rows), pa.string()), pa.array([kind] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([_uuid(r[2]) for r in rows], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "kind", "code", "name", "uuid"])
 
 
 class _Reader(DataSourceReader):
