@@ -95,7 +95,7 @@ NEEDS = {
 }
 
 
-def _sizes(dims: DataFrame, kinds: set[str]) -> tuple[dict[str, int], set[str]]:
+def kind_sizes(dims: DataFrame, kinds: set[str]) -> tuple[dict[str, int], set[str]]:
     """(entries of each kind that has any, those that together can be broadcast): counted, as estimates from compressed files are far too low."""
     counts = {r["kind"]: r["n"] for r in dims.filter(F.col("kind").isin(*kinds)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     small, total = set(), 0
@@ -124,7 +124,7 @@ def _resolve(rows: DataFrame, dims: DataFrame, codes: dict[str, tuple[str, str]]
     """
     keys = ["base", "seq", "id"]
     kinds = {kind for slot, (kind, _) in codes.items() if slot in wanted} | ({"metadata"} if "list" in wanted else set())
-    counts, small = _sizes(dims, kinds) if kinds else ({}, set())
+    counts, small = kind_sizes(dims, kinds) if kinds else ({}, set())
     last = lambda versions: F.try_element_at(F.filter(versions, lambda x: x["at"] <= F.col("seq")), F.lit(-1))
     named = "struct<name:string,uuid:string>"
     nothing = F.lit(None).cast(named)
@@ -174,19 +174,22 @@ def _resolve(rows: DataFrame, dims: DataFrame, codes: dict[str, tuple[str, str]]
     return computed_once(grouped, **{f"{slot}_found": F.struct(of(slot)["name"].alias("name"), of(slot)["uuid"].alias("uuid")) for slot in far}, items=items).drop("__found")
 
 
-def names_of_list(rows: DataFrame, dims: DataFrame, key: str | list[str], codes: str, separator: str = ", ", skipped: tuple[str, ...] = ("", "0")) -> DataFrame:
+def names_of_list(rows: DataFrame, dims: DataFrame, key: str | list[str], codes: str, separator: str = ", ", skipped: tuple[str, ...] = ("", "0"), is_small: bool | None = None) -> DataFrame:
     """rows with names and name_uuid of a list of metadata codes: names in list order, skipped codes left out, the first uuid that is not empty.
 
-    key (with base, if it is a column of rows) tells rows apart; they travel once, beside their codes.
+    key (with base, if it is a column of rows) tells rows apart; they travel once, with their first code.
+    Entries that are few (counted here, if is_small doesn't tell) are broadcast.
     """
     keys = list(dict.fromkeys([*([key] if isinstance(key, str) else key), "base"]))
     others = [c for c in rows.columns if c not in keys]
-    listed = rows.select(*keys, F.struct(*others).alias("__row"), F.posexplode_outer(codes).alias("pos", "code"))
+    listed = rows.select(*keys, *others, F.posexplode_outer(codes).alias("pos", "code"))
+    listed = listed.select(*keys, "pos", "code", F.when(F.coalesce("pos", F.lit(0)) == 0, F.struct(*others)).alias("__row"))
+    is_small = bool(kind_sizes(dims, {"metadata"})[1]) if is_small is None else is_small
     meta = dims.filter("kind = 'metadata'").select("base", "code", "name", "uuid")
-    listed = listed.join(meta, ["base", "code"], "left")
+    listed = listed.join(F.broadcast(meta) if is_small else meta.hint("merge"), ["base", "code"], "left")
     shown = F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("Meta #"), F.col("code")))
     item = F.when(~F.col("code").isin(*skipped), F.struct("pos", shown.alias("name"), F.coalesce("uuid", F.lit("")).alias("uuid")))
-    grouped = listed.groupBy(*keys).agg(F.first("__row").alias("__row"), F.array_sort(F.collect_list(item)).alias("items"))
+    grouped = listed.groupBy(*keys).agg(F.first("__row", ignorenulls=True).alias("__row"), F.array_sort(F.collect_list(item)).alias("items"))
     uuid = F.get(F.filter(F.transform("items", lambda x: x["uuid"]), lambda u: u != ""), F.lit(0))
     return grouped.select(
         *[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in rows.columns],

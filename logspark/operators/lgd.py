@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logspark.functions.dates import ticks_date
 from logspark.functions.ids import record_id
 from logspark.functions.text import CYRILLIC_UNITS, format_size, lookup, sanitize_text
-from logspark.operators.eventlog import empty_transaction, event_alias, names_of_list
+from logspark.operators.eventlog import empty_transaction, event_alias, kind_sizes, names_of_list
 from logspark.schema import APP_TYPES, EVENTLOG_SCHEMA, LGD_SEVERITIES, NO_NAME
 
 #: Transaction states as marks and as texts.
@@ -31,17 +31,26 @@ def base_of(path: Column) -> Column:
     return F.when(folder.rlike(r"(?i)(^|/)1Cv8Log$"), F.regexp_extract(folder, r"([^/]+)/[^/]+$", 1)).otherwise(F.regexp_extract(folder, r"([^/]+)$", 1))
 
 
-def metadata_names(rows: DataFrame, dims: DataFrame) -> DataFrame:
+def _met(rows: DataFrame, dims: DataFrame, kind: str, column: str, made: dict[str, str], is_small: bool) -> DataFrame:
+    """rows with what the entries of a kind have for the codes in a column. Few entries are broadcast; others are met by sorting, and rows without a code are dealt over all tasks."""
+    entries = dims.filter(F.col("kind") == kind).select("path", F.col("code").cast("string").alias("__key"), *[F.col(c).alias(n) for c, n in made.items()])
+    key = F.col(column).cast("string")
+    if not is_small:
+        key = F.coalesce(key, F.concat(F.lit("none "), F.pmod(F.xxhash64("rowID"), F.lit(4096)).cast("string")))
+    return rows.withColumn("__key", key).join(F.broadcast(entries) if is_small else entries.hint("merge"), ["path", "__key"], "left").drop("__key")
+
+
+def metadata_names(rows: DataFrame, dims: DataFrame, is_small: bool) -> DataFrame:
     """rows with Metadata: the name of a code, or the names of a list of codes ('[1, 2]'); one code that is no number stands for itself."""
     codes = F.filter(F.split(F.coalesce("metadataCodes", F.lit("")), r"[ ,\[\]]+"), lambda x: x != "")
     number = F.trim(F.coalesce("metadataCodes", F.lit(""))).rlike(r"^[+-]?\d+$")
     rows = rows.withColumns({"__codes": codes, "__one": F.when(number, F.trim("metadataCodes").try_cast("long").cast("string"))})
     meta = dims.filter("kind = 'metadata'").select(F.col("path").alias("base"), "kind", F.col("code").cast("string").alias("code"), "name", "uuid")
     several = (F.size("__codes") > 1) & ~number
-    single = rows.filter(~several).join(meta.select(F.col("base").alias("path"), F.col("code").alias("__one"), F.col("name").alias("__name")), ["path", "__one"], "left")
+    single = _met(rows.filter(~several), dims, "metadata", "__one", {"name": "__name"}, is_small)
     shown = F.when(F.col("__one").isNotNull(), F.coalesce("__name", F.concat(F.lit("Meta #"), F.col("__one")))).otherwise(F.coalesce("metadataCodes", F.lit("")))
     single = single.withColumn("Metadata", shown).select(*rows.columns, "Metadata")
-    many = names_of_list(rows.filter(several).withColumn("base", F.col("path")), meta, "rowID", "__codes", skipped=("",)).withColumnRenamed("names", "Metadata")
+    many = names_of_list(rows.filter(several).withColumn("base", F.col("path")), meta, "rowID", "__codes", skipped=("",), is_small=is_small).withColumnRenamed("names", "Metadata")
     return single.unionByName(many.select(*single.columns)).drop("__codes", "__one")
 
 
@@ -51,10 +60,14 @@ def decode_journal(rows: DataFrame, dims: DataFrame, empty: bool = True) -> Data
     Codes without a name show their number; user 1 without one is NO_NAME. A date of 0 or null is
     null. With empty false, begins and commits of transactions that say nothing are left out.
     """
-    rows = metadata_names(rows, dims)
+    counts, small = kind_sizes(dims, {"metadata", *(kind for kind, _ in CODES.values())})
+    rows = metadata_names(rows, dims, "metadata" in small or "metadata" not in counts)
     for column, (kind, _) in CODES.items():
-        dim = dims.filter(F.col("kind") == kind).select("path", F.col("code").alias(column), F.col("name").alias(f"{kind}_name"), *([F.col("uuid").alias("user_uuid")] if kind == "user" else []))
-        rows = rows.join(dim, ["path", column], "left")
+        made = {"name": f"{kind}_name"} | ({"uuid": "user_uuid"} if kind == "user" else {})
+        if kind in counts:
+            rows = _met(rows, dims, kind, column, made, kind in small)
+        else:
+            rows = rows.withColumns({n: F.lit(None).cast("string") for n in made.values()})
     code = lambda c: F.coalesce(F.col(c), F.lit(0))
     other = lambda c, mark: F.when(code(c) > 0, F.concat(F.lit(mark), F.col(c).cast("string"))).otherwise("")
     named = {kind: F.coalesce(f"{kind}_name", other(column, mark)) for column, (kind, mark) in CODES.items()}
@@ -82,3 +95,13 @@ def decode_journal(rows: DataFrame, dims: DataFrame, empty: bool = True) -> Data
 def newest(rows: DataFrame, n: int) -> DataFrame:
     """The n latest rows of decoded journals, newest first."""
     return rows.orderBy(F.desc("seq"), "base").limit(n)
+
+
+def decode_newest(rows: DataFrame, dims: DataFrame, n: int) -> DataFrame:
+    """The n latest rows of journals, decoded, newest first: they are chosen before anything is looked up, and only entries that they name are kept."""
+    top = rows.orderBy(F.desc("rowID"), base_of(F.col("path"))).limit(n)
+    lists = F.split(F.coalesce("metadataCodes", F.lit("")), r"[ ,\[\]]+")
+    codes = [F.struct(F.lit(kind).alias("kind"), F.col(column).cast("long").alias("code")) for column, (kind, _) in CODES.items()]
+    named = F.concat(F.array(*codes), F.transform(lists, lambda x: F.struct(F.lit("metadata").alias("kind"), x.try_cast("long").alias("code"))))
+    needed = top.select("path", F.explode(named).alias("c")).select("path", "c.*").distinct()  # bounded by the rows
+    return newest(decode_journal(top, dims.join(F.broadcast(needed), ["path", "kind", "code"], "left_semi")), n)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logspark.functions import dates, ids, scan, text
-from logspark.operators import eventlog, query, repeats, techlog
+from logspark.operators import eventlog, lgd, query, repeats, techlog
 from logspark.plans import catalog
 from logspark.sources import framing, jsondump
 
@@ -269,3 +269,53 @@ def test_no_listing_is_broadcast(spark):
     own = "/r/a/1Cv8Log/1Cv8.lgf"
     assert {r.path: r.dictionary for r in found.collect()} == {"/r/a/1Cv8Log/1.lgp": own, "/r/a/1Cv8Log/2.lgp": own, "/r/b/c/3.lgp": "/r/1Cv8Log/1Cv8.lgf", "/q/4.lgp": "/q/x/y/1Cv8.lgf", "5.lgp": None}
     assert found.columns == ["path", "directory", "dictionary"] and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def journal(spark, tmp_path, n=40):
+    """Rows and codes as Parquet files, which Spark takes for small."""
+    from logspark.sources.sqlite_journal import ROW_COLUMNS
+
+    lists = ["1", "[1, 2]", "word", "", None]
+    rows = [{"path": f"/l/B{k % 2}/1Cv8Log/1Cv8.lgd", "size": 9, **{c: k % 4 if kind == "long" else lists[k % 5] for c, kind in ROW_COLUMNS.items()}, "rowID": k, "date": 639_398_532_100_000, "userCode": k % 4 if k % 3 else None} for k in range(n)]
+    codes = [(f"/l/B{b}/1Cv8Log/1Cv8.lgd", kind, k, f"{kind}{k}", "") for b in range(2) for kind in ("user", "app", "event", "metadata") for k in range(1, 4)]
+    spark.createDataFrame(rows, "path string, size long, " + ", ".join(f"{c} {k}" for c, k in ROW_COLUMNS.items())).write.parquet(str(tmp_path / "rows"))
+    spark.createDataFrame(codes, "path string, kind string, code long, name string, uuid string").write.parquet(str(tmp_path / "codes"))
+    return spark.read.parquet(str(tmp_path / "rows")), spark.read.parquet(str(tmp_path / "codes"))
+
+
+def test_large_code_tables_are_never_broadcast(spark, monkeypatch, tmp_path):
+    rows, codes = journal(spark, tmp_path)
+    got = []
+    for most in (0, 6, 100):
+        monkeypatch.setattr(eventlog, "BROADCAST_ENTRIES", most)
+        decoded = lgd.decode_journal(rows, codes)
+        got.append(sorted(map(str, decoded.collect())))
+        assert most or "Broadcast" not in decoded._jdf.queryExecution().executedPlan().toString()
+    assert got[0] == got[1] == got[2] and len(got[0]) == 40 and any("metadata1, metadata2" in r for r in got[0])
+
+
+def test_newest_rows_are_chosen_before_codes_are_met(spark, tmp_path):
+    rows, codes = journal(spark, tmp_path)
+    few = lgd.decode_newest(rows, codes, 7)
+    assert list(map(str, few.collect())) == list(map(str, lgd.newest(lgd.decode_journal(rows, codes), 7).collect()))
+    plan = few._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda word: [len(line) - len(line.lstrip(" :+-")) for line in plan if word in line]
+    assert any("GlobalLimit 7" in line for line in plan) and max(depth("GlobalLimit")) > max(depth("Join LeftOuter"))
+
+
+def test_code_tables_are_read_in_batches(tmp_path):
+    """However many codes a journal has, a batch holds few of them."""
+    import sqlite3
+
+    from logspark.sources import sqlite_journal
+
+    path = str(tmp_path / "x.lgd")
+    with sqlite3.connect(path) as db:
+        for table in ("UserCodes", "AppCodes"):
+            db.execute(f"CREATE TABLE {table} (code INTEGER PRIMARY KEY, name TEXT)")
+            db.executemany(f"INSERT INTO {table} VALUES (?, ?)", [(k, f"n{k}") for k in range(12_001)])
+    db.close()
+    reader = sqlite_journal.SqliteJournal({"path": path, "part": "codes"}).reader(None)
+    (part,) = reader.partitions()
+    batches = list(reader.read(part))
+    assert sum(b.num_rows for b in batches) == 24_002 and max(b.num_rows for b in batches) <= 5_000
