@@ -537,7 +537,7 @@ def lgd_decode(spark, sf_dir):
 
 @register("SELECT event_id AS seq, user_id % 3 AS base, date_trunc('second', ts) AS \"DateTime\" FROM events ORDER BY event_id DESC, base LIMIT 200")
 def lgd_newest(spark, sf_dir):
-    rows = lgd.newest(lgd.decode_journal(journal_rows(_t(spark, sf_dir, "events")), journal_codes(spark, sf_dir)), 200)
+    rows = lgd.decode_newest(journal_rows(_t(spark, sf_dir, "events")), journal_codes(spark, sf_dir), 200)
     return rows.select("seq", F.substring("base", 5, 1).cast("long").alias("base"), "DateTime")
 
 
