@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import deque
 
 #: A quoted part may hold anything, a doubled quote stands for itself, and a missing closer takes the rest.
 _PART = re.compile(r'"[^"]*(?:""[^"]*)*(?:"|\Z)|[{},]|[^"{},]+')
@@ -96,19 +97,42 @@ def objects(text: str) -> list[str]:
     return out
 
 
+def _nested(text: str) -> list[tuple[int, int, list]]:
+    """(start, end, those within) of the balanced {...} parts of a text; an outermost one that is never closed counts for nothing, nor does what it holds."""
+    found, opened = [], []
+    for m in _JSON_PART.finditer(text):
+        if m[0] == "{":
+            opened.append((m.start(), []))
+        elif m[0] == "}" and opened:
+            start, within = opened.pop()
+            (opened[-1][1] if opened else found).append((start, m.end(), within))
+    return found
+
+
 def records(text: str, required: list[str]) -> list[str]:
-    """The outermost objects of a text that have all required members, however deep they are wrapped; what does not parse is looked into as well."""
-    out, waiting = [], objects(text)
+    """The outermost objects of a text that have all required members, however deep they are wrapped; what does not parse is looked into as well.
+
+    The text is scanned once. An object is parsed only if it names the members outside of the objects within it (or has escapes).
+    """
+    names = [f'"{k}"' for k in required]
+    out, waiting = [], deque(_nested(text))
     while waiting:
-        part = waiting.pop(0)
-        try:
-            members = json.loads(part)
-        except ValueError:
-            members = {}
+        start, end, within = waiting.popleft()
+        at, own = start, []
+        for begin, stop, _ in within:
+            own.append(text[at:begin])
+            at = stop
+        own = "".join([*own, text[at:end]])
+        members = {}
+        if "\\" in own or all(name in own for name in names):
+            try:
+                members = json.loads(text[start:end])
+            except ValueError:
+                pass
         if all(members.get(k) is not None for k in required):
-            out.append(part)
+            out.append(text[start:end])
         else:
-            waiting += objects(part[1:-1])
+            waiting.extend(within)
     return out
 
 

@@ -720,7 +720,7 @@ def json_wrapped_records(spark, sf_dir):
     e = F.col("event_id")
     record = F.to_json(F.struct(e.cast("string").alias("id"), F.when(e % 4 != 3, "2024-01-01 00:00:00").alias("DateFormatted"), F.col("event_type").alias("Event")))
     wrapped = F.when(e % 4 == 0, record).when(e % 4 == 1, F.concat(F.lit('{"meta": {"a": "}"}, "data": ['), record, F.lit("]}"))).otherwise(F.concat(F.lit('{"w":' * 12), record, F.lit("}" * 12)))
-    texts = _t(spark, sf_dir, "events").select(F.explode(jsondump.records_of(wrapped, "eventlog")).alias("value"))
+    texts = spread(_t(spark, sf_dir, "events")).select(F.explode(jsondump.records_of(wrapped, "eventlog")).alias("value"))
     return jsondump.parse_objects(texts, "eventlog").select("id", "Event")
 
 

@@ -319,3 +319,25 @@ def test_code_tables_are_read_in_batches(tmp_path):
     (part,) = reader.partitions()
     batches = list(reader.read(part))
     assert sum(b.num_rows for b in batches) == 24_002 and max(b.num_rows for b in batches) <= 5_000
+
+
+def test_wrapped_records_are_scanned_once(monkeypatch):
+    """Wrappers are neither scanned nor parsed again at every level."""
+    inner = '{"id": "1", "note": "} {", "DateFormatted": "d"}'
+    texts = {
+        '{"w":' * 12 + inner + "}" * 12: [inner], f'{{"id": null, "DateFormatted": "x", "in": [{inner}, {inner}]}}': [inner, inner], f'{{"\\u0069d": "2", "DateFormatted": "d", "k": {inner}}}': None,
+        f'{{"id": "3", "DateFormatted": broken, "k": {inner}}} {inner}': [inner, inner], '{"open": ' + inner: [], f'}} {inner} {{"a": {{"b": 1}}}}': [inner], f'{{"a": "\\"id\\": {{", "k": [{inner}]}}': [inner], "": [],
+    }
+    for text, wanted in texts.items():
+        assert scan.records(text, ["id", "DateFormatted"]) == ([text] if wanted is None else wanted), text
+    parsed = []
+    monkeypatch.setattr(scan.json, "loads", lambda t, real=json.loads: parsed.append(t) or real(t))
+    scan.records('{"w":' * 12 + inner + "}" * 12, ["id", "DateFormatted"])
+    assert parsed == [inner]
+
+
+def test_lines_are_made_once(spark):
+    """The text of a line is not made again for each test of it."""
+    lines = spark.range(3).select(F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.lit("d").alias("DateFormatted"))).alias("value"))
+    rows = jsondump.parse_lines(lines, "eventlog")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("DateFormatted, d)") == 1 and rows.count() == 3
