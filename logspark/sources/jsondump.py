@@ -81,7 +81,8 @@ def _objects(lines: pd.Series) -> pd.Series:
 def parse_lines(lines: DataFrame, kind: str) -> DataFrame:
     """Records of lines (column value), each on one line: array brackets and commas around objects are no hindrance, one line may hold several, other lines are skipped."""
     value = F.regexp_replace("value", r"^[\s\x{FEFF}\[,]+|[\s\],]+$", "")
-    rows = lines.select(value.alias("value")).filter(F.col("value").startswith("{"))
+    # a line may be dear to make, so it is made once for the tests and the parser
+    rows = computed_once(lines.select("value"), value=value).filter(F.col("value").startswith("{"))
     # only lines on which an object seems to follow another one go to the scanner
     several = F.when(F.col("value").rlike(r"\}[\s\],]*[\[\s]*\{"), F.col("value"))
     rows = rows.withColumn("objects", _objects(several))
